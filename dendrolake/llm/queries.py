@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, simhash, token_files
-from .common import fresh_path, table
+from . import langid, nbsvm, packing, pii, quality_rules, simhash, token_files
+from .common import bucket_of_id, fresh_path, table
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,10 +19,54 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def trusted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents labelled as good."""
+    return table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"), trusted_documents(spark, sf_dir)).drop("text_key")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_spans(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda x: x["k"] < len(pii.KINDS))
+
+    def count(k: int):
+        return F.size(F.filter("spans", lambda x: x["k"] == k)).cast("long").alias(f"n_{pii.KINDS[k]}")
+
+    counts = [count(k) for k in range(len(pii.KINDS))]
+    return found.select("doc_id", *counts, F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = bucket_of_id("doc_id", 3) == 1
+    profiles = langid.fit(docs.where(~held))
+    found = langid.predict(docs, profiles)
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+def labelled_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``id, text, label`` of the labelled documents outside the held-out fold."""
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("label"))
+    learn = labels.where(bucket_of_id("id", 4) != 2).dropna().distinct()
+    return docs.select(F.col("doc_id").alias("id"), "text").join(learn, "id")
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = nbsvm.fit(labelled_quality(spark, docs, sf_dir))
+    scored = nbsvm.score(docs, model)
+    return scored.select(
+        "doc_id", (bucket_of_id("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "token-files")
     token_files.write_token_files(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
@@ -32,7 +76,11 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_quality_rules": op2_quality_rules,
     "op3_simhash": op3_simhash,
+    "op6_pii": op6_pii,
+    "op7_language": op7_language,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_token_files": op10_token_files,
 }
 
