@@ -4,13 +4,52 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from dendrolake.llm import nbsvm, packing, pii, quality_rules, queries, simhash
 from dendrolake.llm.common import saved, table
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
 
-#: Models and packing are beyond SQL; the pipeline is held against its stages in the tests.
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, learned from the labelled ones among them, does not reject."""
+    model = nbsvm.fit(queries.labelled_quality(spark, docs, sf_dir))
+    return nbsvm.score(docs, model, score_col="_score").where(F.col("_score") >= queries.KEEP_SCORE).drop("_score")
+
+
+def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the fixed rules and the likelihood ratio."""
+    return quality_rules.keep_good(docs, queries.trusted_documents(spark, sf_dir))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: that of the smallest id."""
+    groups = simhash.near_duplicates(docs)
+    first = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    return docs.dropDuplicates(["doc_id"]).join(first, "doc_id", "left_semi").select(*docs.columns)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data and terms that disclose it replaced; ``n_chars`` follows the text."""
+    clean = pii.sanitise(docs)
+    return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' pieces in training sequences."""
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_classifier", quality_classifier),
+    ("quality_rules", rules),
+    ("simhash_near_dedup", near_duplicates),
+    ("personal_data", personal_data),
+    ("packing", packed),
+]
+
+#: Models and packing are beyond SQL; the tests hold the pipeline against a brute-force version.
 ORACLE_SQL: str | None = None
 
 

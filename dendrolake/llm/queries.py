@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, nbsvm, packing, pii, quality_rules, simhash, token_files
+from . import embeddings, langid, lm_scores, nbsvm, packing, pii, quality_rules, sampling, simhash, token_files
 from .common import bucket_of_id, fresh_path, table
 
 
+#: Score from which the quality classifier predicts a good document.
+KEEP_SCORE = 0.7
+
+
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return pieces.select(
@@ -32,6 +36,21 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    decoded = sampling.decode(sampling.encode(table(spark, sf_dir, "documents"), path), path)
+    return decoded.select(
+        "doc_id",
+        (F.length("ids") / 4).cast("long").alias("n_pieces"),
+        F.crc32("ids").alias("ids_crc32"),
+        (F.xxhash64("decoded") == F.col("text_key")).alias("lossless"),
+    )
+
+
+def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_spans(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda x: x["k"] < len(pii.KINDS))
@@ -51,6 +70,10 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores.score_documents(table(spark, sf_dir, "documents"), bucket_of_id("doc_id", 7) == 2)
+
+
 def labelled_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``id, text, label`` of the labelled documents outside the held-out fold."""
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("label"))
@@ -63,7 +86,7 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = nbsvm.fit(labelled_quality(spark, docs, sf_dir))
     scored = nbsvm.score(docs, model)
     return scored.select(
-        "doc_id", (bucket_of_id("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+        "doc_id", (bucket_of_id("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= KEEP_SCORE).cast("int").alias("predicted")
     )
 
 
@@ -78,8 +101,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_quality_rules": op2_quality_rules,
     "op3_simhash": op3_simhash,
+    "op4_sampled_pieces": op4_sampled_pieces,
+    "op5_embeddings": op5_embeddings,
     "op6_pii": op6_pii,
     "op7_language": op7_language,
+    "op8_lm_scores": op8_lm_scores,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_token_files": op10_token_files,
 }
