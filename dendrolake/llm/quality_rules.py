@@ -136,9 +136,11 @@ def judge(
     summed = grams.join(F.broadcast(ratios), "bucket", "left").groupBy(*held).agg(F.sum("_ratio").alias("_sum"), F.count("bucket").alias("_grams"))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     mean = F.coalesce(F.col("_sum") / F.greatest("_grams", F.lit(1)) / SCALE, F.lit(0.0))
-    return summed.select(
+    judged = summed.select(
         F.col("_id").alias(id_col), "text_key", *BASE, failed.alias("base_failed"), mean.alias("ratio"), (~failed & (mean >= threshold)).alias("kept")
     )
+    # written, so that no later filter is moved into the lambdas above and works them out again for each element
+    return saved(judged, "judged")
 
 
 def keep_good(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
