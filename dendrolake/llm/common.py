@@ -52,7 +52,9 @@ def split_words(texts: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndar
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     if lower:
         texts = pc.ascii_lower(texts)
-    split = pc.ascii_split_whitespace(texts)
+    for space in "\t\n\x0b\f\r":  # by pattern: the ASCII split takes bytes of other letters for spaces
+        texts = pc.replace_substring(texts, space, " ")
+    split = pc.split_pattern(texts, " ")
     offsets = np.asarray(split.offsets, np.int64)
     offsets, values = offsets - offsets[0], split.flatten()
     full = pc.greater(pc.binary_length(values), 0)

@@ -10,13 +10,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_words, mix, slices, split_words
+from .common import hash_words, mix, saved, slices, split_words
 
 #: Buckets of hashed n-grams; bounds what is learned and sent about.
 BUCKETS = 1 << 18
 #: Labelled rows that the hinge-loss model is fitted on at most (those of least hashed id), and those that its
 #: scores are turned into probabilities with. Log-count ratios are taken from all labelled rows.
 FIT_ROWS, CALIBRATION_ROWS = 8192, 4096
+#: Text bytes whose n-grams are worked out at a time.
+SLICE_BYTES = 3_000_000
 
 
 def shape(word: str) -> str:
@@ -64,7 +66,7 @@ def log_count_ratios(labelled: DataFrame, buckets: int = BUCKETS, smoothing: flo
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, buckets + 1), np.int64)  # the last: rows
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", SLICE_BYTES):
                 label = batch.column("label").to_numpy(zero_copy_only=False)
                 found, sizes = indicators(batch.column("text"), buckets)
                 side = np.repeat(label, sizes)
@@ -137,6 +139,7 @@ def fit(labelled: DataFrame, buckets: int = BUCKETS, fit_rows: int = FIT_ROWS, c
     any partitioning. Without rows of both labels every score is the share of label 1 (0.5 without rows).
     """
     labelled = labelled.where(F.col("label").isin(0, 1)).select("id", F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("long").alias("label"))
+    labelled = saved(labelled, "labelled")
     ratios = log_count_ratios(labelled, buckets)
     ranked = labelled.orderBy(F.xxhash64("id"), "id", F.xxhash64("text")).limit(fit_rows + calibration_rows)
 
@@ -174,7 +177,7 @@ def score(docs: DataFrame, model: dict, text_col: str = "text", score_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for whole in batches:
-            for batch in slices(whole, text_col):
+            for batch in slices(whole, text_col, SLICE_BYTES):
                 found, sizes = indicators(batch.column(text_col), m["buckets"])
                 owner = np.repeat(np.arange(len(sizes)), sizes)
                 margin = np.bincount(owner, m["weights"][found], minlength=len(sizes)) / np.sqrt(np.maximum(sizes, 1)) + m["bias"]

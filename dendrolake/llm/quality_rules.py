@@ -95,7 +95,8 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text
     row for each bucket at most. Without trusted documents all ratios are zero.
     """
     names = trusted.select(F.col(id_col).alias("_id")).dropna().distinct().withColumn("_trusted", F.lit(1))
-    d = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(names, "_id", "left")
+    # by shuffle at any size: the number of trusted documents has no bound
+    d = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(names.hint("merge"), "_id", "left")
     d = _with_words(d, "_text")
     grams = d.select("_trusted", F.explode(_grams(F.col("_n"), F.col("_hash"), buckets)).alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("_trusted").alias("target"))

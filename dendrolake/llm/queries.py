@@ -78,7 +78,7 @@ def labelled_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """``id, text, label`` of the labelled documents outside the held-out fold."""
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("label"))
     learn = labels.where(bucket_of_id("id", 4) != 2).dropna().distinct()
-    return docs.select(F.col("doc_id").alias("id"), "text").join(learn, "id")
+    return docs.select(F.col("doc_id").alias("id"), "text").join(learn.hint("merge"), "id")
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
