@@ -171,6 +171,7 @@ def fit(labelled: DataFrame, buckets: int = BUCKETS, fit_rows: int = FIT_ROWS, c
 
 def score(docs: DataFrame, model: dict, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """Adds ``score_col`` (0 to 1; higher: label 1 likelier) to all rows. A null text is scored as an empty one."""
+    docs = docs.drop(score_col)  # a column of that name is replaced
     spark, names = docs.sparkSession, docs.columns
     shared = spark.sparkContext.broadcast(model)  # a number for each bucket
 

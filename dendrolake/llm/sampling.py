@@ -239,6 +239,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
 
 def decode(encoded: DataFrame, model_path: str, ids_col: str = "ids", text_col: str = "decoded", alpha: float = 1.0) -> DataFrame:
     """Adds the text that the ids spell."""
+    encoded = encoded.drop(text_col)  # a column of that name is replaced
     names = encoded.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
