@@ -14,7 +14,7 @@ from . import gru
 from .common import hash_words, saved, slices, split_words
 
 #: Bytes of text of a chunk: its documents are scored together with a slice of the counts for its own words.
-CHUNK_BYTES = 16_000_000
+CHUNK_BYTES = 8_000_000
 #: Rounds of training: each learns from its share of the chunks, then the tasks' models are averaged.
 ROUNDS = 3
 #: Parameter rows that a task's model is cut into for averaging.

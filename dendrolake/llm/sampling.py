@@ -22,7 +22,7 @@ MARK = "▁"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Stands for a literal mark in a text, so that only bytes spell it.
 _LITERAL = 0x110001
-SLICE_BYTES = 12_000_000
+SLICE_BYTES = 4_000_000
 
 
 class Lattice:
