@@ -50,9 +50,9 @@ def bucket_of_id(id_col: str, n: int):
 def split_words(texts: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndarray]:
     """Words of all texts after another, dictionary-encoded, and each text's first word (with a last bound)."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    if lower:
-        texts = pc.ascii_lower(texts)
-    for space in "\t\n\x0b\f\r":  # by pattern: the ASCII split takes bytes of other letters for spaces
+    if lower:  # of a copy: on a slice that was cast, ascii_lower reads the wrong bytes
+        texts = pc.ascii_lower(pa.concat_arrays([texts]))
+    for space in "\t\n\x0b\f\r":
         texts = pc.replace_substring(texts, space, " ")
     split = pc.split_pattern(texts, " ")
     offsets = np.asarray(split.offsets, np.int64)

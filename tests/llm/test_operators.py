@@ -348,6 +348,19 @@ def test_samples_follow_the_lattice():
         assert seen.get(k, 0) / 4000 == pytest.approx(w / total, abs=0.03)
 
 
+@pytest.mark.parametrize("lower", [False, True])
+def test_words_of_slices(lower):
+    from dendrolake.llm.common import split_words
+
+    texts = [*TEXTS, "".join(map(chr, range(1, 0x250))), "Ò É x \u0085 Y"] * 3
+    for at in (0, 7, 40):
+        words, first = split_words(pa.array(texts).slice(at, 30), lower)
+        index, names = words.indices.to_pylist(), words.dictionary.to_pylist()
+        for t, a, b in zip(texts[at : at + 30], first[:-1], first[1:]):
+            raw = (t or "").encode()
+            assert [names[k] for k in index[a:b]] == [w.decode() for w in (raw.lower() if lower else raw).split()]
+
+
 def test_crc_of_ids_in_spark(spark):
     raw = np.arange(5, dtype="<u4").tobytes()
     assert spark.createDataFrame([(raw,)], "x binary").select(F.crc32("x")).first()[0] == zlib.crc32(raw)
