@@ -21,10 +21,23 @@ FIT_ROWS, CALIBRATION_ROWS = 8192, 4096
 SLICE_BYTES = 3_000_000
 
 
-def shape(word: str) -> str:
-    """A word's kinds of characters, repeats folded: upper and lower case, digits, other marks as they are."""
-    kinds = re.sub(r"[^\W\d_]", lambda m: "X" if m[0].isupper() else "x", re.sub(r"\d", "9", word))
-    return re.sub(r"(.)\1+", r"\1\1", kinds)[:8]
+class _Kinds(dict):
+    """A character's kind, worked out when first met: X and x for letters, 9 for digits, other marks for themselves."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        self[code] = kind = "X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c
+        return kind
+
+
+_kinds, _repeats = _Kinds(), re.compile(r"(.)\1+")
+
+
+def shapes(words: list[str]) -> list[str]:
+    """Each word's kinds of characters, repeats folded."""
+    spelled = [w.translate(_kinds) for w in words]
+    folded = {s: _repeats.sub(r"\1\1", s)[:8] for s in set(spelled)}
+    return [folded[s] for s in spelled]
 
 
 def indicators(texts: pa.Array, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
@@ -40,9 +53,8 @@ def indicators(texts: pa.Array, buckets: int = BUCKETS) -> tuple[np.ndarray, np.
     if not len(index):
         return np.zeros(0, np.int64), np.zeros(n_docs, np.int64)
     one = hash_words(words.dictionary)[index]
-    shapes = [shape(w) for w in words.dictionary.to_pylist()]
-    kinds, code = np.unique(np.array(shapes, object), return_inverse=True)
-    kind = hash_words(pa.array(kinds.tolist(), pa.string()), 7)[code][index]
+    kinds = pa.array(shapes(words.dictionary.to_pylist()), pa.string()).dictionary_encode()
+    kind = hash_words(kinds.dictionary, 7)[kinds.indices.to_numpy(zero_copy_only=False)][index]
     same = doc[1:] == doc[:-1]
     far = same[1:] & same[:-1]
     step = np.uint64(0x9E3779B97F4A7C15)
@@ -52,7 +64,9 @@ def indicators(texts: pa.Array, buckets: int = BUCKETS) -> tuple[np.ndarray, np.
     again = same & (one[1:] == one[:-1])
     grams = [one, two[same], kind, kind2[same], kind3[far], np.full(again.sum(), 99, np.uint64)]
     owner = [doc, doc[1:][same], doc, doc[1:][same], doc[2:][far], doc[1:][again]]
-    keys = np.unique(np.concatenate([d << np.uint64(32) | mix(g) % np.uint64(buckets) for d, g in zip(owner, grams)]))
+    keys = np.concatenate([d << np.uint64(32) | mix(g) % np.uint64(buckets) for d, g in zip(owner, grams)])
+    keys.sort()
+    keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
     counts = np.bincount((keys >> np.uint64(32)).astype(np.int64), minlength=n_docs)
     return (keys & np.uint64(0xFFFFFFFF)).astype(np.int64), counts
 
