@@ -155,7 +155,12 @@ def fit(labelled: DataFrame, buckets: int = BUCKETS, fit_rows: int = FIT_ROWS, c
     labelled = labelled.where(F.col("label").isin(0, 1)).select("id", F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("long").alias("label"))
     labelled = saved(labelled, "labelled")
     ratios = log_count_ratios(labelled, buckets)
-    ranked = labelled.orderBy(F.xxhash64("id"), "id", F.xxhash64("text")).limit(fit_rows + calibration_rows)
+    # hashes of about twice as many rows come first, so that tasks send few others on to be ranked
+    need, n, rank = fit_rows + calibration_rows, labelled.count(), F.xxhash64("id")
+    near = labelled.where(rank < F.lit(-(1 << 63) + (2 * need << 64) // n)) if n > 2 * need else labelled
+    if near.count() < min(need, n):  # ids that come very often
+        near = labelled
+    ranked = near.orderBy(rank, "id", F.xxhash64("text")).limit(need)
 
     def learn(pdf):
         pdf = pdf.sort_values("order")
