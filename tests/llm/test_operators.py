@@ -162,6 +162,20 @@ def test_embeddings_against_brute_force(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<double>, label int")).count() == 0
 
 
+def test_embeddings_count_every_link_of_a_dense_group(spark):
+    rng = np.random.default_rng(3)
+    centre, spread = rng.standard_normal(16), np.where(np.arange(400) % 2, 0.16, 0.1)[:, None]
+    x = centre + rng.standard_normal((400, 16)) * spread
+    x = np.concatenate([x, x[:20], rng.standard_normal((60, 16))])
+    rows = [(k, v.tolist(), 1) for k, v in enumerate(x)]
+    out = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), block=16, tile=64).toPandas()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.98
+    assert 100 < near[:400, :400].sum(axis=1).mean() < 390  # more than the windows hold, and not all
+    assert (out.sort_values("vec_id")["n_links"].to_numpy() == near.sum(axis=1) - 1).all()
+    assert embeddings.passes_for(10, 0.98, 512) == 8 < embeddings.passes_for(10**8, 0.98, 512)
+
+
 def _rules(text):
     words = WORDS.findall(text or "")
     lines = [x for x in (text or "").split("\n") if WORDS.search(x)]
