@@ -1,4 +1,4 @@
-"""Personal data: patterns with checks, and information-theoretic sanitisation of the terms around them.
+"""Personal data: patterns with checks, and information-theoretic sanitisation of the terms that come with them.
 DataFrame functions only."""
 
 from __future__ import annotations
@@ -24,10 +24,10 @@ PATTERNS = {
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){13}", "phone": r"\+[0-9]"}
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 
-#: Characters on either side of an entity in which terms are looked for.
-REACH = 80
-#: Distinct surroundings in which a term and an entity must meet before the corpus says anything about them.
+#: Distinct texts in which a term and an entity must meet before the corpus says anything about them.
 SUPPORT = 2
+#: Buckets of hashed terms; bounds the table that is broadcast to pass over words that disclose nothing.
+TERM_BUCKETS = 1 << 20
 #: Share of an entity's information content that a term may disclose.
 DISCLOSURE = 0.9
 
@@ -57,9 +57,9 @@ def _valid(kind: str, m: Column) -> Column:
     return n.between(10, 15)
 
 
-def _located(text: Column, pattern: str, at: Column | int = 0) -> Column:
-    """Array of (start, end, value) of all matches, in code points from ``at``."""
-    gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+def _located(text: Column, pattern: Column) -> Column:
+    """Array of (start, end, value) of all matches, in code points."""
+    gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["pos"] + F.length(x["gap"]).cast("long")
@@ -70,7 +70,7 @@ def _located(text: Column, pattern: str, at: Column | int = 0) -> Column:
 
     pairs = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(hits)).alias("gap"), hits.alias("hit"))
     empty = F.array().cast("array<struct<s:bigint,e:bigint,v:string>>")
-    first = F.struct((F.lit(at) if isinstance(at, int) else at).cast("long").alias("pos"), empty.alias("out"))
+    first = F.struct(F.lit(0).cast("long").alias("pos"), empty.alias("out"))
     return F.aggregate(pairs, first, step, lambda acc: acc["out"])
 
 
@@ -81,31 +81,35 @@ def base_spans(text: Column) -> Column:
     """Array of (s, k, e, v) of the base kinds, by start, then kind as listed."""
 
     def of(k: int, kind: str) -> Column:
-        good = F.filter(_located(text, PATTERNS[kind]), lambda x: _valid(kind, x["v"]))
+        good = F.filter(_located(text, F.lit(PATTERNS[kind])), lambda x: _valid(kind, x["v"]))
         spans = F.transform(good, lambda x: F.struct(x["s"].alias("s"), F.lit(k).alias("k"), x["e"].alias("e"), x["v"].alias("v")))
         return F.when(text.rlike(NEEDS[kind]), spans).otherwise(F.array().cast(SPAN))
 
     return F.sort_array(F.concat(*(of(k, kind) for k, kind in enumerate(KINDS))))
 
 
-def _surroundings(text: Column, spans: Column) -> Column:
-    """For each span, its value and the terms (s, e, t) within reach that lie in no span."""
+#: Stands for each character of a base span; a run of letters and digits beside it is no whole word.
+_MASK = "\ue000"
+_NO_WORD = rf"(?<![\p{{L}}\p{{N}}{_MASK}])", rf"(?![\p{{L}}\p{{N}}{_MASK}])"
+
+
+def _masked(text: Column, spans: Column) -> Column:
+    """The text with its length kept and its base spans blotted out."""
+
+    def step(acc: Column, x: Column) -> Column:
+        start, end = F.greatest(acc["pos"], x["s"]), F.greatest(acc["pos"], x["e"])
+        gap = F.substring(clear, acc["pos"].cast("int") + 1, (start - acc["pos"]).cast("int"))
+        return F.struct(end.alias("pos"), F.concat(acc["out"], gap, F.repeat(F.lit(_MASK), (end - start).cast("int"))).alias("out"))
+
+    clear = F.translate(text, _MASK, " ")
+    first = F.struct(F.lit(0).cast("long").alias("pos"), F.lit("").alias("out"))
+    return F.aggregate(spans, first, step, lambda a: F.concat(a["out"], F.substring(clear, a["pos"].cast("int") + 1, F.length(clear))))
 
-    def around(x: Column) -> Column:
-        low = F.greatest(x["s"] - REACH, F.lit(0).cast("long"))
-        before = F.substring(text, low.cast("int") + 1, (x["s"] - low).cast("int"))
-        after = F.substring(F.concat(text, F.lit(" ")), x["e"].cast("int") + 1, F.lit(REACH))  # a last word is whole
-        pattern = r"(?<![\p{L}\p{N}])\p{L}[\p{L}\p{N}]{2,}+(?=[^\p{L}\p{N}])"
-        words = F.concat(_located(before, pattern, low), _located(after, pattern, x["e"]))
-        # a word cut off by the window's start is no term; one cut by its end has no character after it
-        clear = F.filter(
-            words,
-            lambda w: ((w["s"] > low) | (low == 0)) & ~F.exists(spans, lambda y: (w["s"] < y["e"]) & (y["s"] < w["e"])),
-        )
-        terms = F.transform(clear, lambda w: F.struct(w["s"].alias("s"), w["e"].alias("e"), F.lower(w["v"]).alias("t")))
-        return F.struct(F.lower(x["v"]).alias("v"), terms.alias("terms"))
 
-    return F.transform(spans, around)
+def _terms(text: Column, spans: Column) -> Column:
+    """Distinct terms, in lower case, of a text outside its base spans."""
+    found = F.regexp_extract_all(_masked(text, spans), F.lit(rf"{_NO_WORD[0]}\p{{L}}[\p{{L}}\p{{N}}]{{2,}}+{_NO_WORD[1]}"), F.lit(0))
+    return F.array_distinct(F.transform(found, F.lower))
 
 
 def find_spans(
@@ -117,10 +121,11 @@ def find_spans(
 ) -> DataFrame:
     """``id_col, text_key`` (hash of the text) and ``spans`` (array of s, k, e, v) of every row.
 
-    k counts the base kinds (email, ip, card, phone); 4 is a term. A term near a protected value is a span when the
-    corpus shows that it discloses it: the two meet in ``support`` distinct surroundings or more, and their
-    pointwise mutual information, log2(N n(v,t) / (n(v) n(t))) over documents, reaches ``disclosure`` times the
-    value's information content log2(N / n(v)). All documents are counted. Term spans overlap no base span.
+    k counts the base kinds (email, ip, card, phone); 4 is a term. A term is a span, wherever in whatever document it
+    stands, when the corpus shows that it discloses a protected value: the two meet in ``support`` distinct texts or
+    more, and their pointwise mutual information, log2(N n(v,t) / (n(v) n(t))) over whole documents, reaches
+    ``disclosure`` times the value's information content log2(N / n(v)). All documents are counted, copies too. Term
+    spans overlap no base span.
 
     A null text counts as empty. Repeated rows each get their row. A value or term may be in any share of all
     documents: counts are summed before they are shuffled. An empty table gives no rows.
@@ -128,31 +133,42 @@ def find_spans(
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     source = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
     marked = source.withColumn("base", base_spans(F.col("text")))
-    near = F.when(F.size("base") > 0, _surroundings(F.col("text"), F.col("base")))
-    marked = saved(marked.select("id", "text_key", "base", near.alias("near")), "spans")
-
-    rows = marked.where("near is not null").select("id", "text_key", F.explode("near").alias("x"))
-    met = rows.select("id", "text_key", F.col("x.v").alias("v"), F.explode("x.terms").alias("w"))
-    n_value = rows.select("id", "text_key", F.col("x.v").alias("v")).distinct().groupBy("v").agg(F.count("*").alias("n_v"))
-    pairs = met.select("id", "text_key", "v", F.col("w.t").alias("t")).distinct().groupBy("v", "t").agg(F.count("*").alias("n_vt"))
-    places = rows.select(F.col("x.v").alias("v"), F.transform("x.terms", lambda w: w["t"]).alias("ts")).distinct()
-    seen = places.select("v", F.explode(F.array_distinct("ts")).alias("t")).groupBy("v", "t").agg(F.count("*").alias("places"))
-    pairs = saved(pairs.join(seen.where(F.col("places") >= support), ["v", "t"]).join(n_value, "v"), "pairs")
-
-    words = F.array_distinct(F.transform(F.split(F.col("text"), r"[^\p{L}\p{N}]+"), lambda w: F.xxhash64(F.lower(w))))
+    holds = F.size("base") > 0
+    values = F.array_distinct(F.transform("base", lambda x: F.lower(x["v"])))
+    marked = saved(
+        marked.select("id", "text_key", "base", F.when(holds, values).alias("vs"), F.when(holds, _terms(F.col("text"), F.col("base"))).alias("ts")),
+        "spans",
+    )
+
+    # a row for each text that holds a value, so that counts of pairs are summed before they are shuffled
+    texts = marked.where("vs is not null").groupBy("text_key").agg(F.count("*").alias("copies"), F.first("vs").alias("vs"), F.first("ts").alias("ts"))
+    held = saved(texts, "texts").select("copies", F.explode("vs").alias("v"), "ts")
+    n_value = held.groupBy("v").agg(F.sum("copies").alias("n_v"), F.count("*").alias("texts")).where(F.col("texts") >= support).drop("texts")
+    pairs = held.join(n_value.select("v"), "v", "left_semi").select("copies", "v", F.explode("ts").alias("t"))
+    pairs = pairs.groupBy("v", "t").agg(F.sum("copies").alias("n_vt"), F.count("*").alias("places")).where(F.col("places") >= support)
+    pairs = saved(pairs.join(n_value, "v"), "pairs")
+
+    split = F.split(F.col("text"), r"[^\p{L}\p{N}]+")
+    words = F.array_distinct(F.transform(split, lambda w: F.xxhash64(F.lower(w))))
     n_term = source.select(F.explode(words).alias("h")).groupBy("h").agg(F.count("*").alias("n_t"))
     n_all = source.agg(F.count("*").alias("n"))
     scored = pairs.withColumn("h", F.xxhash64("t")).join(n_term, "h").crossJoin(F.broadcast(n_all))
     pmi = F.log2(F.col("n") * F.col("n_vt") / (F.col("n_v") * F.col("n_t")))
-    risky = scored.where(pmi >= disclosure * F.log2(F.col("n") / F.col("n_v"))).where("n > n_v").select("v", "t")
-    added = (
-        met.join(risky.withColumnRenamed("t", "rt"), "v")
-        .where(F.col("w.t") == F.col("rt"))
-        .select("id", "text_key", F.struct(F.col("w.s").alias("s"), F.lit(len(KINDS)).alias("k"), F.col("w.e").alias("e"), F.col("w.t").alias("v")).alias("x"))
-        .distinct()
-        .groupBy("id", "text_key")
-        .agg(F.collect_list("x").alias("added"))
+    risky = saved(scored.where(pmi >= disclosure * F.log2(F.col("n") / F.col("n_v"))).where("n > n_v").select("h", "t").distinct(), "risky")
+
+    # the forms in which a document has disclosing terms; then their places, in the documents that have any
+    forms = source.select("id", "text_key", F.explode(F.array_distinct(split)).alias("w")).withColumn("h", F.xxhash64(F.lower("w")))
+    bucket = F.pmod("h", F.lit(TERM_BUCKETS)).alias("bucket")
+    likely = F.broadcast(risky.select(bucket).distinct())
+    forms = forms.withColumn("bucket", bucket).join(likely, "bucket", "left_semi").drop("bucket")
+    forms = forms.join(risky, "h").where(F.lower("w") == F.col("t")).groupBy("id", "text_key").agg(F.sort_array(F.collect_set("w")).alias("forms"))
+    pattern = F.concat(F.lit(_NO_WORD[0] + "(?:"), F.array_join("forms", "|"), F.lit(")" + _NO_WORD[1]))
+    found = source.withColumnRenamed("id", "sid").withColumnRenamed("text_key", "skey").join(
+        forms, F.col("sid").eqNullSafe(F.col("id")) & (F.col("skey") == F.col("text_key"))
     )
+    located = found.dropDuplicates(["id", "text_key"]).withColumn("base", base_spans(F.col("text"))).withColumn("at", _located(_masked(F.col("text"), F.col("base")), pattern))
+    as_spans = F.transform("at", lambda w: F.struct(w["s"].alias("s"), F.lit(len(KINDS)).alias("k"), w["e"].alias("e"), F.lower(w["v"]).alias("v")))
+    added = saved(located.select("id", "text_key", as_spans.alias("added")), "terms")
     both = F.sort_array(F.concat("base", F.coalesce("added", F.array().cast(SPAN))))
     joined = marked.select(F.col("id"), "text_key", "base").join(
         added.withColumnRenamed("id", "aid").withColumnRenamed("text_key", "akey"),

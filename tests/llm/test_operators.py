@@ -256,6 +256,18 @@ def test_pii_against_brute_force(spark, docs, empty):
     assert pii.find_spans(empty).count() == 0 and pii.sanitise(empty).columns == empty.columns
 
 
+def test_pii_terms_far_from_the_value_and_in_other_documents(spark):
+    filler = lambda k: " ".join(f"{w}{k}" for w in ["alpha", "beta", "gamma"] * 60)
+    texts = [f"Quayside {filler(k)} jane@secret.example.org" for k in range(9)]
+    texts += [f"common words {k} of others" for k in range(1000)] + ["the QUAYSIDE, quayside and xQuayside, quayside@b.example.com", "see a@b.example.com Quayside."]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: [s["s"] for s in r.spans if s["k"] == 4] for r in pii.find_spans(table).collect()}
+    assert len(out) == len(texts) and {k: v for k, v in out.items() if v} == {**{k: [0] for k in range(9)}, 1009: [4, 14], 1010: [20]}
+    clean = {r.doc_id: r.text for r in pii.sanitise(table).collect()}
+    assert clean[1009] == "the [term], [term] and xQuayside, [email]" and clean[1010] == "see [email] [term]." and clean[9] == texts[9]
+    assert clean[0] == f"[term] {filler(0)} [email]"
+
+
 def test_language_profiles(spark, docs, empty):
     rows = [(k, " ".join(RNG.choice(list("abcde") if k % 2 else list("vwxyz"), 60)).replace(" ", "" if k % 3 else " "), "one" if k % 2 else "two") for k in range(60)]
     table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
