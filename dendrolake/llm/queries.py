@@ -37,14 +37,7 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = public_tokenizers.path("piece_bpe_32k.model")
-    decoded = sampling.decode(sampling.encode(table(spark, sf_dir, "documents"), path), path)
-    return decoded.select(
-        "doc_id",
-        (F.length("ids") / 4).cast("long").alias("n_pieces"),
-        F.crc32("ids").alias("ids_crc32"),
-        (F.xxhash64("decoded") == F.col("text_key")).alias("lossless"),
-    )
+    return sampling.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:

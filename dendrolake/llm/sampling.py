@@ -7,6 +7,8 @@ a batch, and the draws depend only on the row's key, the word's number and the s
 
 from __future__ import annotations
 
+import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +24,44 @@ MARK = "▁"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Stands for a literal mark in a text, so that only bytes spell it.
 _LITERAL = 0x110001
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 3_000_000
+#: Characters up to which words go through the lattice side by side; longer ones go one at a time.
+LONG = 64
+
+
+class _Pieces:
+    """The pieces of one length: ids and weights by hash. A slot holds a piece; those that lost theirs stand in a second
+    table, and the slots where that happened are marked."""
+
+    def __init__(self, found: list[tuple[int, int, float]]) -> None:
+        self.h = np.array([x[0] for x in found], np.uint64)
+        self.ids = np.array([x[1] for x in found], np.int32)
+        self.weights = np.array([x[2] for x in found])
+        bits = 12
+        while 1 << bits < 16 * len(found):
+            bits += 1
+        self.mask, self.shift = np.uint64((1 << bits) - 1), np.uint64(64 - bits)
+        self.slots, self.more = np.zeros(1 << bits, np.int32), np.zeros(1 << bits, bool)
+        mine = (self.h & self.mask).astype(np.int64)
+        self.slots[mine] = np.arange(len(found))
+        lost = np.flatnonzero(self.slots[mine] != np.arange(len(found)))
+        self.more[mine[lost]] = True
+        self.lost = lost[np.argsort(self.h[lost])]
+
+    def find(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the hashes that are pieces, in order, and the pieces' entries."""
+        slot = (value & self.mask).astype(np.int64)
+        entry = self.slots[slot]
+        good = self.h[entry] == value
+        if len(self.lost):
+            again = np.flatnonzero(self.more[slot] & ~good)
+            if len(again):
+                k = np.searchsorted(self.h[self.lost], value[again])
+                k = self.lost[np.minimum(k, len(self.lost) - 1)]
+                entry[again] = k
+                good[again] = self.h[k] == value[again]
+        where = np.flatnonzero(good)
+        return where, entry[where]
 
 
 class Lattice:
@@ -47,95 +86,135 @@ class Lattice:
                     code = np.array([ord(c) for c in piece], np.uint64)
                     by_length.setdefault(len(code), []).append((int(_prefix(code)[-1]), i, -alpha * np.log1p(-sp.get_score(i))))
         self.byte_weight = -alpha * np.log(n)
-        self.tables = {}
-        for length, found in sorted(by_length.items()):
-            found.sort()
-            h = np.array([x[0] for x in found], np.uint64)
-            filter_ = np.zeros(1 << 20, bool)
-            filter_[h & np.uint64((1 << 20) - 1)] = True
-            self.tables[length] = h, np.array([x[1] for x in found]), np.array([x[2] for x in found]), filter_
+        # longest first: a node's longest piece is the likeliest, so that a draw mostly ends at the first one
+        self.tables = {length: _Pieces(found) for length, found in sorted(by_length.items(), reverse=True)}
+        self.powers = {length: np.uint64(pow(int(_BASE), length, 1 << 64)) for length in self.tables}
         self.lengths = np.array([len(s) for s in self.spelled])
         self.flat = np.frombuffer(b"".join(self.spelled), np.uint8)
         self.first = np.concatenate([[0], np.cumsum(self.lengths)])
 
-    def _edges(self, words: list[str]):
-        """Edges (start node, end node, piece or -1 - character's node for bytes, weight); a word of n characters has
-        n + 1 nodes."""
-        text = "".join(words)
-        code = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
-        size = np.fromiter(map(len, words), np.int64, len(words)) + 1  # with the mark
-        last = np.cumsum(size) - 1  # place of a word's last character, its mark counted
-        heads = last - size + 1
-        full = np.full(len(code) + len(words), ord(MARK), np.uint64)
-        own = np.ones(len(full), bool)
-        own[heads] = False
-        full[own] = np.where(code == ord(MARK), _LITERAL, code)
-        word = np.repeat(np.arange(len(words)), size)
-        node = np.arange(len(full)) + word  # one node more for each word before
-        room = last[word] - np.arange(len(full)) + 1
-        prefix = _prefix(full)
-        start, end, piece, weight = [], [], [], []
-        alone = np.zeros(len(full), bool)
-        at = np.arange(len(full))
-        for length in range(1, max(self.tables) + 1):
-            power = np.uint64(pow(int(_BASE), length, 1 << 64))
-            at = at[room[at] >= length]
-            if length not in self.tables or not len(at):
-                continue
-            h, ids, weights, filter_ = self.tables[length]
-            value = prefix[at + length] - prefix[at] * power
-            maybe = np.flatnonzero(filter_[value & np.uint64((1 << 20) - 1)])
-            k = np.minimum(np.searchsorted(h, value[maybe]), len(h) - 1)
-            good = h[k] == value[maybe]
-            where, k = at[maybe[good]], k[good]
-            start.append(node[where])
-            end.append(node[where] + length)
-            piece.append(ids[k])
-            weight.append(weights[k])
-            if length == 1:
-                alone[where] = True
-        odd = np.flatnonzero(~alone)
-        if len(odd):
-            literal = np.where(full[odd] == _LITERAL, ord(MARK), full[odd]).astype(np.int64)
-            n_bytes = 1 + (literal > 0x7F) + (literal > 0x7FF) + (literal > 0xFFFF)
-            start.append(node[odd])
-            end.append(node[odd] + 1)
-            piece.append(-1 - literal)
-            weight.append(self.byte_weight * n_bytes)
-        level = np.arange(len(full) + len(words)) - np.repeat(heads + np.arange(len(words)), size + 1)
-        return *(np.concatenate(x) for x in (start, end, piece, weight)), level, heads + np.arange(len(words)), last + np.arange(len(words)) + 1
-
-    def prepare(self, words: list[str]):
-        """Forward filter: edges by end node with the running share of each among those that end there."""
-        start, end, piece, weight, level, first, final = self._edges(words)
-        order = np.lexsort((start, end, level[end]))
-        start, end, piece, weight = start[order], end[order], piece[order], weight[order]
-        alpha = np.full(len(level), -np.inf)
-        alpha[first] = 0.0
-        total = np.empty(len(start))
-        stage = level[end]
-        cuts = np.searchsorted(stage, np.arange(1, stage[-1] + 2))
-        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            if lo == hi:
-                continue
-            e = end[lo:hi]
-            total[lo:hi] = alpha[start[lo:hi]] + weight[lo:hi]
-            heads = np.flatnonzero(np.concatenate([[True], e[1:] != e[:-1]]))
-            alpha[e[heads]] = np.logaddexp.reduceat(total[lo:hi], heads)
-        share = np.exp(total - alpha[end])
-        order = np.lexsort((start, end))
-        start, end, piece, share = start[order], end[order], piece[order], share[order]
-        heads = np.flatnonzero(np.concatenate([[True], end[1:] != end[:-1]]))
-        counts = np.diff(np.append(heads, len(end)))
-        # shares are summed within a node and rounded to 31 bits, so that no other word of the batch can move a draw
-        some, k = heads, 1
-        while len(some := some[counts[np.searchsorted(heads, some)] > k]):
-            share[some + k] += share[some + k - 1]
-            k += 1
-        key = end << 32 | np.minimum(share * (1 << 31), 1 << 31).astype(np.int64)
-        tail = np.full(len(level), -1, np.int64)
-        tail[end[heads]] = heads + counts - 1
-        return start, piece, key, tail, first, final
+    def _alone(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces (-1 - character) and weights of characters that are spelled in bytes."""
+        literal = np.where(code == _LITERAL, ord(MARK), code).astype(np.int32)
+        n_bytes = 1 + (literal > 0x7F) + (literal > 0x7FF) + (literal > 0xFFFF)
+        return -1 - literal, self.byte_weight * n_bytes
+
+    def prepare(self, words: list[str], size: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Forward filter over words side by side, the longest first; ``size``: their characters, the mark counted.
+
+        Node ``level[k] + w`` stands after the k-th character of word w. For each node: its first edge; for each edge:
+        its piece (or -1 - the character), its length, and the sum of the shares up to it, to 31 bits, so that no other
+        word of the batch can move a draw.
+        """
+        code = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+        heads = np.cumsum(size - 1) - (size - 1)
+        longest = int(size[0])
+        count = np.searchsorted(-size, -np.arange(longest + 1), side="right")  # words of k characters or more
+        level = np.concatenate([[0], np.cumsum(count)])
+        prefix, alpha = [np.zeros(len(words), np.uint64)], [np.zeros(len(words))]
+        degree, pieces, lengths, sums = [np.zeros(len(words), np.int32)], [], [], []
+        for k in range(1, longest + 1):
+            n = int(count[k])
+            if k == 1:
+                here = np.full(n, ord(MARK), np.uint64)
+            else:
+                here = code[heads[:n] + (k - 2)].astype(np.uint64)
+                here[here == ord(MARK)] = _LITERAL
+            prefix.append(prefix[-1][:n] * _BASE + here + np.uint64(1))
+            best, found = np.full(n, -np.inf), []
+            for length, table in self.tables.items():
+                if length > k:
+                    continue
+                where, entry = table.find(prefix[k] - prefix[k - length][:n] * self.powers[length])
+                ids, weight = table.ids[entry], table.weights[entry]
+                if length == 1 and len(where) < n:
+                    odd = np.ones(n, bool)
+                    odd[where] = False
+                    odd = np.flatnonzero(odd)
+                    extra, extra_weight = self._alone(here[odd])
+                    where, ids, weight = np.concatenate([where, odd]), np.concatenate([ids, extra]), np.concatenate([weight, extra_weight])
+                if len(where):
+                    t = alpha[k - length][where] + weight
+                    best[where] = np.logaddexp(best[where], t)
+                    found.append((length, where, ids, t))
+            alpha.append(best)
+            own = np.zeros(n, np.int32)
+            for _, where, _, _ in found:
+                own[where] += 1
+            degree.append(own)
+            at = np.cumsum(own) - own
+            total, run = int(own.sum()), np.zeros(n)
+            piece, long, upto = np.empty(total, np.int32), np.empty(total, np.uint8), np.empty(total, np.uint32)
+            for length, where, ids, t in found:
+                run[where] += np.exp(t - best[where])
+                place = at[where]
+                piece[place], long[place], upto[place] = ids, length, np.minimum(run[where] * (1 << 31), 1 << 31)
+                at[where] += 1
+            pieces.append(piece)
+            lengths.append(long)
+            sums.append(upto)
+        first = np.concatenate([[0], np.cumsum(np.concatenate(degree))])
+        return level, first, np.concatenate(pieces), np.concatenate(lengths), np.concatenate(sums)
+
+    def prepare_long(self, word: str, step: int = 8192) -> tuple[np.ndarray, ...]:
+        """The forward filter over one long word, character after character: first edges, pieces, lengths, sums."""
+        code = np.frombuffer((MARK + word).encode("utf-32-le"), np.uint32).astype(np.uint64)
+        code[1:][code[1:] == ord(MARK)] = _LITERAL
+        prefix = _prefix(code)
+        alpha, degree, pieces, lengths, sums = [0.0], [np.zeros(1, np.int32)], [], [], []
+        for lo in range(1, len(code) + 1, step):
+            hi = min(lo + step, len(code) + 1)
+            ends, ids, weights, longs = [], [], [], []
+            for length, table in self.tables.items():
+                from_ = max(lo, length)
+                where, entry = table.find(prefix[from_:hi] - prefix[from_ - length : max(hi - length, 0)] * self.powers[length]) if from_ < hi else ([], [])
+                end = np.asarray(where, np.int64) + from_
+                ends.append(end)
+                ids.append(table.ids[entry] if len(end) else np.zeros(0, np.int32))
+                weights.append(table.weights[entry] if len(end) else np.zeros(0))
+                longs.append(np.full(len(end), length))
+                if length == 1:
+                    odd = np.setdiff1d(np.arange(lo, hi), end, assume_unique=True)
+                    extra, extra_weight = self._alone(code[odd - 1])
+                    for to, x in ((ends, odd), (ids, extra), (weights, extra_weight), (longs, np.ones(len(odd), np.int64))):
+                        to.append(x)
+            end, piece, weight, long = (np.concatenate(x) for x in (ends, ids, weights, longs))
+            order = np.lexsort((-long, end))
+            end, piece, weight, long = end[order], piece[order], weight[order], long[order]
+            own = np.bincount(end - lo, minlength=hi - lo).astype(np.int32)
+            out, at = np.empty(len(end), np.uint32), 0
+            w, n = weight.tolist(), long.tolist()
+            base = max(0, lo - 64)
+            recent = alpha[base - lo :] if base - lo else alpha[-1:]
+            for d in own.tolist():
+                k = len(recent)
+                ts = [recent[k - n[e]] + w[e] for e in range(at, at + d)]
+                top = max(ts)
+                shares = [math.exp(t - top) for t in ts]
+                whole, run = sum(shares), 0.0
+                for e, share in enumerate(shares):
+                    run += share / whole
+                    out[at + e] = min(int(run * (1 << 31)), 1 << 31)
+                recent.append(top + math.log(whole))
+                at += d
+            alpha = recent[-64:]
+            degree.append(own)
+            pieces.append(piece)
+            lengths.append(long.astype(np.uint8))
+            sums.append(out)
+        first = np.concatenate([[0], np.cumsum(np.concatenate(degree))])
+        return first, np.concatenate(pieces), np.concatenate(lengths), np.concatenate(sums)
+
+    @staticmethod
+    def _pick(first, upto, node, u):
+        """For each node the edge that a draw of 31 bits falls on."""
+        e, last = first[node], first[node + 1] - 1
+        open_ = np.flatnonzero((upto[e] <= u) & (e < last))
+        while len(open_):
+            e[open_] += 1
+            some = e[open_]
+            open_ = open_[(upto[some] <= u[open_]) & (some < last[open_])]
+        return e
 
     def encode(self, texts: pa.Array, keys: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
         """Sampled ids of all texts after another, and each text's number of ids."""
@@ -144,38 +223,71 @@ class Lattice:
         offsets = np.asarray(split.offsets, np.int64)
         offsets = offsets - offsets[0]
         coded = split.flatten().dictionary_encode()
-        index = coded.indices.to_numpy(zero_copy_only=False)
-        start, piece, key, tail, first, final = self.prepare(coded.dictionary.to_pylist())
+        del split
+        index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int32)
+        size = pc.utf8_length(coded.dictionary).to_numpy(zero_copy_only=False).astype(np.int64) + 1
         number = np.arange(len(index)) - np.repeat(offsets[:-1], np.diff(offsets))
         salt = mix(np.repeat(keys, np.diff(offsets)) + number.astype(np.uint64) * _BASE + np.uint64(seed))
-        node, goal = final[index], first[index]
-        active = np.arange(len(index))
-        taken, tokens, step = [], [], 0
+        del number
+        rank = np.argsort(-size, kind="stable")
+        n_long = int((size > LONG).sum())
+        words = coded.dictionary.take(pa.array(rank)).to_pylist()
+        place_of = np.empty(len(rank), np.int32)
+        place_of[rank] = np.arange(len(rank))
+        which = place_of[index]
+        order = np.argsort(which, kind="stable")  # tokens of a word side by side: their draws read the same few edges
+        n_tokens_long = int(np.searchsorted(which[order], n_long))
         count = np.zeros(len(index), np.int64)
-        while len(active):
-            u = mix(salt[active] + np.uint64((step + 1) * int(_BASE) % (1 << 64))) >> np.uint64(33)
-            here = node[active]
-            e = np.minimum(np.searchsorted(key, here << 32 | u.astype(np.int64), side="right"), tail[here])
-            taken.append(e)
-            tokens.append(active)
-            count[active] += 1
-            node[active] = start[e]
-            active = active[node[active] != goal[active]]
-            step += 1
+        taken: list[tuple[np.ndarray, np.ndarray, np.ndarray | int]] = []  # ids, tokens, places from the token's end
+
+        at = 0
+        while at < n_tokens_long:  # long words, one at a time
+            w = int(which[order[at]])
+            first, piece, length, upto = self.prepare_long(words[w])
+            while at < n_tokens_long and which[order[at]] == w:
+                token = int(order[at])
+                u = (mix(salt[token] + (np.arange(1, size[rank[w]] + 1).astype(np.uint64)) * _BASE) >> np.uint64(33)).astype(np.uint32)
+                node, edges = int(size[rank[w]]), []
+                while node:
+                    e, last = int(first[node]), int(first[node + 1]) - 1
+                    while e < last and upto[e] <= u[len(edges)]:
+                        e += 1
+                    edges.append(e)
+                    node -= int(length[e])
+                taken.append((piece[edges], np.full(len(edges), token), np.arange(len(edges))))
+                count[token] = len(edges)
+                at += 1
+        if n_long < len(words):
+            level, first, piece, length, upto = self.prepare(words[n_long:], size[rank[n_long:]])
+            active = order[n_tokens_long:]
+            word = which[active] - n_long
+            left = size[rank][which[active]]
+            step = 0
+            while len(active):
+                u = (mix(salt[active] + np.uint64((step + 1) * int(_BASE) % (1 << 64))) >> np.uint64(33)).astype(np.uint32)
+                e = self._pick(first, upto, level[left] + word, u)
+                taken.append((piece[e], active, step))
+                count[active] += 1
+                left = left - length[e]
+                go = left > 0
+                active, word, left = active[go], word[go], left[go]
+                step += 1
         place = np.cumsum(count)
-        edges = np.empty(int(place[-1]), np.int64)
-        for k, (e, t) in enumerate(zip(taken, tokens)):
-            edges[place[t] - 1 - k] = e  # the first draw is the word's last piece
-        ids = piece[edges]
-        per_text = np.add.reduceat(count, offsets[:-1])
+        ids = np.empty(int(place[-1]) if len(place) else 0, np.int32)
+        for x, t, k in taken:
+            ids[place[t] - 1 - k] = x  # the first draw is the word's last piece
+        per_text = np.add.reduceat(count, offsets[:-1]) if len(count) else count
         odd = np.flatnonzero(ids < 0)
         if len(odd):
-            spelled = [self.byte_ids[list(chr(-1 - c).encode())] for c in ids[odd].tolist()]
+            kinds, kind = np.unique(ids[odd], return_inverse=True)
+            spelled = [self.byte_ids[list(chr(-1 - c).encode())] for c in kinds.tolist()]
+            long = np.array([len(s) for s in spelled])
             n = np.ones(len(ids), np.int64)
-            n[odd] = [len(s) for s in spelled]
+            n[odd] = long[kind]
             ends = np.cumsum(n)
             out = np.repeat(ids, n)
-            out[np.repeat(ids < 0, n)] = np.concatenate(spelled)
+            flat, begin, own = np.concatenate(spelled), np.cumsum(long) - long, long[kind]
+            out[np.repeat(ids < 0, n)] = flat[np.repeat(begin[kind] - np.cumsum(own) + own, own) + np.arange(own.sum())]
             bounds = np.cumsum(per_text)
             return out.astype(np.uint32), np.diff(np.concatenate([[0], np.where(bounds > 0, ends[bounds - 1], 0)]))
         return ids.astype(np.uint32), per_text
@@ -213,40 +325,73 @@ def lattice(path: str, alpha: float) -> Lattice:
     return _loaded[path, alpha]
 
 
+def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return source.select("id", F.xxhash64("text").alias("text_key"), F.coalesce(F.col("id").cast("string"), F.lit("")).alias("name"), "text")
+
+
+def _sampled(own: Lattice, batch: pa.RecordBatch, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of a batch's texts (little-endian unsigned 32-bit) and the bounds of each text's ids."""
+    keys = np.array([xxhash.xxh64_intdigest(k, seed) for k in batch.column("name").to_pylist()], np.uint64)
+    ids, sizes = own.encode(batch.column("text"), keys, seed)
+    return ids.astype("<u4"), np.concatenate([[0], np.cumsum(sizes)])
+
+
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", seed: int = 0, alpha: float = 1.0) -> DataFrame:
     """``id_col, text_key`` (hash of the text) and ``ids`` (little-endian unsigned 32-bit) of every row.
 
     The same row key, text and seed give the same ids, however rows are dealt to tasks. Words are cut at each space;
     a character without a piece is spelled in bytes. A null text counts as empty, and an empty text is one piece
-    (or bytes) for its mark. Repeated rows get the same ids. An empty table gives no rows.
+    (or bytes) for its mark. A null id is a key of its own. Repeated rows get the same ids. An empty table gives no
+    rows. Other columns, of whatever name, are not used.
     """
-    source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    source = source.select("id", F.xxhash64("text").alias("text_key"), F.coalesce(F.col("id").cast("string"), F.lit("")).alias("name"), "text")
+    source = _source(docs, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = lattice(model_path, alpha)
         for whole in batches:
             for batch in slices(whole, "text", SLICE_BYTES):
-                keys = np.array([xxhash.xxh64_intdigest(k, seed) for k in batch.column("name").to_pylist()], np.uint64)
-                ids, sizes = own.encode(batch.column("text"), keys, seed)
-                bounds = np.concatenate([[0], np.cumsum(sizes)]) * 4
-                values = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(bounds.astype(np.int32).tobytes()), pa.py_buffer(ids.astype("<u4").tobytes())])
-                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text_key"), values], names=["id", "text_key", "ids"])
+                ids, bounds = _sampled(own, batch, seed)
+                values = pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * 4).astype(np.int64).tobytes()), pa.py_buffer(ids.tobytes())])
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text_key"), values.cast(pa.binary())], names=["id", "text_key", "ids"])
 
     out = source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, text_key long, ids binary")
     return out.withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, model_path: str, ids_col: str = "ids", text_col: str = "decoded", alpha: float = 1.0) -> DataFrame:
-    """Adds the text that the ids spell."""
-    encoded = encoded.drop(text_col)  # a column of that name is replaced
+    """Adds the text that the ids spell; null ids give a null text. A column of that name is replaced, all others stay."""
+    encoded = encoded.drop(text_col)
     names = encoded.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = lattice(model_path, alpha)
-        for batch in batches:
-            texts = [own.decode(np.frombuffer(x, "<u4")).decode("utf-8") if x is not None else None for x in batch.column(ids_col).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*names, text_col])
+        for whole in batches:
+            for batch in slices(whole, ids_col, SLICE_BYTES):
+                texts = [own.decode(np.frombuffer(x, "<u4")).decode("utf-8") if x is not None else None for x in batch.column(ids_col).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*names, text_col])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
     return encoded.mapInArrow(run, f"{schema}, `{text_col}` string")
+
+
+def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", seed: int = 0, alpha: float = 1.0) -> DataFrame:
+    """``id_col, n_pieces, ids_crc32, lossless`` of every row: ``encode`` and ``decode`` in one pass, so that neither ids
+    nor texts leave the task. ``lossless``: the ids spell the text, byte for byte. Odd inputs are treated as there."""
+    source = _source(docs, id_col, text_col).drop("text_key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = lattice(model_path, alpha)
+        for whole in batches:
+            for batch in slices(whole, "text", SLICE_BYTES):
+                ids, bounds = _sampled(own, batch, seed)
+                text = batch.column("text").cast(pa.large_binary())
+                start, crc, same = bounds.tolist(), [], []
+                for i, x in enumerate(text):
+                    part = ids[start[i] : start[i + 1]]
+                    crc.append(zlib.crc32(part))
+                    same.append(own.decode(part) == x.as_py())
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.diff(bounds)), pa.array(crc, pa.int64()), pa.array(same)], names=["id", "n_pieces", "ids_crc32", "lossless"])
+
+    out = source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, n_pieces long, ids_crc32 long, lossless boolean")
+    return out.withColumnRenamed("id", id_col)
