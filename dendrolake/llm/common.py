@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word: a run of anything but space and the five control characters 9 to 13.
@@ -22,11 +23,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``. Only where a session names none (tests) is one made."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder named by ``spark.checkpoint.dir``. Only a session of one process (``local``, as in tests) that names none
+    is given one; on a cluster that is an error."""
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir")
     if named is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext._conf.set("spark.checkpoint.dir", named)
+        context._conf.set("spark.checkpoint.dir", named)
     return named
 
 
@@ -42,6 +47,22 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """These names, or longer ones, that no column of ``df`` has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"{name}_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often it stands there."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def bucket_of_id(id_col: str, n: int):
     """crc32 of the id as text, modulo n; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % n
@@ -75,6 +96,43 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class HashIndex:
+    """Finds 64-bit hashes among given ones. A slot holds one of them; those that lost theirs stand in a second, sorted
+    table, and the slots where that happened are marked. ``shift``: low bits that many hashes share."""
+
+    def __init__(self, hashes: np.ndarray, shift: int = 0) -> None:
+        self.h, self.shift = hashes.view(np.uint64), np.uint64(shift)
+        bits = 12
+        while 1 << bits < 8 * len(hashes):
+            bits += 1
+        self.mask = np.uint64((1 << bits) - 1)
+        self.slots, self.more = np.zeros(1 << bits, np.int32), np.zeros(1 << bits, bool)
+        mine = (self.h >> self.shift & self.mask).astype(np.int64)
+        own = np.arange(len(hashes))
+        self.slots[mine] = own
+        lost = np.flatnonzero(self.slots[mine] != own)
+        self.more[mine[lost]] = True
+        self.lost = lost[np.argsort(self.h[lost])]
+
+    def find(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the values that are there, in order, and where each stands among the given hashes."""
+        if not len(self.h):
+            return np.zeros(0, np.int64), np.zeros(0, np.int32)
+        value = value.view(np.uint64)
+        slot = (value >> self.shift & self.mask).astype(np.int64)
+        entry = self.slots[slot]
+        good = self.h[entry] == value
+        if len(self.lost):
+            again = np.flatnonzero(self.more[slot] & ~good)
+            if len(again):
+                k = np.searchsorted(self.h[self.lost], value[again])
+                k = self.lost[np.minimum(k, len(self.lost) - 1)]
+                entry[again] = k
+                good[again] = self.h[k] == value[again]
+        where = np.flatnonzero(good)
+        return where, entry[where]
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = 16_000_000):
     """Cuts a batch into runs of rows of about so many bytes of text."""
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)

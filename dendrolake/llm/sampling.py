@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, slices
+from .common import HashIndex, mix, slices
 
 MARK = "▁"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -30,38 +30,12 @@ LONG = 64
 
 
 class _Pieces:
-    """The pieces of one length: ids and weights by hash. A slot holds a piece; those that lost theirs stand in a second
-    table, and the slots where that happened are marked."""
+    """The pieces of one length: ids and weights by hash."""
 
     def __init__(self, found: list[tuple[int, int, float]]) -> None:
-        self.h = np.array([x[0] for x in found], np.uint64)
+        self.find = HashIndex(np.array([x[0] for x in found], np.uint64)).find
         self.ids = np.array([x[1] for x in found], np.int32)
         self.weights = np.array([x[2] for x in found])
-        bits = 12
-        while 1 << bits < 16 * len(found):
-            bits += 1
-        self.mask, self.shift = np.uint64((1 << bits) - 1), np.uint64(64 - bits)
-        self.slots, self.more = np.zeros(1 << bits, np.int32), np.zeros(1 << bits, bool)
-        mine = (self.h & self.mask).astype(np.int64)
-        self.slots[mine] = np.arange(len(found))
-        lost = np.flatnonzero(self.slots[mine] != np.arange(len(found)))
-        self.more[mine[lost]] = True
-        self.lost = lost[np.argsort(self.h[lost])]
-
-    def find(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the hashes that are pieces, in order, and the pieces' entries."""
-        slot = (value & self.mask).astype(np.int64)
-        entry = self.slots[slot]
-        good = self.h[entry] == value
-        if len(self.lost):
-            again = np.flatnonzero(self.more[slot] & ~good)
-            if len(again):
-                k = np.searchsorted(self.h[self.lost], value[again])
-                k = self.lost[np.minimum(k, len(self.lost) - 1)]
-                entry[again] = k
-                good[again] = self.h[k] == value[again]
-        where = np.flatnonzero(good)
-        return where, entry[where]
 
 
 class Lattice:
