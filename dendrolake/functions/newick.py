@@ -45,8 +45,11 @@ def check(text: str | None) -> str:
     return "unbalanced" if commas else "ok"
 
 
-def parse(text: str, bits: dict[str, int], keep_zero: bool = False) -> tuple[list[tuple[int, float]], dict[int, float]]:
-    """Interior edges as (mask, length) and leaf lengths by taxon. Edges of length 0 are left out unless kept."""
+def parse(text: str | None, bits: dict[str, int], keep_zero: bool = False) -> tuple[list[tuple[int, float]], dict[int, float]]:
+    """Interior edges as (mask, length) and leaf lengths by taxon. Edges of length 0 are left out unless kept. A text that
+    is no tree of these labels raises ValueError."""
+    if not text or "(" not in text:
+        raise ValueError("no tree")
     stack: list[int] = [0]
     splits: list[tuple[int, float]] = []
     leaves: dict[int, float] = {}
@@ -56,6 +59,8 @@ def parse(text: str, bits: dict[str, int], keep_zero: bool = False) -> tuple[lis
             stack.append(0)
             last = None
         elif token == ")":
+            if len(stack) < 2:
+                raise ValueError("unbalanced")
             mask = stack.pop()
             stack[-1] |= mask
             last = ("split", mask)
@@ -71,10 +76,14 @@ def parse(text: str, bits: dict[str, int], keep_zero: bool = False) -> tuple[lis
             elif last:
                 leaves[last[1]] = length
         elif last is None:  # a name after a bracket is the node's own
+            if token not in bits:
+                raise ValueError(f"unknown label {token}")
             bit = bits[token]
             stack[-1] |= 1 << bit
             leaves[bit] = 0.0
             last = ("leaf", bit)
+    if len(stack) > 1:
+        raise ValueError("unbalanced")
     whole = stack[0]
     return [(m, x) for m, x in splits if m != whole and (keep_zero or x > 0)], leaves
 

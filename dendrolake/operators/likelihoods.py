@@ -73,27 +73,30 @@ def _blocks(spark, patterns: DataFrame, block: int):
 
 def log_likelihoods(parsed: DataFrame, patterns: DataFrame, model: L.Model | None = None, block: int = BLOCK) -> DataFrame:
     """Parsed trees with ``lnl``. Nodes of more than two children are allowed. Patterns go to the tasks ``block`` at a
-    time; a tree's sums over the blocks are added by a shuffle of one number a tree."""
+    time; where there are several blocks, a tree's sums over them are added by one shuffle of a number for each."""
     spark, model = parsed.sparkSession, model or L.Model()
-    names = parsed.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parsed.schema)
-    total = None
-    for shared in _blocks(spark, patterns, block):
+    blocks = list(_blocks(spark, patterns, block))
+    if not blocks:
+        return parsed.withColumn("lnl", F.lit(0.0))
 
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+    def scored(trees: DataFrame, shared, whole: bool) -> DataFrame:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             bases, weights = shared.value
             tips = L.conditionals(bases)
             for batch in batches:
-                batch["lnl"] = [_of(row, tips, weights, model) for row in batch.itertuples()]
-                yield batch
+                lnl = [_of(row, tips, weights, model) for row in batch.itertuples()]
+                yield batch.assign(lnl=lnl) if whole else batch[["sample", "tree_id"]].assign(lnl=lnl)
 
-        part = parsed.mapInPandas(run, f"{schema}, lnl double")
-        if total is None:
-            total = part
-        else:
-            more = part.select("sample", "tree_id", F.col("lnl").alias("_more"))
-            total = total.join(more, ["sample", "tree_id"]).withColumn("lnl", F.col("lnl") + F.col("_more")).select(*names, "lnl")
-    return parsed.withColumn("lnl", F.lit(0.0)) if total is None else total
+        return trees.mapInPandas(run, f"{schema}, lnl double" if whole else "sample long, tree_id long, lnl double")
+
+    if len(blocks) == 1:
+        return scored(parsed, blocks[0], True)
+    parsed = saved(parsed, "parsed")  # not parsed again for each block
+    parts = scored(parsed, blocks[0], False)
+    for shared in blocks[1:]:
+        parts = parts.union(scored(parsed, shared, False))
+    return parsed.join(parts.groupBy("sample", "tree_id").agg(F.sum("lnl").alias("lnl")).hint("merge"), ["sample", "tree_id"])
 
 
 def _of(row, tips: np.ndarray, weights: np.ndarray, model: L.Model) -> float:
@@ -107,19 +110,18 @@ def _lengths(nodes, splits, leaves) -> np.ndarray:
     return np.array([known.get(m, 0.0) for m, _ in nodes])
 
 
-def optimize(parsed: DataFrame, patterns: DataFrame, taxa: int, method: str = "newton", model: L.Model | None = None, partitions: int = 32, **options) -> DataFrame:
-    """Trees with bettered branch lengths and ``lnl_before, lnl``. Each tree costs far more than its row, so rows are
-    dealt to a set number of partitions. Patterns must fit one block."""
+def optimize(parsed: DataFrame, patterns: DataFrame, taxa: int, method: str = "newton", model: L.Model | None = None, together: int = 4, **options) -> DataFrame:
+    """Trees with bettered branch lengths and ``lnl_before, lnl``. Each tree costs far more than its row, so about
+    ``together`` trees are dealt to a task. Patterns go to the tasks in blocks, all of which a step adds up."""
     spark, model = parsed.sparkSession, model or L.Model()
     blocks = list(_blocks(spark, patterns, BLOCK))
-    if len(blocks) != 1:
-        raise ValueError(f"an alignment of 1 to {BLOCK} patterns is needed")
-    shared, better = blocks[0], {"newton": L.newton, "nelder_mead": L.nelder_mead}[method]
+    parsed = saved(parsed, "to-better")
+    partitions = max(1, min(-(-parsed.count() // together), 100_000))
+    better = {"newton": L.newton, "nelder_mead": L.nelder_mead}[method]
     names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parsed.schema if f.name != "lnl")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bases, weights = shared.value
-        tips = L.conditionals(bases)
+        tips, weights = [L.conditionals(b.value[0]) for b in blocks], [b.value[1] for b in blocks]
         for batch in batches:
             rows, before, after = [], [], []
             for row in batch.itertuples():

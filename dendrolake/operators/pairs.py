@@ -9,11 +9,49 @@ from ..functions import newick as N
 from .trees import _complement, _has, full_mask
 
 
-def tree_pairs(parsed: DataFrame) -> DataFrame:
+#: Trees of a block, about: all pairs of a sample are met block against block, each two blocks under a key of their own.
+BLOCK = 512
+#: Salts of the join that gives each tree its sample's number of blocks.
+_SALTS = 16
+
+
+def blocked(rows: DataFrame, sizes: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``rows`` (sample, tree_id and others) with ``_own``, the tree's block, and ``_blocks``, how many its sample has.
+    ``sizes`` has a row for each tree of the samples. No sample's rows meet in one task."""
+    counts = sizes.groupBy("sample").agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks"))
+    counts = counts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("tree_id"), F.lit(_SALTS)).cast("int"))
+    return salted.join(counts, ["sample", "_salt"]).withColumn("_own", F.pmod(F.xxhash64("tree_id", F.lit(1)), "_blocks").cast("int")).drop("_salt")
+
+
+def _sides(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows once for each tile (two blocks ``_lo`` <= ``_hi``) of their block: as the lower one's, and as the higher one's."""
+    low = rows.withColumn("_lo", F.col("_own")).withColumn("_hi", F.explode(F.sequence("_own", F.col("_blocks") - 1)))
+    high = rows.withColumn("_hi", F.col("_own")).withColumn("_lo", F.explode(F.sequence(F.lit(0), "_own")))
+    return low, high
+
+
+def all_pairs(parsed: DataFrame, columns: list[str], block: int = BLOCK, keys: list[str] | None = None) -> DataFrame:
+    """``sample, a, b``: all pairs of trees of a sample, each tree a struct of ``tree_id`` and ``columns``, the smaller id
+    first; with ``keys``, those that agree on these columns as well."""
+    keys = keys or []
+    rows = blocked(parsed.select("sample", "tree_id", *columns, *keys), parsed.select("sample", "tree_id").distinct() if keys else parsed, block)
+    low, high = _sides(rows)
+    tile = ["sample", "_lo", "_hi", *keys]
+    x = low.select(*tile, F.struct("tree_id", *columns).alias("x"))
+    y = high.select(*tile, F.struct("tree_id", *columns).alias("y"))
+    met = x.join(y, tile).where("_lo < _hi or x.tree_id < y.tree_id")
+    first = F.col("x.tree_id") < F.col("y.tree_id")
+    return met.select("sample", F.when(first, F.col("x")).otherwise(F.col("y")).alias("a"), F.when(first, F.col("y")).otherwise(F.col("x")).alias("b"), *keys)
+
+
+def tree_pairs(parsed: DataFrame, block: int = BLOCK) -> DataFrame:
     """All pairs i < j of a sample, each with both trees' edges as arrays: one compact row a pair."""
-    a = parsed.select("sample", F.col("tree_id").alias("i"), F.col("splits").alias("a_splits"), F.col("leaves").alias("a_leaves"))
-    b = parsed.select("sample", F.col("tree_id").alias("j"), F.col("splits").alias("b_splits"), F.col("leaves").alias("b_leaves"))
-    return a.join(b, "sample").where("i < j")
+    met = all_pairs(parsed, ["splits", "leaves"], block)
+    return met.select(
+        "sample", F.col("a.tree_id").alias("i"), F.col("b.tree_id").alias("j"),
+        F.col("a.splits").alias("a_splits"), F.col("a.leaves").alias("a_leaves"), F.col("b.splits").alias("b_splits"), F.col("b.leaves").alias("b_leaves"),
+    )
 
 
 def crosses(a: Column, b: Column) -> Column:
@@ -96,63 +134,63 @@ def unrooted(parsed: DataFrame, taxa: int) -> DataFrame:
     )
 
 
-def rf_distances(parsed: DataFrame, taxa: int, rooted: bool = False) -> DataFrame:
+def rf_distances(parsed: DataFrame, taxa: int, rooted: bool = False, block: int = BLOCK) -> DataFrame:
     """``sample, i, j, rf, wrf`` of all pairs: the number of splits that one tree has alone, and the sum of all absolute
     differences of lengths, leaves included.
 
-    Only common splits are joined; leaves go as one array a tree, since every tree has them all.
+    Pairs meet tile by tile with their numbers of splits, lengths and leaves; common splits meet by tile and split; both
+    give terms of one sum, so that the table of pairs is shuffled once.
     """
     trees = parsed if rooted else unrooted(parsed, taxa)
-    edges = trees.select("sample", "tree_id", F.explode("splits").alias("x"))
-    a = edges.select("sample", F.col("tree_id").alias("i"), F.col("x.split").alias("split"), F.col("x.length").alias("l1"))
-    b = edges.select("sample", F.col("tree_id").alias("j"), F.col("x.split").alias("split"), F.col("x.length").alias("l2"))
-    common = a.join(b, ["sample", "split"]).where("i < j").groupBy("sample", "i", "j")
-    common = common.agg(F.count("*").alias("n"), F.sum(F.least("l1", "l2")).alias("least"))
     lengths = F.aggregate(F.transform("splits", lambda x: x["length"]), F.lit(0.0), lambda s, x: s + x)
-    flat = trees.select("sample", "tree_id", F.size("splits").alias("n"), lengths.alias("total"), F.array_sort("leaves").alias("leaves"))
-    i = flat.select("sample", F.col("tree_id").alias("i"), F.col("n").alias("n_i"), F.col("total").alias("t_i"), F.col("leaves").alias("leaves_i"))
-    j = flat.select("sample", F.col("tree_id").alias("j"), F.col("n").alias("n_j"), F.col("total").alias("t_j"), F.col("leaves").alias("leaves_j"))
-    pairs = i.join(j, "sample").where("i < j").join(common, ["sample", "i", "j"], "left")
-    pendant = F.aggregate(F.zip_with("leaves_i", "leaves_j", lambda x, y: F.abs(x["length"] - y["length"])), F.lit(0.0), lambda s, x: s + x)
-    shared = F.coalesce("n", F.lit(0))
-    return pairs.select(
-        "sample",
-        "i",
-        "j",
-        (F.col("n_i") + F.col("n_j") - 2 * shared).cast("long").alias("rf"),
-        (F.col("t_i") + F.col("t_j") - 2 * F.coalesce("least", F.lit(0.0)) + pendant).alias("wrf"),
+    leaves = F.transform(F.array_sort("leaves"), lambda x: x["length"])
+    flat = trees.select("sample", "tree_id", F.size("splits").alias("n"), lengths.alias("total"), leaves.alias("leaves"))
+    pairs = all_pairs(flat, ["n", "total", "leaves"], block)
+    pendant = F.aggregate(F.zip_with("a.leaves", "b.leaves", lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: s + x)
+    whole = pairs.select(
+        "sample", F.col("a.tree_id").alias("i"), F.col("b.tree_id").alias("j"),
+        (F.col("a.n") + F.col("b.n")).cast("long").alias("rf"), (F.col("a.total") + F.col("b.total") + pendant).alias("wrf"),
+    )
+    edges = trees.select("sample", "tree_id", F.explode("splits").alias("x")).select("sample", "tree_id", F.col("x.split").alias("split"), F.col("x.length").alias("length"))
+    common = all_pairs(edges, ["length"], block, ["split"])
+    shared = common.select(
+        "sample", F.col("a.tree_id").alias("i"), F.col("b.tree_id").alias("j"), F.lit(-2).cast("long").alias("rf"), (-2 * F.least("a.length", "b.length")).alias("wrf")
     )
+    return whole.union(shared).groupBy("sample", "i", "j").agg(F.sum("rf").alias("rf"), F.sum("wrf").alias("wrf"))
 
 
 def kc_vectors(parsed: DataFrame, taxa: int) -> DataFrame:
     """Parsed trees with ``m`` and ``big_m``: for each pair of taxa the number of edges and the length from the root to
     their common ancestor, then 1 and the pendant length for each taxon."""
-    pairs = [(a, b) for a in range(taxa) for b in range(a + 1, taxa)]
-    both = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs))
-
     def has(x: Column, t: Column) -> Column:
         word = F.get(x["split"], F.floor(t / N.WORD).cast("int"))
         return F.call_function("getbit", word, t % N.WORD) == 1
 
-    above = lambda p: F.filter("splits", lambda x: has(x, p["a"]) & has(x, p["b"]))
+    def both(value) -> Column:
+        """An array of ``value(a, b)`` over all pairs of taxa a < b; the plan does not grow with the taxa."""
+        rows = F.transform(F.sequence(F.lit(0), F.lit(taxa - 2)), lambda a: F.transform(F.sequence(a + 1, F.lit(taxa - 1)), lambda b: value(a, b)))
+        return F.flatten(rows) if taxa > 1 else F.array().cast("array<double>")
+
+    above = lambda a, b: F.filter("splits", lambda x: has(x, a) & has(x, b))
     total = lambda xs: F.aggregate(F.transform(xs, lambda x: x["length"]), F.lit(0.0), lambda s, x: s + x)
     leaves = F.array_sort("leaves")
-    return parsed.withColumn("m", F.concat(F.transform(both, lambda p: F.size(above(p)).cast("double")), F.transform(leaves, lambda _: F.lit(1.0)))).withColumn(
-        "big_m", F.concat(F.transform(both, lambda p: total(above(p))), F.transform(leaves, lambda x: x["length"]))
+    return parsed.withColumn("m", F.concat(both(lambda a, b: F.size(above(a, b)).cast("double")), F.transform(leaves, lambda _: F.lit(1.0)))).withColumn(
+        "big_m", F.concat(both(lambda a, b: total(above(a, b))), F.transform(leaves, lambda x: x["length"]))
     )
 
 
-def kc_distances(vectors: DataFrame, c: float) -> DataFrame:
+def kc_distances(vectors: DataFrame, c: float, block: int = BLOCK) -> DataFrame:
     """``sample, i, j, d``: distance of the vectors (1 - c) m / sum m + c M / sum M."""
     total = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
     scaled = vectors.withColumn("_m", total("m")).withColumn("_b", total("big_m"))
     v = scaled.select("sample", "tree_id", F.zip_with("m", "big_m", lambda x, y: (1 - c) * x / F.col("_m") + c * y / F.col("_b")).alias("v"))
-    pairs = v.select("sample", F.col("tree_id").alias("i"), F.col("v").alias("vi")).join(v.select("sample", F.col("tree_id").alias("j"), F.col("v").alias("vj")), "sample").where("i < j")
-    return pairs.select("sample", "i", "j", F.sqrt(total(F.zip_with("vi", "vj", lambda x, y: (x - y) * (x - y)))).alias("d"))
+    pairs = all_pairs(v, ["v"], block)
+    d = F.sqrt(total(F.zip_with("a.v", "b.v", lambda x, y: (x - y) * (x - y))))
+    return pairs.select("sample", F.col("a.tree_id").alias("i"), F.col("b.tree_id").alias("j"), d.alias("d"))
 
 
 def differing(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Pairs on which two distance tables disagree at ten truncated decimals, or that one of them lacks."""
     cut = lambda x: F.floor(x * 1e10)
     both = left.withColumnRenamed("d", "d1").join(right.withColumnRenamed("d", "d2"), keys, "full_outer")
-    return both.where(~cut(F.col("d1")).eqNullSafe(cut(F.col("d2"))))
+    return both.where(~cut(F.col("d1")).eqNullSafe(cut(F.col("d2"))))  # with d1 and d2

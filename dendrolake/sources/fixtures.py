@@ -41,22 +41,23 @@ def labels(taxa: int = 8) -> list[str]:
 
 
 def trees(spark: SparkSession, sf_dir: str, taxa: int = 8) -> DataFrame:
-    """``sample, tree_id, newick`` of all orders."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_totalprice")
-    rows = spark.sql(
-        tree_sql(taxa, "{orders}")
-        + " SELECT sample, tree_id, side, p, k, taxon, leaf_length,"
-        + " cast(1 + (tree_id * 7 + px * 3 + side * 13 + k * 29) % 89 AS double) / cast(1000 AS double) AS length FROM cum",
-        orders=orders,
-    )
-    leaf = F.concat(F.lit("T"), "taxon", F.lit(":"), "leaf_length")
-    piece = F.when(F.col("k") == 1, leaf).otherwise(F.concat(F.lit(","), leaf, F.lit("):"), "length"))
-    sides = rows.groupBy("sample", "tree_id", "side").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p", piece.alias("t")))), lambda x: x["t"]), "").alias("text"),
-        (F.count("*") - 1).cast("int").alias("n"),
-    )
-    texts = sides.groupBy("sample", "tree_id").pivot("side", [0, 1]).agg(F.first(F.concat(F.expr("repeat('(', n)"), "text")))
-    return texts.select("sample", "tree_id", F.concat(F.lit("("), F.col("0"), F.lit(","), F.col("1"), F.lit(");")).alias("newick"))
+    """``sample, tree_id, newick`` of all orders, each text from its own row by array functions."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("o_custkey AS sample", "o_orderkey AS tree_id", "cast(floor(o_totalprice) AS bigint) AS px")
+    # a row is small and its tree is not: rows are dealt out before they are turned to trees
+    rows = orders.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "tree_id")
+    least = 3 if taxa == 8 else 2
+    key = "((tree_id % 11 + 1) * (t + 1) * 37 + (sample % 5) * t) % 101"
+    rows = rows.withColumn("p", F.expr(f"array_sort(transform(sequence(0, {taxa - 1}), t -> struct({key} AS k, t AS t)))"))
+    rows = rows.withColumn("m", F.expr(f"cast({least} + tree_id % {least} AS int)"))
+
+    def side(number: int, start: str, size: str) -> str:
+        leaf = "concat('T', x.t, ':', cast(1 + (tree_id * 5 + x.t * 17) % 97 AS double) / cast(1000 AS double))"
+        length = f"cast(1 + (tree_id * 7 + px * 3 + {number} * 13 + (i + 1) * 29) % 89 AS double) / cast(1000 AS double)"
+        piece = f"if(i = 0, {leaf}, concat(',', {leaf}, '):', {length}))"
+        return f"concat(repeat('(', {size} - 1), array_join(transform(slice(p, {start}, {size}), (x, i) -> {piece}), ''))"
+
+    text = f"concat('(', {side(0, '1', 'm')}, ',', {side(1, 'm + 1', f'({taxa} - m)')}, ');')"
+    return rows.select("sample", "tree_id", F.expr(text).alias("newick"))
 
 
 def alignment_sql(taxa: int = 8, part: str = "part") -> str:

@@ -9,11 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    """A new path under ``spark.checkpoint.dir``; only where a session names none (tests) is one made."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """A new path under ``spark.checkpoint.dir``, which executors share. Only a session of one process (``local``, as in
+    tests) that names none is given a folder; on a cluster that is an error."""
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir")
     if named is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext._conf.set("spark.checkpoint.dir", named)
+        context._conf.set("spark.checkpoint.dir", named)
     return f"{named}/{label}-{uuid.uuid4().hex}"
 
 
