@@ -12,7 +12,7 @@ from ..functions import geodesic as G
 from ..functions import newick as N
 
 _EDGE = "array<struct<split:array<bigint>,length:double>>"
-SUPPORTS = f"array<struct<part:bigint,a:{_EDGE},b:{_EDGE},a_norm:double,b_norm:double>>"
+SUPPORTS = f"array<struct<part:array<bigint>,a:{_EDGE},b:{_EDGE},a_norm:double,b_norm:double>>"
 COMMON = "array<struct<split:array<bigint>,l1:double,l2:double>>"
 LEAF = "array<struct<taxon_id:int,l1:double,l2:double>>"
 SCHEMA = f"sample long, i long, j long, supports {SUPPORTS}, common {COMMON}, leaf {LEAF}"
@@ -21,8 +21,8 @@ SCHEMA = f"sample long, i long, j long, supports {SUPPORTS}, common {COMMON}, le
 def geodesics(pairs: DataFrame, taxa: int, strict: bool = False) -> DataFrame:
     """``sample, i, j, supports, common, leaf`` for pairs with both trees' edges.
 
-    ``supports``: edges dropped and added together, by ascending ratio of their norms, with the first word of the
-    common edge they lie under. ``strict``: equal ratios are one (an orthant boundary each).
+    ``supports``: edges dropped and added together, by ascending ratio of their norms, with the common
+    edge they lie under (all zeros: the root). ``strict``: equal ratios are one (an orthant boundary each).
     """
 
     def edges(found) -> list[dict]:
@@ -35,7 +35,7 @@ def geodesics(pairs: DataFrame, taxa: int, strict: bool = False) -> DataFrame:
         if strict:
             merged = G.merge([(x, y) for _, x, y in found], strict=True)
             found = [(0, x, y) for x, y in merged]
-        supports = [{"part": N.words(o, taxa)[0], "a": edges(x), "b": edges(y), "a_norm": G.norm(x), "b_norm": G.norm(y)} for o, x, y in found]
+        supports = [{"part": N.words(o, taxa), "a": edges(x), "b": edges(y), "a_norm": G.norm(x), "b_norm": G.norm(y)} for o, x, y in found]
         ends = {x["taxon_id"]: x["length"] for x in row.b_leaves}
         leaf = [{"taxon_id": x["taxon_id"], "l1": x["length"], "l2": ends[x["taxon_id"]]} for x in row.a_leaves]
         return supports, [{"split": N.words(m, taxa), "l1": x, "l2": y} for m, x, y in common], leaf
@@ -78,6 +78,37 @@ def limits() -> Column:
     return F.concat(F.array(F.lit(0.0)), F.array_distinct(F.transform("supports", limit)), F.array(F.lit(1.0)))
 
 
+def legs(geodesic: DataFrame) -> DataFrame:
+    """``sample, i, j, leg, low, high, splits``: a row for each orthant that the path crosses, from where to where, and
+    the splits of its trees: the common ones, those not yet dropped and those already added. The geodesic's equal
+    ratios must be one (``strict``)."""
+    n = F.size("supports")
+    rows = geodesic.select("sample", "i", "j", "supports", "common", F.explode(F.sequence(F.lit(0), n)).alias("leg"))
+    of = lambda part, side: F.flatten(F.transform(part, lambda s: F.transform(s[side], lambda e: e["split"])))
+    kept = of(F.slice("supports", F.col("leg") + 1, n - F.col("leg")), "a")
+    new = of(F.slice("supports", F.lit(1), F.col("leg")), "b")
+    bound = lambda k: limit(F.get("supports", k))
+    low = F.when(F.col("leg") > 0, bound(F.col("leg") - 1)).otherwise(0.0)
+    high = F.when(F.col("leg") < n, bound(F.col("leg"))).otherwise(1.0)
+    return rows.select("sample", "i", "j", "leg", low.alias("low"), high.alias("high"), F.concat(F.transform("common", lambda x: x["split"]), kept, new).alias("splits"))
+
+
+def direction_vector(geodesic: DataFrame) -> DataFrame:
+    """``sample, i, j, edges, leaf``: how the first tree's lengths change on the way to the first orthant boundary that the
+    path meets, or to the other tree where it meets none. Interior edges (split, x) are the first tree's own; one
+    that the other tree lacks though all its edges allow it shrinks to nothing there."""
+    first = F.when(F.size("supports") > 0, limit(F.get("supports", F.lit(0)))).otherwise(F.lit(1.0))
+    own = F.transform(F.filter("common", lambda x: x["l1"] > 0), lambda x: F.struct(x["split"].alias("split"), ((x["l2"] - x["l1"]) * F.col("first")).alias("x")))
+    gone = F.flatten(
+        F.transform(
+            "supports",
+            lambda s: F.transform(s["a"], lambda e: F.struct(e["split"].alias("split"), (-e["length"] * F.col("first") * (s["a_norm"] + s["b_norm"]) / s["a_norm"]).alias("x"))),
+        )
+    )
+    leaf = F.transform("leaf", lambda x: F.struct(x["taxon_id"].alias("taxon_id"), ((x["l2"] - x["l1"]) * F.col("first")).alias("x")))
+    return geodesic.withColumn("first", first).select("sample", "i", "j", F.concat(own, gone).alias("edges"), leaf.alias("leaf"))
+
+
 def report() -> Column:
     """Combinatorial type: the numbers of edges dropped and added of each ratio."""
     return F.array_join(F.transform("supports", lambda x: F.concat(F.size(x["a"]).cast("string"), F.lit("/"), F.size(x["b"]).cast("string"))), ";")

@@ -1,7 +1,8 @@
 """Maps of tree space: multidimensional scaling, its validation, hulls and surfaces.
 
-Double centring, distances and correlations are joins and aggregates. The eigenvectors, the hull and the surface's
-weights of one sample are worked out by one task for that sample, whose trees are bounded by MOST.
+Double centring, distances, ranks, correlations and smoothing are joins, sorts and aggregates. A sample of up to MOST
+trees has its eigenvectors worked out by one task; those of a larger one come from subspace iteration, a join a round.
+Samples are counted before any is gathered.
 """
 
 from __future__ import annotations
@@ -11,8 +12,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Trees of a sample up to which its matrices are solved; a larger sample is refused, never cut.
+from ..sources.store import saved
+from .pairs import all_pairs
+
+#: Trees of a sample up to which its matrix is solved in one task. Surface weights of more are refused, never cut.
 MOST = 5000
+#: Vectors of the subspace and rounds of its iteration.
+VECTORS, ROUNDS = 6, 40
+#: Places of a block in which pairs out of order are counted.
+_BLOCK = 65_536
 
 
 def symmetric(distances: DataFrame) -> DataFrame:
@@ -42,8 +50,6 @@ def coordinates(distances: DataFrame, dimensions: int = 2) -> DataFrame:
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         ids = np.unique(pdf["i"])
-        if len(ids) > MOST:
-            raise ValueError(f"a sample of {len(ids)} trees; at most {MOST}")
         k = np.zeros((len(ids), len(ids)))
         k[np.searchsorted(ids, pdf["i"]), np.searchsorted(ids, pdf["j"])] = pdf["k"]
         values, vectors = np.linalg.eigh((k + k.T) / 2)
@@ -54,15 +60,74 @@ def coordinates(distances: DataFrame, dimensions: int = 2) -> DataFrame:
             x[:, d] = v * np.sqrt(max(values[-1 - d], 0.0))
         return pd.DataFrame({"sample": pdf["sample"].iloc[0], "tree_id": ids, "x": list(x)})
 
-    return gram(distances).groupBy("sample").applyInPandas(solve, "sample long, tree_id long, x array<double>")
+    schema = "sample long, tree_id long, x array<double>"
+    whole = saved(gram(distances), "gram")
+    sizes = whole.where("i = j").groupBy("sample").agg(F.count("*").alias("n")).hint("merge")
+    sized = whole.join(sizes, "sample")
+    small = sized.where(F.col("n") <= MOST).drop("n").groupBy("sample").applyInPandas(solve, schema)
+    large = sizes.where(F.col("n") > MOST).select("sample")
+    if large.isEmpty():
+        return small
+    return small.union(_iterated(whole.join(large.hint("merge"), "sample", "left_semi"), dimensions))
+
+
+def _iterated(k: DataFrame, dimensions: int) -> DataFrame:
+    """Coordinates of large samples: a round multiplies a few vectors by the Gram matrix (a join on the column, a sum for each
+    row), and makes them orthonormal by their own small matrix of products, which is all that meets in one task."""
+    p = max(VECTORS, dimensions + 2)
+    names = [f"v{c}" for c in range(p)]
+    k = saved(k, "gram-large")
+    start = [(F.pmod(F.xxhash64("i", F.lit(c)), F.lit(1_000_003)) / 500_001.5 - 1).alias(n) for c, n in enumerate(names)]
+    v = saved(k.where("i = j").select("sample", "i", *start), "vectors")
+    of = lambda a, b: F.array(*(F.sum(F.col(x) * F.col(y)) for x in a for y in b))
+    turned = [f"t{c}" for c in range(p)]
+
+    def basis(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for sample, g in zip(pdf["sample"], pdf["g"]):
+            values, u = np.linalg.eigh(np.reshape(g, (p, p)))
+            good = values > values.max() * 1e-14
+            out.append((sample, (u[:, ::-1] * np.where(good, 1 / np.sqrt(np.where(good, values, 1.0)), 0.0)[::-1]).ravel().tolist()))
+        return pd.DataFrame(out, columns=["sample", "m"])
+
+    def ritz(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for sample, g in zip(pdf["sample"], pdf["g"]):
+            h = np.reshape(g, (p, p))
+            values, u = np.linalg.eigh((h + h.T) / 2)
+            out.append((sample, (u[:, ::-1] * np.sqrt(np.maximum(values[::-1], 0.0))).ravel().tolist()))
+        return pd.DataFrame(out, columns=["sample", "m"])
+
+    def times(rows: DataFrame, matrices: DataFrame) -> DataFrame:
+        """Each row's vector times its sample's matrix."""
+        joined = rows.join(matrices.hint("merge"), "sample")
+        new = [sum((F.col(names[d]) * F.col("m")[d * p + c] for d in range(1, p)), F.col(names[0]) * F.col("m")[c]).alias(names[c]) for c in range(p)]
+        return joined.select("sample", "i", *new)
+
+    def multiplied(v: DataFrame) -> DataFrame:
+        w = k.join(v.withColumnRenamed("i", "j").hint("merge"), ["sample", "j"])
+        return w.groupBy("sample", "i").agg(*(F.sum(F.col("k") * F.col(n)).alias(n) for n in names))
+
+    def orthonormal(w: DataFrame) -> DataFrame:
+        w = saved(w, "products")
+        return saved(times(w, w.groupBy("sample").agg(of(names, names).alias("g")).mapInPandas(lambda it: map(basis, it), "sample long, m array<double>")), "vectors")
+
+    v = orthonormal(v)
+    for _ in range(ROUNDS):
+        v = orthonormal(multiplied(v))
+    w = saved(multiplied(v), "products").select("sample", "i", *(F.col(a).alias(b) for a, b in zip(names, turned)))
+    g = v.join(w.hint("merge"), ["sample", "i"]).groupBy("sample").agg(of(names, turned).alias("g"))
+    x = saved(times(v, g.mapInPandas(lambda it: map(ritz, it), "sample long, m array<double>")), "coords")
+    most = x.groupBy("sample").agg(*(F.max_by(n, F.abs(n)).alias(f"m{c}") for c, n in enumerate(names[:dimensions])))
+    signed = F.array(*(F.col(n) * F.when(F.col(f"m{c}") < 0, -1.0).otherwise(1.0) for c, n in enumerate(names[:dimensions])))
+    return x.join(most.hint("merge"), "sample").select("sample", F.col("i").alias("tree_id"), signed.alias("x"))
 
 
 def embedded_distances(coords: DataFrame) -> DataFrame:
     """``sample, i, j, d`` of all pairs of points of a sample."""
-    a = coords.select("sample", F.col("tree_id").alias("i"), F.col("x").alias("xi"))
-    b = coords.select("sample", F.col("tree_id").alias("j"), F.col("x").alias("xj"))
-    square = F.aggregate(F.zip_with("xi", "xj", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v)
-    return a.join(b, "sample").where("i < j").select("sample", "i", "j", F.sqrt(square).alias("d"))
+    pairs = all_pairs(coords, ["x"])
+    square = F.aggregate(F.zip_with("a.x", "b.x", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v)
+    return pairs.select("sample", F.col("a.tree_id").alias("i"), F.col("b.tree_id").alias("j"), F.sqrt(square).alias("d"))
 
 
 def _both(distances: DataFrame, embedded: DataFrame) -> DataFrame:
@@ -72,18 +137,35 @@ def _both(distances: DataFrame, embedded: DataFrame) -> DataFrame:
     return pairs.union(pairs.select("sample", F.col("j").alias("i"), F.col("i").alias("j"), "d", "e")).union(diagonal)
 
 
+def placed(rows: DataFrame, by: list[str], name: str) -> DataFrame:
+    """``rows`` with their place, from 0, in the order of sample and ``by``: sorted by ranges, a count for each range."""
+    ordered = rows.repartitionByRange("sample", *by).sortWithinPartitions("sample", *by)
+    marked = saved(ordered.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()), "placed")
+    counts = marked.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = counts.withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).drop("_n")  # a row for each partition
+    return marked.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_at") - F.col("_first")).drop("_part", "_at", "_before", "_first")
+
+
+def _ranked(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` with ``r`` and the name: the mean place of the rows with that value, which differs from their rank in the
+    sample by the same number for all."""
+    mean = placed(rows.groupBy("sample", name).agg(F.count("*").alias("_c")), [name], "_p")
+    part = F.sum("_c").over(Window.partitionBy("sample", (F.col("_p") / _BLOCK).cast("long")).orderBy(name))
+    own = saved(mean.withColumn("_block", (F.col("_p") / _BLOCK).cast("long")).withColumn("_upto", part), "ranks")
+    blocks = own.groupBy("sample", "_block").agg(F.sum("_c").alias("_all"))
+    blocks = blocks.withColumn("_low", F.sum("_all").over(Window.partitionBy("sample").orderBy("_block")) - F.col("_all")).drop("_all")
+    ranks = own.join(blocks.hint("merge"), ["sample", "_block"]).select("sample", name, (F.col("_low") + F.col("_upto") - (F.col("_c") - 1) / 2).alias(f"r{name}"))
+    return rows.join(ranks.hint("merge"), ["sample", name])
+
+
 def validation(distances: DataFrame, embedded: DataFrame) -> DataFrame:
-    """``sample, n, pearson, spearman, kendall`` over the whole matrix, both halves and the diagonal."""
-    both = _both(distances, embedded)
-    ranked = both
-    for name in ("d", "e"):
-        own = Window.partitionBy("sample", name)
-        ranked = ranked.withColumn(f"r{name}", F.rank().over(Window.partitionBy("sample").orderBy(name)) + (F.count("*").over(own) - 1) / 2)
-    simple = ranked.groupBy("sample").agg(F.count("*").alias("n"), F.corr("d", "e").alias("pearson"), F.corr("rd", "re").alias("spearman"))
+    """``sample, n, pearson, spearman, kendall`` over the whole matrix, both halves and the diagonal. Ranks come from sorts
+    by ranges; Kendall's tau (b) of samples of up to MOST trees from one task each, of larger ones from blocks."""
+    both = saved(_both(distances, embedded), "both")
+    ranked = _ranked(_ranked(both, "d"), "e")
+    simple = saved(ranked.groupBy("sample").agg(F.count("*").alias("n"), F.corr("d", "e").alias("pearson"), F.corr("rd", "re").alias("spearman")), "simple")
 
     def kendall(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > MOST * MOST:
-            raise ValueError("too many pairs")
         order = np.lexsort((pdf["e"], pdf["d"]))
         x, y = pdf["d"].to_numpy()[order], pdf["e"].to_numpy()[order]
         ties = lambda *v: sum(n * (n - 1) // 2 for n in np.unique(np.c_[v], axis=0, return_counts=True)[1].tolist())
@@ -94,8 +176,38 @@ def validation(distances: DataFrame, embedded: DataFrame) -> DataFrame:
         below = np.sqrt(float(all_ - tx) * float(all_ - ty))
         return pd.DataFrame({"sample": [pdf["sample"].iloc[0]], "kendall": [s / below if below else np.nan]})
 
-    tau = both.groupBy("sample").applyInPandas(kendall, "sample long, kendall double")
-    return simple.join(tau, "sample")
+    sizes = simple.select("sample", F.col("n").alias("_n"))
+    sized = both.join(sizes.hint("merge"), "sample")
+    tau = sized.where(F.col("_n") <= MOST * MOST).drop("_n").groupBy("sample").applyInPandas(kendall, "sample long, kendall double")
+    large = sizes.where(F.col("_n") > MOST * MOST)
+    if not large.isEmpty():
+        tau = tau.union(_kendall(both.join(large.select("sample").hint("merge"), "sample", "left_semi")))
+    return simple.join(tau.hint("merge"), "sample")
+
+
+def _kendall(rows: DataFrame) -> DataFrame:
+    """``sample, kendall`` of large samples: pairs out of order are counted for each bit of the rank of e, in blocks of the
+    order by d and between them."""
+    placed_ = placed(_ranked(rows, "e"), ["d", "e"], "at").withColumn("y", (2 * F.col("re")).cast("long"))
+    placed_ = saved(placed_, "order")
+    top = placed_.agg(F.max("y")).first()[0]  # one number
+    bits = placed_.select("sample", "at", "y", F.explode(F.sequence(F.lit(0), F.lit(int(top).bit_length() - 1))).alias("b"))
+    one = F.expr("shiftright(y, b) & 1")
+    bits = bits.select("sample", "b", F.expr("shiftright(y, b + 1)").alias("prefix"), (F.col("at") / _BLOCK).cast("long").alias("block"), "at", one.alias("one"))
+    key = ["sample", "b", "prefix"]
+    inner = F.sum("one").over(Window.partitionBy(*key, "block").orderBy("at"))
+    own = bits.withColumn("ahead", inner).groupBy(*key, "block").agg(F.sum("one").alias("ones"), F.sum(1 - F.col("one")).alias("zeros"), F.sum((1 - F.col("one")) * F.col("ahead")).alias("swaps"))
+    before = F.sum("ones").over(Window.partitionBy(*key).orderBy("block")) - F.col("ones")
+    swaps = own.withColumn("before", before).groupBy("sample").agg(F.sum(F.col("swaps") + F.col("zeros") * F.col("before")).cast("double").alias("swaps"))
+    pairs = lambda n: F.col(n).cast("double") * (F.col(n) - 1) / 2
+
+    def ties(*by: str) -> DataFrame:
+        same = rows.groupBy("sample", *by).agg(F.count("*").alias("n"))
+        return same.groupBy("sample").agg(F.sum(pairs("n")).alias("t" + "".join(by)))
+
+    all_ = ties("d").join(ties("e"), "sample").join(ties("d", "e"), "sample").join(rows.groupBy("sample").agg(F.count("*").alias("n")), "sample").join(swaps, "sample")
+    score = pairs("n") - F.col("td") - F.col("te") + F.col("tde") - 2 * F.col("swaps")
+    return all_.select("sample", (score / F.sqrt((pairs("n") - F.col("td")) * (pairs("n") - F.col("te")))).alias("kendall"))
 
 
 def _swaps(ranks: np.ndarray) -> int:
@@ -117,32 +229,53 @@ def _swaps(ranks: np.ndarray) -> int:
 
 
 def shepard(distances: DataFrame, embedded: DataFrame, every: int = 5, points: int = 20, fraction: float = 2 / 3, passes: int = 3) -> DataFrame:
-    """``sample, d, e, smooth``: every ``every``-th pair by (d, e), and a robust locally weighted line through them."""
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["d", "e"]).iloc[::every]
-        x, y = pdf["d"].to_numpy(), pdf["e"].to_numpy()
-        n = len(x)
-        k = min(n, max(2, int(np.ceil(fraction * n))))
-        robust, smooth = np.ones(n), y.copy()
-        for _ in range(passes + 1):
-            for i in range(n):
-                off = np.abs(x - x[i])
-                h = np.partition(off, k - 1)[k - 1]
-                w = robust * (np.clip(1 - (off / h) ** 3, 0, 1) ** 3 if h > 0 else off == 0)
-                if w.sum() <= 0:
-                    continue
-                mx, my = np.average(x, weights=w), np.average(y, weights=w)
-                vx = np.average((x - mx) ** 2, weights=w)
-                slope = np.average((x - mx) * (y - my), weights=w) / vx if vx > 1e-12 else 0.0
-                smooth[i] = my + slope * (x[i] - mx)
-            left = np.abs(y - smooth)
-            m = 6 * np.median(left)
-            robust = np.clip(1 - (left / m) ** 2, 0, 1) ** 2 if m > 0 else np.ones(n)
-        return pd.DataFrame({"sample": pdf["sample"], "d": x, "e": y, "smooth": smooth})
-
-    pairs = distances.select("sample", "i", "j", "d").join(embedded.select("sample", "i", "j", F.col("d").alias("e")), ["sample", "i", "j"])
-    return pairs.groupBy("sample").applyInPandas(fit, "sample long, d double, e double, smooth double")
+    """``sample, d, e, smooth``: every ``every``-th pair by (d, e), and a robust locally weighted line through them.
+
+    The line is fitted at ``points`` even places of d from the weighted sums of all pairs there, and drawn straight between
+    them; a pair's weight falls with its distance from the place, relative to the one within which ``fraction`` of the
+    pairs lie, and in each further pass with how far it is off the line. Widths and medians come from ``percentile``
+    sketches of 10,000 parts. So no sample is gathered in a task.
+    """
+    both = distances.select("sample", "i", "j", "d").join(embedded.select("sample", "i", "j", F.col("d").alias("e")), ["sample", "i", "j"])
+    order = placed(both.select("sample", "d", "e"), ["d", "e"], "at")
+    first = order.groupBy("sample").agg(F.min("at").alias("first"))
+    rows = order.join(first.hint("merge"), "sample").where((F.col("at") - F.col("first")) % every == 0).select("sample", "d", "e", "at")
+    rows = saved(rows, "thinned")
+    range_ = saved(rows.groupBy("sample").agg(F.min("d").alias("low"), F.max("d").alias("high")), "range")
+    step = (F.col("high") - F.col("low")) / (points - 1)
+    # each row with the grid interval it lies in
+    g = F.when(F.col("high") > F.col("low"), F.least(F.floor((F.col("d") - F.col("low")) / step).cast("int"), F.lit(points - 2))).otherwise(0)
+    rows = saved(rows.join(range_.hint("merge"), "sample").withColumn("g", g), "intervals")
+    grid = F.explode(F.sequence(F.lit(0), F.lit(points - 1)))
+    off = F.abs(F.col("d") - (F.col("low") + F.col("p") * step))
+    widths = rows.select("*", grid.alias("p")).groupBy("sample", "p").agg(F.percentile_approx(off, fraction, 10_000).alias("h"))
+    widths = saved(widths.groupBy("sample").agg(F.transform(F.sort_array(F.collect_list(F.struct("p", "h"))), lambda x: x["h"]).alias("hs")), "widths")
+    rows = rows.join(widths.hint("merge"), "sample").withColumn("robust", F.lit(1.0))
+    total = lambda c: F.sum(F.col("w") * c)
+    smooth = None
+    for k in range(passes + 1):
+        rows = saved(rows, "weighted")
+        at = rows.select("*", grid.alias("p"))
+        h = F.get("hs", F.col("p"))
+        near = F.when(h > 0, F.pow(F.greatest(1 - F.pow(off / h, 3), F.lit(0.0)), 3)).otherwise((off == 0).cast("double"))
+        sums = at.withColumn("w", near * F.col("robust")).groupBy("sample", "p").agg(
+            F.sum("w").alias("s"), total(F.col("d")).alias("sx"), total(F.col("e")).alias("sy"), total(F.col("d") * F.col("d")).alias("sxx"), total(F.col("d") * F.col("e")).alias("sxy"),
+            F.avg("e").alias("mean"), F.first(F.col("low") + F.col("p") * step).alias("x"),
+        )
+        mx, my = F.col("sx") / F.col("s"), F.col("sy") / F.col("s")
+        vx = F.col("sxx") / F.col("s") - mx * mx
+        slope = F.when(vx > 1e-12, (F.col("sxy") / F.col("s") - mx * my) / vx).otherwise(0.0)
+        fit = F.when(F.col("s") > 0, my + slope * (F.col("x") - mx)).otherwise(F.col("mean"))
+        lines = sums.groupBy("sample").agg(F.transform(F.sort_array(F.collect_list(F.struct("p", fit.alias("y")))), lambda x: x["y"]).alias("ys"))
+        share = F.when(F.col("high") > F.col("low"), (F.col("d") - F.col("low")) / step - F.col("g")).otherwise(0.0)
+        smooth = F.get("ys", F.col("g")) * (1 - share) + F.get("ys", F.col("g") + 1) * share
+        rows = rows.drop("smooth").join(lines.hint("merge"), "sample").withColumn("smooth", smooth).drop("ys")
+        if k < passes:
+            rows = saved(rows, "smoothed")
+            medians = rows.groupBy("sample").agg((6 * F.percentile_approx(F.abs(F.col("e") - F.col("smooth")), 0.5, 10_000)).alias("m"))
+            left = F.abs(F.col("e") - F.col("smooth")) / F.col("m")
+            rows = rows.join(medians.hint("merge"), "sample").withColumn("robust", F.when(F.col("m") > 0, F.pow(F.greatest(1 - left * left, F.lit(0.0)), 2)).otherwise(1.0)).drop("m")
+    return rows.select("sample", "d", "e", "smooth")
 
 
 def _chain(points: np.ndarray) -> list[int]:
@@ -197,8 +330,6 @@ def surface(coords: DataFrame, values: DataFrame, cells: int = 20, smoothing: fl
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         p = np.c_[pdf["px"], pdf["py"]]
-        if len(p) > MOST:
-            raise ValueError(f"a sample of {len(p)} trees; at most {MOST}")
         r = np.sqrt(((p[:, None] - p[None]) ** 2).sum(axis=2))
         a = np.where(r > 0, r * r * np.log(np.where(r > 0, r, 1.0)), 0.0) - smoothing * np.eye(len(p))
         out = pdf.copy()
@@ -206,6 +337,9 @@ def surface(coords: DataFrame, values: DataFrame, cells: int = 20, smoothing: fl
         return out
 
     points = coords.join(values.select("sample", "tree_id", F.col("lnl").alias("z")), ["sample", "tree_id"])
+    largest = points.groupBy("sample").count().agg(F.max("count")).first()[0] or 0  # one number, before any sample is gathered
+    if largest > MOST:
+        raise ValueError(f"a sample of {largest} trees; at most {MOST}")
     nodes = points.select("sample", F.col("x")[0].alias("px"), F.col("x")[1].alias("py"), "z").groupBy("sample").applyInPandas(
         solve, "sample long, px double, py double, z double, w double"
     )

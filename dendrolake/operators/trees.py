@@ -9,7 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,23 +42,32 @@ def validate_newick(trees: DataFrame) -> DataFrame:
     return trees.withColumn("code", code("newick"))
 
 
-def parse_newick(trees: DataFrame, labels: list[str], keep_zero: bool = False) -> DataFrame:
-    """Parsed trees of ``sample, tree_id, newick``; interior edges of length 0 are left out unless kept."""
+def parse_newick(trees: DataFrame, labels: list[str], keep_zero: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Parsed trees of ``sample, tree_id, newick``, with ``error`` and the columns of ``keep``; interior edges of length 0
+    are left out unless kept.
+
+    A text that is null or has no bracket, unbalanced brackets, an unknown label or a length that is no number gives a row
+    with null edges and what is wrong; on good ones ``error`` is null.
+    """
     bits = {name: i for i, name in enumerate(labels)}
 
+    def one(text: str | None) -> tuple[list | None, list | None, str | None]:
+        try:
+            splits, leaves = N.parse(text, bits, keep_zero)
+        except ValueError as wrong:
+            return None, None, str(wrong)
+        return _rows(splits, len(labels)), [{"taxon_id": t, "length": x} for t, x in sorted(leaves.items())], None
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [N.parse(t, bits, keep_zero) for t in batch["newick"]]
-            yield pd.DataFrame(
-                {
-                    "sample": batch["sample"],
-                    "tree_id": batch["tree_id"],
-                    "splits": [_rows(s, len(labels)) for s, _ in found],
-                    "leaves": [[{"taxon_id": t, "length": x} for t, x in sorted(v.items())] for _, v in found],
-                }
-            )
+            found = [one(t) for t in batch["newick"]]
+            out = batch[["sample", "tree_id", *keep]].copy()
+            for k, name in enumerate(("splits", "leaves", "error")):
+                out[name] = pd.Series([f[k] for f in found], dtype=object)
+            yield out
 
-    return trees.select("sample", "tree_id", "newick").mapInPandas(run, PARSED)
+    others = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in trees.select(*keep).schema)
+    return trees.select("sample", "tree_id", "newick", *keep).mapInPandas(run, f"{PARSED}, error string{others}")
 
 
 def print_newick(parsed: DataFrame, labels: list[str], lengths: bool = True, resolved: bool = False) -> DataFrame:
@@ -77,15 +89,44 @@ def print_newick(parsed: DataFrame, labels: list[str], lengths: bool = True, res
 
 
 def to_bifurcating(parsed: DataFrame, taxa: int) -> DataFrame:
-    """Resolves nodes of more than two children into ladders of clades of length 0."""
+    """Resolves nodes of more than two children into ladders of clades of length 0. Batches of binary trees pass as they
+    are; only other trees are turned into Python objects."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch["splits"] = [_rows(N.resolve(*unpacked(row)), taxa) for row in batch.itertuples()]
-            batch["leaves"] = [list(x) for x in batch["leaves"]]
-            yield batch
-
-    return parsed.mapInPandas(run, parsed.schema)
+            at = batch.schema.get_field_index("splits")
+            column = batch.column(at)
+            short = np.flatnonzero(pc.fill_null(pc.less(pc.list_value_length(column), taxa - 2), False).to_numpy(zero_copy_only=False))
+            if not len(short):
+                yield batch
+                continue
+            some = batch.take(pa.array(short))
+            rows = [
+                _rows(N.resolve([(N.joined(s["split"]), s["length"]) for s in splits], {x["taxon_id"]: x["length"] for x in leaves}), taxa)
+                for splits, leaves in zip(some.column(at).to_pylist(), some.column("leaves").to_pylist())
+            ]
+            both = pa.concat_arrays([column, pa.array(rows, column.type)])
+            take = np.arange(batch.num_rows)
+            take[short] = batch.num_rows + np.arange(len(short))
+            columns = batch.columns
+            columns[at] = both.take(pa.array(take))
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+    return parsed.mapInArrow(run, parsed.schema)
+
+
+def edit_splits(parsed: DataFrame, remove: Column, add: Column) -> DataFrame:
+    """Trees without the splits of ``remove`` (an array of masks) and with the edges of ``add`` (an array like ``splits``)
+    that they don't have yet. An added split must not cross what is kept; that is the caller's to see to."""
+    kept = F.filter("splits", lambda x: ~F.array_contains(remove, x["split"]))
+    known = F.transform("_kept", lambda x: x["split"])
+    new = F.filter(add, lambda x: ~F.array_contains(known, x["split"]))
+    return parsed.withColumn("_kept", kept).withColumn("splits", F.concat("_kept", new)).drop("_kept")
+
+
+def duplicate_splits(parsed: DataFrame) -> DataFrame:
+    """``sample, tree_id, split, n``: splits that a tree has more than once."""
+    return splits(parsed).groupBy("sample", "tree_id", "split").agg(F.count("*").alias("n")).where("n > 1")
 
 
 def splits(parsed: DataFrame) -> DataFrame:

@@ -39,13 +39,25 @@ def query(sql: str | None = None):
 
 
 def parsed(spark: SparkSession, sf_dir: str, taxa: int = 8) -> DataFrame:
-    return T.parse_newick(fixtures.trees(spark, sf_dir, taxa), fixtures.labels(taxa))
+    return T.parse_newick(fixtures.trees(spark, sf_dir, taxa), fixtures.labels(taxa)).drop("error")
 
 
 def r6(x, name: str):
     return (F.round(x, 6) + 0.0).alias(name)
 
 
+def n6(x, name: str):
+    """Six decimals of a value that may stand on a rounding tie: both sides move it off the tie alike."""
+    return (F.round(x + 1e-9, 6) + 0.0).alias(name)
+
+
+def all_edges(trees: DataFrame, *columns: str) -> DataFrame:
+    """A row for each edge, interior ones and leaves, as ``mask, length`` beside the columns."""
+    leaf = F.expr("transform(leaves, x -> named_struct('mask', cast(pow(2, x.taxon_id) as bigint), 'length', x.length))")
+    inner = F.transform("splits", lambda x: F.struct(F.get(x["split"], F.lit(0)).alias("mask"), x["length"].alias("length")))
+    return trees.select(*columns, F.explode(F.concat(inner, leaf)).alias("e")).select(*columns, "e.mask", "e.length")
+
+
 def word(split="split", name: str = "mask"):
     return F.get(split, F.lit(0)).alias(name)
 
@@ -53,12 +65,12 @@ def word(split="split", name: str = "mask"):
 # Sources and sinks
 
 
-@query(f"{EIGHT}, {fixtures.NEWICK_SQL} SELECT newick FROM trees")
+@query(f"{EIGHT}, {fixtures.NEWICK_SQL} SELECT row_number() OVER (ORDER BY tree_id) - 1 AS line_id, newick FROM trees")
 def read_newick(spark, sf_dir):
     path = fresh_path(spark, "newick")
-    lines = fixtures.trees(spark, sf_dir).select(F.explode(F.array(F.concat(F.lit("tree = "), "newick"), F.lit("# note"), F.lit(""), F.lit("no tree"))).alias("value"))
-    lines.write.text(path)
-    return files.read_newick(spark, path).select("newick")
+    text = F.explode(F.array(F.concat(F.lit("tree = "), "newick"), F.lit("# note"), F.lit(""), F.lit("no tree")))
+    fixtures.trees(spark, sf_dir).orderBy("tree_id").select(text.alias("value")).write.text(path)
+    return files.read_newick(spark, path)
 
 
 @query(f"WITH {fixtures.alignment_sql()} SELECT 'T' || taxon AS label, string_agg(letter, '' ORDER BY site) AS sequence FROM cells GROUP BY taxon")
@@ -125,19 +137,39 @@ def scored(spark, sf_dir) -> DataFrame:
     return parsed(spark, sf_dir).withColumn("lnl", -F.round(T.tree_length(), 6))
 
 
-@query(f"{LENGTHS} SELECT sample, max(struct_pack(lnl := lnl, t := tree_id)).t AS tree_id, max(lnl) AS lnl FROM scored GROUP BY sample")
+LISTS = f"""{LENGTHS}, keys AS (SELECT sample, tree_id, string_agg(mask::varchar, ',' ORDER BY mask) AS key FROM interior GROUP BY ALL),
+ranked AS (SELECT sample, tree_id, lnl, row_number() OVER (PARTITION BY sample ORDER BY lnl DESC, tree_id DESC) AS r,
+  row_number() OVER (PARTITION BY sample, key ORDER BY lnl DESC, tree_id DESC) AS k FROM scored JOIN keys USING (sample, tree_id)),
+lists AS (SELECT 'start' AS role, sample, tree_id, lnl FROM ranked UNION ALL SELECT 'best', sample, tree_id, lnl FROM ranked WHERE r <= 3
+  UNION ALL SELECT 'optimised', sample, tree_id, lnl FROM ranked WHERE k = 1)"""
+
+
+def _lists(spark, sf_dir) -> dict[str, DataFrame]:
+    start = scored(spark, sf_dir)
+    top = L.best_per_topology(start.withColumn("topology", T.topology())).select("sample", "tree_id")
+    return {"start": start, "best": L.best(start, 3), "optimised": start.join(top, ["sample", "tree_id"], "left_semi")}
+
+
+@query(f"""{LISTS} SELECT role, sample, tree_id, lnl, 7::bigint AS n_commas FROM lists UNION ALL
+  SELECT 'top', sample, tree_id, lnl, 7 FROM ranked WHERE r = 1""")
 def write_results(spark, sf_dir):
     path = fresh_path(spark, "results")
-    W.write_results(scored(spark, sf_dir), LABELS, path)
-    return spark.read.parquet(f"{path}/best").select("sample", "tree_id", "lnl")
+    lists = _lists(spark, sf_dir)
+    W.write_results(lists, LABELS, path)
+    commas = F.length(F.regexp_replace("newick", "[^,]", "")).cast("long").alias("n_commas")
+    parts = [spark.read.parquet(f"{path}/{name}").select(F.lit(name).alias("role"), "sample", "tree_id", "lnl", commas) for name in [*lists, "top"]]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
 
 
-@query(f"{LENGTHS}, {fixtures.NEWICK_SQL} SELECT t.sample, t.tree_id, s.lnl, 'start' AS role FROM trees t JOIN scored s ON t.tree_id = s.tree_id")
+@query(f"""{LISTS}, edges AS (SELECT tree_id, mask, length FROM interior UNION ALL SELECT tree_id, cast(1 << taxon AS bigint), length FROM leaf)
+SELECT role, sample, l.tree_id, lnl, mask, length FROM lists l JOIN edges e ON e.tree_id = l.tree_id""")
 def read_results(spark, sf_dir):
     path = fresh_path(spark, "results")
-    W.write_results(scored(spark, sf_dir), LABELS, path)
-    again = T.parse_newick(spark.read.parquet(f"{path}/trees").select("sample", "tree_id", "newick"), LABELS)
-    return again.select("sample", "tree_id", (-F.round(T.tree_length(), 6)).alias("lnl"), F.lit("start").alias("role"))
+    lists = _lists(spark, sf_dir)
+    W.write_results(lists, LABELS, path)
+    again = W.read_results(spark, path, LABELS, list(lists))
+    parts = [all_edges(x.withColumn("role", F.lit(name)), "role", "sample", "tree_id", "lnl") for name, x in again.items()]
+    return parts[0].union(parts[1]).union(parts[2])
 
 
 # Single trees
@@ -195,10 +227,16 @@ def to_multifurcating(spark, sf_dir):
     return T.splits(T.to_multifurcating(shortened(parsed(spark, sf_dir)))).select("tree_id", word(), "length")
 
 
-@query(f"{SHORT} SELECT tree_id, 6::bigint AS n, round(coalesce(sum(length) FILTER (length > 1e-5), 0), 6) AS length FROM short GROUP BY tree_id")
+@query(f"""{SHORT}, kept AS (SELECT tree_id, mask, size, length FROM short WHERE length > 1e-5),
+node AS (SELECT tree_id, mask, size FROM kept UNION ALL SELECT tree_id, cast(1 << taxon AS bigint), 1 FROM leaf),
+child AS (SELECT n.tree_id, n.mask, n.size, coalesce(arg_min(k.mask, k.size), 255) AS parent FROM node n
+  LEFT JOIN kept k ON k.tree_id = n.tree_id AND k.size > n.size AND (k.mask & n.mask) = n.mask GROUP BY n.tree_id, n.mask, n.size),
+ladder AS (SELECT tree_id, row_number() OVER w AS r, sum(mask) OVER w - first_value(mask) OVER w AS mask FROM child
+  WINDOW w AS (PARTITION BY tree_id, parent ORDER BY size DESC, mask ROWS UNBOUNDED PRECEDING))
+SELECT tree_id, mask, length FROM kept UNION ALL SELECT tree_id, cast(mask AS bigint), 0.0 FROM ladder WHERE r > 2""")
 def to_bifurcating(spark, sf_dir):
-    whole = T.splits(T.to_bifurcating(T.to_multifurcating(shortened(parsed(spark, sf_dir))), 8))
-    return whole.groupBy("tree_id").agg(F.count_distinct("split").alias("n"), r6(F.sum("length"), "length"))
+    whole = T.to_bifurcating(T.to_multifurcating(shortened(parsed(spark, sf_dir))), 8)
+    return T.splits(whole).select("tree_id", word(), "length")
 
 
 SQUARES = f"{EIGHT}, squares AS (SELECT tree_id, sum(i) AS i, sum(l) AS l FROM (SELECT tree_id, length * length AS i, 0 AS l FROM interior UNION ALL SELECT tree_id, 0, length * length FROM leaf) GROUP BY ALL)"
@@ -245,19 +283,19 @@ def relabel_leaves(spark, sf_dir):
     return T.splits(T.relabel(parsed(spark, sf_dir), [(t * 3 + 1) % 8 for t in range(8)])).select("tree_id", word(), "length")
 
 
-@query(f"{EIGHT} SELECT tree_id, mask, length FROM interior WHERE mask NOT IN (3, 12, 48) UNION ALL SELECT DISTINCT tree_id, 192::bigint, 0.5::double FROM interior")
+@query(f"""{EIGHT} SELECT tree_id, mask, length FROM interior WHERE mask NOT IN (3, 12, 48) UNION ALL
+  SELECT tree_id, 192::bigint, 0.5::double FROM interior GROUP BY tree_id HAVING count(*) FILTER (mask = 192) = 0""")
 def edit_splits(spark, sf_dir):
-    edges = T.splits(parsed(spark, sf_dir)).select("tree_id", word(), "length")
-    gone = spark.createDataFrame([(3,), (12,), (48,)], "mask long")
-    new = edges.select("tree_id").distinct().select("tree_id", F.lit(192).cast("long").alias("mask"), F.lit(0.5).alias("length"))
-    return edges.join(gone, "mask", "left_anti").select("tree_id", "mask", "length").unionByName(new)
+    gone = F.array(*(F.array(F.lit(m).cast("long")) for m in (3, 12, 48)))
+    new = F.array(F.struct(F.array(F.lit(192).cast("long")).alias("split"), F.lit(2).alias("size"), F.lit(0.5).alias("length")))
+    return T.splits(T.edit_splits(parsed(spark, sf_dir), gone, new)).select("tree_id", word(), "length")
 
 
-@query(f"{EIGHT} SELECT tree_id, mask, 2::bigint AS n FROM interior WHERE size = 2 AND tree_id % 3 = 0")
+@query(f"{EIGHT} SELECT sample, tree_id, mask, 2::bigint AS n FROM interior WHERE size = 2 AND tree_id % 3 = 0")
 def duplicate_splits(spark, sf_dir):
-    edges = T.splits(parsed(spark, sf_dir))
-    twice = edges.union(edges.where("size = 2 and tree_id % 3 = 0"))
-    return twice.groupBy("tree_id", "split").agg(F.count("*").alias("n")).where("n > 1").select("tree_id", word(), "n")
+    again = F.when(F.col("tree_id") % 3 == 0, F.filter("splits", lambda x: x["size"] == 2)).otherwise(F.array().cast(T.SPLITS))
+    twice = parsed(spark, sf_dir).withColumn("splits", F.concat("splits", again))
+    return T.duplicate_splits(twice).select("sample", "tree_id", word(), "n")
 
 
 @query("""WITH x AS (SELECT o_orderkey AS tree_id, o_custkey AS sample, o_orderkey % 3 = 0 AS odd FROM orders),
@@ -350,7 +388,7 @@ def incompatible_edges(spark, sf_dir):
     return pairs.select("i", "j", F.explode(P.incompatible_edges(pairs)).alias("x")).select("i", "j", word("x.split"))
 
 
-@query(f"""{PAIRS} SELECT p.i, p.j, a.mask AS a, b.mask AS b FROM pairs p JOIN interior a ON a.tree_id = p.i JOIN interior b ON b.tree_id = p.j AND {CROSS}""")
+@query(f"""{EIGHT} SELECT a.tree_id AS i, b.tree_id AS j, a.mask AS a, b.mask AS b FROM interior a JOIN interior b ON a.sample = b.sample AND a.tree_id < b.tree_id AND {CROSS}""")
 def crossing_matrix(spark, sf_dir):
     return P.crossing_matrix(P.tree_pairs(parsed(spark, sf_dir))).select("i", "j", word("a", "a"), word("b", "b"))
 
@@ -381,7 +419,9 @@ kc AS (SELECT s.sample, s.tree_id, a, b, count(i.mask) AS m, coalesce(sum(i.leng
   UNION ALL SELECT sample, tree_id, taxon, taxon, 1, length FROM leaf)"""
 
 
-@query(f"{KC} SELECT tree_id, a, b, m::double AS m, round(big_m, 6) AS big_m FROM kc WHERE a < b")
+@query(f"""{EIGHT} SELECT tree_id, x.taxon AS a, y.taxon AS b, sum(CASE WHEN (mask & x.bit) <> 0 AND (mask & y.bit) <> 0 THEN 1 ELSE 0 END)::double AS m,
+  round(sum(CASE WHEN (mask & x.bit) <> 0 AND (mask & y.bit) <> 0 THEN length ELSE 0 END), 6) AS big_m
+  FROM interior CROSS JOIN taxa x CROSS JOIN taxa y WHERE x.taxon < y.taxon GROUP BY ALL""")
 def kc_vectors(spark, sf_dir):
     names = [(a, b) for a in range(8) for b in range(a + 1, 8)]
     v = P.kc_vectors(parsed(spark, sf_dir), 8)
@@ -405,15 +445,41 @@ p AS (SELECT a.sample, a.tree_id AS i, b.tree_id AS j, a.m1 AS a1, a.m2 AS a2, a
 lf AS (SELECT a.tree_id AS i, b.tree_id AS j, sum(power(a.length - b.length, 2)) AS leaf2 FROM leaf a JOIN leaf b ON a.sample = b.sample AND a.taxon = b.taxon AND a.tree_id < b.tree_id GROUP BY ALL),
 c AS (SELECT p.*, leaf2, (a1 IN (b1, b2))::int + (a2 IN (b1, b2))::int AS n,
   CASE WHEN a1 = b1 THEN power(x1 - y1, 2) WHEN a1 = b2 THEN power(x1 - y2, 2) ELSE 0 END + CASE WHEN a2 = b1 THEN power(x2 - y1, 2) WHEN a2 = b2 THEN power(x2 - y2, 2) ELSE 0 END AS common2,
-  CASE WHEN a1 IN (b1, b2) THEN x2 ELSE x1 END AS xa, CASE WHEN b1 IN (a1, a2) THEN y2 ELSE y1 END AS yb FROM p JOIN lf USING (i, j)),
-steps AS (SELECT c.*, u.ai, u.ak, u.mk, w.bj, w.bl, w.mj FROM c, LATERAL (SELECT x1 AS ai, x2 AS ak, a2 AS mk UNION ALL SELECT x2, x1, a1) u,
-  LATERAL (SELECT y1 AS bj, y2 AS bl, b1 AS mj UNION ALL SELECT y2, y1, b2) w WHERE n = 0),
-two AS (SELECT i, j, min(power(ai + bj, 2) + power(ak + bl, 2)) AS s, arg_min(ai / (ai + bj), power(ai + bj, 2) + power(ak + bl, 2)) AS f1,
-  arg_min(ak / (ak + bl), power(ai + bj, 2) + power(ak + bl, 2)) AS f2 FROM steps
+  CASE WHEN a1 IN (b1, b2) THEN x2 ELSE x1 END AS xa, CASE WHEN b1 IN (a1, a2) THEN y2 ELSE y1 END AS yb,
+  CASE WHEN a1 IN (b1, b2) THEN a2 ELSE a1 END AS ma, CASE WHEN b1 IN (a1, a2) THEN b2 ELSE b1 END AS mb FROM p JOIN lf USING (i, j)),
+steps AS (SELECT c.*, u.ai, u.mi, u.ak, u.mk, w.bj, w.mj, w.bl, w.ml FROM c, LATERAL (SELECT x1 AS ai, a1 AS mi, x2 AS ak, a2 AS mk UNION ALL SELECT x2, a2, x1, a1) u,
+  LATERAL (SELECT y1 AS bj, b1 AS mj, y2 AS bl, b2 AS ml UNION ALL SELECT y2, b2, y1, b1) w WHERE n = 0),
+two AS (SELECT i, j, min(power(ai + bj, 2) + power(ak + bl, 2)) AS s,
+  arg_min(struct_pack(ai := ai, mi := mi, ak := ak, mk := mk, bj := bj, mj := mj, bl := bl, ml := ml), power(ai + bj, 2) + power(ak + bl, 2)) AS t FROM steps
   WHERE NOT ((mk & mj) <> 0 AND (mk & mj) <> mk AND (mk & mj) <> mj) AND round(ai * 1000) * round(bl * 1000) < round(ak * 1000) * round(bj * 1000) GROUP BY i, j),
-geo AS (SELECT c.*, two.s IS NOT NULL AS stepped, f1, f2, sqrt(x1 * x1 + x2 * x2) AS na, sqrt(y1 * y1 + y2 * y2) AS nb,
+geo AS (SELECT c.*, two.s IS NOT NULL AS stepped, t.ai, t.mi, t.ak, t.mk, t.bj, t.mj, t.bl, t.ml, t.ai / (t.ai + t.bj) AS f1, t.ak / (t.ak + t.bl) AS f2,
+  sqrt(x1 * x1 + x2 * x2) AS na, sqrt(y1 * y1 + y2 * y2) AS nb,
   CASE n WHEN 2 THEN 0 WHEN 1 THEN power(xa + yb, 2) ELSE coalesce(two.s, power(sqrt(x1 * x1 + x2 * x2) + sqrt(y1 * y1 + y2 * y2), 2)) END AS part2 FROM c LEFT JOIN two USING (i, j))"""
 
+# a row for each edge: of the ratios (r from 0, side a dropped, side b added), and of what both trees have (leaves too)
+PARTS = f"""{GEO}, sup AS (SELECT i, j, 0 AS r, xa AS na, yb AS nb, unnest(['a', 'b']) AS side, unnest([ma, mb]) AS mask, unnest([xa, yb]) AS length FROM geo WHERE n = 1
+  UNION ALL SELECT i, j, 0, na, nb, unnest(['a', 'a', 'b', 'b']), unnest([a1, a2, b1, b2]), unnest([x1, x2, y1, y2]) FROM geo WHERE n = 0 AND NOT stepped
+  UNION ALL SELECT i, j, unnest([0, 0, 1, 1]), unnest([ai, ai, ak, ak]), unnest([bj, bj, bl, bl]), unnest(['a', 'b', 'a', 'b']), unnest([mi, mj, mk, ml]), unnest([ai, bj, ak, bl])
+  FROM geo WHERE n = 0 AND stepped),
+com AS (SELECT i, j, a1 AS mask, x1 AS l1, CASE WHEN a1 = b1 THEN y1 ELSE y2 END AS l2 FROM geo WHERE a1 IN (b1, b2)
+  UNION ALL SELECT i, j, a2, x2, CASE WHEN a2 = b1 THEN y1 ELSE y2 END FROM geo WHERE a2 IN (b1, b2)),
+lv AS (SELECT a.tree_id AS i, b.tree_id AS j, cast(1 << a.taxon AS bigint) AS mask, a.length AS l1, b.length AS l2 FROM leaf a
+  JOIN leaf b ON a.sample = b.sample AND a.taxon = b.taxon AND a.tree_id < b.tree_id),
+shared AS (SELECT * FROM com UNION ALL SELECT * FROM lv),
+lim AS (SELECT DISTINCT i, j, r, round(na / (na + nb), 10) AS pos FROM sup)"""
+
+
+def trees_sql(places: str, more: str = "") -> str:
+    """Edges of the trees at the places (i, j, pos) of the pairs' geodesics."""
+    return f"""{PARTS}, q AS ({places}), tree AS (SELECT i, j, pos, mask, (1 - pos) * l1 + pos * l2 AS length FROM q JOIN shared USING (i, j)
+  UNION ALL SELECT i, j, pos, mask, CASE side WHEN 'a' THEN length * ((1 - pos) * na - pos * nb) / na ELSE length * (pos * nb - (1 - pos) * na) / nb END FROM q JOIN sup USING (i, j))
+SELECT i, j, {more}round(pos + 1e-9, 6) AS pos, mask, round(length + 1e-9, 6) AS length FROM tree WHERE length > 1e-9"""
+
+
+def edges_at(trees: DataFrame, *more: str) -> DataFrame:
+    rows = all_edges(trees, "i", "j", "at", *more).where("length > 1e-9")
+    return rows.select("i", "j", *more, n6(F.col("at"), "pos"), "mask", n6(F.col("length"), "length"))
+
 
 def _geo(spark, sf_dir, taxa: int = 4, strict: bool = False) -> DataFrame:
     return G.geodesics(P.tree_pairs(parsed(spark, sf_dir, taxa)), taxa, strict)
@@ -430,7 +496,7 @@ own AS (SELECT i, j, mask FROM p JOIN interior a ON a.tree_id = i WHERE NOT EXIS
 SELECT o.i, o.j, o.mask, coalesce(arg_min(s.mask, s.size), 0) AS part FROM own o LEFT JOIN shared s ON s.i = o.i AND s.j = o.j AND (s.mask & o.mask) = o.mask GROUP BY ALL""")
 def geo_decompose(spark, sf_dir):
     found = _geo(spark, sf_dir, 8).select("i", "j", F.explode("supports").alias("s"))
-    return found.select("i", "j", F.explode("s.a").alias("e"), F.col("s.part").alias("part")).select("i", "j", word("e.split"), "part")
+    return found.select("i", "j", F.explode("s.a").alias("e"), F.col("s.part").alias("part")).select("i", "j", word("e.split"), word("part", "part"))
 
 
 @query(f"{GEO} SELECT i, j, (CASE WHEN n = 2 THEN 0 WHEN n = 1 THEN 1 WHEN stepped THEN 2 ELSE 1 END)::bigint AS n_ratios FROM geo")
@@ -455,52 +521,56 @@ def geodesic_report(spark, sf_dir):
     return _geo(spark, sf_dir, strict=True).select("i", "j", G.report().alias("report"))
 
 
-@query(f"{GEO} SELECT i, j, (CASE WHEN n = 2 THEN 1 WHEN stepped THEN 3 ELSE 2 END)::bigint AS n_topologies FROM geo")
+@query(f"""{PARTS}, q AS (SELECT i, j, unnest(range(CASE WHEN n = 2 THEN 1 WHEN stepped THEN 3 ELSE 2 END)) AS leg FROM geo),
+e AS (SELECT i, j, mask, 0 AS f, 99 AS t FROM com UNION ALL SELECT i, j, mask, CASE side WHEN 'a' THEN 0 ELSE r + 1 END, CASE side WHEN 'a' THEN r ELSE 99 END FROM sup)
+SELECT q.i, q.j, cast(leg AS int) AS leg, round(coalesce(lo.pos, 0) + 1e-9, 6) AS low, round(coalesce(hi.pos, 1) + 1e-9, 6) AS high, mask
+FROM q JOIN e ON e.i = q.i AND e.j = q.j AND leg BETWEEN f AND t LEFT JOIN lim lo ON lo.i = q.i AND lo.j = q.j AND lo.r = leg - 1
+LEFT JOIN lim hi ON hi.i = q.i AND hi.j = q.j AND hi.r = leg""")
 def geodesic_legs(spark, sf_dir):
-    return _geo(spark, sf_dir, strict=True).select("i", "j", (F.size(G.limits()) - 1).cast("long").alias("n_topologies"))
-
-
-LEAF_SUMS = f"{FOUR}, s AS (SELECT sample, tree_id, sum(length) AS s FROM leaf GROUP BY ALL)"
+    legs = G.legs(_geo(spark, sf_dir, strict=True))
+    return legs.select("i", "j", "leg", n6(F.col("low"), "low"), n6(F.col("high"), "high"), F.explode("splits").alias("s")).select("i", "j", "leg", "low", "high", word("s"))
 
 
-@query(f"{LEAF_SUMS} SELECT a.tree_id AS i, b.tree_id AS j, round(0.75 * a.s + 0.25 * b.s, 6) AS leaves FROM s a JOIN s b ON a.sample = b.sample AND a.tree_id < b.tree_id")
+@query(trees_sql("SELECT i, j, 0.3::double AS pos FROM geo"))
 def tree_at(spark, sf_dir):
-    at = G.tree_at(_geo(spark, sf_dir).withColumn("at", F.lit(0.25)), "at")
-    return at.select("i", "j", r6(F.aggregate(F.transform("leaves", lambda x: x["length"]), F.lit(0.0), lambda a, x: a + x), "leaves"))
+    return edges_at(G.tree_at(_geo(spark, sf_dir).withColumn("at", F.lit(0.3)), "at"))
 
 
-@query(f"""{LEAF_SUMS}, k AS (SELECT * FROM (VALUES (0.25), (0.5), (0.75)) AS t(pos)) SELECT a.tree_id AS i, b.tree_id AS j, pos::double AS pos, 2::bigint AS n_edges,
-  round((1 - pos::double) * a.s + pos::double * b.s, 6) AS leaves FROM s a JOIN s b ON a.sample = b.sample AND a.tree_id < b.tree_id CROSS JOIN k""")
+@query(trees_sql("SELECT i, j, unnest([0.25, 0.5, 0.75])::double AS pos FROM geo", "2::bigint AS n_edges, "))
 def path_trees(spark, sf_dir):
     path = W.path_trees(_geo(spark, sf_dir), 5, fixtures.labels(4))
-    return path.select("i", "j", F.col("at").alias("pos"), F.size("splits").cast("long").alias("n_edges"), r6(F.aggregate(F.transform("leaves", lambda x: x["length"]), F.lit(0.0), lambda a, x: a + x), "leaves"))
+    return edges_at(path.withColumn("n_edges", F.size("splits").cast("long")), "n_edges")
 
 
-@query(f"{GEO} SELECT i, j, count(*) AS n FROM (SELECT i, j, unnest(range(CASE WHEN n = 2 THEN 0 WHEN stepped THEN 2 ELSE 1 END)) FROM geo) GROUP BY i, j")
+@query(trees_sql("SELECT i, j, pos FROM lim"))
 def boundary_trees(spark, sf_dir):
-    rows = _geo(spark, sf_dir, strict=True).withColumn("at", F.explode(F.transform("supports", G.limit)))
-    return G.tree_at(rows, "at").groupBy("i", "j").agg(F.count("*").alias("n"))
+    return edges_at(G.tree_at(_geo(spark, sf_dir, strict=True).withColumn("at", F.explode(F.transform("supports", G.limit))), "at"))
 
 
-@query(f"""{GEO} SELECT i, j, round(CASE WHEN n = 2 THEN NULL WHEN stepped THEN (f1 + f2) / 2 END, 6) AS at FROM geo WHERE n < 2 AND stepped""")
+@query(trees_sql("SELECT i, j, avg(pos) AS pos FROM lim GROUP BY i, j HAVING count(*) = 2"))
 def mid_orthant_trees(spark, sf_dir):
-    g = _geo(spark, sf_dir, strict=True)
     inner = F.zip_with(F.slice(G.limits(), F.lit(2), F.greatest(F.size("supports") - 1, F.lit(0))), F.slice(G.limits(), F.lit(3), F.greatest(F.size("supports") - 1, F.lit(0))), lambda a, b: (a + b) / 2)
-    return G.tree_at(g.withColumn("at", F.explode(inner)), "at").select("i", "j", r6(F.col("at"), "at"))
+    return edges_at(G.tree_at(_geo(spark, sf_dir, strict=True).withColumn("at", F.explode(inner)), "at"))
 
 
-@query(f"{GEO} SELECT j AS i, i AS j, round(sqrt(leaf2 + common2 + part2), 6) AS d FROM geo")
+@query(f"""{PARTS} SELECT j AS i, i AS j, cast(CASE WHEN stepped THEN 1 - r ELSE r END AS int) AS place, round(s.nb / (s.na + s.nb) + 1e-9, 6) AS pos,
+  CASE side WHEN 'a' THEN 'added' ELSE 'dropped' END AS step, mask, length FROM sup s JOIN geo USING (i, j)""")
 def reverse_geodesic(spark, sf_dir):
-    return G.reverse(_geo(spark, sf_dir)).select("i", "j", r6(G.distance(), "d"))
+    back = G.reverse(_geo(spark, sf_dir, strict=True)).select("i", "j", F.posexplode("supports").alias("place", "s"))
+    sides = F.explode(F.array(*(F.struct(F.lit(step).alias("step"), F.col(f"s.{side}").alias("e")) for step, side in (("dropped", "a"), ("added", "b")))))
+    rows = back.select("i", "j", "place", n6(G.limit(F.col("s")), "pos"), sides.alias("x"))
+    return rows.select("i", "j", "place", "pos", "x.step", F.explode("x.e").alias("e")).select("i", "j", "place", "pos", "step", word("e.split"), "e.length")
 
 
-@query(f"{GEO} SELECT i, j FROM geo WHERE false")
+@query(f"{GEO} SELECT i, j, round(sqrt(leaf2 + common2 + part2) + 1e-9, 6) AS d1, 1000::bigint AS off FROM geo WHERE (i + j) % 11 = 0")
 def distance_double_check(spark, sf_dir):
     there = P.tree_pairs(parsed(spark, sf_dir, 4))
     back = there.select("sample", F.col("j").alias("i"), F.col("i").alias("j"), F.col("b_splits").alias("a_splits"), F.col("a_splits").alias("b_splits"), F.col("b_leaves").alias("a_leaves"), F.col("a_leaves").alias("b_leaves"))
-    a = G.geodesics(there, 4).select("i", "j", F.round(G.distance(), 9).alias("d"))
-    b = G.geodesics(back, 4).select(F.col("j").alias("i"), F.col("i").alias("j"), F.round(G.distance(), 9).alias("d"))
-    return P.differing(a, b, ["i", "j"]).select("i", "j")
+    # both ways are held against each other at ten decimals; every eleventh pair is off by a planted error
+    wrong = F.when((F.col("i") + F.col("j")) % 11 == 0, F.lit(1e-6)).otherwise(0.0)
+    a = G.geodesics(there, 4).select("i", "j", F.round(G.distance(), 12).alias("d"))
+    b = G.geodesics(back, 4).select(F.col("j").alias("i"), F.col("i").alias("j"), F.round(G.distance() + wrong, 12).alias("d"))
+    return P.differing(a, b, ["i", "j"]).select("i", "j", n6(F.col("d1"), "d1"), F.round((F.col("d2") - F.col("d1")) * 1e9).cast("long").alias("off"))
 
 
 @query(f"{UNROOTED} SELECT i, j FROM wrf WHERE (i + j) % 7 = 0")
@@ -510,17 +580,23 @@ def compare_distances(spark, sf_dir):
     return P.differing(d, other, ["i", "j"]).select("i", "j")
 
 
-@query(f"{GEO}, x AS (SELECT i, j, sqrt(leaf2 + common2 + part2) AS d FROM geo) SELECT i, j, round(d, 6) AS d, true AS as_long FROM x")
+@query(f"""{PARTS} SELECT i, j, mask, round(l2 - l1 + 1e-9, 6) AS x FROM shared UNION ALL
+  SELECT i, j, mask, round(-length * (na + nb) / na + 1e-9, 6) FROM sup WHERE side = 'a'""")
 def log_map(spark, sf_dir):
     m = G.log_map(_geo(spark, sf_dir))
-    total = F.aggregate(F.transform("edges", lambda x: x["x"] * x["x"]), F.lit(0.0), lambda a, x: a + x) + F.aggregate(F.transform("leaf", lambda x: x * x), F.lit(0.0), lambda a, x: a + x)
-    return m.select("i", "j", r6(F.col("d"), "d"), (F.abs(F.sqrt(total) - F.col("d")) < 1e-9).alias("as_long"))
+    leaf = F.transform("leaf", lambda x, k: F.struct(F.pow(F.lit(2), k).cast("long").alias("mask"), x.alias("x")))
+    edges = F.transform("edges", lambda e: F.struct(F.get(e["split"], F.lit(0)).alias("mask"), e["x"].alias("x")))
+    return m.select("i", "j", F.explode(F.concat(edges, leaf)).alias("e")).select("i", "j", "e.mask", n6(F.col("e.x"), "x"))
 
 
-@query(f"{LEAF_SUMS} SELECT a.tree_id AS i, b.tree_id AS j, round(b.s - a.s, 6) AS leaves FROM s a JOIN s b ON a.sample = b.sample AND a.tree_id < b.tree_id")
+@query(f"""{PARTS}, first AS (SELECT g.i, g.j, coalesce(min(pos), 1) AS f FROM geo g LEFT JOIN lim l ON l.i = g.i AND l.j = g.j GROUP BY g.i, g.j)
+SELECT i, j, mask, round((l2 - l1) * f + 1e-9, 6) AS x FROM shared JOIN first USING (i, j) UNION ALL
+  SELECT i, j, mask, round(-length * f * (na + nb) / na + 1e-9, 6) FROM sup JOIN first USING (i, j) WHERE side = 'a'""")
 def direction_vector(spark, sf_dir):
-    g = _geo(spark, sf_dir)
-    return g.select("i", "j", r6(F.aggregate(F.transform("leaf", lambda x: x["l2"] - x["l1"]), F.lit(0.0), lambda a, x: a + x), "leaves"))
+    m = G.direction_vector(_geo(spark, sf_dir))
+    leaf = F.transform("leaf", lambda e: F.struct(F.pow(F.lit(2), e["taxon_id"]).cast("long").alias("mask"), e["x"].alias("x")))
+    edges = F.transform("edges", lambda e: F.struct(F.get(e["split"], F.lit(0)).alias("mask"), e["x"].alias("x")))
+    return m.select("i", "j", F.explode(F.concat(edges, leaf)).alias("e")).select("i", "j", "e.mask", n6(F.col("e.x"), "x"))
 
 
 @query()
@@ -574,24 +650,32 @@ def compare_external(spark, sf_dir):
     return S.compare(scored(spark, sf_dir), scored(spark, sf_dir)).select("sample", "tree_id", "lnl", r6(F.col("less"), "less"))
 
 
-@query(f"{LENGTHS} SELECT least(cast(floor(length / 0.1) AS bigint), 12) AS bucket, count(*) AS n FROM lengths GROUP BY ALL")
+@query(f"""{SHORT}, whole AS (SELECT tree_id, round(sum(length), 6) AS length, 0 AS k FROM (SELECT tree_id, length FROM interior UNION ALL SELECT tree_id, length FROM leaf) GROUP BY tree_id
+  UNION ALL SELECT tree_id, round(sum(length), 6), 1 FROM (SELECT tree_id, length FROM short UNION ALL SELECT tree_id, length FROM leaf) GROUP BY tree_id)
+SELECT least(cast(floor(length / 0.1) AS bigint), 12) AS bucket, count(*) FILTER (k = 0) AS n_before, count(*) FILTER (k = 1) AS n_after FROM whole GROUP BY ALL""")
 def length_before_after(spark, sf_dir):
-    return S.length_histogram(parsed(spark, sf_dir), 0.1, 12)
+    before = parsed(spark, sf_dir)
+    return S.lengths_before_after(before, shortened(before), 0.1, 12)
 
 
-@query("SELECT o_custkey AS sample, count(*) AS n, true AS valid FROM orders GROUP BY o_custkey")
+@query("SELECT o_custkey AS sample, 25::bigint AS n, 25::bigint AS draws, true AS valid FROM orders GROUP BY o_custkey")
 def resample_trees(spark, sf_dir):
     trees = fixtures.trees(spark, sf_dir)
-    drawn = S.resample(trees, seed=7)
+    drawn = S.resample(trees, seed=7, n=25)
     known = trees.select("sample", "tree_id", F.lit(True).alias("known"))
-    return drawn.join(known, ["sample", "tree_id"], "left").groupBy("sample").agg(F.count("*").alias("n"), F.bool_and(F.coalesce("known", F.lit(False))).alias("valid"))
+    valid = F.bool_and(F.coalesce("known", F.lit(False)))
+    return drawn.join(known, ["sample", "tree_id"], "left").groupBy("sample").agg(F.count("*").alias("n"), F.count_distinct("draw").alias("draws"), valid.alias("valid"))
 
 
-@query("SELECT o_orderkey AS tree_id, 8::bigint AS n_leaves, 6::bigint AS n_edges, round(1 + o_orderkey % 9, 6)::double AS length FROM orders")
+@query("SELECT o_orderkey AS tree_id, 8::bigint AS n_leaves, 6::bigint AS n_edges, 0::bigint AS n_crossing, 127::bigint AS clade_of_seven, true AS in_range FROM orders")
 def random_trees(spark, sf_dir):
-    keys = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.lit(0).cast("long").alias("sample"), F.col("o_orderkey").alias("tree_id"), (1.0 + F.col("o_orderkey") % 9).alias("total"))
-    made = T.parse_newick(S.random_trees(keys, LABELS, seed=3), LABELS, keep_zero=True)
-    return made.select("tree_id", F.size("leaves").cast("long").alias("n_leaves"), F.size("splits").cast("long").alias("n_edges"), r6(T.tree_length(), "length"))
+    keys = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.lit(0).cast("long").alias("sample"), F.col("o_orderkey").alias("tree_id"))
+    made = T.parse_newick(S.random_trees(keys, LABELS, seed=3, outgroup="T7", p_distance=0.25), LABELS, keep_zero=True)
+    crossing = F.expr("size(filter(flatten(transform(splits, x -> transform(splits, y -> (x.split[0] & y.split[0]) not in (0, x.split[0], y.split[0])))), z -> z))")
+    return made.select(
+        "tree_id", F.size("leaves").cast("long").alias("n_leaves"), F.size("splits").cast("long").alias("n_edges"), crossing.cast("long").alias("n_crossing"),
+        F.array_max(F.transform("splits", lambda x: F.get(x["split"], F.lit(0)))).alias("clade_of_seven"), F.round(T.tree_length(), 6).between(0.05, 25).alias("in_range"),
+    )
 
 
 # Landscape
@@ -604,27 +688,60 @@ def _distances(spark, sf_dir) -> DataFrame:
     return saved(_wrf(spark, sf_dir).withColumn("d", F.round("d", 6)), "distances")
 
 
-@query(f"{SQUARE} SELECT s.sample, s.i, s.j, round(-0.5 * (d * d - a.r - b.r + w), 6) + 0.0 AS k FROM sq s JOIN rows_ a ON a.sample = s.sample AND a.i = s.i JOIN rows_ b ON b.sample = s.sample AND b.i = s.j JOIN whole w ON w.sample = s.sample")
+@query(f"{SQUARE} SELECT s.sample, s.i, s.j, round(-0.5 * (d * d - a.r - b.r + w) + 1e-9, 6) + 0.0 AS k FROM sq s JOIN rows_ a ON a.sample = s.sample AND a.i = s.i JOIN rows_ b ON b.sample = s.sample AND b.i = s.j JOIN whole w ON w.sample = s.sample")
 def mds_gram(spark, sf_dir):
-    return M.gram(_distances(spark, sf_dir)).select("sample", "i", "j", r6(F.col("k"), "k"))
+    return M.gram(_distances(spark, sf_dir)).select("sample", "i", "j", n6(F.col("k"), "k"))
 
 
-@query(f"{SQUARE} SELECT DISTINCT sample, i AS tree_id FROM sq")
+@query()
 def mds_coords(spark, sf_dir):
-    return M.coordinates(_distances(spark, sf_dir)).select("sample", "tree_id")
+    found = M.coordinates(_distances(spark, sf_dir))
+    return found.select("sample", "tree_id", r6(F.col("x")[0], "x"), r6(F.col("x")[1], "y"))
 
 
-@query(f"{UNROOTED} SELECT sample, i, j, true AS shorter FROM wrf")
+@query()
 def mds_distances(spark, sf_dir):
-    d = _distances(spark, sf_dir)
-    e = M.embedded_distances(M.coordinates(d)).withColumnRenamed("d", "e")
-    return d.join(e, ["sample", "i", "j"]).select("sample", "i", "j", (F.col("e") >= 0).alias("shorter"))
+    e = M.embedded_distances(M.coordinates(_distances(spark, sf_dir)))
+    return e.select("sample", "i", "j", r6(F.col("d"), "d"))
 
 
-@query(f"{SQUARE} SELECT sample, count(*) AS n FROM sq GROUP BY sample")
+@query()
 def mds_validation(spark, sf_dir):
     d = _distances(spark, sf_dir)
-    return M.validation(d, M.embedded_distances(M.coordinates(d))).select("sample", "n")
+    found = M.validation(d, M.embedded_distances(M.coordinates(d)))
+    return found.select("sample", "n", r6(F.col("pearson"), "pearson"), r6(F.col("spearman"), "spearman"), r6(F.col("kendall"), "kendall"))
+
+
+# A plain map that SQL can draw as well: interior length across, leaf length up. Both are whole thousandths.
+PLAIN = f"""{UNROOTED}, plain AS (SELECT sample, tree_id, sum(x)::bigint AS x, sum(y)::bigint AS y FROM (SELECT sample, tree_id, cast(round(length * 1000) AS bigint) AS x, 0 AS y FROM interior
+  UNION ALL SELECT sample, tree_id, 0, cast(round(length * 1000) AS bigint) FROM leaf) GROUP BY ALL)"""
+
+
+def _plain(spark, sf_dir) -> DataFrame:
+    whole = lambda name: F.aggregate(F.transform(name, lambda x: F.round(x["length"] * 1000)), F.lit(0.0), lambda a, x: a + x)
+    return parsed(spark, sf_dir).select("sample", "tree_id", F.array(whole("splits"), whole("leaves")).alias("x"))
+
+
+@query(f"""{PLAIN} SELECT a.sample, a.tree_id AS i, b.tree_id AS j, round(sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)) + 1e-9, 6) AS d
+FROM plain a JOIN plain b ON a.sample = b.sample AND a.tree_id < b.tree_id""")
+def map_distances(spark, sf_dir):
+    return M.embedded_distances(_plain(spark, sf_dir)).select("sample", "i", "j", n6(F.col("d"), "d"))
+
+
+@query(f"""{PLAIN}, half AS (SELECT w.sample, w.i, w.j, cast(round(w.d * 1000) AS bigint) AS d, power(a.x - b.x, 2) + power(a.y - b.y, 2) AS e FROM wrf w
+  JOIN plain a ON a.tree_id = w.i JOIN plain b ON b.tree_id = w.j),
+diag AS (SELECT sample, count(DISTINCT i) AS n FROM (SELECT sample, unnest([i, j]) AS i FROM half) GROUP BY sample),
+full_ AS (SELECT sample, d, e FROM half UNION ALL SELECT sample, d, e FROM half UNION ALL SELECT sample, 0, 0 FROM diag, LATERAL (SELECT unnest(range(n)))),
+ranked AS (SELECT sample, d, e, sqrt(e) AS f, rank() OVER (PARTITION BY sample ORDER BY d) + (count(*) OVER (PARTITION BY sample, d) - 1) / 2 AS rd,
+  rank() OVER (PARTITION BY sample ORDER BY e) + (count(*) OVER (PARTITION BY sample, e) - 1) / 2 AS re, row_number() OVER (PARTITION BY sample ORDER BY d, e) AS k FROM full_),
+tau AS (SELECT a.sample, sum(sign(a.d - b.d) * sign(a.e - b.e)) / sqrt(sum(abs(sign(a.d - b.d))) * sum(abs(sign(a.e - b.e)))) AS kendall
+  FROM ranked a JOIN ranked b ON a.sample = b.sample AND a.k < b.k GROUP BY a.sample)
+SELECT sample, count(*) AS n, round(corr(d, f) + 1e-9, 6) AS pearson, round(corr(rd, re) + 1e-9, 6) AS spearman, round(any_value(kendall) + 1e-9, 6) AS kendall
+FROM ranked LEFT JOIN tau USING (sample) GROUP BY sample""")
+def map_validation(spark, sf_dir):
+    d = _wrf(spark, sf_dir).withColumn("d", F.round(F.col("d") * 1000))
+    found = M.validation(d, M.embedded_distances(_plain(spark, sf_dir)))
+    return found.select("sample", "n", n6(F.col("pearson"), "pearson"), n6(F.col("spearman"), "spearman"), n6(F.col("kendall"), "kendall"))
 
 
 @query()
@@ -633,15 +750,24 @@ def shepard_curve(spark, sf_dir):
     return M.shepard(d, M.embedded_distances(M.coordinates(d)))
 
 
-@query()
+# A point is outside a hull's interior when the directions to the sample's points leave a gap of half a turn or more.
+GAPS = """rays AS (SELECT q.sample, q.tree_id, atan2((p.y - q.y)::double, (p.x - q.x)::double) AS a FROM q JOIN plain p ON p.sample = q.sample AND (p.x <> q.x OR p.y <> q.y)),
+turns AS (SELECT sample, tree_id, a, lead(a) OVER w AS b, first_value(a) OVER w AS f FROM rays WINDOW w AS (PARTITION BY sample, tree_id ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+gaps AS (SELECT sample, tree_id, max(coalesce(b, f + 2 * pi()) - a) AS gap FROM turns GROUP BY ALL)"""
+
+
+@query(f"""{PLAIN}, q AS (SELECT sample, min(tree_id) AS tree_id, x, y FROM plain GROUP BY sample, x, y), {GAPS}
+SELECT sample, q.x::double AS px, q.y::double AS py FROM q LEFT JOIN gaps USING (sample, tree_id) WHERE gap > pi() + 1e-9 OR gap IS NULL""")
 def convex_hull(spark, sf_dir):
-    return M.hull(M.coordinates(_distances(spark, sf_dir))).select("sample", "tree_id", "place")
+    return M.hull(_plain(spark, sf_dir)).select("sample", "px", "py")
 
 
-@query(f"{SQUARE} SELECT DISTINCT sample, i AS tree_id, true AS inside FROM sq")
+@query(f"""{PLAIN}, q AS (SELECT sample, tree_id, x + 7 AS x, y - 3 AS y FROM plain), {GAPS}
+SELECT q.sample, q.tree_id, coalesce(gap <= pi() + 1e-9, false) OR EXISTS (SELECT 1 FROM plain p WHERE p.sample = q.sample AND p.x = q.x AND p.y = q.y) AS inside
+FROM q LEFT JOIN gaps ON gaps.sample = q.sample AND gaps.tree_id = q.tree_id""")
 def point_in_hull(spark, sf_dir):
-    coords = saved(M.coordinates(_distances(spark, sf_dir)), "coords")
-    points = coords.select("sample", "tree_id", F.col("x")[0].alias("px"), F.col("x")[1].alias("py"))
+    coords = saved(_plain(spark, sf_dir), "coords")
+    points = coords.select("sample", "tree_id", (F.col("x")[0] + 7).alias("px"), (F.col("x")[1] - 3).alias("py"))
     return M.inside(points, M.hull(coords)).select("sample", "tree_id", "inside")
 
 
@@ -661,12 +787,14 @@ def job_boundary(spark, sf_dir):
 
 @query()
 def job_explore(spark, sf_dir):
-    return W.explore(parsed(spark, sf_dir), fixtures.cells(spark, sf_dir), LABELS)
+    trees = parsed(spark, sf_dir)
+    external = T.normalize(trees.groupBy("sample").agg(F.min_by(F.struct("tree_id", "splits", "leaves"), "tree_id").alias("t")).select("sample", "t.*"))
+    return W.explore(trees, fixtures.cells(spark, sf_dir), LABELS, external)
 
 
 @query()
 def job_iterate(spark, sf_dir):
-    return W.iterate(parsed(spark, sf_dir), fixtures.cells(spark, sf_dir), LABELS, paths=[3, 3], kept=[4, 4])
+    return W.iterate(parsed(spark, sf_dir), fixtures.cells(spark, sf_dir), LABELS, paths=[3, 4], kept=[4], rounds=2)
 
 
 @query()
