@@ -9,36 +9,62 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dendrolake.llm import nbsvm, packing, pii, quality_rules, queries, simhash
-from dendrolake.llm.common import saved, table
+from dendrolake.llm.common import saved, table, unused
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, learned from the labelled ones among them, does not reject."""
+    """Documents that the classifier, learned from the labelled ones among them, does not reject.
+
+    Null and empty texts get the score of no words; repeated rows are scored alike; null ids are never labelled. All
+    columns stay, whatever their names. An empty table gives no rows.
+    """
     model = nbsvm.fit(queries.labelled_quality(spark, docs, sf_dir))
-    return nbsvm.score(docs, model, score_col="_score").where(F.col("_score") >= queries.KEEP_SCORE).drop("_score")
+    (score,) = unused(docs, "score")
+    return nbsvm.score(docs, model, score_col=score).where(F.col(score) >= queries.KEEP_SCORE).drop(score)
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the fixed rules and the likelihood ratio."""
+    """Documents that pass the fixed rules and the likelihood ratio.
+
+    Null and empty texts go (they have under 20 words). Repeated rows are judged alike, null ids like others. All
+    columns stay, whatever their names. An empty table gives no rows.
+    """
     return quality_rules.keep_good(docs, queries.trusted_documents(spark, sf_dir))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that of the smallest id."""
-    groups = simhash.near_duplicates(docs)
-    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"))
-    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"]).select(*docs.columns)  # a repeated row is a copy too
+    """One document of each group of near copies: that of the smallest id.
+
+    Null, empty and blank texts are copies of each other. Of rows with the same id and text one stays; where an id
+    comes with several texts, the one that belongs to the group of that id stays. Rows without an id stay only where
+    their whole group has none. All columns stay, whatever their names. An empty table gives no rows.
+    """
+    # the id as text, with a mark for null, and a hash of the text: what rows are joined and told apart by, in one shuffle
+    names = unused(docs, "known", "name", "key")
+    as_keys = lambda key: dict(zip(names, (F.col("doc_id").isNotNull(), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), key)))
+    groups = simhash.near_duplicates(docs, text_key=True)
+    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "component_id").agg(F.min("text_key").alias("text_key"))
+    first = first.withColumns(as_keys(F.col("text_key"))).select(*names)
+    keyed = docs.withColumns(as_keys(F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))))
+    return keyed.join(first.hint("merge"), names, "left_semi").dropDuplicates(names).drop(*names)  # a repeated row is a copy too
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data and terms that disclose it replaced; ``n_chars`` follows the text."""
+    """All documents, with personal data and terms that disclose it replaced; ``n_chars`` follows the text.
+
+    Null texts stay null; empty ones, repeated rows, null ids and all columns, whatever their names, stay. An empty
+    table gives no rows.
+    """
     clean = pii.sanitise(docs)
-    return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return clean.withColumn("n_chars", F.length("text").cast("long")).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' pieces in training sequences."""
+    """The documents' pieces in training sequences.
+
+    A null or empty text is one end token. Repeated rows are packed as often as they come, null ids too. Other columns
+    are not used. An empty table gives no rows.
+    """
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
