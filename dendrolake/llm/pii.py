@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import let, saved, unused
 
 KINDS = ["email", "ip", "card", "phone"]
 TERM = "term"
@@ -26,8 +26,10 @@ _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 
 #: Distinct texts in which a term and an entity must meet before the corpus says anything about them.
 SUPPORT = 2
-#: Buckets of hashed terms; bounds the table that is broadcast to pass over words that disclose nothing.
-TERM_BUCKETS = 1 << 20
+#: Bits of the set of hashed terms that each task has, to pass over words that cannot be one of them: a fixed size.
+TERM_BITS = 1 << 20
+#: Matches and characters of a block: places and texts are worked out block by block, so that no step copies a whole.
+_MATCHES, _CHARACTERS = 64, 4096
 #: Share of an entity's information content that a term may disclose.
 DISCLOSURE = 0.9
 
@@ -58,20 +60,36 @@ def _valid(kind: str, m: Column) -> Column:
 
 
 def _located(text: Column, pattern: Column) -> Column:
-    """Array of (start, end, value) of all matches, in code points."""
+    """Array of (start, end, value) of all matches, in code points: sums of lengths within blocks of matches and over
+    the blocks before."""
     gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0))
+    zero = F.lit(0).cast("long")
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["pos"] + F.length(x["gap"]).cast("long")
-        end = start + F.length(x["hit"]).cast("long")
-        return F.struct(
-            end.alias("pos"), F.array_append(acc["out"], F.struct(start.alias("s"), end.alias("e"), x["hit"].alias("v"))).alias("out")
-        )
+    def long(xs: Column) -> Column:
+        return F.aggregate(xs, zero, lambda a, x: a + x["g"] + x["n"])
 
-    pairs = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(hits)).alias("gap"), hits.alias("hit"))
-    empty = F.array().cast("array<struct<s:bigint,e:bigint,v:string>>")
-    first = F.struct(F.lit(0).cast("long").alias("pos"), empty.alias("out"))
-    return F.aggregate(pairs, first, step, lambda acc: acc["out"])
+    def placed(found: Column, sums: Column, b: Column) -> Column:
+        before = F.aggregate(F.slice(sums, F.lit(1), b), zero, lambda a, x: a + x)
+
+        def at(start: Column, own: Column) -> Column:
+            def one(x: Column, i: Column) -> Column:
+                return let(start + long(F.slice(own, F.lit(1), i)) + x["g"], lambda s: F.struct(s.alias("s"), (s + x["n"]).alias("e"), x["v"].alias("v")))
+
+            return F.transform(own, one)
+
+        return let(before, lambda start: let(F.slice(found, b * _MATCHES + 1, F.lit(_MATCHES)), lambda own: at(start, own)))
+
+    def blocks(found: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(found) / _MATCHES).cast("int") - 1, F.lit(0)))
+        sums = F.transform(numbers, lambda b: long(F.slice(found, b * _MATCHES + 1, F.lit(_MATCHES))))
+        return let(sums, lambda own: F.flatten(F.transform(numbers, lambda b: placed(found, own, b))))
+
+    def zipped(hits: Column, gaps: Column) -> Column:
+        pairs = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(hits)).alias("gap"), hits.alias("hit"))
+        size = lambda x: F.length(x).cast("long")
+        return F.transform(pairs, lambda x: F.struct(size(x["gap"]).alias("g"), size(x["hit"]).alias("n"), x["hit"].alias("v")))
+
+    return let(let(hits, lambda h: let(gaps, lambda g: zipped(h, g))), blocks)
 
 
 SPAN = "array<struct<s:bigint,k:int,e:bigint,v:string>>"
@@ -93,17 +111,34 @@ _MASK = "\ue000"
 _NO_WORD = rf"(?<![\p{{L}}\p{{N}}{_MASK}])", rf"(?![\p{{L}}\p{{N}}{_MASK}])"
 
 
-def _masked(text: Column, spans: Column) -> Column:
-    """The text with its length kept and its base spans blotted out."""
+def _rewritten(text: Column, spans: Column, cover) -> Column:
+    """The text with each span's characters replaced by what ``cover(span, fresh, width)`` gives: ``width`` is how many of
+    its characters stand in the block at hand and no earlier span covers, ``fresh`` whether it starts there uncovered."""
+
+    def block(b: Column) -> Column:
+        low = b * _CHARACTERS
+        own = F.filter(spans, lambda x: (x["s"] < low + _CHARACTERS) & (x["e"] > low))
+
+        def joined(part: Column) -> Column:
+            def step(acc: Column, x: Column) -> Column:
+                start = F.greatest(acc["pos"], x["s"] - low)
+                end = F.least(F.lit(_CHARACTERS).cast("long"), F.greatest(acc["pos"], x["e"] - low))
+                gap = F.substring(part, acc["pos"].cast("int") + 1, (start - acc["pos"]).cast("int"))
+                fresh = x["s"] - low >= acc["pos"]
+                return F.struct(end.alias("pos"), F.concat(acc["out"], gap, cover(x, fresh, (end - start).cast("int"))).alias("out"))
+
+            first = F.struct(F.lit(0).cast("long").alias("pos"), F.lit("").alias("out"))
+            return F.aggregate(own, first, step, lambda a: F.concat(a["out"], F.substring(part, a["pos"].cast("int") + 1, F.lit(_CHARACTERS))))
 
-    def step(acc: Column, x: Column) -> Column:
-        start, end = F.greatest(acc["pos"], x["s"]), F.greatest(acc["pos"], x["e"])
-        gap = F.substring(clear, acc["pos"].cast("int") + 1, (start - acc["pos"]).cast("int"))
-        return F.struct(end.alias("pos"), F.concat(acc["out"], gap, F.repeat(F.lit(_MASK), (end - start).cast("int"))).alias("out"))
+        return let(F.substring(text, low + 1, F.lit(_CHARACTERS)), joined)
 
-    clear = F.translate(text, _MASK, " ")
-    first = F.struct(F.lit(0).cast("long").alias("pos"), F.lit("").alias("out"))
-    return F.aggregate(spans, first, step, lambda a: F.concat(a["out"], F.substring(clear, a["pos"].cast("int") + 1, F.length(clear))))
+    blocks = F.sequence(F.lit(0), F.greatest(F.ceil(F.length(text) / _CHARACTERS).cast("int") - 1, F.lit(0)))
+    return F.when(F.size(spans) == 0, text).otherwise(F.array_join(F.transform(blocks, block), ""))
+
+
+def _masked(text: Column, spans: Column) -> Column:
+    """The text with its length kept and its base spans blotted out."""
+    return _rewritten(F.translate(text, _MASK, " "), spans, lambda x, fresh, width: F.repeat(F.lit(_MASK), width))
 
 
 def _terms(text: Column, spans: Column) -> Column:
@@ -112,6 +147,91 @@ def _terms(text: Column, spans: Column) -> Column:
     return F.array_distinct(F.transform(found, F.lower))
 
 
+_WORDS = r"[^\p{L}\p{N}]+"
+
+
+def _places(h: Column) -> list[Column]:
+    """The bits that stand for a hash in a set."""
+    return [F.pmod(x, F.lit(TERM_BITS)).cast("int") for x in (h, F.xxhash64(h), F.xxhash64(h, F.lit(1)))]
+
+
+def _bits(hashes: DataFrame) -> Column:
+    """A set of hashes (column ``h``) as a literal array of TERM_BITS / 64 words, which come to the driver: a size that never
+    grows. It may hold hashes that were not given, more as it fills, and lacks none."""
+    place = F.explode(F.array(*_places(F.col("h")))).alias("p")
+    one = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("p") % 64)).alias("x")
+    full = ["0"] * (TERM_BITS // 64)
+    for r in hashes.select(place).groupBy((F.col("p") / 64).cast("int").alias("w")).agg(one).collect():
+        full[r.w] = str(r.x)
+    return F.split(F.lit(",".join(full)), ",").cast("array<bigint>")
+
+
+def _among(bits: Column, h: Column) -> Column:
+    found = [F.call_function("getbit", F.get(bits, (p / 64).cast("int")), p % 64) == 1 for p in _places(h)]
+    return found[0] & found[1] & found[2]
+
+
+def disclosing_terms(docs: DataFrame, text_col: str = "text", support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
+    """``h, t``: the terms, in lower case, that disclose a protected value, and their hashes.
+
+    A term discloses a value when the two meet in ``support`` distinct texts or more and their pointwise mutual
+    information, log2(N n(v,t) / (n(v) n(t))) over whole documents, reaches ``disclosure`` times the value's information
+    content log2(N / n(v)). N, n(v), n(t) and n(v,t) count documents, all of them and copies too. A value or a term may
+    be in any share of all documents: counts are summed before they are shuffled, and no join is on a value that
+    carries texts.
+    """
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    source = docs.select(text.alias("text"), F.xxhash64(text).alias("text_key"))
+    marked = source.withColumn("base", base_spans(F.col("text"))).where(F.size("base") > 0)
+    values = F.array_distinct(F.transform("base", lambda x: F.lower(x["v"])))
+    # a row for each text that holds a value
+    marked = marked.select("text_key", values.alias("vs"), _terms(F.col("text"), F.col("base")).alias("ts"))
+    texts = saved(marked.groupBy("text_key").agg(F.count("*").alias("copies"), F.first("vs").alias("vs"), F.first("ts").alias("ts")), "texts")
+    held = texts.select("text_key", "copies", F.explode("vs").alias("v"))
+    n_value = held.groupBy("v").agg(F.sum("copies").alias("n_v"), F.count("*").alias("texts")).where(F.col("texts") >= support).drop("texts")
+    with_value = held.drop("copies").join(n_value.hint("merge"), "v").groupBy("text_key").agg(F.collect_list(F.struct("v", "n_v")).alias("x"))
+    met = texts.select("text_key", "copies", "ts").join(with_value.hint("merge"), "text_key").select("copies", F.explode("x").alias("x"), "ts")
+    pairs = met.select("copies", "x.v", "x.n_v", F.explode("ts").alias("t")).groupBy("v", "n_v", "t")
+    pairs = saved(pairs.agg(F.sum("copies").alias("n_vt"), F.count("*").alias("places")).where(F.col("places") >= support).withColumn("h", F.xxhash64("t")), "pairs")
+
+    bits = _bits(pairs.select("h"))
+    words = F.array_distinct(F.transform(F.split(F.col("text"), _WORDS), lambda w: F.xxhash64(F.lower(w))))
+    n_term = source.select(F.explode(let(bits, lambda b: F.filter(words, lambda h: _among(b, h)))).alias("h")).groupBy("h").agg(F.count("*").alias("n_t"))
+    n_all = source.agg(F.count("*").alias("n"))
+    scored = pairs.join(n_term.hint("merge"), "h").crossJoin(F.broadcast(n_all))
+    pmi = F.log2(F.col("n") * F.col("n_vt") / (F.col("n_v") * F.col("n_t")))
+    return saved(scored.where(pmi >= disclosure * F.log2(F.col("n") / F.col("n_v"))).where("n > n_v").select("h", "t").distinct(), "risky")
+
+
+def _flagged(docs: DataFrame, text: Column, risky: DataFrame) -> Column:
+    """The distinct words of a text that may be disclosing terms, sorted."""
+    words = F.array_distinct(F.split(text, _WORDS))
+    return let(_bits(risky), lambda b: F.sort_array(F.filter(words, lambda w: _among(b, F.xxhash64(F.lower(w))))))
+
+
+def _term_spans(texts: DataFrame, risky: DataFrame) -> DataFrame:
+    """``text_key, check, added``: places of disclosing terms in each distinct text of ``text_key, check, text, words`` (its
+    words that may be some). Texts with the same such words look them up once."""
+    texts = saved(texts.dropDuplicates(["text_key", "check"]).withColumn("set", F.xxhash64("words")), "flagged")
+    known = texts.select("set", "words").dropDuplicates(["set"]).select("set", F.explode("words").alias("w")).withColumn("h", F.xxhash64(F.lower("w")))
+    forms = known.join(risky.hint("merge"), "h").where(F.lower("w") == F.col("t")).groupBy("set").agg(F.sort_array(F.collect_set("w")).alias("forms"))
+    forms = saved(forms, "forms")  # so that a set that very many texts have can be split where they are joined
+    pattern = F.concat(F.lit(_NO_WORD[0] + "(?:"), F.array_join("forms", "|"), F.lit(")" + _NO_WORD[1]))
+    located = texts.join(forms.hint("merge"), "set").withColumn("base", base_spans(F.col("text")))
+    located = located.withColumn("at", _located(_masked(F.col("text"), F.col("base")), pattern))
+    as_spans = F.transform("at", lambda w: F.struct(w["s"].alias("s"), F.lit(len(KINDS)).alias("k"), w["e"].alias("e"), F.lower(w["v"]).alias("v")))
+    return saved(located.select("text_key", "check", as_spans.alias("added")), "terms")
+
+
+def _keys(text: Column) -> list[Column]:
+    """96 bits that stand for a text."""
+    return [F.xxhash64(text).alias("text_key"), F.hash(text).alias("check")]
+
+
+def _with_terms(base: Column) -> Column:
+    return F.sort_array(F.concat(base, F.coalesce("added", F.array().cast(SPAN))))
+
+
 def find_spans(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -121,61 +241,20 @@ def find_spans(
 ) -> DataFrame:
     """``id_col, text_key`` (hash of the text) and ``spans`` (array of s, k, e, v) of every row.
 
-    k counts the base kinds (email, ip, card, phone); 4 is a term. A term is a span, wherever in whatever document it
-    stands, when the corpus shows that it discloses a protected value: the two meet in ``support`` distinct texts or
-    more, and their pointwise mutual information, log2(N n(v,t) / (n(v) n(t))) over whole documents, reaches
-    ``disclosure`` times the value's information content log2(N / n(v)). All documents are counted, copies too. Term
-    spans overlap no base span.
+    k counts the base kinds (email, ip, card, phone); 4 is a term: each place, in whatever document, of a word of
+    ``disclosing_terms``. Term spans overlap no base span.
 
-    A null text counts as empty. Repeated rows each get their row. A value or term may be in any share of all
-    documents: counts are summed before they are shuffled. An empty table gives no rows.
+    A null text counts as empty; null ids keep their rows. Repeated rows each get their row. Very long texts and very
+    many matches are worked out in blocks. An empty table gives no rows. Other columns, of whatever name, are not used.
     """
+    risky = disclosing_terms(docs, text_col, support, disclosure)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    source = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
-    marked = source.withColumn("base", base_spans(F.col("text")))
-    holds = F.size("base") > 0
-    values = F.array_distinct(F.transform("base", lambda x: F.lower(x["v"])))
-    marked = saved(
-        marked.select("id", "text_key", "base", F.when(holds, values).alias("vs"), F.when(holds, _terms(F.col("text"), F.col("base"))).alias("ts")),
-        "spans",
-    )
-
-    # a row for each text that holds a value, so that counts of pairs are summed before they are shuffled
-    texts = marked.where("vs is not null").groupBy("text_key").agg(F.count("*").alias("copies"), F.first("vs").alias("vs"), F.first("ts").alias("ts"))
-    held = saved(texts, "texts").select("copies", F.explode("vs").alias("v"), "ts")
-    n_value = held.groupBy("v").agg(F.sum("copies").alias("n_v"), F.count("*").alias("texts")).where(F.col("texts") >= support).drop("texts")
-    pairs = held.join(n_value.select("v"), "v", "left_semi").select("copies", "v", F.explode("ts").alias("t"))
-    pairs = pairs.groupBy("v", "t").agg(F.sum("copies").alias("n_vt"), F.count("*").alias("places")).where(F.col("places") >= support)
-    pairs = saved(pairs.join(n_value, "v"), "pairs")
-
-    split = F.split(F.col("text"), r"[^\p{L}\p{N}]+")
-    words = F.array_distinct(F.transform(split, lambda w: F.xxhash64(F.lower(w))))
-    n_term = source.select(F.explode(words).alias("h")).groupBy("h").agg(F.count("*").alias("n_t"))
-    n_all = source.agg(F.count("*").alias("n"))
-    scored = pairs.withColumn("h", F.xxhash64("t")).join(n_term, "h").crossJoin(F.broadcast(n_all))
-    pmi = F.log2(F.col("n") * F.col("n_vt") / (F.col("n_v") * F.col("n_t")))
-    risky = saved(scored.where(pmi >= disclosure * F.log2(F.col("n") / F.col("n_v"))).where("n > n_v").select("h", "t").distinct(), "risky")
-
-    # the forms in which a document has disclosing terms; then their places, in the documents that have any
-    forms = source.select("id", "text_key", F.explode(F.array_distinct(split)).alias("w")).withColumn("h", F.xxhash64(F.lower("w")))
-    bucket = F.pmod("h", F.lit(TERM_BUCKETS)).alias("bucket")
-    likely = F.broadcast(risky.select(bucket).distinct())
-    forms = forms.withColumn("bucket", bucket).join(likely, "bucket", "left_semi").drop("bucket")
-    forms = forms.join(risky, "h").where(F.lower("w") == F.col("t")).groupBy("id", "text_key").agg(F.sort_array(F.collect_set("w")).alias("forms"))
-    pattern = F.concat(F.lit(_NO_WORD[0] + "(?:"), F.array_join("forms", "|"), F.lit(")" + _NO_WORD[1]))
-    found = source.withColumnRenamed("id", "sid").withColumnRenamed("text_key", "skey").join(
-        forms, F.col("sid").eqNullSafe(F.col("id")) & (F.col("skey") == F.col("text_key"))
-    )
-    located = found.dropDuplicates(["id", "text_key"]).withColumn("base", base_spans(F.col("text"))).withColumn("at", _located(_masked(F.col("text"), F.col("base")), pattern))
-    as_spans = F.transform("at", lambda w: F.struct(w["s"].alias("s"), F.lit(len(KINDS)).alias("k"), w["e"].alias("e"), F.lower(w["v"]).alias("v")))
-    added = saved(located.select("id", "text_key", as_spans.alias("added")), "terms")
-    both = F.sort_array(F.concat("base", F.coalesce("added", F.array().cast(SPAN))))
-    joined = marked.select(F.col("id"), "text_key", "base").join(
-        added.withColumnRenamed("id", "aid").withColumnRenamed("text_key", "akey"),
-        F.col("id").eqNullSafe(F.col("aid")) & (F.col("text_key") == F.col("akey")),
-        "left",
-    )
-    return joined.select(F.col("id").alias(id_col), "text_key", both.alias("spans"))
+    source = docs.select(F.col(id_col).alias("id"), text.alias("text"), *_keys(text))
+    flagged = source.select("text_key", "check", "text", _flagged(source, F.col("text"), risky).alias("words")).where(F.size("words") > 0)
+    added = _term_spans(flagged, risky)
+    marked = saved(source.select("id", "text_key", "check", base_spans(F.col("text")).alias("base")), "spans")
+    joined = marked.join(added.hint("merge"), ["text_key", "check"], "left")
+    return joined.select(F.col("id").alias(id_col), "text_key", _with_terms(F.col("base")).alias("spans"))
 
 
 def listed(spans: Column) -> Column:
@@ -184,22 +263,30 @@ def listed(spans: Column) -> Column:
     return F.concat_ws(",", F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["k"]), x["s"].cast("string"), x["e"].cast("string"))))
 
 
-def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with each base span replaced by its kind in brackets and each disclosing term by ``[term]``."""
-    found = find_spans(docs, id_col, text_col, **options).where(F.size("spans") > 0).distinct()
-    found = found.select(F.col(id_col).alias("_id"), F.col("text_key").alias("_key"), F.col("spans").alias("_spans"))
+def sanitise(docs: DataFrame, text_col: str = "text", support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
+    """``docs`` with each base span replaced by its kind in brackets and each disclosing term by ``[term]``; of spans that
+    overlap the first is replaced. Rows, their other columns and null texts stay as they are, repeated ones too.
+
+    Only texts with words that may be disclosing terms are shuffled; all others are rewritten where they are.
+    """
+    risky = disclosing_terms(docs, text_col, support, disclosure)
     text = F.col(text_col).cast("string")
-    joined = docs.withColumn("_text_key", F.xxhash64(F.coalesce(text, F.lit("")))).join(
-        found, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left"
-    )
+    words, key, check = unused(docs, "words", "key", "check")
+    whole = docs.withColumn(words, _flagged(docs, text, risky))
     names = F.array(*(F.lit(f"[{k}]") for k in [*KINDS, TERM]))
 
-    def step(acc: Column, x: Column) -> Column:
-        clear = x["s"] >= acc["pos"]
-        gap = F.substring(text, acc["pos"].cast("int") + 1, (x["s"] - acc["pos"]).cast("int"))
-        out = F.when(clear, F.concat(acc["out"], gap, F.get(names, x["k"]))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["pos"], x["e"]).alias("pos"), out.alias("out"))
+    def clean(spans: Column) -> Column:
+        return F.when(text.isNotNull(), let(spans, lambda x: _rewritten(text, x, lambda y, fresh, width: F.when(fresh, F.get(names, y["k"])).otherwise(""))))
+
+    plain = whole.where(F.coalesce(F.size(words), F.lit(0)) <= 0).withColumn(text_col, clean(base_spans(text)))
+    odd = whole.where(F.size(words) > 0).withColumns({key: F.xxhash64(text), check: F.hash(text)})
+    added = _term_spans(odd.select(F.col(key).alias("text_key"), F.col(check).alias("check"), text.alias("text"), F.col(words).alias("words")), risky)
+    found = added.select(F.col("text_key").alias(key), F.col("check").alias(check), F.struct("added").alias(words))
+    joined = odd.drop(words).join(found.hint("merge"), [key, check], "left")
+    more = F.coalesce(F.col(words)["added"], F.array().cast(SPAN))
+    joined = joined.withColumn(text_col, clean(F.sort_array(F.concat(base_spans(text), more))))
+    return plain.select(*_quoted(docs)).unionByName(joined.select(*_quoted(docs)))
+
 
-    first = F.struct(F.lit(0).cast("long").alias("pos"), F.lit("").alias("out"))
-    cleaned = F.aggregate("_spans", first, step, lambda a: F.concat(a["out"], F.substring(text, a["pos"].cast("int") + 1, F.length(text))))
-    return joined.withColumn(text_col, F.when(F.col("_spans").isNull(), text).otherwise(cleaned)).select(*docs.columns)
+def _quoted(docs: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`") for c in docs.columns]
