@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import saved
-from .components import connected_components
+from .components import connected_components, join_by_root
 
 #: Blocks of a fingerprint, and how many of them a join compares at once: seven blocks and up to four differing
 #: bits leave at least three blocks equal, so 35 joins on 27 or 28 bits miss no pair.
@@ -40,15 +40,16 @@ def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, seed: int = 42) -> DataFrame:
-    """``id, fp`` (the fingerprint as a signed long) of every row. Null, empty and blank texts have fingerprint zero."""
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    """``id, text_key`` (hash of the text) and ``fp`` (the fingerprint as a signed long) of every row. Null, empty and blank texts have fingerprint zero."""
+    text = F.col(text_col).cast("string")
+    source = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_key"), text.alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(t, words, seed) for t in batch.column("text").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found.view(np.int64))], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text_key"), pa.array(found.view(np.int64))], names=["id", "text_key", "fp"])
 
-    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, fp long")
+    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, text_key long, fp long")
 
 
 def block_masks(blocks: int = BLOCKS, distance: int = DISTANCE) -> list[int]:
@@ -67,14 +68,17 @@ def close_links(fps: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS)
     within 2 bits of both, and all that share a point are within 4, so a link from each to the smallest at the
     point is right and whole, and its rows grow with the fingerprints and not with their pairs.
     """
+    n = fps.count()
+    while 1 << (64 * (blocks - distance) // blocks - 3) < n and blocks < 12:  # keys too short for so many
+        blocks += 1
     spread = fps.select("fp", F.posexplode(F.array(*(F.lit(m) for m in block_masks(blocks, distance)))).alias("c", "mask"))
     keyed = saved(spread.select("c", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp"), "blocks")
     sizes = keyed.groupBy("c", "key").agg(F.count("*").alias("n"))
-    shared = saved(keyed.join(sizes.where("n > 1"), ["c", "key"]), "buckets")
+    shared = saved(keyed.join(sizes.where("n > 1").hint("merge"), ["c", "key"]), "buckets")
     small = shared.where(F.col("n") <= PAIRWISE_BUCKET)
     pairs = (
         small.select("c", "key", F.col("fp").alias("a"))
-        .join(small.select("c", "key", F.col("fp").alias("b")), ["c", "key"])
+        .join(small.select("c", "key", F.col("fp").alias("b")).hint("merge"), ["c", "key"])
         .where(F.col("a") < F.col("b"))
         .where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
         .select("a", "b")
@@ -90,25 +94,27 @@ def close_links(fps: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS)
         .select("fp", F.col("fp").bitwiseXOR(F.col("first")).bitwiseXOR(F.col("second")).alias("point"))
     )
     heads = points.groupBy("point").agg(F.min("fp").alias("head"), F.max("fp").alias("tail")).where("head < tail")
-    stars = points.join(heads, "point").where("fp <> head").select(F.col("head").alias("a"), F.col("fp").alias("b")).distinct()
+    stars = points.join(heads.hint("merge"), "point").where("fp <> head").select(F.col("head").alias("a"), F.col("fp").alias("b")).distinct()
     return pairs.union(stars)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, seed: int = 42) -> DataFrame:
-    """``id_col, fingerprint`` (16 hex digits) and ``component_id``: the smallest id reachable over links.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, seed: int = 42, text_key: bool = False) -> DataFrame:
+    """``id_col, fingerprint`` (16 hex digits) and ``component_id``: the smallest id reachable over links; with
+    ``text_key`` the hash of the row's text and ``group_key`` as well, which tells groups apart where ids come again.
 
     Texts link when their fingerprints differ in at most 4 bits. Rows of one fingerprint are one node, so copies
-    cost nothing. Repeated rows keep their rows; null ids count as no id and are never a component's name unless
-    alone; an empty table gives no rows. Other columns of ``docs`` are not looked at.
+    cost nothing. Null, empty and blank texts have fingerprint zero and link like others. Repeated rows keep their
+    rows; null ids count as no id and are never a component's name unless alone; an empty table gives no rows.
+    Other columns of ``docs``, of whatever name, are not looked at.
     """
     marked = saved(fingerprints(docs, id_col, text_col, words, seed), "fingerprints")
     nodes = saved(marked.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
-    roots = connected_components(close_links(nodes))
-    named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
-    )
-    smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    names = saved(named.join(smallest, "root").select("fp", "component_id"), "names")
-    return marked.join(names, "fp").select(
-        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    roots = connected_components(close_links(nodes)).withColumnRenamed("node", "fp")
+    linked = saved(nodes.join(roots.hint("merge"), "fp"), "linked")
+    smallest = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = join_by_root(linked, smallest, "fp").select("fp", F.col("root").alias("group_key"), "component_id")
+    alone = nodes.join(roots.hint("merge"), "fp", "left_anti").select("fp", F.col("fp").alias("group_key"), F.col("least").alias("component_id"))
+    names = saved(named.union(alone), "names")
+    return marked.join(names.hint("merge"), "fp").select(
+        F.col("id").alias(id_col), *(["text_key", "group_key"] if text_key else []), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
