@@ -12,8 +12,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
-from .components import connected_components
+from .common import mix, saved
+from .components import connected_components, join_by_root
 
 #: Least number of passes; bits of a pass's sort key; vectors of a block. A vector is compared with its own block and the
 #: two beside it in each pass. Measured recall is in the README.
@@ -65,11 +65,12 @@ def near_duplicates(
     source = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).alias("label"))
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     usable = F.col("label").isNotNull() & F.col("v").isNotNull() & ~bad & F.exists("v", lambda x: x != 0)
-    source = source.withColumn("usable", F.coalesce(usable, F.lit(False))).withColumn("key", F.xxhash64("label", "v"))
+    # 128 bits that stand for a label and vector; a class has a number of its own
+    hashes = {"h1": F.xxhash64("label", "v"), "h2": F.xxhash64("v", F.lit(7), "label")}
+    source = source.withColumn("usable", F.coalesce(usable, F.lit(False))).withColumns(hashes)
     named = source.where("usable")
-    classes = named.groupBy("label", "v").agg(F.count("*").alias("size"), F.min("id").alias("least"), F.first("key").alias("key"))
-    # the number of a class: the hash of its label and vector, which no id order can upset
-    classes = saved(classes.select("key", "label", "v", "size", "least"), "classes")
+    classes = named.groupBy("label", "v").agg(F.count("*").alias("size"), F.min("id").alias("least"), F.first("h1").alias("h1"), F.first("h2").alias("h2"))
+    classes = saved(classes.select(F.monotonically_increasing_id().alias("key"), "label", "v", "size", "least", "h1", "h2"), "classes")
 
     if passes is None:
         most = classes.groupBy("label").count().agg(F.max("count")).first()[0]  # one number
@@ -82,13 +83,15 @@ def near_duplicates(
                     signs = x @ _planes(x.shape[1], p, BITS) >= 0
                     order = signs @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))
                     part = batch.take(pa.array(i))
+                    key = part.column("key").to_numpy().view(np.uint64)
+                    tie = mix(key + np.uint64((p + 1) * 0x9E3779B97F4A7C15 % (1 << 64))).view(np.int64)  # another order in each pass
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(i), p, np.int32)), part.column("label"), pa.array(order), part.column("key")],
-                        names=["p", "label", "order", "key"],
+                        [pa.array(np.full(len(i), p, np.int32)), part.column("label"), pa.array(order), pa.array(tie), part.column("key")],
+                        names=["p", "label", "order", "tie", "key"],
                     )
 
     label_type = classes.schema["label"].dataType.simpleString()
-    orders = classes.select("key", "label", "v").mapInArrow(keyed, f"p int, label {label_type}, order long, key long")
+    orders = classes.select("key", "label", "v").mapInArrow(keyed, f"p int, label {label_type}, order long, tie long, key long")
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at = TaskContext.get().partitionId(), 0
@@ -100,7 +103,7 @@ def near_duplicates(
             )
             at += n
 
-    by = ["p", "label", "order", "key"]
+    by = ["p", "label", "order", "tie"]
     ranked = saved(orders.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(placed, "p int, key long, part int, at long"), "orders")
     before, starts = 0, {}
     for row in ranked.groupBy("part").count().orderBy("part").collect():  # a row for each partition
@@ -110,7 +113,7 @@ def near_duplicates(
     offsets = spark.createDataFrame(list(starts.items()), "part int, before long")
     numbered = ranked.join(F.broadcast(offsets), "part").select("p", "key", F.expr(f"(before + at) div {block}").alias("b"))
     dealt = numbered.withColumn("home", F.explode(F.array(F.col("b"), F.col("b") - 1))).join(
-        classes.select("key", "label", "v"), "key"
+        classes.select("key", "label", "v").hint("merge"), "key"
     )
 
     def compare(key, pdf):
@@ -136,9 +139,10 @@ def near_duplicates(
     found = saved(dealt.select("home", "p", "key", "label", "v").groupBy("home", "p").applyInPandas(compare, "key long, root long"), "found")
     roots = connected_components(found, "key", "root").select(F.col("node").alias("key"), "root")
 
-    # a row for each group of more than a tile
-    large = F.broadcast(roots.groupBy("root").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles")).where("tiles > 1"))
-    members = roots.join(classes.select("key", "v", "size"), "key")
+    # the tiles of each group: one for most
+    tiles = roots.groupBy("root").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
+    members = join_by_root(roots, tiles, "key").join(classes.select("key", "v", "size").hint("merge"), "key")
+    members = saved(members, "members")
     tasks = roots.count() // tile + 1
 
     def count_small(key, pdf):
@@ -166,9 +170,9 @@ def near_duplicates(
         return pd.DataFrame({"key": np.concatenate([keys, others]), "links": np.concatenate(_linked(x, sizes, y, weights, cosine))})
 
     bucket = F.pmod(F.xxhash64("root"), F.lit(tasks)).alias("bucket")
-    small = members.join(large, "root", "left_anti").groupBy(bucket).applyInPandas(count_small, "key long, links long")
+    small = members.where("tiles = 1").drop("tiles").groupBy(bucket).applyInPandas(count_small, "key long, links long")
     packed = (
-        members.join(large, "root")
+        members.where("tiles > 1")
         .withColumn("t", F.pmod("key", "tiles").cast("int"))
         .groupBy("root", "tiles", "t")
         .applyInPandas(pack, "root long, tiles int, t int, keys binary, sizes binary, x binary")
@@ -180,14 +184,17 @@ def near_duplicates(
     counts = small.union(counted).groupBy("key").agg(F.sum("links").alias("links"))
     grouped = (
         classes.select("key", "size", "least")
-        .join(counts, "key", "left")
-        .join(roots, "key", "left")
+        .join(counts.hint("merge"), "key", "left")
+        .join(roots.hint("merge"), "key", "left")
         .select("key", "least", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("root", "key").alias("root"))
     )
+    grouped = saved(grouped, "counted")
     names = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    grouped = saved(grouped.join(names, "root").select("key", "n_links", "component_id"), "groups")
+    grouped = join_by_root(grouped, names, "key").select("key", "n_links", "component_id")
+    grouped = saved(classes.select("key", "h1", "h2").join(grouped.hint("merge"), "key").drop("key"), "groups")
     # an unusable row has no class
-    out = source.select("id", F.when(F.col("usable"), F.col("key")).alias("key")).join(grouped, "key", "left")
+    mine = lambda h: F.when(F.col("usable"), F.col(h)).alias(h)
+    out = source.select("id", mine("h1"), mine("h2")).join(grouped.hint("merge"), ["h1", "h2"], "left")
     component = F.coalesce("component_id", "id")
     return out.select(
         F.col("id").alias(id_col),
