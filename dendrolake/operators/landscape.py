@@ -19,6 +19,8 @@ from .pairs import all_pairs
 MOST = 5000
 #: Vectors of the subspace and rounds of its iteration.
 VECTORS, ROUNDS = 6, 40
+#: Points of a sample up to which its hull is found in one step.
+PART = 10_000
 #: Places of a block in which pairs out of order are counted.
 _BLOCK = 65_536
 
@@ -296,8 +298,8 @@ def _chain(points: np.ndarray) -> list[int]:
 
 
 def hull(coords: DataFrame) -> DataFrame:
-    """``sample, tree_id, place, px, py``: the corners of each sample's convex hull, counter-clockwise. Parts of a sample
-    give their own corners first, so that only those meet."""
+    """``sample, tree_id, place, px, py``: the corners of each sample's convex hull, counter-clockwise. Parts of a sample of
+    over PART points give their own corners first, so that only those meet."""
 
     def corners(pdf: pd.DataFrame) -> pd.DataFrame:
         p = np.c_[pdf["px"], pdf["py"]]
@@ -308,8 +310,11 @@ def hull(coords: DataFrame) -> DataFrame:
 
     points = coords.select("sample", "tree_id", F.col("x")[0].alias("px"), F.col("x")[1].alias("py"))
     schema = "sample long, tree_id long, px double, py double"
-    part = points.withColumn("part", F.pmod(F.xxhash64("tree_id"), F.lit(16)))
+    points = saved(points, "points")
+    sizes = points.groupBy("sample").agg(F.ceil(F.count("*") / PART).alias("parts")).where("parts > 1").hint("merge")
+    part = points.join(sizes, "sample").withColumn("part", F.pmod(F.xxhash64("tree_id"), F.col("parts")))
     first = part.groupBy("sample", "part").applyInPandas(lambda pdf: corners(pdf)[["sample", "tree_id", "px", "py"]], schema)
+    first = first.union(points.join(sizes, "sample", "left_anti").select("sample", "tree_id", "px", "py"))
     return first.groupBy("sample").applyInPandas(corners, f"{schema}, place long")
 
 
@@ -319,9 +324,13 @@ def inside(points: DataFrame, corners: DataFrame, tolerance: float = 1e-12) -> D
     first = Window.partitionBy("sample").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     edge = lambda c: F.coalesce(F.lead(c).over(ring), F.first(c).over(first))
     edges = corners.select("sample", "px", "py", edge("px").alias("qx"), edge("py").alias("qy"))
-    edges = edges.groupBy("sample").agg(F.collect_list(F.struct("px", "py", "qx", "qy")).alias("edges"))  # a hull's corners
+    box = [f(c).alias(f"_{n}{c}") for c in ("px", "py") for f, n in ((F.min, "low"), (F.max, "high"))]
+    edges = edges.groupBy("sample").agg(F.collect_list(F.struct("px", "py", "qx", "qy")).alias("edges"), *box)  # a hull's corners
     side = lambda e: (e["qx"] - e["px"]) * (F.col("py") - e["py"]) - (e["qy"] - e["py"]) * (F.col("px") - e["px"])
-    return points.join(edges, "sample").withColumn("inside", F.forall("edges", lambda e: side(e) >= -tolerance)).drop("edges")
+    within = lambda c: F.col(c).between(F.col(f"_low{c}") - tolerance, F.col(f"_high{c}") + tolerance)
+    # the box tells a point beyond the ends of a hull that is a line or a point from one on it
+    found = points.join(edges, "sample").withColumn("inside", F.forall("edges", lambda e: side(e) >= -tolerance) & within("px") & within("py"))
+    return found.select(*points.columns, "inside")
 
 
 def surface(coords: DataFrame, values: DataFrame, cells: int = 20, smoothing: float = 1e-10) -> DataFrame:

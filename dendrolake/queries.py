@@ -47,8 +47,9 @@ def r6(x, name: str):
 
 
 def n6(x, name: str):
-    """Six decimals of a value that may stand on a rounding tie: both sides move it off the tie alike."""
-    return (F.round(x + 1e-9, 6) + 0.0).alias(name)
+    """Six decimals of a value that may stand on a rounding tie: both sides move it off the tie alike, and by half a unit of
+    the tenth decimal more, so that one that is kept to ten decimals and one that is not go the same way."""
+    return (F.round(x + 1.05e-9, 6) + 0.0).alias(name)
 
 
 def all_edges(trees: DataFrame, *columns: str) -> DataFrame:
@@ -473,7 +474,7 @@ def trees_sql(places: str, more: str = "") -> str:
     """Edges of the trees at the places (i, j, pos) of the pairs' geodesics."""
     return f"""{PARTS}, q AS ({places}), tree AS (SELECT i, j, pos, mask, (1 - pos) * l1 + pos * l2 AS length FROM q JOIN shared USING (i, j)
   UNION ALL SELECT i, j, pos, mask, CASE side WHEN 'a' THEN length * ((1 - pos) * na - pos * nb) / na ELSE length * (pos * nb - (1 - pos) * na) / nb END FROM q JOIN sup USING (i, j))
-SELECT i, j, {more}round(pos + 1e-9, 6) AS pos, mask, round(length + 1e-9, 6) AS length FROM tree WHERE length > 1e-9"""
+SELECT i, j, {more}round(pos + 1.05e-9, 6) AS pos, mask, round(length + 1.05e-9, 6) AS length FROM tree WHERE length > 1e-9"""
 
 
 def edges_at(trees: DataFrame, *more: str) -> DataFrame:
@@ -523,7 +524,7 @@ def geodesic_report(spark, sf_dir):
 
 @query(f"""{PARTS}, q AS (SELECT i, j, unnest(range(CASE WHEN n = 2 THEN 1 WHEN stepped THEN 3 ELSE 2 END)) AS leg FROM geo),
 e AS (SELECT i, j, mask, 0 AS f, 99 AS t FROM com UNION ALL SELECT i, j, mask, CASE side WHEN 'a' THEN 0 ELSE r + 1 END, CASE side WHEN 'a' THEN r ELSE 99 END FROM sup)
-SELECT q.i, q.j, cast(leg AS int) AS leg, round(coalesce(lo.pos, 0) + 1e-9, 6) AS low, round(coalesce(hi.pos, 1) + 1e-9, 6) AS high, mask
+SELECT q.i, q.j, cast(leg AS int) AS leg, round(coalesce(lo.pos, 0) + 1.05e-9, 6) AS low, round(coalesce(hi.pos, 1) + 1.05e-9, 6) AS high, mask
 FROM q JOIN e ON e.i = q.i AND e.j = q.j AND leg BETWEEN f AND t LEFT JOIN lim lo ON lo.i = q.i AND lo.j = q.j AND lo.r = leg - 1
 LEFT JOIN lim hi ON hi.i = q.i AND hi.j = q.j AND hi.r = leg""")
 def geodesic_legs(spark, sf_dir):
@@ -553,7 +554,7 @@ def mid_orthant_trees(spark, sf_dir):
     return edges_at(G.tree_at(_geo(spark, sf_dir, strict=True).withColumn("at", F.explode(inner)), "at"))
 
 
-@query(f"""{PARTS} SELECT j AS i, i AS j, cast(CASE WHEN stepped THEN 1 - r ELSE r END AS int) AS place, round(s.nb / (s.na + s.nb) + 1e-9, 6) AS pos,
+@query(f"""{PARTS} SELECT j AS i, i AS j, cast(CASE WHEN stepped THEN 1 - r ELSE r END AS int) AS place, round(s.nb / (s.na + s.nb) + 1.05e-9, 6) AS pos,
   CASE side WHEN 'a' THEN 'added' ELSE 'dropped' END AS step, mask, length FROM sup s JOIN geo USING (i, j)""")
 def reverse_geodesic(spark, sf_dir):
     back = G.reverse(_geo(spark, sf_dir, strict=True)).select("i", "j", F.posexplode("supports").alias("place", "s"))
@@ -562,7 +563,7 @@ def reverse_geodesic(spark, sf_dir):
     return rows.select("i", "j", "place", "pos", "x.step", F.explode("x.e").alias("e")).select("i", "j", "place", "pos", "step", word("e.split"), "e.length")
 
 
-@query(f"{GEO} SELECT i, j, round(sqrt(leaf2 + common2 + part2) + 1e-9, 6) AS d1, 1000::bigint AS off FROM geo WHERE (i + j) % 11 = 0")
+@query(f"{GEO} SELECT i, j, round(sqrt(leaf2 + common2 + part2) + 1.05e-9, 6) AS d1, 1000::bigint AS off FROM geo WHERE (i + j) % 11 = 0")
 def distance_double_check(spark, sf_dir):
     there = P.tree_pairs(parsed(spark, sf_dir, 4))
     back = there.select("sample", F.col("j").alias("i"), F.col("i").alias("j"), F.col("b_splits").alias("a_splits"), F.col("a_splits").alias("b_splits"), F.col("b_leaves").alias("a_leaves"), F.col("a_leaves").alias("b_leaves"))
@@ -580,8 +581,8 @@ def compare_distances(spark, sf_dir):
     return P.differing(d, other, ["i", "j"]).select("i", "j")
 
 
-@query(f"""{PARTS} SELECT i, j, mask, round(l2 - l1 + 1e-9, 6) AS x FROM shared UNION ALL
-  SELECT i, j, mask, round(-length * (na + nb) / na + 1e-9, 6) FROM sup WHERE side = 'a'""")
+@query(f"""{PARTS} SELECT i, j, mask, round(l2 - l1 + 1.05e-9, 6) AS x FROM shared UNION ALL
+  SELECT i, j, mask, round(-length * (na + nb) / na + 1.05e-9, 6) FROM sup WHERE side = 'a'""")
 def log_map(spark, sf_dir):
     m = G.log_map(_geo(spark, sf_dir))
     leaf = F.transform("leaf", lambda x, k: F.struct(F.pow(F.lit(2), k).cast("long").alias("mask"), x.alias("x")))
@@ -590,8 +591,8 @@ def log_map(spark, sf_dir):
 
 
 @query(f"""{PARTS}, first AS (SELECT g.i, g.j, coalesce(min(pos), 1) AS f FROM geo g LEFT JOIN lim l ON l.i = g.i AND l.j = g.j GROUP BY g.i, g.j)
-SELECT i, j, mask, round((l2 - l1) * f + 1e-9, 6) AS x FROM shared JOIN first USING (i, j) UNION ALL
-  SELECT i, j, mask, round(-length * f * (na + nb) / na + 1e-9, 6) FROM sup JOIN first USING (i, j) WHERE side = 'a'""")
+SELECT i, j, mask, round((l2 - l1) * f + 1.05e-9, 6) AS x FROM shared JOIN first USING (i, j) UNION ALL
+  SELECT i, j, mask, round(-length * f * (na + nb) / na + 1.05e-9, 6) FROM sup JOIN first USING (i, j) WHERE side = 'a'""")
 def direction_vector(spark, sf_dir):
     m = G.direction_vector(_geo(spark, sf_dir))
     leaf = F.transform("leaf", lambda e: F.struct(F.pow(F.lit(2), e["taxon_id"]).cast("long").alias("mask"), e["x"].alias("x")))
@@ -688,7 +689,7 @@ def _distances(spark, sf_dir) -> DataFrame:
     return saved(_wrf(spark, sf_dir).withColumn("d", F.round("d", 6)), "distances")
 
 
-@query(f"{SQUARE} SELECT s.sample, s.i, s.j, round(-0.5 * (d * d - a.r - b.r + w) + 1e-9, 6) + 0.0 AS k FROM sq s JOIN rows_ a ON a.sample = s.sample AND a.i = s.i JOIN rows_ b ON b.sample = s.sample AND b.i = s.j JOIN whole w ON w.sample = s.sample")
+@query(f"{SQUARE} SELECT s.sample, s.i, s.j, round(-0.5 * (d * d - a.r - b.r + w) + 1.05e-9, 6) + 0.0 AS k FROM sq s JOIN rows_ a ON a.sample = s.sample AND a.i = s.i JOIN rows_ b ON b.sample = s.sample AND b.i = s.j JOIN whole w ON w.sample = s.sample")
 def mds_gram(spark, sf_dir):
     return M.gram(_distances(spark, sf_dir)).select("sample", "i", "j", n6(F.col("k"), "k"))
 
@@ -722,7 +723,7 @@ def _plain(spark, sf_dir) -> DataFrame:
     return parsed(spark, sf_dir).select("sample", "tree_id", F.array(whole("splits"), whole("leaves")).alias("x"))
 
 
-@query(f"""{PLAIN} SELECT a.sample, a.tree_id AS i, b.tree_id AS j, round(sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)) + 1e-9, 6) AS d
+@query(f"""{PLAIN} SELECT a.sample, a.tree_id AS i, b.tree_id AS j, round(sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)) + 1.05e-9, 6) AS d
 FROM plain a JOIN plain b ON a.sample = b.sample AND a.tree_id < b.tree_id""")
 def map_distances(spark, sf_dir):
     return M.embedded_distances(_plain(spark, sf_dir)).select("sample", "i", "j", n6(F.col("d"), "d"))
@@ -736,7 +737,7 @@ ranked AS (SELECT sample, d, e, sqrt(e) AS f, rank() OVER (PARTITION BY sample O
   rank() OVER (PARTITION BY sample ORDER BY e) + (count(*) OVER (PARTITION BY sample, e) - 1) / 2 AS re, row_number() OVER (PARTITION BY sample ORDER BY d, e) AS k FROM full_),
 tau AS (SELECT a.sample, sum(sign(a.d - b.d) * sign(a.e - b.e)) / sqrt(sum(abs(sign(a.d - b.d))) * sum(abs(sign(a.e - b.e)))) AS kendall
   FROM ranked a JOIN ranked b ON a.sample = b.sample AND a.k < b.k GROUP BY a.sample)
-SELECT sample, count(*) AS n, round(corr(d, f) + 1e-9, 6) AS pearson, round(corr(rd, re) + 1e-9, 6) AS spearman, round(any_value(kendall) + 1e-9, 6) AS kendall
+SELECT sample, count(*) AS n, round(corr(d, f) + 1.05e-9, 6) AS pearson, round(corr(rd, re) + 1.05e-9, 6) AS spearman, round(any_value(kendall) + 1.05e-9, 6) AS kendall
 FROM ranked LEFT JOIN tau USING (sample) GROUP BY sample""")
 def map_validation(spark, sf_dir):
     d = _wrf(spark, sf_dir).withColumn("d", F.round(F.col("d") * 1000))
