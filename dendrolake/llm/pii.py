@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, saved, unused
+from .common import HashSet, let, saved, unused
 
 KINDS = ["email", "ip", "card", "phone"]
 TERM = "term"
@@ -150,27 +150,6 @@ def _terms(text: Column, spans: Column) -> Column:
 _WORDS = r"[^\p{L}\p{N}]+"
 
 
-def _places(h: Column) -> list[Column]:
-    """The bits that stand for a hash in a set."""
-    return [F.pmod(x, F.lit(TERM_BITS)).cast("int") for x in (h, F.xxhash64(h), F.xxhash64(h, F.lit(1)))]
-
-
-def _bits(hashes: DataFrame) -> Column:
-    """A set of hashes (column ``h``) as a literal array of TERM_BITS / 64 words, which come to the driver: a size that never
-    grows. It may hold hashes that were not given, more as it fills, and lacks none."""
-    place = F.explode(F.array(*_places(F.col("h")))).alias("p")
-    one = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("p") % 64)).alias("x")
-    full = ["0"] * (TERM_BITS // 64)
-    for r in hashes.select(place).groupBy((F.col("p") / 64).cast("int").alias("w")).agg(one).collect():
-        full[r.w] = str(r.x)
-    return F.split(F.lit(",".join(full)), ",").cast("array<bigint>")
-
-
-def _among(bits: Column, h: Column) -> Column:
-    found = [F.call_function("getbit", F.get(bits, (p / 64).cast("int")), p % 64) == 1 for p in _places(h)]
-    return found[0] & found[1] & found[2]
-
-
 def disclosing_terms(docs: DataFrame, text_col: str = "text", support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
     """``h, t``: the terms, in lower case, that disclose a protected value, and their hashes.
 
@@ -194,9 +173,9 @@ def disclosing_terms(docs: DataFrame, text_col: str = "text", support: int = SUP
     pairs = met.select("copies", "x.v", "x.n_v", F.explode("ts").alias("t")).groupBy("v", "n_v", "t")
     pairs = saved(pairs.agg(F.sum("copies").alias("n_vt"), F.count("*").alias("places")).where(F.col("places") >= support).withColumn("h", F.xxhash64("t")), "pairs")
 
-    bits = _bits(pairs.select("h"))
+    known = HashSet(pairs.select("h"), TERM_BITS)
     words = F.array_distinct(F.transform(F.split(F.col("text"), _WORDS), lambda w: F.xxhash64(F.lower(w))))
-    n_term = source.select(F.explode(let(bits, lambda b: F.filter(words, lambda h: _among(b, h)))).alias("h")).groupBy("h").agg(F.count("*").alias("n_t"))
+    n_term = source.select(F.explode(F.filter(words, known.may_have)).alias("h")).groupBy("h").agg(F.count("*").alias("n_t"))
     n_all = source.agg(F.count("*").alias("n"))
     scored = pairs.join(n_term.hint("merge"), "h").crossJoin(F.broadcast(n_all))
     pmi = F.log2(F.col("n") * F.col("n_vt") / (F.col("n_v") * F.col("n_t")))
@@ -205,8 +184,8 @@ def disclosing_terms(docs: DataFrame, text_col: str = "text", support: int = SUP
 
 def _flagged(docs: DataFrame, text: Column, risky: DataFrame) -> Column:
     """The distinct words of a text that may be disclosing terms, sorted."""
-    words = F.array_distinct(F.split(text, _WORDS))
-    return let(_bits(risky), lambda b: F.sort_array(F.filter(words, lambda w: _among(b, F.xxhash64(F.lower(w))))))
+    known, words = HashSet(risky, TERM_BITS), F.array_distinct(F.split(text, _WORDS))
+    return F.sort_array(F.filter(words, lambda w: known.may_have(F.xxhash64(F.lower(w)))))
 
 
 def _term_spans(texts: DataFrame, risky: DataFrame) -> DataFrame:

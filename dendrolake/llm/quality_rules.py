@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_WORD, saved
+from .common import NOT_WORD, saved, unused
 
 #: Buckets of hashed unigrams and bigrams; bounds the table of ratios that is broadcast.
 BUCKETS = 1 << 16
@@ -13,8 +13,13 @@ BUCKETS = 1 << 16
 WINDOW = 8
 #: Ratios are kept as whole multiples of 1 / SCALE, so that sums don't depend on their order.
 SCALE = 1_000_000
-#: Mean ratio for each n-gram under which a text is rejected.
-THRESHOLD = -0.3
+#: Columns of the fixed rules.
+BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+#: The cut follows from the trusted documents that pass the fixed rules: the mean ratio that all but this share of them
+#: reach, less a margin, since their own n-grams are among those that the ratios were counted from.
+LOST, MARGIN = 0.001, 0.05
+#: Ratios are counted in steps of 1 / STEPS for that, from -LIMIT to LIMIT: a bounded table.
+STEPS, LIMIT = 1000, 16
 
 
 def _words(text: Column) -> Column:
@@ -38,7 +43,9 @@ def _grams(n: Column, hashes: Column, buckets: int) -> Column:
 
 
 def base_rules(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words`` and helper columns ``_n``, ``_hash``."""
+    """Adds ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words`` and helper columns ``_n``, ``_hash``. Columns of
+    these names, and others that start with ``_`` and are used on the way, are replaced."""
+    docs = docs.drop(*BASE, "_n", "_hash", "_words", "_lines", "_keys", "_placed", "_starts")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     d = _with_words(docs, text_col)
     d = d.withColumn(
@@ -107,7 +114,16 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text
     return counts.crossJoin(F.broadcast(total)).select("bucket", F.round(ratio * SCALE).cast("long").alias("ratio"))
 
 
-BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+def cut_of(ratios: DataFrame, lost: float = LOST, margin: float = MARGIN) -> DataFrame:
+    """One row, ``cut``: the greatest step that all but a share ``lost`` of the ratios (column ``ratio``) reach, less
+    ``margin``. Counts by step are all that meets in one task. Without ratios the cut is below every ratio."""
+    step = F.greatest(F.least(F.floor(F.col("ratio") * STEPS), F.lit(LIMIT * STEPS)), F.lit(-LIMIT * STEPS)).cast("long")
+    counts = ratios.select(step.alias("step")).groupBy("step").agg(F.count("*").alias("n"))
+    rows = counts.agg(F.sort_array(F.collect_list(F.struct("step", "n"))).alias("rows"), F.sum("n").alias("all"))
+    below = F.aggregate("rows", F.struct(F.lit(0).cast("long").alias("n"), F.lit(-LIMIT * STEPS).cast("long").alias("at")), lambda a, x: F.struct(
+        (a["n"] + x["n"]).alias("n"), F.when(a["n"] <= lost * F.col("all"), x["step"]).otherwise(a["at"]).alias("at")
+    ))
+    return rows.select(F.when(F.col("all").isNull(), F.lit(-float(LIMIT))).otherwise(below["at"] / STEPS - margin).alias("cut"))
 
 
 def judge(
@@ -116,15 +132,16 @@ def judge(
     id_col: str = "doc_id",
     text_col: str = "text",
     buckets: int = BUCKETS,
-    threshold: float = THRESHOLD,
+    threshold: float | None = None,
 ) -> DataFrame:
     """``id_col, text_key`` (hash of the text), ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, ratio`` (mean log ratio for each n-gram, 0 without words) and ``kept``, for every row.
 
     A text fails the base rules with fewer than 20 words, or when over 30 % of its words stand in repeated windows.
-    One that passes is kept if its mean ratio is ``threshold`` or more: a fixed cut that each document meets alone.
-    Null and empty texts have no words and fail. Repeated rows each get their row. An empty table gives no rows.
-    Other columns of ``docs`` are not looked at.
+    One that passes is kept if its mean ratio is ``threshold`` or more. If none is given, it is the cut of the trusted
+    documents (``cut_of``), the same for every row. Null and empty texts have no words and fail. Repeated rows each
+    get their row, null ids too. An empty table gives no rows. Other columns of ``docs``, of whatever name, are not
+    looked at.
     """
     ratios = log_ratios(docs, trusted, id_col, text_col, buckets).withColumnRenamed("ratio", "_ratio")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -137,15 +154,21 @@ def judge(
     summed = grams.join(F.broadcast(ratios), "bucket", "left").groupBy(*held).agg(F.sum("_ratio").alias("_sum"), F.count("bucket").alias("_grams"))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     mean = F.coalesce(F.col("_sum") / F.greatest("_grams", F.lit(1)) / SCALE, F.lit(0.0))
-    judged = summed.select(
-        F.col("_id").alias(id_col), "text_key", *BASE, failed.alias("base_failed"), mean.alias("ratio"), (~failed & (mean >= threshold)).alias("kept")
-    )
-    # written, so that no later filter is moved into the lambdas above and works them out again for each element
-    return saved(judged, "judged")
+    measured = saved(summed.select(F.col("_id").alias(id_col), "text_key", *BASE, failed.alias("base_failed"), mean.alias("ratio")), "measured")
+    if threshold is None:
+        good = trusted.select(F.col(id_col).alias("_good")).dropna().distinct().hint("merge")
+        own = measured.where(~F.col("base_failed")).select(F.col(id_col).alias("_good"), "ratio").join(good, "_good")
+        cut = F.broadcast(cut_of(own))  # one row
+        judged = measured.crossJoin(cut).withColumn("kept", ~F.col("base_failed") & (F.col("ratio") >= F.col("cut"))).drop("cut")
+    else:
+        judged = measured.withColumn("kept", ~F.col("base_failed") & (F.col("ratio") >= threshold))
+    return judged
 
 
 def keep_good(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that ``judge`` keeps, with their columns."""
-    good = judge(docs, trusted, id_col, text_col, **options).where("kept").select(F.col(id_col).alias("_id"), F.col("text_key").alias("_key"))
+    """The rows of ``docs`` that ``judge`` keeps, with their columns; repeated rows stay repeated."""
+    name, hashed, own = unused(docs, "id", "key", "own")
+    good = judge(docs.select(id_col, text_col), trusted, id_col, text_col, **options).where("kept").select(F.col(id_col).alias(name), F.col("text_key").alias(hashed))
     key = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    return docs.join(good, F.col(id_col).eqNullSafe(F.col("_id")) & (key == F.col("_key")), "left_semi")
+    keyed = docs.withColumn(own, key)
+    return keyed.join(good, F.col(id_col).eqNullSafe(F.col(name)) & (F.col(own) == F.col(hashed)), "left_semi").drop(own)

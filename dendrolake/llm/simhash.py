@@ -6,12 +6,13 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import HashSet, hash_words, mix, saved, slices, split_words
 from .components import connected_components, join_by_root
 
 #: Blocks of a fingerprint, and how many of them a join compares at once: seven blocks and up to four differing
@@ -21,6 +22,13 @@ BLOCKS, DISTANCE = 7, 4
 PAIRWISE_BUCKET = 64
 
 
+#: Near copies: fingerprints of a text's distinct words, each by hashes of its own; words of a shingle and the least
+#: similarity of two texts' sets of shingles; texts of a group up to which one task compares them.
+SEEDS, SHINGLE, SIMILARITY, TOGETHER = 3, 5, 0.8, 300
+#: Text bytes whose words are taken together.
+SLICE_BYTES = 4_000_000
+
+
 def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
     """64 bits: one is set if it is set in over half of the XXH64 of the text's shingles."""
     parts = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: lower-cases A-Z, splits at ASCII space
@@ -40,16 +48,15 @@ def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, seed: int = 42) -> DataFrame:
-    """``id, text_key`` (hash of the text) and ``fp`` (the fingerprint as a signed long) of every row. Null, empty and blank texts have fingerprint zero."""
-    text = F.col(text_col).cast("string")
-    source = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_key"), text.alias("text"))
+    """``id, fp`` (the fingerprint as a signed long) of every row. Null, empty and blank texts have fingerprint zero."""
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(t, words, seed) for t in batch.column("text").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text_key"), pa.array(found.view(np.int64))], names=["id", "text_key", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found.view(np.int64))], names=["id", "fp"])
 
-    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, text_key long, fp long")
+    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, fp long")
 
 
 def block_masks(blocks: int = BLOCKS, distance: int = DISTANCE) -> list[int]:
@@ -98,9 +105,8 @@ def close_links(fps: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS)
     return pairs.union(stars)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, seed: int = 42, text_key: bool = False) -> DataFrame:
-    """``id_col, fingerprint`` (16 hex digits) and ``component_id``: the smallest id reachable over links; with
-    ``text_key`` the hash of the row's text and ``group_key`` as well, which tells groups apart where ids come again.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, seed: int = 42) -> DataFrame:
+    """``id_col, fingerprint`` (16 hex digits) and ``component_id``: the smallest id reachable over links.
 
     Texts link when their fingerprints differ in at most 4 bits. Rows of one fingerprint are one node, so copies
     cost nothing. Null, empty and blank texts have fingerprint zero and link like others. Repeated rows keep their
@@ -112,9 +118,139 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = connected_components(close_links(nodes)).withColumnRenamed("node", "fp")
     linked = saved(nodes.join(roots.hint("merge"), "fp"), "linked")
     smallest = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = join_by_root(linked, smallest, "fp").select("fp", F.col("root").alias("group_key"), "component_id")
-    alone = nodes.join(roots.hint("merge"), "fp", "left_anti").select("fp", F.col("fp").alias("group_key"), F.col("least").alias("component_id"))
+    named = join_by_root(linked, smallest, "fp").select("fp", "component_id")
+    alone = nodes.join(roots.hint("merge"), "fp", "left_anti").select("fp", F.col("least").alias("component_id"))
     names = saved(named.union(alone), "names")
     return marked.join(names.hint("merge"), "fp").select(
-        F.col("id").alias(id_col), *(["text_key", "group_key"] if text_key else []), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def word_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seeds: int = SEEDS) -> DataFrame:
+    """``id, text_key`` (hash of the text) and ``fps``: for each seed the fingerprint of the text's distinct words, lower-cased
+    (A-Z). Words that come often weigh no more than others, so that few but alike texts are close. Texts without a word
+    have zeros."""
+    text = F.col(text_col).cast("string")
+    source = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_key"), text.alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text", SLICE_BYTES):
+                words, first = split_words(batch.column("text"), lower=True)
+                index = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+                owner = np.repeat(np.arange(batch.num_rows), np.diff(first))
+                each = np.sort(owner << 32 | index)
+                each = each[np.concatenate([[True], each[1:] != each[:-1]])] if len(each) else each
+                owner, index = each >> 32, each & 0xFFFFFFFF
+                hashes, found = hash_words(words.dictionary, 42), np.zeros((batch.num_rows, seeds), np.int64)
+                start = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.zeros(0, np.int64)
+                size = np.diff(np.append(start, len(owner)))
+                for s in range(seeds if len(owner) else 0):
+                    own = mix(hashes + np.uint64((s + 1) * 0x9E3779B97F4A7C15 % (1 << 64))).astype(">u8").view(np.uint8).reshape(-1, 8)
+                    bits = np.add.reduceat(np.unpackbits(own, axis=1)[index], start, axis=0, dtype=np.int32)
+                    packed = np.packbits(2 * bits > size[:, None], axis=1)
+                    found[owner[start], s] = np.ascontiguousarray(packed).view(">u8").ravel().astype(np.uint64).view(np.int64)
+                fps = pa.ListArray.from_arrays(pa.array(np.arange(0, found.size + 1, seeds), pa.int32()), pa.array(found.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text_key"), fps], names=["id", "text_key", "fps"])
+
+    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, text_key long, fps array<long>")
+
+
+def shingles(text: str | None, words: int = SHINGLE) -> set[int]:
+    """Hashes of the text's runs of ``words`` words, lower-cased (A-Z); fewer words are one run, no words none."""
+    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    digest = xxhash.xxh64_intdigest
+    return {digest(b" ".join(parts[k : k + words])) for k in range(max(1, len(parts) - words + 1))} if parts else set()
+
+
+def similarity(a: set[int], b: set[int]) -> float:
+    """Shared part of two sets; two empty ones are alike."""
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
+def near_copies(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seeds: int = SEEDS, distance: int = DISTANCE, words: int = SHINGLE, least: float = SIMILARITY, together: int = TOGETHER
+) -> DataFrame:
+    """``text_key, id_col``: the distinct texts that stay, each with the smallest id it comes with.
+
+    Candidates are groups of texts joined by fingerprints of distinct words (``seeds`` of them) that are equal or within
+    ``distance`` bits. In the order of their ids (null last, then by text_key) the texts of a group stay or go: one goes
+    if the similarity of its set of ``words``-word shingles with that of a text that stays is ``least`` or more. Small
+    groups are gone through in one task; in a large one each round holds the first text against all others, which
+    goes on until few are left, so no group is cut.
+
+    Null, empty and blank texts are alike. Exact copies and repeated rows are one text. An empty table gives no rows.
+    Other columns, of whatever name, are not used.
+    """
+    marked = saved(word_fingerprints(docs, id_col, text_col, seeds), "fingerprints")
+    texts = marked.groupBy("text_key").agg(F.min("id").alias("id"), F.first("fps").alias("fps"))
+    texts = saved(texts, "texts")
+    own = saved(texts.select("text_key", F.posexplode("fps").alias("s", "fp")), "text-fingerprints")
+    fps = saved(own.groupBy("s", "fp").agg(F.count("*").alias("n")), "distinct-fingerprints")
+    links = None
+    for s in range(seeds):
+        found = close_links(fps.where(F.col("s") == s).select("fp"), distance).select(F.lit(s).alias("s"), "a", "b")
+        links = found if links is None else links.union(found)
+    links = saved(links, "links")
+    number = lambda fp: F.xxhash64("s", fp)
+    shared = links.select("s", F.col("a").alias("fp")).union(links.select("s", F.col("b").alias("fp"))).union(fps.where("n > 1").select("s", "fp")).distinct()
+    held = own.join(shared.hint("merge"), ["s", "fp"]).select(F.xxhash64("text_key", F.lit("text")).alias("a"), number("fp").alias("b"))
+    roots = connected_components(held.union(links.select(number("a").alias("a"), number("b").alias("b"))))
+    named = texts.select("text_key", "id", F.xxhash64("text_key", F.lit("text")).alias("node")).join(roots.hint("merge"), "node").select("text_key", "id", "root")
+    named = saved(named, "members")
+    several = named.groupBy("root").agg(F.count("*").alias("n")).where("n > 1")
+    named = saved(join_by_root(named, several, "text_key"), "groups")
+
+    # the texts of groups, once each; a set of fixed size passes over most others before anything is shuffled
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    key = F.xxhash64(text)
+    likely = docs.where(HashSet(named.select(F.col("text_key").alias("h"))).may_have(key)).select(key.alias("text_key"), text.alias("text"))
+    order = [F.col("id").isNull().alias("none"), F.col("id"), F.col("text_key")]
+    left = named.join(likely.hint("merge"), "text_key").dropDuplicates(["text_key"]).select("root", "n", F.struct(*order).alias("at"), "text_key", "text")
+    left = saved(left, "contents")
+
+    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
+        gone, kept = [], []
+        for k, t in zip(pdf["text_key"], pdf["text"]):
+            own = shingles(t, words)
+            if any(similarity(own, other) >= least for other in kept):
+                gone.append(k)
+            else:
+                kept.append(own)
+        return pd.DataFrame({"text_key": np.array(gone, np.int64)})
+
+    def alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        first: tuple[str, set[int]] | None = None
+        for batch in batches:
+            near = []
+            for t, r in zip(batch["text"], batch["first_text"]):
+                if first is None or first[0] != r:
+                    first = r, shingles(r, words)
+                near.append(similarity(shingles(t, words), first[1]) >= least)
+            yield batch[["root", "text_key"]].assign(near=near)
+
+    def in_order(pdf: pd.DataFrame) -> pd.DataFrame:
+        return greedy(pdf.sort_values("place"))
+
+    dropped = []
+    while True:
+        few = left.where(F.col("n") <= together)
+        rank = F.array_position(F.col("ats"), F.col("at"))
+        orders = few.groupBy("root").agg(F.sort_array(F.collect_list("at")).alias("ats"))  # at most ``together`` of a group
+        placed = join_by_root(few, orders, "text_key").select("root", "text_key", "text", rank.alias("place"))
+        dropped.append(placed.groupBy("root").applyInPandas(in_order, "text_key long"))
+        many = saved(left.where(F.col("n") > together), "large-groups")
+        if many.isEmpty():
+            break
+        first = many.groupBy("root").agg(F.min("at").alias("first"), F.min_by("text", "at").alias("first_text"))
+        met = join_by_root(many.drop("n"), first, "text_key").where(F.col("at") != F.col("first"))
+        judged = saved(met.select("root", "text_key", "text", "first_text").mapInPandas(alike, "root long, text_key long, near boolean"), "judged")
+        dropped.append(judged.where("near").select("text_key"))
+        rest = judged.where("not near").select("root", "text_key")
+        sizes = rest.groupBy("root").agg(F.count("*").alias("n"))
+        rest = join_by_root(rest, sizes, "text_key")
+        left = saved(many.drop("n", "root").join(rest.hint("merge"), "text_key"), "contents")
+    gone = dropped[0]
+    for more in dropped[1:]:
+        gone = gone.union(more)
+    return texts.select("text_key", "id").join(saved(gone, "gone").hint("merge"), "text_key", "left_anti").withColumnRenamed("id", id_col)
