@@ -33,20 +33,18 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that of the smallest id.
+    """One document of each group of near copies: candidates by SimHash, five-word shingles with a similarity of 0.8 or more
+    to a document that stays and comes before by id.
 
-    Null, empty and blank texts are copies of each other. Of rows with the same id and text one stays; where an id
-    comes with several texts, the one that belongs to the group of that id stays. Rows without an id stay only where
-    their whole group has none. All columns stay, whatever their names. An empty table gives no rows.
+    Null, empty and blank texts are copies of each other. Of rows with one text that of the smallest id stays, once;
+    null ids come last. All columns stay, whatever their names. An empty table gives no rows.
     """
     # the id as text, with a mark for null, and a hash of the text: what rows are joined and told apart by, in one shuffle
     names = unused(docs, "known", "name", "key")
     as_keys = lambda key: dict(zip(names, (F.col("doc_id").isNotNull(), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), key)))
-    groups = simhash.near_duplicates(docs, text_key=True)
-    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "component_id").agg(F.min("text_key").alias("text_key"))
-    first = first.withColumns(as_keys(F.col("text_key"))).select(*names)
+    stay = simhash.near_copies(docs).withColumns(as_keys(F.col("text_key"))).select(*names)
     keyed = docs.withColumns(as_keys(F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))))
-    return keyed.join(first.hint("merge"), names, "left_semi").dropDuplicates(names).drop(*names)  # a repeated row is a copy too
+    return keyed.join(stay.hint("merge"), names, "left_semi").dropDuplicates(names).drop(*names)  # a repeated row is a copy too
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
