@@ -337,10 +337,33 @@ def transition_probs(spark, sf_dir):
     return edges.select("tree_id", word(), r6(L.jukes_cantor(F.col("length"), True), "same"), r6(L.jukes_cantor(F.col("length"), False), "other"))
 
 
-@query()
+def likelihood_sql() -> str:
+    """Pruning on four taxa written out: a site's likelihood from the clade of two, then the other clade or the next leaf."""
+    letters, taxa = "ACGT", range(4)
+    factor = ", ".join(f"CASE x{k} WHEN '-' THEN 1 WHEN '{c}' THEN s{k} ELSE d{k} END AS f{k}{c}" for k in taxa for c in letters)
+    over = lambda mask, c: " * ".join(f"CASE WHEN ({mask} & {1 << k}) <> 0 THEN f{k}{c} ELSE 1 END" for k in taxa)
+    each = lambda name, of: ", ".join(f"{of(c)} AS {name}{c}" for c in letters)
+    total = lambda name: "(" + " + ".join(f"{name}{c}" for c in letters) + ")"
+    rank = "size * 100 + mask"
+    return f"""{FOUR}, {fixtures.alignment_sql(4)},
+pat AS (SELECT x0, x1, x2, x3, count(*) AS w FROM (SELECT site, {', '.join(f"max(letter) FILTER (taxon = {k}) AS x{k}" for k in taxa)} FROM cells GROUP BY site) GROUP BY ALL),
+edge AS (SELECT sample, tree_id, arg_min(mask, {rank}) AS ma, arg_min(length, {rank}) AS la, arg_max(mask, {rank}) AS mb, arg_max(length, {rank}) AS lb FROM interior GROUP BY ALL),
+tip AS (SELECT tree_id, {', '.join(f"max(length) FILTER (taxon = {k}) AS t{k}" for k in taxa)} FROM leaf GROUP BY tree_id),
+p AS (SELECT sample, tree_id, (ma & mb) = 0 AS even, ma, mb, {', '.join(f"0.25 + 0.75 * exp(-4 * {x} / 3) AS s{n}, 0.25 - 0.25 * exp(-4 * {x} / 3) AS d{n}" for n, x in (('a', 'la'), ('b', 'lb'), *((k, f't{k}') for k in taxa)))}
+  FROM edge JOIN tip USING (tree_id)),
+f AS (SELECT sample, tree_id, even, ma, mb, sa, da, sb, db, w, {factor} FROM p CROSS JOIN pat),
+g AS (SELECT sample, tree_id, even, sa, da, sb, db, w, {each('l', lambda c: over('ma', c))}, {each('n', lambda c: over('(mb - CASE WHEN even THEN 0 ELSE ma END)', c))},
+  {each('o', lambda c: over('CASE WHEN even THEN 0 ELSE 15 - mb END', c))} FROM f),
+h AS (SELECT *, {each('e', lambda c: f"da * {total('l')} + (sa - da) * l{c}")} FROM g),
+i AS (SELECT *, {each('m', lambda c: f"n{c} * CASE WHEN even THEN 1 ELSE e{c} END")} FROM h),
+j AS (SELECT *, {each('u', lambda c: f"(db * {total('m')} + (sb - db) * m{c}) * CASE WHEN even THEN e{c} ELSE o{c} END")} FROM i)
+SELECT sample, tree_id, round(sum(w * ln(0.25 * {total('u')})) + 1.05e-9, 6) AS lnl FROM j GROUP BY ALL"""
+
+
+@query(likelihood_sql())
 def log_likelihood(spark, sf_dir):
-    found = L.log_likelihoods(parsed(spark, sf_dir), L.patterns(fixtures.cells(spark, sf_dir)))
-    return found.select("sample", "tree_id", r6(F.col("lnl"), "lnl"))
+    found = L.log_likelihoods(parsed(spark, sf_dir, 4), L.patterns(fixtures.cells(spark, sf_dir, 4)))
+    return found.select("sample", "tree_id", n6(F.col("lnl"), "lnl"))
 
 
 def _one_each(spark, sf_dir) -> DataFrame:
