@@ -55,7 +55,8 @@ def top(keys: np.ndarray, counts: np.ndarray, most: int = PROFILE) -> np.ndarray
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", most: int = PROFILE) -> dict[str, np.ndarray]:
     """A profile for each language: its most frequent n-grams over all rows whose text and language are not null.
 
-    Only the profiles come to the driver: ``most`` keys for each language.
+    Only the profiles come to the driver: ``most`` keys for each language. Equal counts go by key. Repeated rows count as
+    often as they come; empty texts add nothing; an empty table gives no profiles. Other columns are not used.
     """
     source = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).dropna()
 
@@ -104,7 +105,9 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], id_col: str = "doc
     The distance to a language is the sum, over a document's most frequent n-grams, of how many places the n-gram's
     rank is off in the profile, and ``most`` for one that the profile lacks. The score is the lead over the next
     language as a share of the next one's distance, from 0 (a tie) to 1. Ties go to the first language by name.
-    A null text, or one without a letter, is ``und`` with score 0; so is every text if nothing was learned.
+    A null text, or one without a letter, is ``und`` with score 0; so is every text if nothing was learned. Whole texts
+    are counted, however long. Repeated rows and null ids keep their rows; an empty table gives none. Other columns are
+    not used.
     """
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     names = list(profiles)

@@ -150,7 +150,9 @@ def fit(labelled: DataFrame, buckets: int = BUCKETS, fit_rows: int = FIT_ROWS, c
 
     Ratios come from all rows. The hinge-loss model is fitted in one task on ``fit_rows`` rows at most and made
     into probabilities on ``calibration_rows`` further ones; both are the rows of least hashed id, so the same for
-    any partitioning. Without rows of both labels every score is the share of label 1 (0.5 without rows).
+    any partitioning. Without rows of both labels every score is the share of label 1 (0.5 without rows). A null text is
+    an empty one; rows of other or null labels are passed over; repeated rows count as often as they come; null ids hash
+    like others. Other columns are not used.
     """
     labelled = labelled.where(F.col("label").isin(0, 1)).select("id", F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("long").alias("label"))
     labelled = saved(labelled, "labelled")
@@ -189,7 +191,8 @@ def fit(labelled: DataFrame, buckets: int = BUCKETS, fit_rows: int = FIT_ROWS, c
 
 
 def score(docs: DataFrame, model: dict, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """Adds ``score_col`` (0 to 1; higher: label 1 likelier) to all rows. A null text is scored as an empty one."""
+    """Adds ``score_col`` (0 to 1; higher: label 1 likelier) to all rows. A null text is scored as an empty one. Repeated rows
+    and all columns stay, but for one named ``score_col``, which is replaced. An empty table gives no rows."""
     docs = docs.drop(score_col)  # a column of that name is replaced
     spark, names = docs.sparkSession, docs.columns
     shared = spark.sparkContext.broadcast(model)  # a number for each bucket

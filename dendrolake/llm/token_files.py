@@ -144,3 +144,23 @@ def read_token_files(spark: SparkSession, path: str, id_col: str = "doc_id") ->
 
     out = placed.mapInArrow(decode, f"id {id_type}, start long, n_tokens long, ids binary")
     return out.withColumnRenamed("id", id_col)
+
+
+def read_range(spark: SparkSession, path: str, first: int, last: int) -> DataFrame:
+    """``start, ids`` (little-endian unsigned 32-bit): the ids at places ``first`` to ``last`` (exclusive) of a token file, a
+    row for each block that holds some. Other blocks are passed over by their places, and of a block only those bits
+    are unpacked. A range beyond the end, or an empty one, gives no rows."""
+    index = spark.read.parquet(f"{path}/index")  # a row for each part written
+    at = F.col("before") + F.col("start")
+    blocks = spark.read.parquet(f"{path}/blocks").select("part", "start", "n_ids", "width", "payload").join(F.broadcast(index), "part")
+    mine = blocks.where((at < last) & (at + F.col("n_ids") > first) & F.lit(first < last)).select(at.alias("start"), "n_ids", "width", "payload")
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                start, n = batch.column("start")[i].as_py(), batch.column("n_ids")[i].as_py()
+                a, b = max(first - start, 0), min(last - start, n)
+                ids = unpack_ids(batch.column("payload")[i].as_py(), batch.column("width")[i].as_py(), a, b)
+                yield pa.RecordBatch.from_arrays([pa.array([start + a]), pa.array([ids.astype("<u4").tobytes()], pa.binary())], names=["start", "ids"])
+
+    return mine.mapInArrow(decode, "start long, ids binary")
