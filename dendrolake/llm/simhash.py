@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import HashSet, hash_words, mix, saved, slices, split_words
@@ -23,8 +23,9 @@ PAIRWISE_BUCKET = 64
 
 
 #: Near copies: fingerprints of a text's distinct words, each by hashes of its own; words of a shingle and the least
-#: similarity of two texts' sets of shingles; texts of a group up to which one task compares them.
-SEEDS, SHINGLE, SIMILARITY, TOGETHER = 3, 5, 0.8, 300
+#: similarity of two texts' sets of shingles; texts of a group that a round goes through in one task, and about how many of
+#: its others a task holds against them.
+SEEDS, SHINGLE, SIMILARITY, TOGETHER, DEALT = 3, 5, 0.8, 200, 1000
 #: Text bytes whose words are taken together.
 SLICE_BYTES = 4_000_000
 
@@ -175,9 +176,9 @@ def near_copies(
 
     Candidates are groups of texts joined by fingerprints of distinct words (``seeds`` of them) that are equal or within
     ``distance`` bits. In the order of their ids (null last, then by text_key) the texts of a group stay or go: one goes
-    if the similarity of its set of ``words``-word shingles with that of a text that stays is ``least`` or more. Small
-    groups are gone through in one task; in a large one each round holds the first text against all others, which
-    goes on until few are left, so no group is cut.
+    if the similarity of its set of ``words``-word shingles with that of a text that stays is ``least`` or more. In each
+    round the first ``together`` texts of a group are gone through in one task, and all its others, dealt to many, are
+    held against those of them that stay; this goes on until none is left, so no group is cut.
 
     Null, empty and blank texts are alike. Exact copies and repeated rows are one text. An empty table gives no rows.
     Other columns, of whatever name, are not used.
@@ -209,47 +210,44 @@ def near_copies(
     left = named.join(likely.hint("merge"), "text_key").dropDuplicates(["text_key"]).select("root", "n", F.struct(*order).alias("at"), "text_key", "text")
     left = saved(left, "contents")
 
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        gone, kept = [], []
-        for k, t in zip(pdf["text_key"], pdf["text"]):
+    def sorted_out(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The first texts of a group in order: which of them stay."""
+        pdf, kept, stays = pdf.sort_values("place"), [], []
+        for t in pdf["text"]:
             own = shingles(t, words)
-            if any(similarity(own, other) >= least for other in kept):
-                gone.append(k)
-            else:
+            stays.append(not any(similarity(own, other) >= least for other in kept))
+            if stays[-1]:
                 kept.append(own)
-        return pd.DataFrame({"text_key": np.array(gone, np.int64)})
+        return pdf[["root", "text_key", "text"]].assign(stays=stays)
 
-    def alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        first: tuple[str, set[int]] | None = None
-        for batch in batches:
-            near = []
-            for t, r in zip(batch["text"], batch["first_text"]):
-                if first is None or first[0] != r:
-                    first = r, shingles(r, words)
-                near.append(similarity(shingles(t, words), first[1]) >= least)
-            yield batch[["root", "text_key"]].assign(near=near)
-
-    def in_order(pdf: pd.DataFrame) -> pd.DataFrame:
-        return greedy(pdf.sort_values("place"))
+    def held_against(pdf: pd.DataFrame, first: pd.DataFrame) -> pd.DataFrame:
+        """Some of a group's other texts: which are like one of the first that stay."""
+        kept = [shingles(t, words) for t in first["text"]]
+        near = [any(similarity(own, other) >= least for other in kept) for own in (shingles(t, words) for t in pdf["text"])]
+        return pdf[["root", "text_key"]].assign(near=np.array(near, bool))
 
     dropped = []
     while True:
-        few = left.where(F.col("n") <= together)
-        rank = F.array_position(F.col("ats"), F.col("at"))
-        orders = few.groupBy("root").agg(F.sort_array(F.collect_list("at")).alias("ats"))  # at most ``together`` of a group
-        placed = join_by_root(few, orders, "text_key").select("root", "text_key", "text", rank.alias("place"))
-        dropped.append(placed.groupBy("root").applyInPandas(in_order, "text_key long"))
-        many = saved(left.where(F.col("n") > together), "large-groups")
-        if many.isEmpty():
+        place = F.row_number().over(Window.partitionBy("root").orderBy("at"))
+        heads = left.select("root", "at", "text_key").withColumn("place", place).where(F.col("place") <= together)
+        heads = saved(heads.select("root", "text_key", "place"), "heads")
+        first = left.select("root", "text_key", "text").join(heads.drop("root").hint("merge"), "text_key")
+        first = saved(first.groupBy("root").applyInPandas(sorted_out, "root long, text_key long, text string, stays boolean"), "first")
+        dropped.append(first.where("not stays").select("text_key"))
+        rest = left.where(F.col("n") > together).join(heads.select("text_key").hint("merge"), "text_key", "left_anti")
+        rest = saved(rest.withColumn("parts", F.ceil(F.col("n") / DEALT).cast("int")), "rest")
+        if rest.isEmpty():
             break
-        first = many.groupBy("root").agg(F.min("at").alias("first"), F.min_by("text", "at").alias("first_text"))
-        met = join_by_root(many.drop("n"), first, "text_key").where(F.col("at") != F.col("first"))
-        judged = saved(met.select("root", "text_key", "text", "first_text").mapInPandas(alike, "root long, text_key long, near boolean"), "judged")
+        parts = rest.groupBy("root").agg(F.first("parts").alias("parts"))
+        kept = join_by_root(first.where("stays"), parts, "text_key").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        others = rest.withColumn("part", F.pmod(F.xxhash64("text_key", F.lit(2)), "parts").cast("int")).select("root", "part", "text_key", "text")
+        both = others.groupBy("root", "part").cogroup(kept.select("root", "part", "text").groupBy("root", "part"))
+        judged = saved(both.applyInPandas(held_against, "root long, text_key long, near boolean"), "judged")
         dropped.append(judged.where("near").select("text_key"))
-        rest = judged.where("not near").select("root", "text_key")
-        sizes = rest.groupBy("root").agg(F.count("*").alias("n"))
-        rest = join_by_root(rest, sizes, "text_key")
-        left = saved(many.drop("n", "root").join(rest.hint("merge"), "text_key"), "contents")
+        apart = judged.where("not near").select("root", "text_key")
+        sizes = apart.groupBy("root").agg(F.count("*").alias("n"))
+        apart = join_by_root(apart, sizes, "text_key").select("text_key", "n")
+        left = saved(rest.drop("n", "parts").join(apart.hint("merge"), "text_key").select("root", "n", "at", "text_key", "text"), "contents")
     gone = dropped[0]
     for more in dropped[1:]:
         gone = gone.union(more)
