@@ -42,15 +42,18 @@ def byte_letters() -> dict[int, str]:
 
 
 class ChunkTokenizer:
-    """Encodes Arrow string columns. ``spaced``: the file keeps white space (else it drops it and lower-cases)."""
+    """Encodes Arrow string columns. ``spaced``: the file keeps white space (else it drops it and lower-cases). ``lead``: each
+    text is taken with a space before it. ``special``: strings of special tokens in a text stand for those tokens (else
+    they are plain text)."""
 
-    def __init__(self, path: str, spaced: bool = True) -> None:
+    def __init__(self, path: str, spaced: bool = True, lead: bool = False, special: bool = True) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.spaced = spaced
+        self.tokenizer.encode_special_tokens = not special
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if special else []
+        self.spaced, self.lead = spaced, lead
         self.prefix = " " if spaced else ""
         self.letters = byte_letters()
         self._reset()
@@ -96,6 +99,11 @@ class ChunkTokenizer:
         self.ids = np.concatenate([self.ids, np.array(flat, np.uint32)])
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.array(ends, np.int64)])
 
+    @staticmethod
+    def _dirty(chunk: str) -> bool:
+        """Whether a text with this chunk must be encoded whole."""
+        return not chunk or chunk[0].isspace() or chunk[-1].isspace()
+
     def _slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         split = pc.split_pattern(texts, " ")
         offsets = np.asarray(split.offsets, np.int64)
@@ -104,14 +112,14 @@ class ChunkTokenizer:
         words = coded.dictionary.to_pylist()
         index = coded.indices.to_numpy(zero_copy_only=False)
         first = offsets[:-1]
-        dirty = np.array([not w or w[0].isspace() or w[-1].isspace() for w in words], bool)
+        dirty = np.array([self._dirty(w) for w in words], bool)
         bad = np.add.reduceat(dirty[index], first) > 0
         bad &= np.diff(offsets) > 1  # a text of one chunk is encoded as it is in any case
         if len(self.known) + len(self.words) > CACHE_CHUNKS:
             self._reset()
         keys = [self.prefix + w for w in words] if self.prefix else words
-        heads = [words[i] for i in index[first]]
-        whole = [str(texts[int(i)]) for i in np.flatnonzero(bad)]
+        heads = [(keys if self.lead else words)[i] for i in index[first]]
+        whole = [" " * self.lead + str(texts[int(i)]) for i in np.flatnonzero(bad)]
         self._learn([k for k in {**dict.fromkeys(keys), **dict.fromkeys(heads)} if k not in self.known])
         row = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))[index]
         row[first] = np.fromiter(map(self.known.__getitem__, heads), np.int64, len(heads))
@@ -145,9 +153,9 @@ class ChunkTokenizer:
 _loaded: dict[tuple, ChunkTokenizer] = {}
 
 
-def tokenizer(path: str, spaced: bool = True) -> ChunkTokenizer:
+def tokenizer(path: str, spaced: bool = True, lead: bool = False, special: bool = True) -> ChunkTokenizer:
     """The tokenizer of this worker process; loaded once."""
-    key = (path, spaced)
+    key = (path, spaced, lead, special)
     if key not in _loaded:
-        _loaded[key] = ChunkTokenizer(path, spaced)
+        _loaded[key] = ChunkTokenizer(path, spaced, lead, special)
     return _loaded[key]

@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, langid, lm_scores, nbsvm, packing, pii, quality_rules, sampling, simhash, token_files
-from .common import bucket_of_id, fresh_path, table
+from . import alignment, embeddings, langid, lm_scores, nbsvm, packing, pii, quality_rules, runs, sampling, simhash, token_files, winnowing
+from .common import NOT_WORD, bucket_of_id, fresh_path, let, saved, table
 
 
 #: Score from which the quality classifier predicts a good document.
@@ -90,6 +90,47 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op11_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = winnowing.against_edits(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    found = alignment.align(table(spark, sf_dir, "documents"), a, b)
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    found = saved(found.withColumn("groups_sha256", digest).drop("groups"), "aligned")
+    whole = alignment.with_counts(found, alignment.pair_counts(found), a, b)
+    return whole.select("doc_id", "n_a", "n_b", "n_groups", F.col("n_groups").alias("n_links"), "n_best", "count_sum", "groups_sha256")
+
+
+def repeated_words(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``, where the words of every tenth document (by a hash of its id) repeat with a period from some word on."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    words = F.filter(F.split("text", NOT_WORD), lambda w: w != "")
+
+    def rewritten(words):
+        n = F.size(words)
+        a = F.pmod(g, n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))).cast("int")
+        again = F.transform(F.sequence(F.lit(0), n - a - 1), lambda j: F.get(words, a + F.pmod(j, p)))
+        return F.when(n > 0, F.array_join(F.concat(F.slice(words, F.lit(1), a), again), " ")).otherwise("")
+
+    return docs.select("doc_id", F.when(F.pmod(h, F.lit(10)) == 0, let(words, rewritten)).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(repeated_words(table(spark, sf_dir, "documents")))
+    line = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    longer = lambda x, y: x["length"] * y["period"] > y["length"] * x["period"]  # noqa: E731  by start, then period: the first of equal ones stays
+    best = F.aggregate("runs", F.get("runs", F.lit(0)), lambda y, x: F.when(longer(x, y), x).otherwise(y)).alias("best")
+    digests = F.sha2(F.array_join(F.transform(line, lambda x: F.concat(x, F.lit("\n"))), ""), 256), F.sha2("collapsed", 256)
+    found = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best, digests[0].alias("runs_sha256"), digests[1].alias("collapsed_sha256"))
+    exponent = F.expr("1000 * best.length div best.period").alias("exponent_milli")
+    return found.select("doc_id", "n_runs", "best.start", "best.length", "best.period", exponent, "runs_sha256", "collapsed_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_quality_rules": op2_quality_rules,
@@ -101,6 +142,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_scores": op8_lm_scores,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_token_files": op10_token_files,
+    "op11_winnowing": op11_winnowing,
+    "op12_alignment": op12_alignment,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 #: Vectors, their links within a label by cosine, and what each reaches over links.
