@@ -1,15 +1,17 @@
-"""Geodesics: their supports by a small helper on each pair, all that follows as column expressions."""
+"""Geodesics: their supports by arrays over batches of pairs, all that follows as column expressions."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geodesic as G
-from ..functions import newick as N
+from . import arrays as A
+from .pairs import Trees, _crossing_any, by_tiles
 
 _EDGE = "array<struct<split:array<bigint>,length:double>>"
 SUPPORTS = f"array<struct<part:array<bigint>,a:{_EDGE},b:{_EDGE},a_norm:double,b_norm:double>>"
@@ -18,41 +20,73 @@ LEAF = "array<struct<taxon_id:int,l1:double,l2:double>>"
 SCHEMA = f"sample long, i long, j long, supports {SUPPORTS}, common {COMMON}, leaf {LEAF}"
 
 
+#: Pairs of edges that are met together.
+MET = 2_000_000
+
+
+def _leaf_terms() -> Column:
+    """Both lengths of each leaf, by taxon."""
+    both = F.zip_with(F.array_sort("a_leaves"), F.array_sort("b_leaves"), lambda x, y: F.struct(x["taxon_id"].alias("taxon_id"), x["length"].alias("l1"), y["length"].alias("l2")))
+    return both.cast(LEAF)
+
+
 def geodesics(pairs: DataFrame, taxa: int, strict: bool = False) -> DataFrame:
     """``sample, i, j, supports, common, leaf`` for pairs with both trees' edges.
 
     ``supports``: edges dropped and added together, by ascending ratio of their norms, with the common
-    edge they lie under (all zeros: the root). ``strict``: equal ratios are one (an orthant boundary each).
+    edge they lie under (all zeros: the root). ``strict``: equal ratios are one (an orthant boundary each). A batch of
+    pairs goes through arrays together, some at a time.
     """
 
-    def edges(found) -> list[dict]:
-        return [{"split": N.words(m, taxa), "length": x} for m, x in found]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            n_edges = [np.asarray(whole.column(c).value_lengths().fill_null(0), np.int64) for c in ("a_splits", "b_splits")]
+            for low, high in A.chunks(n_edges[0] * n_edges[1] + 1, MET):
+                batch = whole.slice(low, high - low)
+                found = G.geodesics(A.edges(batch.column("a_splits"), taxa), A.edges(batch.column("b_splits"), taxa), strict)
+                side = lambda e: A.lists(e.bounds, A.structs(split=A.splits(e.masks), length=e.lengths))
+                ratio = A.structs(part=A.splits(found.part), a=side(found.a), b=side(found.b), a_norm=found.a_norm, b_norm=found.b_norm)
+                common = A.structs(split=A.splits(found.common), l1=found.first, l2=found.second)
+                columns = [*batch.columns[:3], A.lists(found.bounds, ratio), A.lists(found.common_bounds, common), batch.column("leaf")]
+                yield pa.RecordBatch.from_arrays(columns, names=["sample", "i", "j", "supports", "common", "leaf"])
+
+    return pairs.select("sample", "i", "j", "a_splits", "b_splits", _leaf_terms().alias("leaf")).mapInArrow(run, SCHEMA)
+
+
+def contributions(pairs: DataFrame) -> DataFrame:
+    """``sample, i, j, leaf_square, common_square``: the leaves' and the common edges' shares of the squared distances, by
+    column expressions alone. An edge that crosses none of the other tree is common."""
+    square = lambda x, y: (x - y) * (x - y)
+    leaf = _total(F.transform(_leaf_terms(), lambda x: square(x["l1"], x["l2"])))
+    same = lambda x, other: F.filter(other, lambda y: y["split"] == x["split"])
+    free = lambda side, other: F.filter(side, lambda x: ~_crossing_any(x, other))
+    own = F.transform(free("a_splits", "b_splits"), lambda x: square(x["length"], _total(F.transform(same(x, "b_splits"), lambda y: y["length"]))))
+    alone = F.filter(free("b_splits", "a_splits"), lambda x: F.size(same(x, "a_splits")) == 0)
+    rest = F.transform(alone, lambda x: x["length"] * x["length"])
+    return pairs.select("sample", "i", "j", leaf.alias("leaf_square"), _total(F.concat(own, rest)).alias("common_square"))
+
+
+def distances(parsed: DataFrame, taxa: int, block: int | None = None) -> DataFrame:
+    """``sample, i, j, d``: the geodesic distances of all pairs of each sample, tile by tile; no pair is a row before its
+    distance is known. Trees that are null are of no pair."""
+
+    def of(low: Trees, high: Trees, x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+        d = np.empty(len(x))
+        work = np.diff(low.edges.bounds)[x] * np.diff(high.edges.bounds)[y] + 1
+        for lo, hi in A.chunks(work, MET):
+            i, j = x[lo:hi], y[lo:hi]
+            d[lo:hi] = np.sqrt(G.geodesics(low.edges.of(i), high.edges.of(j)).square() + ((low.leaves[i] - high.leaves[j]) ** 2).sum(axis=1))
+        return [d]
 
-    def of(row) -> tuple:
-        a = [(N.joined(list(s["split"])), s["length"]) for s in row.a_splits]
-        b = [(N.joined(list(s["split"])), s["length"]) for s in row.b_splits]
-        common, found = G.geodesic(a, b)
-        if strict:
-            merged = G.merge([(x, y) for _, x, y in found], strict=True)
-            found = [(0, x, y) for x, y in merged]
-        supports = [{"part": N.words(o, taxa), "a": edges(x), "b": edges(y), "a_norm": G.norm(x), "b_norm": G.norm(y)} for o, x, y in found]
-        ends = {x["taxon_id"]: x["length"] for x in row.b_leaves}
-        leaf = [{"taxon_id": x["taxon_id"], "l1": x["length"], "l2": ends[x["taxon_id"]]} for x in row.a_leaves]
-        return supports, [{"split": N.words(m, taxa), "l1": x, "l2": y} for m, x, y in common], leaf
+    return by_tiles(parsed, taxa, of, "d double", block)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [of(r) for r in batch.itertuples()]
-            out = batch[["sample", "i", "j"]].copy()
-            for k, name in enumerate(("supports", "common", "leaf")):
-                out[name] = [f[k] for f in found]
-            yield out
 
-    return pairs.select("sample", "i", "j", "a_splits", "b_splits", "a_leaves", "b_leaves").mapInPandas(run, SCHEMA)
+def _total(array) -> Column:
+    return F.aggregate(array, F.lit(0.0), lambda s, x: s + x)
 
 
 def _sum(array, value) -> Column:
-    return F.aggregate(F.transform(array, value), F.lit(0.0), lambda s, x: s + x)
+    return _total(F.transform(array, value))
 
 
 def leaf_square() -> Column:

@@ -2,26 +2,44 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import newick as N
-from .trees import _complement, _has, full_mask
-
+from ..functions.geodesic import Edges, met, ragged
+from ..sources.store import saved
+from . import arrays as A
+from .trees import full_mask
 
 #: Trees of a block, about: all pairs of a sample are met block against block, each two blocks under a key of their own.
 BLOCK = 512
-#: Salts of the join that gives each tree its sample's number of blocks.
-_SALTS = 16
+#: Edges of a block, about, beyond which it has fewer trees.
+BLOCK_EDGES = 60_000
+#: Samples of more than one block up to which their numbers of blocks are sent to all tasks; beyond, they are joined by shuffle,
+#: salted.
+SENT, _SALTS = 100_000, 16
+#: Pairs of trees that are worked on together.
+TOGETHER = 400_000
 
 
 def blocked(rows: DataFrame, sizes: DataFrame, block: int = BLOCK) -> DataFrame:
     """``rows`` (sample, tree_id and others) with ``_own``, the tree's block, and ``_blocks``, how many its sample has.
-    ``sizes`` has a row for each tree of the samples. No sample's rows meet in one task."""
-    counts = sizes.groupBy("sample").agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks"))
-    counts = counts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("tree_id"), F.lit(_SALTS)).cast("int"))
-    return salted.join(counts, ["sample", "_salt"]).withColumn("_own", F.pmod(F.xxhash64("tree_id", F.lit(1)), "_blocks").cast("int")).drop("_salt")
+    ``sizes`` has a row for each tree of the samples. No sample's rows meet in one task: samples of one block, nearly all as
+    a rule, are not joined at all."""
+    counts = sizes.groupBy("sample").agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks")).where("_blocks > 1")
+    counts = saved(counts, "blocks")
+    if counts.limit(SENT + 1).count() <= SENT:
+        joined = rows.join(F.broadcast(counts), "sample", "left")
+    else:
+        counts = counts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+        salted = rows.withColumn("_salt", F.pmod(F.xxhash64("tree_id"), F.lit(_SALTS)).cast("int"))
+        joined = salted.join(counts.hint("merge"), ["sample", "_salt"], "left").drop("_salt")
+    joined = joined.withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
+    return joined.withColumn("_own", F.pmod(F.xxhash64("tree_id", F.lit(1)), "_blocks").cast("int"))
 
 
 def _sides(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -91,102 +109,192 @@ def crossing_matrix(pairs: DataFrame) -> DataFrame:
     return rows.select("sample", "i", "j", "a", F.explode("b_splits.split").alias("b")).where(crosses(F.col("a"), F.col("b")))
 
 
-def unrooted(parsed: DataFrame, taxa: int) -> DataFrame:
-    """Splits as their side without taxon 0, each once (the root's two edges are one); single taxa go to the leaves."""
-    full = full_mask(taxa)
-    rest = F.array(*(F.lit(w if i else w - 1).cast("bigint") for i, w in enumerate(full)))
-
-    def side(x: Column) -> Column:
-        away = _has(x["split"], 0)
-        return F.struct(
-            F.when(away, _complement(x["split"], taxa)).otherwise(x["split"]).alias("split"),
-            F.when(away, F.lit(taxa) - x["size"]).otherwise(x["size"]).alias("size"),
-            x["length"].alias("length"),
-        )
-
-    def total(mask: Column) -> Column:
-        own = F.filter("_sides", lambda y: y["split"] == mask)
-        return F.aggregate(F.transform(own, lambda y: y["length"]), F.lit(0.0), lambda a, v: a + v)
-
-    def bit(t: Column) -> Column:
-        return F.when(t == 0, rest).otherwise(F.transform(F.sequence(F.lit(0), F.lit(len(full) - 1)), lambda w: F.when(F.floor(t / N.WORD) == w, F.expr("1L")).otherwise(F.expr("0L"))))
+@dataclass
+class Trees:
+    """Trees of several blocks after another: each block's first tree (and the end), ids, interior edges, leaf lengths."""
 
-    d = parsed.withColumn("_sides", F.transform("splits", side))
-    inner = F.array_distinct(F.transform(F.filter("_sides", lambda x: (x["size"] > 1) & (x["split"] != rest)), lambda x: x["split"]))
-    d = d.withColumn("_inner", inner)
-    ones = F.filter("_sides", lambda x: (x["size"] == 1) | (x["split"] == rest))
+    bounds: np.ndarray
+    ids: np.ndarray
+    edges: Edges
+    leaves: np.ndarray
 
-    def taxon(x: Column) -> Column:
-        names = F.array(*(F.when(_has(x["split"], t), F.lit(t)) for t in range(taxa)))
-        return F.when(x["split"] == rest, F.lit(0)).otherwise(F.array_max(names))
 
-    d = d.withColumn("_ones", F.transform(ones, lambda x: F.struct(taxon(x).alias("t"), x["length"].alias("length"))))
+def _trees(column: pa.ListArray, taxa: int) -> Trees:
+    flat = column.flatten()
+    return Trees(A.offsets(column), flat.field("tree_id").to_numpy(zero_copy_only=False), A.edges(flat.field("splits"), taxa), A.leaves(flat.field("leaves"), taxa))
 
-    def grown(x: Column) -> Column:
-        own = F.filter("_ones", lambda o: o["t"] == x["taxon_id"])
-        return x.withField("length", F.aggregate(F.transform(own, lambda o: o["length"]), x["length"], lambda a, v: a + v))
-
-    return d.select(
-        "sample",
-        "tree_id",
-        F.transform("_inner", lambda m: F.struct(m.alias("split"), F.lit(0).alias("size"), total(m).alias("length"))).alias("splits"),
-        F.transform("leaves", grown).alias("leaves"),
-    )
 
+def by_tiles(parsed: DataFrame, taxa: int, of: Callable[..., list[np.ndarray]], schema: str, block: int | None = None, once: Callable[[Trees], Trees] = lambda t: t) -> DataFrame:
+    """``sample, i, j`` and the columns of ``schema`` for all pairs i < j of each sample.
 
-def rf_distances(parsed: DataFrame, taxa: int, rooted: bool = False, block: int = BLOCK) -> DataFrame:
+    A block of trees is one row, and so is a tile (two blocks of a sample), so that pairs are formed in the tasks and never
+    shuffled. ``of(low, high, x, y)`` gives the columns for the pairs of tree x of ``low`` and y of ``high``; ``once``
+    changes a tile's trees before.
+    """
+    trees = saved(parsed.where("splits is not null").select("sample", "tree_id", "splits", "leaves"), "trees")
+    block = block or max(16, min(BLOCK, BLOCK_EDGES // max(taxa, 1)))
+    rows = blocked(trees, trees, block)
+    blocks = rows.groupBy("sample", "_own", "_blocks").agg(F.collect_list(F.struct("tree_id", "splits", "leaves")).alias("x"))
+    nothing = F.lit(None).cast(blocks.schema["x"].dataType)
+    alone = blocks.select("sample", F.col("x").alias("low"), nothing.alias("high"))
+    several = blocks.where("_blocks > 1")
+    low = several.select("sample", F.col("_own").alias("_lo"), F.explode(F.sequence(F.col("_own"), F.col("_blocks") - 1)).alias("_hi"), F.col("x").alias("low")).where("_lo < _hi")
+    high = several.select("sample", F.col("_own").alias("_hi"), F.explode(F.sequence(F.lit(0), F.col("_own"))).alias("_lo"), F.col("x").alias("high")).where("_lo < _hi")
+    tiles = alone.union(low.join(high.hint("merge"), ["sample", "_lo", "_hi"]).select("sample", "low", "high"))
+    tiles = tiles.repartition(F.xxhash64("sample", F.get("low", F.lit(0))["tree_id"], F.get("high", F.lit(0))["tree_id"]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_low, n_high = (np.asarray(batch.column(c).value_lengths().fill_null(0), np.int64) for c in ("low", "high"))
+            for lo, hi in A.chunks(n_low * np.where(n_high > 0, n_high, n_low), TOGETHER):
+                part = batch.slice(lo, hi - lo)
+                self_ = n_high[lo:hi] == 0
+                first = once(_trees(part.column("low"), taxa))
+                second = first if self_.all() else once(_trees(_either(part, self_), taxa))
+                x, y = met(first.bounds, second.bounds)
+                a, b = first.ids[x], second.ids[y]
+                keep = (a < b) | ~np.repeat(self_, np.diff(first.bounds) * np.diff(second.bounds)) & (a != b)
+                x, y, a, b = x[keep], y[keep], a[keep], b[keep]
+                sample = np.repeat(part.column("sample").to_numpy(zero_copy_only=False), np.diff(first.bounds))[x]
+                columns = [sample, np.minimum(a, b), np.maximum(a, b), *of(first, second, x, y)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+
+    kinds = f"sample long, i long, j long, {schema}"
+    names = [c.split()[0] for c in kinds.split(", ")]
+    return tiles.mapInArrow(run, kinds)
+
+
+def _either(part: pa.RecordBatch, self_: np.ndarray) -> pa.ListArray:
+    """The second block of each tile, the first where there is none."""
+    both = pa.concat_arrays([part.column("low"), part.column("high")])
+    return both.take(pa.array(np.where(self_, np.arange(len(self_)), len(self_) + np.arange(len(self_)))))
+
+
+def _away_from_first(t: Trees, taxa: int) -> Trees:
+    """Splits as their side without taxon 0, each once (the root's two edges are one); those of one taxon go to the leaves."""
+    full = np.array(full_mask(taxa), np.int64)
+    n, leaves = len(t.ids), t.leaves.copy()
+    owner = np.repeat(np.arange(n), np.diff(t.edges.bounds))
+    masks = np.where((t.edges.masks[:, :1] & 1) > 0, t.edges.masks ^ full, t.edges.masks)
+    size, lengths = A.sizes(masks), t.edges.lengths
+    one = np.flatnonzero(size == 1)
+    word = (masks[one] != 0).argmax(axis=1)
+    taxon = word * A.WORD + np.bitwise_count(masks[one, word] - 1).astype(np.int64)
+    np.add.at(leaves, (owner[one], taxon), lengths[one])
+    rest = size == taxa - 1
+    np.add.at(leaves, (owner[rest], 0), lengths[rest])
+    inner = (size > 1) & ~rest
+    return Trees(t.bounds, t.ids, _merged(owner[inner], masks[inner], lengths[inner], n), leaves)
+
+
+def _merged(owner: np.ndarray, masks: np.ndarray, lengths: np.ndarray, n: int) -> Edges:
+    """Edges of n trees, those of one tree and split added up."""
+    order = np.lexsort((*masks.T, owner))
+    owner, masks, lengths = owner[order], masks[order], lengths[order]
+    first = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (masks[1:] != masks[:-1]).any(axis=1)])) if len(owner) else np.zeros(0, np.int64)
+    return Edges(np.searchsorted(owner[first], np.arange(n + 1)), masks[first], np.add.reduceat(lengths, first) if len(first) else lengths)
+
+
+def rf_distances(parsed: DataFrame, taxa: int, rooted: bool = False, block: int | None = None) -> DataFrame:
     """``sample, i, j, rf, wrf`` of all pairs: the number of splits that one tree has alone, and the sum of all absolute
-    differences of lengths, leaves included.
+    differences of lengths, leaves included. Trees that are null are of no pair.
 
-    Pairs meet tile by tile with their numbers of splits, lengths and leaves; common splits meet by tile and split; both
-    give terms of one sum, so that the table of pairs is shuffled once.
+    A tile's edges are sorted by split; those of one split are met, and what they have in common is taken off the sums of
+    both trees. Leaves are a matrix, for every tree has them all.
     """
-    trees = parsed if rooted else unrooted(parsed, taxa)
-    lengths = F.aggregate(F.transform("splits", lambda x: x["length"]), F.lit(0.0), lambda s, x: s + x)
-    leaves = F.transform(F.array_sort("leaves"), lambda x: x["length"])
-    flat = trees.select("sample", "tree_id", F.size("splits").alias("n"), lengths.alias("total"), leaves.alias("leaves"))
-    pairs = all_pairs(flat, ["n", "total", "leaves"], block)
-    pendant = F.aggregate(F.zip_with("a.leaves", "b.leaves", lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: s + x)
-    whole = pairs.select(
-        "sample", F.col("a.tree_id").alias("i"), F.col("b.tree_id").alias("j"),
-        (F.col("a.n") + F.col("b.n")).cast("long").alias("rf"), (F.col("a.total") + F.col("b.total") + pendant).alias("wrf"),
-    )
-    edges = trees.select("sample", "tree_id", F.explode("splits").alias("x")).select("sample", "tree_id", F.col("x.split").alias("split"), F.col("x.length").alias("length"))
-    common = all_pairs(edges, ["length"], block, ["split"])
-    shared = common.select(
-        "sample", F.col("a.tree_id").alias("i"), F.col("b.tree_id").alias("j"), F.lit(-2).cast("long").alias("rf"), (-2 * F.least("a.length", "b.length")).alias("wrf")
-    )
-    return whole.union(shared).groupBy("sample", "i", "j").agg(F.sum("rf").alias("rf"), F.sum("wrf").alias("wrf"))
 
+    def of(low: Trees, high: Trees, x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+        sums = lambda t: np.bincount(np.repeat(np.arange(len(t.ids)), np.diff(t.edges.bounds)), t.edges.lengths, len(t.ids))
+        n_high = np.diff(high.bounds)
+        tile = np.repeat(np.arange(len(low.bounds) - 1), np.diff(low.bounds))
+        at = np.concatenate([[0], np.cumsum(np.diff(low.bounds) * n_high)])[:-1]  # where a tile's pairs begin
+        code_low, code_high = _codes(low, high)
+        order = np.argsort(code_high, kind="stable")
+        start, end = (np.searchsorted(code_high[order], code_low, side) for side in ("left", "right"))
+        e, f = np.repeat(np.arange(len(code_low)), end - start), order[ragged(start, end - start)]
+        tree_low, tree_high = (np.repeat(np.arange(len(t.ids)), np.diff(t.edges.bounds)) for t in (low, high))
+        place = lambda i, j: at[tile[i]] + (i - low.bounds[tile[i]]) * n_high[tile[i]] + j - high.bounds[tile[i]]
+        total = int((np.diff(low.bounds) * n_high).sum())
+        met_at, own = place(tree_low[e], tree_high[f]), place(x, y)
+        common = np.bincount(met_at, minlength=total)[own]
+        shared = np.bincount(met_at, np.minimum(low.edges.lengths[e], high.edges.lengths[f]), total)[own]
+        pendant = np.zeros(len(x))
+        for lo in range(0, len(x), max(1, TOGETHER * 8 // taxa)):
+            hi = lo + max(1, TOGETHER * 8 // taxa)
+            pendant[lo:hi] = np.abs(low.leaves[x[lo:hi]] - high.leaves[y[lo:hi]]).sum(axis=1)
+        rf = np.diff(low.edges.bounds)[x] + np.diff(high.edges.bounds)[y] - 2 * common
+        return [rf, sums(low)[x] + sums(high)[y] - 2 * shared + pendant]
+
+    once = (lambda t: t) if rooted else (lambda t: _away_from_first(t, taxa))
+    return by_tiles(parsed, taxa, of, "rf long, wrf double", block, once)
+
+
+def _codes(low: Trees, high: Trees) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each edge that edges of one tile and split share."""
+    tiles = [np.repeat(np.repeat(np.arange(len(t.bounds) - 1), np.diff(t.bounds)), np.diff(t.edges.bounds)) for t in (low, high)]
+    tile, masks = np.concatenate(tiles), np.concatenate([low.edges.masks, high.edges.masks])
+    order = np.lexsort((*masks.T, tile))
+    new = (tile[order[1:]] != tile[order[:-1]]) | (masks[order[1:]] != masks[order[:-1]]).any(axis=1)
+    code = np.empty(len(tile), np.int64)
+    code[order] = np.cumsum(np.concatenate([[0], new])) if len(tile) else 0
+    return code[: len(tiles[0])], code[len(tiles[0]) :]
+
+
+def _bits(masks: np.ndarray, taxa: int) -> np.ndarray:
+    """A row of 0 and 1 for each mask."""
+    t = np.arange(taxa)
+    return (masks[:, t // A.WORD] >> (t % A.WORD) & 1).astype(float)
+
+
+def _to_ancestors(e: Edges, leaves: np.ndarray, taxa: int) -> np.ndarray:
+    """For each tree, two rows: edges, and length, from the root to each two taxa's common ancestor, then 1, and the
+    pendant length, of each taxon."""
+    bits, (a, b), n = _bits(e.masks, taxa), np.triu_indices(taxa, 1), len(leaves)
+    out = np.empty((n, 2, len(a) + taxa))
+    out[:, 0, len(a) :], out[:, 1, len(a) :] = 1.0, leaves
+    for k, (lo, hi) in enumerate(zip(e.bounds.tolist(), e.bounds[1:].tolist())):
+        own = bits[lo:hi]
+        out[k, 0, : len(a)] = (own.T @ own)[a, b]
+        out[k, 1, : len(a)] = (own.T @ (own * e.lengths[lo:hi, None]))[a, b]
+    return out
 
-def kc_vectors(parsed: DataFrame, taxa: int) -> DataFrame:
-    """Parsed trees with ``m`` and ``big_m``: for each pair of taxa the number of edges and the length from the root to
-    their common ancestor, then 1 and the pendant length for each taxon."""
-    def has(x: Column, t: Column) -> Column:
-        word = F.get(x["split"], F.floor(t / N.WORD).cast("int"))
-        return F.call_function("getbit", word, t % N.WORD) == 1
-
-    def both(value) -> Column:
-        """An array of ``value(a, b)`` over all pairs of taxa a < b; the plan does not grow with the taxa."""
-        rows = F.transform(F.sequence(F.lit(0), F.lit(taxa - 2)), lambda a: F.transform(F.sequence(a + 1, F.lit(taxa - 1)), lambda b: value(a, b)))
-        return F.flatten(rows) if taxa > 1 else F.array().cast("array<double>")
-
-    above = lambda a, b: F.filter("splits", lambda x: has(x, a) & has(x, b))
-    total = lambda xs: F.aggregate(F.transform(xs, lambda x: x["length"]), F.lit(0.0), lambda s, x: s + x)
-    leaves = F.array_sort("leaves")
-    return parsed.withColumn("m", F.concat(both(lambda a, b: F.size(above(a, b)).cast("double")), F.transform(leaves, lambda _: F.lit(1.0)))).withColumn(
-        "big_m", F.concat(both(lambda a, b: total(above(a, b))), F.transform(leaves, lambda x: x["length"]))
-    )
 
-
-def kc_distances(vectors: DataFrame, c: float, block: int = BLOCK) -> DataFrame:
-    """``sample, i, j, d``: distance of the vectors (1 - c) m / sum m + c M / sum M."""
-    total = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
-    scaled = vectors.withColumn("_m", total("m")).withColumn("_b", total("big_m"))
-    v = scaled.select("sample", "tree_id", F.zip_with("m", "big_m", lambda x, y: (1 - c) * x / F.col("_m") + c * y / F.col("_b")).alias("v"))
-    pairs = all_pairs(v, ["v"], block)
-    d = F.sqrt(total(F.zip_with("a.v", "b.v", lambda x, y: (x - y) * (x - y))))
-    return pairs.select("sample", F.col("a.tree_id").alias("i"), F.col("b.tree_id").alias("j"), d.alias("d"))
+def kc_vectors(parsed: DataFrame, taxa: int) -> DataFrame:
+    """``sample, tree_id, m, big_m`` of trees that are not null: for each pair of taxa the number of edges and the length from
+    the root to their common ancestor, then 1 and the pendant length for each taxon."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo, hi in A.chunks(np.full(whole.num_rows, taxa * taxa), 4_000_000):
+                batch = whole.slice(lo, hi - lo)
+                v = _to_ancestors(A.edges(batch.column("splits"), taxa), A.leaves(batch.column("leaves"), taxa), taxa)
+                bounds = np.arange(len(v) + 1) * v.shape[2]
+                columns = [A.lists(bounds, pa.array(np.ascontiguousarray(v[:, k]).ravel())) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], names=["sample", "tree_id", "m", "big_m"])
+
+    whole = parsed.where("splits is not null").select("sample", "tree_id", "splits", "leaves")
+    return whole.mapInArrow(run, "sample long, tree_id long, m array<double>, big_m array<double>")
+
+
+def kc_distances(parsed: DataFrame, taxa: int, c: float, block: int | None = None) -> DataFrame:
+    """``sample, i, j, d``: distance of the vectors (1 - c) m / sum m + c M / sum M of all pairs (see ``kc_vectors``)."""
+
+    def scaled(t: Trees) -> Trees:
+        v = np.empty((len(t.ids), taxa * (taxa + 1) // 2))
+        for lo, hi in A.chunks(np.full(len(v), taxa * taxa), 4_000_000):
+            e = Edges(t.edges.bounds[lo : hi + 1] - t.edges.bounds[lo], t.edges.masks[t.edges.bounds[lo] : t.edges.bounds[hi]], t.edges.lengths[t.edges.bounds[lo] : t.edges.bounds[hi]])
+            own = _to_ancestors(e, t.leaves[lo:hi], taxa)
+            own /= own.sum(axis=2, keepdims=True)
+            v[lo:hi] = (1 - c) * own[:, 0] + c * own[:, 1]
+        return Trees(t.bounds, t.ids, t.edges, v)
+
+    def of(low: Trees, high: Trees, x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+        d, step = np.empty(len(x)), max(1, 4_000_000 // low.leaves.shape[1])
+        for lo in range(0, len(x), step):
+            d[lo : lo + step] = np.sqrt(((low.leaves[x[lo : lo + step]] - high.leaves[y[lo : lo + step]]) ** 2).sum(axis=1))
+        return [d]
+
+    return by_tiles(parsed, taxa, of, "d double", block, scaled)
 
 
 def differing(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:

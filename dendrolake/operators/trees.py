@@ -49,25 +49,40 @@ def parse_newick(trees: DataFrame, labels: list[str], keep_zero: bool = False, k
     A text that is null or has no bracket, unbalanced brackets, an unknown label or a length that is no number gives a row
     with null edges and what is wrong; on good ones ``error`` is null.
     """
-    bits = {name: i for i, name in enumerate(labels)}
+    bits, taxa = {name: i for i, name in enumerate(labels)}, len(labels)
+    low, shifts = (1 << N.WORD) - 1, range(0, max(taxa, 1), N.WORD)
 
-    def one(text: str | None) -> tuple[list | None, list | None, str | None]:
-        try:
-            splits, leaves = N.parse(text, bits, keep_zero)
-        except ValueError as wrong:
-            return None, None, str(wrong)
-        return _rows(splits, len(labels)), [{"taxon_id": t, "length": x} for t, x in sorted(leaves.items())], None
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [one(t) for t in batch["newick"]]
-            out = batch[["sample", "tree_id", *keep]].copy()
-            for k, name in enumerate(("splits", "leaves", "error")):
-                out[name] = pd.Series([f[k] for f in found], dtype=object)
-            yield out
+            masks, lengths, size, taxon, pendant, errors = [], [], [], [], [], []
+            n_splits, n_leaves = [], []
+            for text in batch.column("newick").to_pylist():
+                try:
+                    splits, leaves = N.parse(text, bits, keep_zero)
+                except ValueError as wrong:
+                    splits, leaves = (), {}
+                    errors.append(str(wrong))
+                else:
+                    errors.append(None)
+                for m, x in sorted(splits):
+                    masks += [m >> s & low for s in shifts]
+                    size.append(m.bit_count())
+                    lengths.append(x)
+                for t in sorted(leaves):
+                    taxon.append(t)
+                    pendant.append(leaves[t])
+                n_splits.append(len(splits))
+                n_leaves.append(len(leaves))
+            bad = pa.array([e is not None for e in errors], pa.bool_())
+            bounds = lambda n: pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
+            words = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1) * len(shifts), pa.int32()), pa.array(masks, pa.int64()))
+            edges = pa.StructArray.from_arrays([words, pa.array(size, pa.int32()), pa.array(lengths, pa.float64())], ["split", "size", "length"])
+            tips = pa.StructArray.from_arrays([pa.array(taxon, pa.int32()), pa.array(pendant, pa.float64())], ["taxon_id", "length"])
+            columns = [pa.ListArray.from_arrays(bounds(n_splits), edges, mask=bad), pa.ListArray.from_arrays(bounds(n_leaves), tips, mask=bad), pa.array(errors, pa.string())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns, *(batch.column(c) for c in keep)], names=["sample", "tree_id", "splits", "leaves", "error", *keep])
 
     others = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in trees.select(*keep).schema)
-    return trees.select("sample", "tree_id", "newick", *keep).mapInPandas(run, f"{PARSED}, error string{others}")
+    return trees.select("sample", "tree_id", "newick", *keep).mapInArrow(run, f"{PARSED}, error string{others}")
 
 
 def print_newick(parsed: DataFrame, labels: list[str], lengths: bool = True, resolved: bool = False) -> DataFrame:

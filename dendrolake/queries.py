@@ -458,7 +458,7 @@ v AS (SELECT sample, tree_id, a, b, 0.5 * m / sm + 0.5 * big_m / sb AS v FROM kc
 SELECT x.sample, x.tree_id AS i, y.tree_id AS j, round(sqrt(sum((x.v - y.v) * (x.v - y.v))), 6) AS d FROM v x JOIN v y
   ON x.sample = y.sample AND x.a = y.a AND x.b = y.b AND x.tree_id < y.tree_id GROUP BY ALL""")
 def kc_distance(spark, sf_dir):
-    return P.kc_distances(P.kc_vectors(parsed(spark, sf_dir), 8), 0.5).select("sample", "i", "j", r6(F.col("d"), "d"))
+    return P.kc_distances(parsed(spark, sf_dir), 8, 0.5).select("sample", "i", "j", r6(F.col("d"), "d"))
 
 
 # Geodesics, on four taxa where a closed form exists
@@ -511,7 +511,8 @@ def _geo(spark, sf_dir, taxa: int = 4, strict: bool = False) -> DataFrame:
 
 @query(f"{GEO} SELECT i, j, round(leaf2, 6) AS leaf2, round(common2, 6) AS common2 FROM geo")
 def geo_contributions(spark, sf_dir):
-    return _geo(spark, sf_dir).select("i", "j", r6(G.leaf_square(), "leaf2"), r6(G.common_square(), "common2"))
+    found = G.contributions(P.tree_pairs(parsed(spark, sf_dir, 4)))
+    return found.select("i", "j", r6(F.col("leaf_square"), "leaf2"), r6(F.col("common_square"), "common2"))
 
 
 @query(f"""{EIGHT}, p AS (SELECT a.sample, a.tree_id AS i, b.tree_id AS j FROM base a JOIN base b ON a.sample = b.sample AND a.tree_id < b.tree_id),
@@ -537,7 +538,7 @@ def geo_ratio_merge(spark, sf_dir):
 
 @query(f"{GEO} SELECT sample, i, j, round(sqrt(leaf2 + common2 + part2), 6) AS d FROM geo")
 def geodesic_distance(spark, sf_dir):
-    return _geo(spark, sf_dir).select("sample", "i", "j", r6(G.distance(), "d"))
+    return G.distances(parsed(spark, sf_dir, 4), 4).select("sample", "i", "j", r6(F.col("d"), "d"))
 
 
 @query(f"{GEO} SELECT i, j, CASE WHEN n = 2 THEN '' WHEN n = 1 THEN '1/1' WHEN stepped THEN '1/1;1/1' ELSE '2/2' END AS report FROM geo")

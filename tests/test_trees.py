@@ -4,9 +4,9 @@ import itertools
 import math
 
 import numpy as np
+import plain_geodesic as G
 import pytest
 
-from dendrolake.functions import geodesic as G
 from dendrolake.functions import likelihood as L
 from dendrolake.functions import newick as N
 from dendrolake.operators import geodesics, landscape, likelihoods, pairs, sampling, trees
