@@ -138,7 +138,7 @@ def _in_blocks(docs: DataFrame, id_col: str, text_col: str, rows: int) -> DataFr
         above = F.get("bounds", middle) < mine
         return F.struct(F.when(above, middle + 1).otherwise(acc["lo"]).alias("lo"), F.when(above, acc["hi"]).otherwise(middle).alias("hi"))
 
-    steps = F.sequence(F.lit(1), F.lit(n_blocks.bit_length() + 1))
+    steps = F.sequence(F.lit(1), F.ceil(F.log2(n)).cast("int") + 1)  # of as many bounds as there are, which Spark decides
     block = F.aggregate(steps, F.struct(F.lit(0).alias("lo"), (n - 1).alias("hi")), halved)["lo"]
     placed = source.crossJoin(F.broadcast(bounds)).withColumn("block", block)
     own = F.struct("block", F.lit(False).alias("helper"))
