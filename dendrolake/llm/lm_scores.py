@@ -26,10 +26,11 @@ ROUNDS = 3
 ENDINGS = 1023
 #: Words at most whose counts every task has: the most frequent ones, which most chunks would have to ask for.
 KNOWN = 1 << 17
-#: Parameter rows that a task's model is cut into for averaging, and models that are first averaged together.
-PARTS, TOGETHER = 16, 64
-#: Bits of a chunk's place within its word list.
-_PLACE = 28
+#: Parts that a task's model is cut into for averaging, models that are averaged together (again and again until one is
+#: left), and tasks at most that learn side by side (beyond them a task takes more shares).
+PARTS, TOGETHER, MOST_TASKS = 16, 64, 20_000
+#: Bits of a chunk's number within its task.
+_NUMBER = 40
 
 
 def _word_hashes(words: pa.Array) -> np.ndarray:
@@ -41,14 +42,15 @@ def _word_hashes(words: pa.Array) -> np.ndarray:
 
 def _chunks(docs: DataFrame, id_col: str, text_col: str, held: Column) -> DataFrame:
     """A row for each chunk: documents' ids, keys and folds, their words as places in the chunk's word list, and for each
-    word of the list its hash and how often it comes in training documents."""
+    word of the list its hash and how often it comes in training documents. A chunk's number is its task's (above) and
+    its place in the task, so that no two chunks have one."""
     text = F.col(text_col).cast("string")
     key = F.xxhash64(F.col(id_col).cast("string"), F.coalesce(text, F.lit("")))
     source = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.coalesce(held, F.lit(False)).alias("held"), key.alias("key"))
     id_type = source.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 12
+        number = TaskContext.get().partitionId() << _NUMBER
         for whole in batches:
             for batch in slices(whole, "text", CHUNK_BYTES):
                 words, first = split_words(batch.column("text"), lower=True)
@@ -257,14 +259,16 @@ def score_documents(
             pdf = pdf.sort_values("task")
             tokens = pdf["tokens"].sum()
             total = np.sum([np.frombuffer(x) * n for x, n in zip(pdf["x"], pdf["tokens"])], axis=0) / tokens
-            return type(pdf)({"task": pdf["task"].iloc[:1], "part": pdf["part"].iloc[:1], "tokens": [tokens], "x": [total.tobytes()]})
+            return type(pdf)({"task": pdf["task"].iloc[:1] // TOGETHER, "part": pdf["part"].iloc[:1], "tokens": [tokens], "x": [total.tobytes()]})
 
         rows = chunks.select("keys", "held", "ends", "words", "hashes").mapInArrow(spell, "share long, key long, ids binary")
-        dealt = rows.repartition(max(2, -(-2 * n_shares // rounds)), "share").sortWithinPartitions("share", "key")
+        tasks = min(MOST_TASKS, max(2, -(-2 * n_shares // rounds)))
         kind = "task long, part long, tokens double, x binary"
-        models = dealt.mapInArrow(train, kind)
-        some = models.groupBy("part", F.expr(f"task div {TOGETHER}")).applyInPandas(add, kind)
-        mean = some.groupBy("part").applyInPandas(add, kind).collect()
+        models = rows.repartition(tasks, "share").sortWithinPartitions("share", "key").mapInArrow(train, kind)
+        while tasks > 1:  # a group holds a part of TOGETHER models at most, whatever the corpus
+            models = models.groupBy("part", F.expr(f"task div {TOGETHER}")).applyInPandas(add, kind)
+            tasks = -(-tasks // TOGETHER)
+        mean = models.collect()
         if mean:
             params = shaped(np.concatenate([np.frombuffer(r.x) for r in sorted(mean, key=lambda r: r.part)]))
 
@@ -276,7 +280,8 @@ def score_documents(
                 place = np.flatnonzero(known_counts(h) < 0)
                 for at in range(0, len(place), 50_000):
                     own = place[at : at + 50_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(h[own]), pa.array(batch.column("chunk")[i].as_py() << _PLACE | own), pa.array(n[own])], names=["h", "at", "n"])
+                    chunk = pa.array(np.full(len(own), batch.column("chunk")[i].as_py()))
+                    yield pa.RecordBatch.from_arrays([pa.array(h[own]), chunk, pa.array(own.astype(np.int32)), pa.array(n[own])], names=["h", "chunk", "at", "n"])
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -287,16 +292,18 @@ def score_documents(
                 more = [pa.array([x.tobytes()], pa.binary()) for x in (c, own)]
                 yield pa.RecordBatch.from_arrays([*batch.slice(i, 1).columns[:-2], *more], names=[*batch.schema.names[:-2], "c", "own"])
 
-    spread = chunks.select("chunk", "hashes", "counts").mapInArrow(entries, "h long, at long, n int")
-    found = spread.join(counts.hint("merge"), "h").where("c <> n").select(F.shiftright("at", _PLACE).alias("chunk"), "at", "c")
+    spread = chunks.select("chunk", "hashes", "counts").mapInArrow(entries, "h long, chunk long, at int, n int")
+    found = spread.join(counts.hint("merge"), "h").where("c <> n").select("chunk", "at", "c")
     model = spark.sparkContext.broadcast(params)
     id_type = chunks.schema["ids"].dataType.elementType.simpleString()
     log_rare = np.log10(rare_n + rare_v + 1)
 
     def score(chunk: pa.Table, counted: pa.Table) -> pa.Table:
+        if chunk.num_rows != 1:
+            raise ValueError(f"{chunk.num_rows} chunks of one number")
         words, own = _array(chunk, "words", 0, np.int32), _array(chunk, "own", 0, np.uint16).astype(np.int64)
         c = _array(chunk, "c", 0, np.int64).copy()
-        c[counted.column("at").to_numpy() & ((1 << _PLACE) - 1)] = counted.column("c").to_numpy()
+        c[counted.column("at").to_numpy()] = counted.column("c").to_numpy()
         known = own < rare
         ends = chunk.column("ends")[0].values.to_numpy()
         n_docs, n_words = len(ends), np.diff(ends, prepend=0)
