@@ -155,27 +155,35 @@ def disclosing_terms(docs: DataFrame, text_col: str = "text", support: int = SUP
 
     A term discloses a value when the two meet in ``support`` distinct texts or more and their pointwise mutual
     information, log2(N n(v,t) / (n(v) n(t))) over whole documents, reaches ``disclosure`` times the value's information
-    content log2(N / n(v)). N, n(v), n(t) and n(v,t) count documents, all of them and copies too. A value or a term may
-    be in any share of all documents: counts are summed before they are shuffled, and no join is on a value that
-    carries texts.
+    content log2(N / n(v)). N, n(v), n(t) and n(v,t) count documents, all of them and copies too; a term is in a document
+    if it stands there outside all base spans, for n(t) as for n(v,t). A value or a term may be in any share of all
+    documents: counts are summed before they are shuffled, and no join is on a value that carries texts. Values that are
+    in the same texts have the same counts with every term, so they are counted as one: ten thousand addresses of one
+    list cost as much as one of them.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     source = docs.select(text.alias("text"), F.xxhash64(text).alias("text_key"))
-    marked = source.withColumn("base", base_spans(F.col("text"))).where(F.size("base") > 0)
+    spans = source.withColumn("base", base_spans(F.col("text")))
     values = F.array_distinct(F.transform("base", lambda x: F.lower(x["v"])))
     # a row for each text that holds a value
-    marked = marked.select("text_key", values.alias("vs"), _terms(F.col("text"), F.col("base")).alias("ts"))
+    marked = spans.where(F.size("base") > 0).select("text_key", values.alias("vs"), _terms(F.col("text"), F.col("base")).alias("ts"))
     texts = saved(marked.groupBy("text_key").agg(F.count("*").alias("copies"), F.first("vs").alias("vs"), F.first("ts").alias("ts")), "texts")
     held = texts.select("text_key", "copies", F.explode("vs").alias("v"))
-    n_value = held.groupBy("v").agg(F.sum("copies").alias("n_v"), F.count("*").alias("texts")).where(F.col("texts") >= support).drop("texts")
-    with_value = held.drop("copies").join(n_value.hint("merge"), "v").groupBy("text_key").agg(F.collect_list(F.struct("v", "n_v")).alias("x"))
+    # the texts that a value is in, told apart by two hashes of them all and their number
+    place = [F.bit_xor(F.xxhash64("text_key", F.lit(k))).alias(f"x{k}") for k in (1, 2)]
+    n_value = held.groupBy("v").agg(F.sum("copies").alias("n_v"), F.count("*").alias("texts"), *place).where(F.col("texts") >= support)
+    alike = F.struct("x1", "x2", "texts", "n_v")
+    with_value = held.drop("copies").join(n_value.hint("merge"), "v").groupBy("text_key").agg(F.collect_set(alike).alias("x"))
     met = texts.select("text_key", "copies", "ts").join(with_value.hint("merge"), "text_key").select("copies", F.explode("x").alias("x"), "ts")
-    pairs = met.select("copies", "x.v", "x.n_v", F.explode("ts").alias("t")).groupBy("v", "n_v", "t")
-    pairs = saved(pairs.agg(F.sum("copies").alias("n_vt"), F.count("*").alias("places")).where(F.col("places") >= support).withColumn("h", F.xxhash64("t")), "pairs")
+    pairs = met.select("copies", "x", F.explode("ts").alias("t")).groupBy("x", "t")
+    pairs = pairs.agg(F.sum("copies").alias("n_vt"), F.count("*").alias("places")).where(F.col("places") >= support)
+    pairs = saved(pairs.select("x.n_v", "t", "n_vt", F.xxhash64("t").alias("h")), "pairs")
 
     known = HashSet(pairs.select("h"), TERM_BITS)
     words = F.array_distinct(F.transform(F.split(F.col("text"), _WORDS), lambda w: F.xxhash64(F.lower(w))))
-    n_term = source.select(F.explode(F.filter(words, known.may_have)).alias("h")).groupBy("h").agg(F.count("*").alias("n_t"))
+    plain = spans.where(F.size("base") == 0).select(F.explode(F.filter(words, known.may_have)).alias("h"), F.lit(1).alias("n"))
+    own = F.filter(F.transform("ts", lambda t: F.xxhash64(t)), known.may_have)  # of a text with values: outside them
+    n_term = plain.union(texts.select(F.explode(own).alias("h"), F.col("copies").cast("int").alias("n"))).groupBy("h").agg(F.sum("n").alias("n_t"))
     n_all = source.agg(F.count("*").alias("n"))
     scored = pairs.join(n_term.hint("merge"), "h").crossJoin(F.broadcast(n_all))
     pmi = F.log2(F.col("n") * F.col("n_vt") / (F.col("n_v") * F.col("n_t")))
