@@ -24,8 +24,8 @@ PAIRWISE_BUCKET = 64
 
 #: Near copies: fingerprints of a text's distinct words, each by hashes of its own; words of a shingle and the least
 #: similarity of two texts' sets of shingles; texts of a group that a round goes through in one task, and about how many of
-#: its others a task holds against them.
-SEEDS, SHINGLE, SIMILARITY, TOGETHER, DEALT = 3, 5, 0.8, 200, 1000
+#: its others a task holds against them; blocks of such a fingerprint (more for more fingerprints).
+SEEDS, SHINGLE, SIMILARITY, TOGETHER, DEALT, COPY_BLOCKS = 8, 5, 0.8, 200, 1000, 6
 #: Text bytes whose words are taken together.
 SLICE_BYTES = 4_000_000
 
@@ -190,7 +190,7 @@ def near_copies(
     fps = saved(own.groupBy("s", "fp").agg(F.count("*").alias("n")), "distinct-fingerprints")
     links = None
     for s in range(seeds):
-        found = close_links(fps.where(F.col("s") == s).select("fp"), distance).select(F.lit(s).alias("s"), "a", "b")
+        found = close_links(fps.where(F.col("s") == s).select("fp"), distance, COPY_BLOCKS).select(F.lit(s).alias("s"), "a", "b")
         links = found if links is None else links.union(found)
     links = saved(links, "links")
     number = lambda fp: F.xxhash64("s", fp)

@@ -213,3 +213,47 @@ def test_every_link_of_a_group_of_thousands(spark, kind):
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     want = (unit @ unit.T >= 0.98).sum(axis=1) - 1
     assert (out["n_links"].to_numpy() <= want).all() and out["n_links"].sum() >= 0.999 * want.sum()
+
+
+def test_no_chunk_of_a_task_is_lost(spark, monkeypatch):
+    """More chunks than 4,096 in a task, beside those of another: a row for each row, and the scores that few chunks give."""
+    rows = [(k, f"oak elm {['ash', 'fir', 'ivy'][k % 3]}") for k in range(4160)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    docs = docs.union(spark.createDataFrame([(5000 + k, "elm yew") for k in range(40)], "doc_id long, text string").coalesce(1))
+    held = bucket_of_id("doc_id", 7) == 2
+    want = lm_scores.score_documents(docs, held).toPandas().sort_values("doc_id", ignore_index=True)
+    monkeypatch.setattr(lm_scores, "CHUNK_BYTES", 1)
+    got = lm_scores.score_documents(docs, held).toPandas().sort_values("doc_id", ignore_index=True)
+    assert len(got) == len(want) == 4200 and (got["doc_id"] == want["doc_id"]).all()
+    assert np.abs(got["score"] - want["score"]).max() < 1e-3 and np.abs(got["base_score"] - want["base_score"]).max() < 1e-9
+
+
+def test_models_are_averaged_in_a_tree(spark, monkeypatch):
+    """Two at a time, by tasks that take several shares: the same model as all at once but for rounding."""
+    docs = spark.createDataFrame(_documents(300), "doc_id long, text string")
+    held = bucket_of_id("doc_id", 7) == 2
+    want = lm_scores.score_documents(docs, held, share_tokens=800).toPandas().sort_values("doc_id", ignore_index=True)
+    monkeypatch.setattr(lm_scores, "TOGETHER", 2)
+    monkeypatch.setattr(lm_scores, "MOST_TASKS", 3)
+    got = lm_scores.score_documents(docs, held, share_tokens=800).toPandas().sort_values("doc_id", ignore_index=True)
+    assert np.abs(got["score"] - want["score"]).max() < 1e-2
+
+
+def test_words_inside_addresses_are_no_terms(spark):
+    """A term counts where it stands outside base spans, for itself as beside a value."""
+    rows = [f"number {k} is plain" for k in range(60)] + [f"Smith can be reached at john.smith@mail.example.org, note {k}" for k in range(4)]
+    rows += [f"write to jane.smith@mail.example.org about case {k}" for k in range(40)]
+    table = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    for docs in (table.where("doc_id < 64"), table):
+        assert "smith" in {r.t for r in pii.disclosing_terms(docs).collect()}
+    found = {r.doc_id: [s.v for s in r.spans if s.k == 4] for r in pii.find_spans(table).collect()}
+    assert all("smith" in found[k] for k in range(60, 64)) and not any("smith" in found[k] for k in range(64, 104))
+
+
+def test_values_of_the_same_texts_are_counted_as_one(spark):
+    """Two texts with a list of 3,000 addresses and 600 terms: one row for a term, not one for each address and term."""
+    list_ = " ".join(f"user{k}@mail.example.org" for k in range(3000))
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = " ".join(f"term{a}{b}" for a in letters for b in letters[:23])
+    table = spark.createDataFrame([(0, f"{list_} {words} one"), (1, f"{words} {list_} two")] + [(9 + k, f"plain text {k}") for k in range(20)], "doc_id long, text string")
+    assert len([r for r in pii.disclosing_terms(table).collect() if r.t.startswith("term")]) == 598

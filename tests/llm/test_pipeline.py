@@ -30,7 +30,7 @@ def _mixed(x):
 def _word_fingerprints(text):
     own = [xxhash.xxh64_intdigest(w.encode(), 42) for w in set(_lower(text))]
     out = []
-    for s in range(3):
+    for s in range(simhash.SEEDS):
         h = [_mixed((x + (s + 1) * 0x9E3779B97F4A7C15) % 2**64) for x in own]
         out.append(sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)))
     return out
