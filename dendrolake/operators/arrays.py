@@ -18,14 +18,14 @@ def offsets(column: pa.ListArray) -> np.ndarray:
 def edges(column: pa.ListArray, taxa: int) -> Edges:
     """Interior edges of trees (lists of split, size, length)."""
     flat = column.flatten()
-    masks = flat.field("split").flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(flat), -1)
-    return Edges(offsets(column), masks if len(flat) else np.zeros((0, -(-max(taxa, 1) // WORD)), np.int64), flat.field("length").to_numpy(zero_copy_only=False))
+    masks = flat.field("split").flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(flat), -(-max(taxa, 1) // WORD))
+    return Edges(offsets(column), masks, flat.field("length").to_numpy(zero_copy_only=False))
 
 
-def leaves(column: pa.ListArray, taxa: int) -> np.ndarray:
-    """Leaf lengths, a row for each tree; 0 for a taxon that it lacks."""
+def leaves(column: pa.ListArray, taxa: int, lacking: float = 0.0) -> np.ndarray:
+    """Leaf lengths, a row for each tree; ``lacking`` for a taxon that it lacks."""
     flat, bounds = column.flatten(), offsets(column)
-    out = np.zeros((len(column), taxa))
+    out = np.full((len(column), taxa), lacking)
     out[np.repeat(np.arange(len(column)), np.diff(bounds)), flat.field("taxon_id").to_numpy(zero_copy_only=False)] = flat.field("length").to_numpy(zero_copy_only=False)
     return out
 

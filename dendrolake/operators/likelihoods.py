@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import likelihood as L
-from ..functions import newick as N
+from ..functions.geodesic import Edges
 from ..sources.files import numbered
 from ..sources.store import saved
-from .trees import unpacked
+from . import arrays as A
+from .trees import LEAVES, SPLITS
 
-#: Site patterns that are sent to the tasks at a time; a longer alignment takes more passes over the trees.
-BLOCK = 20_000
+#: Site patterns of a block, and trees of a group: a task has one of each.
+BLOCK, TREES = 20_000, 256
 
 
 def variable_sites(cells: DataFrame) -> DataFrame:
@@ -60,85 +59,92 @@ def patterns(cells: DataFrame) -> DataFrame:
     return numbered(columns.groupBy("bases").agg(F.count("*").alias("weight")), "pattern_id")
 
 
-def _blocks(spark, patterns: DataFrame, block: int):
-    """The patterns in bounded pieces: arrays of tips' conditionals and weights."""
-    kept = saved(patterns, "patterns")
-    n = kept.count()
-    for lo in range(0, max(n, 1), block):
-        part = kept.where((F.col("pattern_id") >= lo) & (F.col("pattern_id") < lo + block)).orderBy("pattern_id").toPandas()
-        if len(part):
-            bases = np.array(part["bases"].tolist(), np.int64)
-            yield spark.sparkContext.broadcast((bases.T, part["weight"].to_numpy(float)))
-
-
-def log_likelihoods(parsed: DataFrame, patterns: DataFrame, model: L.Model | None = None, block: int = BLOCK) -> DataFrame:
-    """Parsed trees with ``lnl``. Nodes of more than two children are allowed. Patterns go to the tasks ``block`` at a
-    time; where there are several blocks, a tree's sums over them are added by one shuffle of a number for each."""
-    spark, model = parsed.sparkSession, model or L.Model()
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parsed.schema)
-    blocks = list(_blocks(spark, patterns, block))
-    if not blocks:
-        return parsed.withColumn("lnl", F.lit(0.0))
+def _in_blocks(patterns: DataFrame, block: int) -> DataFrame:
+    """``block, cols``: the patterns in rows of at most ``block``."""
+    number = F.floor(F.col("pattern_id") / block).alias("block")
+    return saved(patterns.groupBy(number).agg(F.collect_list(F.struct("bases", "weight")).alias("cols")), "pattern-blocks")
 
-    def scored(trees: DataFrame, shared, whole: bool) -> DataFrame:
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            bases, weights = shared.value
-            tips = L.conditionals(bases)
-            for batch in batches:
-                lnl = [_of(row, tips, weights, model) for row in batch.itertuples()]
-                yield batch.assign(lnl=lnl) if whole else batch[["sample", "tree_id"]].assign(lnl=lnl)
-
-        return trees.mapInPandas(run, f"{schema}, lnl double" if whole else "sample long, tree_id long, lnl double")
-
-    if len(blocks) == 1:
-        return scored(parsed, blocks[0], True)
-    parsed = saved(parsed, "parsed")  # not parsed again for each block
-    parts = scored(parsed, blocks[0], False)
-    for shared in blocks[1:]:
-        parts = parts.union(scored(parsed, shared, False))
-    return parsed.join(parts.groupBy("sample", "tree_id").agg(F.sum("lnl").alias("lnl")).hint("merge"), ["sample", "tree_id"])
+
+def _bases(cols: pa.ListScalar) -> tuple[np.ndarray, np.ndarray]:
+    """Codes by taxon and pattern, and weights."""
+    bases = cols.values.field("bases").flatten().to_numpy(zero_copy_only=False).reshape(len(cols.values), -1)
+    return bases.T.astype(np.int64), cols.values.field("weight").to_numpy(zero_copy_only=False).astype(float)
 
 
-def _of(row, tips: np.ndarray, weights: np.ndarray, model: L.Model) -> float:
-    splits, leaves = unpacked(row)
-    nodes = L.shape(splits, leaves)
-    return L.log_likelihood(nodes, _lengths(nodes, splits, leaves), tips, weights, model)
+def _edges(trees: pa.Table, taxa: int) -> tuple[Edges, np.ndarray]:
+    splits, leaves = trees.column("splits").combine_chunks(), trees.column("leaves").combine_chunks()
+    return A.edges(splits, taxa), A.leaves(leaves, taxa, np.nan)
 
 
-def _lengths(nodes, splits, leaves) -> np.ndarray:
-    known = {**dict(splits), **{1 << t: x for t, x in leaves.items()}}
-    return np.array([known.get(m, 0.0) for m, _ in nodes])
+def log_likelihoods(parsed: DataFrame, patterns: DataFrame, model: L.Model | None = None, block: int = BLOCK, together: int = TREES) -> DataFrame:
+    """Parsed trees with ``lnl``. Nodes of more than two children are allowed.
+
+    Trees are dealt out about ``together`` to a group by a hash, patterns are rows of ``block`` at most, and each group of
+    trees meets each block in a task of its own; a tree's sums over several blocks are added by one shuffle of a number for
+    each. Nothing of the alignment comes to the driver. Without patterns lnl is 0. Trees that are null are left out.
+    """
+    model, parsed = model or L.Model(), saved(parsed.where("splits is not null"), "parsed")
+    blocks = _in_blocks(patterns, block)
+    groups, numbers = max(1, -(-parsed.count() // together)), [r.block for r in blocks.select("block").collect()]
+    if not numbers:
+        return parsed.withColumn("lnl", F.lit(0.0))
+    whole, names = len(numbers) == 1, parsed.columns
+    kept = names if whole else ["sample", "tree_id"]
+
+    def score(trees: pa.Table, block: pa.Table) -> pa.Table:
+        bases, weights = _bases(block.column("cols")[0])
+        edges, leaves = _edges(trees, len(bases))
+        lnl = np.zeros(trees.num_rows)
+        for lo, hi in A.chunks((np.diff(edges.bounds) + leaves.shape[1]) ** 2, 2_000_000):
+            lnl[lo:hi] = L.log_likelihoods(L.shapes(edges.of(np.arange(lo, hi)), leaves[lo:hi]), bases, weights, model)
+        return pa.table([*(trees.column(c) for c in kept), pa.array(lnl)], names=[*kept, "lnl"])
+
+    group = F.pmod(F.xxhash64("sample", "tree_id", F.lit(3)), F.lit(groups)).cast("int")
+    dealt = parsed.select(*kept, *(c for c in ("splits", "leaves") if c not in kept), group.alias("_group"), F.explode(F.lit(numbers).cast("array<bigint>")).alias("_block"))
+    spread = blocks.select("cols", F.col("block").alias("_block"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("_group"))
+    kinds = ", ".join(f"`{c}` {parsed.schema[c].dataType.simpleString()}" for c in kept)
+    scored = dealt.groupBy("_group", "_block").cogroup(spread.groupBy("_group", "_block"))
+    parts = scored.applyInArrow(score, f"{kinds}, lnl double")
+    if whole:
+        return parts
+    return parsed.join(parts.groupBy("sample", "tree_id").agg(F.sum("lnl").alias("lnl")).hint("merge"), ["sample", "tree_id"])
 
 
 def optimize(parsed: DataFrame, patterns: DataFrame, taxa: int, method: str = "newton", model: L.Model | None = None, together: int = 4, **options) -> DataFrame:
     """Trees with bettered branch lengths and ``lnl_before, lnl``. Each tree costs far more than its row, so about
-    ``together`` trees are dealt to a task. Patterns go to the tasks in blocks, all of which a step adds up."""
-    spark, model = parsed.sparkSession, model or L.Model()
-    blocks = list(_blocks(spark, patterns, BLOCK))
-    parsed = saved(parsed, "to-better")
-    partitions = max(1, min(-(-parsed.count() // together), 100_000))
-    better = {"newton": L.newton, "nelder_mead": L.nelder_mead}[method]
-    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parsed.schema if f.name != "lnl")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tips, weights = [L.conditionals(b.value[0]) for b in blocks], [b.value[1] for b in blocks]
-        for batch in batches:
-            rows, before, after = [], [], []
-            for row in batch.itertuples():
-                splits, leaves = unpacked(row)
-                nodes = L.shape(splits, leaves)
-                start = _lengths(nodes, splits, leaves)
-                x = better(nodes, start, tips, weights, model, **options)
-                before.append(L.log_likelihood(nodes, start, tips, weights, model))
-                after.append(L.log_likelihood(nodes, x, tips, weights, model))
-                new = {m: float(v) for (m, _), v in zip(nodes, x)}
-                rows.append(([{"split": N.words(m, taxa), "size": m.bit_count(), "length": new[m]} for m, _ in sorted(splits)], [{"taxon_id": t, "length": new[1 << t]} for t in sorted(leaves)]))
-            out = batch.drop(columns=[c for c in ("lnl",) if c in batch])
-            out["splits"], out["leaves"] = [r[0] for r in rows], [r[1] for r in rows]
-            out["lnl_before"], out["lnl"] = before, after
-            yield out
-
-    return parsed.repartition(partitions, "sample", "tree_id").mapInPandas(run, f"{names}, lnl_before double, lnl double")
+    ``together`` trees are dealt to a group, which meets all blocks of patterns; each step adds up their sums. Trees that are
+    null are left out."""
+    model, parsed = model or L.Model(), saved(parsed.where("splits is not null"), "to-better")
+    blocks = _in_blocks(patterns, BLOCK)
+    groups = max(1, -(-parsed.count() // together))
+    names = [f.name for f in parsed.schema if f.name not in ("splits", "leaves", "lnl")]
+    kinds = "".join(f"`{c}` {parsed.schema[c].dataType.simpleString()}, " for c in names) + f"splits {SPLITS}, leaves {LEAVES}, lnl_before double, lnl double"
+
+    def better(trees: pa.Table, cols: pa.Table) -> pa.Table:
+        found = [_bases(x) for x in cols.column("cols")]
+        bases, weights = [f[0] for f in found], [f[1] for f in found]
+        edges, leaves = _edges(trees, taxa)
+        lengths, before, after = edges.lengths.copy(), np.zeros(trees.num_rows), np.zeros(trees.num_rows)
+        for k in range(trees.num_rows if found else 0):
+            shape = L.shapes(edges.of(np.array([k])), leaves[k : k + 1])
+            tree = L.Tree(shape, bases, weights, model)
+            x = getattr(tree, method)(**options)
+            before[k], after[k] = tree.log_likelihood(shape.lengths), tree.log_likelihood(x)
+            own = shape.taxon >= 0
+            leaves[k, shape.taxon[own]] = x[own]
+            inner = np.flatnonzero(~own)[:-1]  # in order of their masks, as `order` has the tree's edges
+            mine = slice(edges.bounds[k], edges.bounds[k + 1])
+            order = np.lexsort((*edges.masks[mine].T, A.sizes(edges.masks[mine])))
+            lengths[np.arange(edges.bounds[k], edges.bounds[k + 1])[order]] = x[inner]
+        there, taxon = np.nonzero(~np.isnan(leaves))
+        tip = A.structs(taxon_id=taxon.astype(np.int32), length=leaves[there, taxon])
+        columns = [A.parsed(Edges(edges.bounds, edges.masks, lengths)), A.lists(np.searchsorted(there, np.arange(len(leaves) + 1)), tip), pa.array(before), pa.array(after)]
+        return pa.table([*(trees.column(c) for c in names), *columns], names=[*names, "splits", "leaves", "lnl_before", "lnl"])
+
+    group = F.pmod(F.xxhash64("sample", "tree_id", F.lit(3)), F.lit(groups)).cast("int")
+    dealt = parsed.drop("lnl").withColumn("_group", group).repartition(min(groups, 100_000), "_group")
+    spread = blocks.select("cols", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("_group")).repartition(min(groups, 100_000), "_group")
+    return dealt.groupBy("_group").cogroup(spread.groupBy("_group")).applyInArrow(better, kinds)
 
 
 def best(trees: DataFrame, n: int) -> DataFrame:

@@ -338,32 +338,37 @@ def transition_probs(spark, sf_dir):
 
 
 def likelihood_sql() -> str:
-    """Pruning on four taxa written out: a site's likelihood from the clade of two, then the other clade or the next leaf."""
-    letters, taxa = "ACGT", range(4)
-    factor = ", ".join(f"CASE x{k} WHEN '-' THEN 1 WHEN '{c}' THEN s{k} ELSE d{k} END AS f{k}{c}" for k in taxa for c in letters)
-    over = lambda mask, c: " * ".join(f"CASE WHEN ({mask} & {1 << k}) <> 0 THEN f{k}{c} ELSE 1 END" for k in taxa)
+    """Pruning on eight taxa written out: each side of a tree is a caterpillar of three to five leaves, so a site's conditionals
+    go up from its first two leaves, one leaf after another, and both sides meet at the root."""
+    letters = "ACGT"
+    prob = lambda x, n: f"0.25 + 0.75 * exp(-4 * {x} / 3) AS s{n}, 0.25 - 0.25 * exp(-4 * {x} / 3) AS d{n}"
+    leaf = lambda k, c: f"CASE x[t{k} + 1] WHEN '-' THEN 1 WHEN '{c}' THEN sl{k} ELSE dl{k} END"
     each = lambda name, of: ", ".join(f"{of(c)} AS {name}{c}" for c in letters)
-    total = lambda name: "(" + " + ".join(f"{name}{c}" for c in letters) + ")"
-    rank = "size * 100 + mask"
-    return f"""{FOUR}, {fixtures.alignment_sql(4)},
-pat AS (SELECT x0, x1, x2, x3, count(*) AS w FROM (SELECT site, {', '.join(f"max(letter) FILTER (taxon = {k}) AS x{k}" for k in taxa)} FROM cells GROUP BY site) GROUP BY ALL),
-edge AS (SELECT sample, tree_id, arg_min(mask, {rank}) AS ma, arg_min(length, {rank}) AS la, arg_max(mask, {rank}) AS mb, arg_max(length, {rank}) AS lb FROM interior GROUP BY ALL),
-tip AS (SELECT tree_id, {', '.join(f"max(length) FILTER (taxon = {k}) AS t{k}" for k in taxa)} FROM leaf GROUP BY tree_id),
-p AS (SELECT sample, tree_id, (ma & mb) = 0 AS even, ma, mb, {', '.join(f"0.25 + 0.75 * exp(-4 * {x} / 3) AS s{n}, 0.25 - 0.25 * exp(-4 * {x} / 3) AS d{n}" for n, x in (('a', 'la'), ('b', 'lb'), *((k, f't{k}') for k in taxa)))}
-  FROM edge JOIN tip USING (tree_id)),
-f AS (SELECT sample, tree_id, even, ma, mb, sa, da, sb, db, w, {factor} FROM p CROSS JOIN pat),
-g AS (SELECT sample, tree_id, even, sa, da, sb, db, w, {each('l', lambda c: over('ma', c))}, {each('n', lambda c: over('(mb - CASE WHEN even THEN 0 ELSE ma END)', c))},
-  {each('o', lambda c: over('CASE WHEN even THEN 0 ELSE 15 - mb END', c))} FROM f),
-h AS (SELECT *, {each('e', lambda c: f"da * {total('l')} + (sa - da) * l{c}")} FROM g),
-i AS (SELECT *, {each('m', lambda c: f"n{c} * CASE WHEN even THEN 1 ELSE e{c} END")} FROM h),
-j AS (SELECT *, {each('u', lambda c: f"(db * {total('m')} + (sb - db) * m{c}) * CASE WHEN even THEN e{c} ELSE o{c} END")} FROM i)
-SELECT sample, tree_id, round(sum(w * ln(0.25 * {total('u')})) + 1.05e-9, 6) AS lnl FROM j GROUP BY ALL"""
+    up = lambda k, c: f"(de{k} * (" + " + ".join(f"n{k}{d}" for d in letters) + f") + (se{k} - de{k}) * n{k}{c})"
+    steps = [f"v2 AS (SELECT *, {each('n2', lambda c: f'{leaf(1, c)} * {leaf(2, c)}')} FROM met)"]
+    for k in (3, 4, 5):
+        steps.append(f"v{k} AS (SELECT * EXCLUDE ({', '.join(f'n{k - 1}{c}' for c in letters)}), {each(f'g{k}', lambda c: up(k - 1, c))} FROM v{k - 1})")
+        more = lambda c: f"g{k}{c} * {leaf(k, c)}"  # noqa: E731,B023
+        if k == 3:  # every side has three leaves
+            steps.append(f"w3 AS (SELECT * EXCLUDE ({', '.join(f'g3{c}' for c in letters)}), {each('n3', more)} FROM v3)")
+        else:  # a side that ends before keeps what it has
+            steps.append(f"w{k} AS (SELECT * EXCLUDE ({', '.join(f'g{k}{c}' for c in letters)}), {each(f'n{k}', lambda c: f'CASE WHEN m >= {k} THEN {more(c)} ELSE g{k}{c} END')} FROM v{k})")
+        steps[-2] = steps[-2].replace(f"FROM v{k - 1})", f"FROM {'v2' if k == 3 else f'w{k - 1}'})")
+    return f"""{EIGHT}, {fixtures.alignment_sql()},
+pat AS (SELECT x, count(*) AS w FROM (SELECT list(letter ORDER BY taxon) AS x FROM cells GROUP BY site) GROUP BY x),
+e AS (SELECT tree_id, side, {', '.join(f"max(length) FILTER (size = {k}) AS e{k}" for k in (2, 3, 4, 5))} FROM interior GROUP BY ALL),
+l AS (SELECT sample, tree_id, side, count(*) AS m, {', '.join(f"max(taxon) FILTER (k = {k}) AS t{k}, max(leaf_length) FILTER (k = {k}) AS l{k}" for k in range(1, 6))} FROM cum GROUP BY ALL),
+half AS (SELECT sample, tree_id, side, m, {', '.join(f"t{k}, {prob(f'l{k}', f'l{k}')}" for k in range(1, 6))}, {', '.join(prob(f'coalesce(e{k}, 0)', f'e{k}') for k in (2, 3, 4, 5))} FROM l JOIN e USING (tree_id, side)),
+met AS (SELECT * FROM half CROSS JOIN pat), {', '.join(steps)},
+top AS (SELECT sample, tree_id, side, x, w, {each('u', lambda c: up(5, c))} FROM w5)
+SELECT a.sample, a.tree_id, round(sum(a.w * ln(0.25 * ({' + '.join(f'a.u{c} * b.u{c}' for c in letters)}))) + 1.05e-6, 3) AS lnl
+FROM top a JOIN top b ON a.tree_id = b.tree_id AND a.x = b.x AND a.side = 0 AND b.side = 1 GROUP BY ALL"""
 
 
 @query(likelihood_sql())
 def log_likelihood(spark, sf_dir):
-    found = L.log_likelihoods(parsed(spark, sf_dir, 4), L.patterns(fixtures.cells(spark, sf_dir, 4)))
-    return found.select("sample", "tree_id", n6(F.col("lnl"), "lnl"))
+    found = L.log_likelihoods(parsed(spark, sf_dir), L.patterns(fixtures.cells(spark, sf_dir)))
+    return found.select("sample", "tree_id", (F.round(F.col("lnl") + 1.05e-6, 3) + 0.0).alias("lnl"))
 
 
 def _one_each(spark, sf_dir) -> DataFrame:
@@ -376,13 +381,13 @@ def _one_each(spark, sf_dir) -> DataFrame:
 @query()
 def optimize_nr(spark, sf_dir):
     found = L.optimize(_one_each(spark, sf_dir), L.patterns(fixtures.cells(spark, sf_dir)), 8)
-    return found.select("tree_id", (F.col("lnl") >= F.col("lnl_before")).alias("better"), F.forall("leaves", lambda x: x["length"] >= 0).alias("valid"))
+    return found.select("sample", "tree_id", "lnl_before", "lnl", r6(T.tree_length(), "length"))
 
 
 @query()
 def optimize_nm(spark, sf_dir):
-    found = L.optimize(_one_each(spark, sf_dir), L.patterns(fixtures.cells(spark, sf_dir)), 8, "nelder_mead", steps=300)
-    return found.select("tree_id", (F.col("lnl") >= F.col("lnl_before")).alias("better"), F.forall("leaves", lambda x: x["length"] >= 0).alias("valid"))
+    found = L.optimize(_one_each(spark, sf_dir), L.patterns(fixtures.cells(spark, sf_dir)), 8, "nelder_mead")
+    return found.select("sample", "tree_id", "lnl_before", "lnl", r6(T.tree_length(), "length"))
 
 
 # Pairs

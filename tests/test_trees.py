@@ -5,10 +5,12 @@ import math
 
 import numpy as np
 import plain_geodesic as G
+import plain_likelihood as P
 import pytest
 
 from dendrolake.functions import likelihood as L
 from dendrolake.functions import newick as N
+from dendrolake.functions.geodesic import Edges
 from dendrolake.operators import geodesics, landscape, likelihoods, pairs, sampling, trees
 
 LABELS = [f"T{k}" for k in range(8)]
@@ -123,15 +125,19 @@ def test_points_on_a_geodesic_divide_it(spark):
         assert _distance(a, splits, la, leaves) == pytest.approx(row.at * row.d, abs=1e-6)
 
 
+def _shape(splits, leaves, taxa):
+    lengths = np.array([[leaves.get(t, np.nan) for t in range(taxa)]])
+    masks = np.array([N.words(m, taxa) for m, _ in splits], np.int64).reshape(len(splits), -1)
+    return L.shapes(Edges(np.array([0, len(splits)]), masks, np.array([x for _, x in splits])), lengths)
+
+
 def test_likelihood_against_sum_over_ancestors():
     splits, leaves = [(0b11, 0.3), (0b1100, 0.2)], {0: 0.1, 1: 0.4, 2: 0.25, 3: 0.6}
     model = L.Model()
-    bases = np.array([[0, 2, 1, 1], [0, 0, 0, 1]]).T.reshape(4, 2)
-    nodes = L.shape(splits, leaves)
-    known = {**dict(splits), **{1 << t: x for t, x in leaves.items()}}
-    lengths = np.array([known.get(m, 0.0) for m, _ in nodes])
-    got = L.log_likelihood(nodes, lengths, L.conditionals(bases), np.array([1.0, 2.0]), model)
-    p = {m: model.transition(x) for m, x in known.items()}
+    bases, weights = np.array([[0, 2, 1, 1], [0, 0, 0, 1]]).T.reshape(4, 2), np.array([1.0, 2.0])
+    shape = _shape(splits, leaves, 4)
+    (got,) = L.log_likelihoods(shape, bases, weights, model)
+    p = {m: model.transition(x) for m, x in {**dict(splits), **{1 << t: x for t, x in leaves.items()}}.items()}
     total = 0.0
     for s, weight in ((0, 1.0), (1, 2.0)):
         site = 0.0
@@ -139,9 +145,101 @@ def test_likelihood_against_sum_over_ancestors():
             site += 0.25 * p[0b11][r, u] * p[0b1100][r, v] * p[1][u, bases[0, s]] * p[2][u, bases[1, s]] * p[4][v, bases[2, s]] * p[8][v, bases[3, s]]
         total += weight * math.log(site)
     assert got == pytest.approx(total)
-    for better in (L.newton, L.nelder_mead):
-        x = better(nodes, lengths, L.conditionals(bases), np.array([1.0, 2.0]), model)
-        assert L.log_likelihood(nodes, x, L.conditionals(bases), np.array([1.0, 2.0]), model) >= got - 1e-9 and (x >= 0).all()
+    tree = L.Tree(shape, [bases], [weights], model)
+    for better in (tree.newton, tree.nelder_mead):
+        x = better()
+        assert tree.log_likelihood(x) >= got - 1e-9 and (x >= 0).all()
+
+
+def _alignment(rng, splits, leaves, sites, model):
+    """Letters that evolved along the tree, some unknown."""
+    nodes = P.shape(splits, leaves)
+    known = {**dict(splits), **{1 << t: x for t, x in leaves.items()}}
+    letters = {}
+    for k in range(len(nodes) - 1, -1, -1):
+        m, parent = nodes[k]
+        letters[k] = rng.integers(0, 4, sites) if parent < 0 else (model.transition(known[m])[letters[parent]].cumsum(axis=1) > rng.random((sites, 1))).argmax(axis=1)
+    bases = np.array([letters[k] for k, (m, _) in sorted(enumerate(nodes), key=lambda x: x[1][0]) if m.bit_count() == 1])
+    return np.where(rng.random(bases.shape) < 0.05, -1, bases)
+
+
+def _plain_lnl(splits, leaves, bases, weights, model):
+    nodes = P.shape(splits, leaves)
+    known = {**dict(splits), **{1 << t: x for t, x in leaves.items()}}
+    return P.log_likelihood(nodes, np.array([known.get(m, 0.0) for m, _ in nodes]), L.conditionals(bases), weights, model)
+
+
+GENERAL = np.array([[-1.1, 0.5, 0.4, 0.2], [0.3, -0.9, 0.2, 0.4], [0.6, 0.3, -1.2, 0.3], [0.2, 0.5, 0.1, -0.8]])
+
+
+@pytest.mark.parametrize("taxa", [4, 9, 70, 182])
+def test_likelihoods_of_many_trees_at_once(taxa):
+    rng = np.random.default_rng(taxa)
+    made = [_random_tree(rng, taxa) for _ in range(5)]
+    made.append(([e for e in made[0][0] if rng.random() < 0.6], made[0][1]))  # nodes of more than two children
+    made.append(([], made[1][1]))
+    for model in (L.Model(), L.Model(GENERAL, np.array([0.3, 0.2, 0.1, 0.4]))):
+        bases, weights = _alignment(rng, *made[0], 60, model), rng.integers(1, 5, 60).astype(float)
+        sizes = [len(s) for s, _ in made]
+        masks = np.array([N.words(m, taxa) for s, _ in made for m, _ in s], np.int64)
+        edges = Edges(np.concatenate([[0], np.cumsum(sizes)]), masks, np.array([x for s, _ in made for _, x in s]))
+        leaves = np.array([[v[t] for t in range(taxa)] for _, v in made])
+        got = L.log_likelihoods(L.shapes(edges, leaves), bases, weights, model)
+        assert got == pytest.approx([_plain_lnl(s, v, bases, weights, model) for s, v in made], rel=1e-10)
+
+
+def test_a_branch_is_bettered_by_what_lies_around_it():
+    """A Newton step's values are those of the whole tree, and a pass comes close to where a search over each branch ends."""
+    rng, model = np.random.default_rng(8), L.Model(GENERAL, np.array([0.3, 0.2, 0.1, 0.4]))
+    splits, leaves = _random_tree(rng, 9)
+    bases, weights = _alignment(rng, splits, leaves, 300, model), np.ones(300)
+    off = [(m, x * rng.uniform(0.4, 2.5)) for m, x in splits], {t: x * rng.uniform(0.4, 2.5) for t, x in leaves.items()}
+    shape = _shape(*off, 9)
+    halves = [bases[:, :150], bases[:, 150:]], [weights[:150], weights[150:]]
+    tree = L.Tree(shape, *halves, model)
+    before, x = tree.log_likelihood(shape.lengths), tree.newton()
+    assert tree.log_likelihood(x) > before + 1 and (x >= 0).all()
+
+    class Watched(L.Tree):
+        def _branch(self, t, ends, least, h):
+            p = model.transitions(np.array([t, 2 * t])).reshape(-1, 16).T
+            moves.append((t, float(np.subtract(*sum(w @ np.log(e @ p) for e, w in zip(ends, self.weights))))))
+            return t
+
+    moves = []
+    Watched(shape, *halves, model).newton()
+    assert len(moves) == len(shape.lengths) - 1
+    for t, move in moves:
+        y = shape.lengths.copy()
+        y[np.flatnonzero(y == t)] *= 2
+        assert move == pytest.approx(before - tree.log_likelihood(y))
+
+
+def _cells(spark, bases):
+    rows = [(s, t, "ACGT-"[bases[t, s]]) for t in range(len(bases)) for s in range(bases.shape[1])]
+    return spark.createDataFrame(rows, "site long, taxon int, letter string")
+
+
+def test_likelihoods_and_branch_lengths_in_spark(spark):
+    """Blocks of patterns and groups of trees of any size give the sums of the whole, optimised trees what is said of them."""
+    rng, model = np.random.default_rng(9), L.Model()
+    made = [_random_tree(rng, 7) for _ in range(9)]
+    bases = _alignment(rng, *made[0], 80, model)
+    patterns = likelihoods.patterns(_cells(spark, bases))
+    want = {k: _plain_lnl(s, v, bases, np.ones(80), model) for k, (s, v) in enumerate(made)}
+    frame = _frame(spark, made)
+    for block, together in ((20_000, 4096), (7, 2)):
+        got = {r.tree_id: r.lnl for r in likelihoods.log_likelihoods(frame, patterns, block=block, together=together).collect()}
+        assert got == pytest.approx(want)
+    for method in ("newton", "nelder_mead"):
+        for r in likelihoods.optimize(frame, patterns, 7, method, together=2).collect():
+            splits, leaves = trees.unpacked(r)
+            assert {m for m, _ in splits} == {m for m, _ in made[r.tree_id][0]}
+            assert r.lnl_before == pytest.approx(want[r.tree_id]) and r.lnl >= r.lnl_before
+            assert r.lnl == pytest.approx(_plain_lnl(splits, leaves, bases, np.ones(80), model))
+    none = likelihoods.patterns(_cells(spark, bases).where("site < 0"))
+    assert {r.lnl for r in likelihoods.log_likelihoods(frame, none).collect()} == {0.0}
+    assert likelihoods.log_likelihoods(frame.where("tree_id < 0"), patterns).count() == 0
 
 
 def test_kendall_swaps_and_hull():
