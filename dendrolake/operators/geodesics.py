@@ -143,9 +143,67 @@ def direction_vector(geodesic: DataFrame) -> DataFrame:
     return geodesic.withColumn("first", first).select("sample", "i", "j", F.concat(own, gone).alias("edges"), leaf.alias("leaf"))
 
 
-def report() -> Column:
-    """Combinatorial type: the numbers of edges dropped and added of each ratio."""
-    return F.array_join(F.transform("supports", lambda x: F.concat(F.size(x["a"]).cast("string"), F.lit("/"), F.size(x["b"]).cast("string"))), ";")
+def report(geodesic: DataFrame) -> DataFrame:
+    """``sample, i, j, place, ratio, a_norm, b_norm, dropped, added``: a row for each ratio of a geodesic, in order, with its value,
+    both norms, and the splits that are dropped and added there (an array of masks each, in their order)."""
+    rows = geodesic.select("sample", "i", "j", F.posexplode("supports").alias("place", "s"))
+    masks = lambda side: F.array_sort(F.transform(f"s.{side}", lambda e: e["split"]))
+    return rows.select("sample", "i", "j", "place", (F.col("s.a_norm") / F.col("s.b_norm")).alias("ratio"), "s.a_norm", "s.b_norm", masks("a").alias("dropped"), masks("b").alias("added"))
+
+
+def combinatorial_type(names) -> Column:
+    """The ratios of ``supports`` as ``{dropped}/{added};``, a split as ``names`` of its mask."""
+    side = lambda x: F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.transform(x, lambda e: e["split"])), names), ","), F.lit("}"))
+    return F.array_join(F.transform("supports", lambda s: F.concat(side(s["a"]), F.lit("/"), side(s["b"]), F.lit(";"))), "")
+
+
+def projection(rows: DataFrame, taxa: int, tolerance: float = 1e-6) -> DataFrame:
+    """``sample, tree_id, i, j, at, d``: the point of the geodesic from tree i to tree j that is nearest to the tree, and how far.
+
+    ``rows``: ``sample, tree_id, i, j`` and the edges of all three (``t_splits, t_leaves, a_splits, ...``). The distance is
+    convex along a geodesic: first the leg that holds the least one is found from the distances at its ends, then the
+    place within it by golden section until the interval is ``tolerance`` at most; an end of the path is taken if no place is
+    nearer. All rows of a batch go together, each step one run over arrays.
+    """
+    golden = (5**0.5 - 1) / 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            n_edges = np.asarray(whole.column("a_splits").value_lengths().fill_null(0), np.int64)
+            for lo, hi in A.chunks((n_edges + 1) ** 2 * 3, MET // 4):
+                batch = whole.slice(lo, hi - lo)
+                a, b, t = (A.edges(batch.column(f"{x}_splits"), taxa) for x in "abt")
+                la, lb, lt = (A.leaves(batch.column(f"{x}_leaves"), taxa) for x in "abt")
+                path, n = G.geodesics(a, b), batch.num_rows
+
+                def far(x: np.ndarray, path=path, t=t, la=la, lb=lb, lt=lt) -> np.ndarray:
+                    leaves = (1 - x[:, None]) * la + x[:, None] * lb
+                    return np.sqrt(G.geodesics(path.at(x), t).square() + ((leaves - lt) ** 2).sum(axis=1))
+
+                # limits of the legs, as many for all as the longest path has, further ones at its end
+                ratio = np.repeat(np.arange(n), np.diff(path.bounds))
+                most = int(np.diff(path.bounds).max(initial=0))
+                ends = np.ones((n, most + 2))
+                ends[:, 0] = 0.0
+                ends[ratio, 1 + np.arange(len(ratio)) - path.bounds[ratio]] = path.a_norm / (path.a_norm + path.b_norm)
+                d = np.stack([far(x) for x in ends.T], axis=1)
+                best = d.argmin(axis=1)
+                low, high = ends[np.arange(n), np.maximum(best - 1, 0)], ends[np.arange(n), np.minimum(best + 1, most + 1)]
+                x, y = high - golden * (high - low), low + golden * (high - low)
+                fx, fy = far(x), far(y)
+                while (high - low).max(initial=0) > tolerance:
+                    left = fx <= fy
+                    high, low = np.where(left, y, high), np.where(left, low, x)
+                    x, y = np.where(left, high - golden * (high - low), y), np.where(left, x, low + golden * (high - low))
+                    new = far(np.where(left, x, y))
+                    fx, fy = np.where(left, new, fy), np.where(left, fx, new)
+                place = (low + high) / 2
+                inner = far(place)
+                at_end = d[np.arange(n), best] <= inner
+                at, found = np.where(at_end, ends[np.arange(n), best], place), np.where(at_end, d[np.arange(n), best], inner)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("sample", "tree_id", "i", "j")), pa.array(at), pa.array(found)], names=["sample", "tree_id", "i", "j", "at", "d"])
+
+    return rows.mapInArrow(run, "sample long, tree_id long, i long, j long, at double, d double")
 
 
 def tree_at(geodesic: DataFrame, at: str) -> DataFrame:

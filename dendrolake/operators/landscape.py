@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.store import saved
+from .order import placed
 from .pairs import all_pairs
 
 #: Trees of a sample up to which its matrix is solved in one task. Surface weights of more are refused, never cut.
@@ -139,15 +140,6 @@ def _both(distances: DataFrame, embedded: DataFrame) -> DataFrame:
     return pairs.union(pairs.select("sample", F.col("j").alias("i"), F.col("i").alias("j"), "d", "e")).union(diagonal)
 
 
-def placed(rows: DataFrame, by: list[str], name: str) -> DataFrame:
-    """``rows`` with their place, from 0, in the order of sample and ``by``: sorted by ranges, a count for each range."""
-    ordered = rows.repartitionByRange("sample", *by).sortWithinPartitions("sample", *by)
-    marked = saved(ordered.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()), "placed")
-    counts = marked.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
-    before = counts.withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).drop("_n")  # a row for each partition
-    return marked.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_at") - F.col("_first")).drop("_part", "_at", "_before", "_first")
-
-
 def _ranked(rows: DataFrame, name: str) -> DataFrame:
     """``rows`` with ``r`` and the name: the mean place of the rows with that value, which differs from their rank in the
     sample by the same number for all."""

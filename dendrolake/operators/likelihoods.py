@@ -12,6 +12,7 @@ from ..functions.geodesic import Edges
 from ..sources.files import numbered
 from ..sources.store import saved
 from . import arrays as A
+from .order import placed_in_sample
 from .trees import LEAVES, SPLITS
 
 #: Site patterns of a block, and trees of a group: a task has one of each.
@@ -155,6 +156,11 @@ def best(trees: DataFrame, n: int) -> DataFrame:
     return top.withColumn("place", (F.row_number().over(up) - 1).cast("long")).drop("_r")
 
 
+def ranked(trees: DataFrame) -> DataFrame:
+    """All trees with ``place``, from 0, by ascending lnl within their sample; ties by tree_id. The last one is the answer."""
+    return placed_in_sample(trees, ["lnl", "tree_id"], "place")
+
+
 def best_every_step(trees: DataFrame, n: int, step: int) -> DataFrame:
     return best(trees, n).where(F.col("place") % step == 0)
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geodesic import Edges, met, ragged
+from ..functions.newick import WORD
 from ..sources.store import saved
 from . import arrays as A
 from .trees import full_mask
@@ -109,6 +110,21 @@ def crossing_matrix(pairs: DataFrame) -> DataFrame:
     return rows.select("sample", "i", "j", "a", F.explode("b_splits.split").alias("b")).where(crosses(F.col("a"), F.col("b")))
 
 
+def incidence(pairs: DataFrame) -> DataFrame:
+    """``sample, i, j, a, crossed``: for each edge of the first tree one that says which of the second it crosses: bits in words of
+    62, the edges of the second in the order of their masks (from the last word)."""
+    masks = F.array_sort(F.transform("b_splits", lambda y: F.reverse(y["split"])))
+    rows = pairs.select("sample", "i", "j", F.explode("a_splits.split").alias("a"), F.transform(masks, F.reverse).alias("_b"))
+    of = F.transform("_b", lambda y: crosses(F.col("a"), y))
+
+    def word(w):
+        own = F.slice(of, w * WORD + 1, F.lit(WORD))
+        return F.aggregate(F.transform(own, lambda x, k: F.when(x, F.call_function("shiftleft", F.expr("1L"), k)).otherwise(F.expr("0L"))), F.expr("0L"), lambda s, x: s.bitwiseOR(x))
+
+    words = F.sequence(F.lit(0), F.greatest(F.floor((F.size("_b") - 1) / WORD).cast("int"), F.lit(0)))
+    return rows.select("sample", "i", "j", "a", F.transform(words, word).alias("crossed"))
+
+
 @dataclass
 class Trees:
     """Trees of several blocks after another: each block's first tree (and the end), ids, interior edges, leaf lengths."""
@@ -124,17 +140,18 @@ def _trees(column: pa.ListArray, taxa: int) -> Trees:
     return Trees(A.offsets(column), flat.field("tree_id").to_numpy(zero_copy_only=False), A.edges(flat.field("splits"), taxa), A.leaves(flat.field("leaves"), taxa))
 
 
-def by_tiles(parsed: DataFrame, taxa: int, of: Callable[..., list[np.ndarray]], schema: str, block: int | None = None, once: Callable[[Trees], Trees] = lambda t: t) -> DataFrame:
+def by_tiles(parsed: DataFrame, taxa: int, of: Callable[..., list[np.ndarray]], schema: str, block: int | None = None, once: Callable[[Trees], Trees] = lambda t: t, fresh: str | None = None) -> DataFrame:
     """``sample, i, j`` and the columns of ``schema`` for all pairs i < j of each sample.
 
     A block of trees is one row, and so is a tile (two blocks of a sample), so that pairs are formed in the tasks and never
     shuffled. ``of(low, high, x, y)`` gives the columns for the pairs of tree x of ``low`` and y of ``high``; ``once``
-    changes a tile's trees before.
+    changes a tile's trees before. ``fresh``: a column that says which trees are new; pairs of two others are left out.
     """
-    trees = saved(parsed.where("splits is not null").select("sample", "tree_id", "splits", "leaves"), "trees")
+    trees = parsed.where("splits is not null").select("sample", "tree_id", "splits", "leaves", (F.col(fresh) if fresh else F.lit(True)).alias("fresh"))
+    trees = saved(trees, "trees")
     block = block or max(16, min(BLOCK, BLOCK_EDGES // max(taxa, 1)))
     rows = blocked(trees, trees, block)
-    blocks = rows.groupBy("sample", "_own", "_blocks").agg(F.collect_list(F.struct("tree_id", "splits", "leaves")).alias("x"))
+    blocks = rows.groupBy("sample", "_own", "_blocks").agg(F.collect_list(F.struct("tree_id", "splits", "leaves", "fresh")).alias("x"))
     nothing = F.lit(None).cast(blocks.schema["x"].dataType)
     alone = blocks.select("sample", F.col("x").alias("low"), nothing.alias("high"))
     several = blocks.where("_blocks > 1")
@@ -153,7 +170,8 @@ def by_tiles(parsed: DataFrame, taxa: int, of: Callable[..., list[np.ndarray]],
                 second = first if self_.all() else once(_trees(_either(part, self_), taxa))
                 x, y = met(first.bounds, second.bounds)
                 a, b = first.ids[x], second.ids[y]
-                keep = (a < b) | ~np.repeat(self_, np.diff(first.bounds) * np.diff(second.bounds)) & (a != b)
+                new = [p.flatten().field("fresh").to_numpy(zero_copy_only=False) for p in (part.column("low"), part.column("low") if self_.all() else _either(part, self_))]
+                keep = (new[0][x] | new[1][y]) & ((a < b) | ~np.repeat(self_, np.diff(first.bounds) * np.diff(second.bounds)) & (a != b))
                 x, y, a, b = x[keep], y[keep], a[keep], b[keep]
                 sample = np.repeat(part.column("sample").to_numpy(zero_copy_only=False), np.diff(first.bounds))[x]
                 columns = [sample, np.minimum(a, b), np.maximum(a, b), *of(first, second, x, y)]
@@ -179,7 +197,7 @@ def _away_from_first(t: Trees, taxa: int) -> Trees:
     size, lengths = A.sizes(masks), t.edges.lengths
     one = np.flatnonzero(size == 1)
     word = (masks[one] != 0).argmax(axis=1)
-    taxon = word * A.WORD + np.bitwise_count(masks[one, word] - 1).astype(np.int64)
+    taxon = word * WORD + np.bitwise_count(masks[one, word] - 1).astype(np.int64)
     np.add.at(leaves, (owner[one], taxon), lengths[one])
     rest = size == taxa - 1
     np.add.at(leaves, (owner[rest], 0), lengths[rest])
@@ -195,9 +213,10 @@ def _merged(owner: np.ndarray, masks: np.ndarray, lengths: np.ndarray, n: int) -
     return Edges(np.searchsorted(owner[first], np.arange(n + 1)), masks[first], np.add.reduceat(lengths, first) if len(first) else lengths)
 
 
-def rf_distances(parsed: DataFrame, taxa: int, rooted: bool = False, block: int | None = None) -> DataFrame:
+def rf_distances(parsed: DataFrame, taxa: int, rooted: bool = False, block: int | None = None, fresh: str | None = None) -> DataFrame:
     """``sample, i, j, rf, wrf`` of all pairs: the number of splits that one tree has alone, and the sum of all absolute
-    differences of lengths, leaves included. Trees that are null are of no pair.
+    differences of lengths, leaves included. Trees that are null are of no pair. ``fresh``: a column that says which trees are
+    new; only pairs with a new one are given.
 
     A tile's edges are sorted by split; those of one split are met, and what they have in common is taken off the sums of
     both trees. Leaves are a matrix, for every tree has them all.
@@ -226,7 +245,7 @@ def rf_distances(parsed: DataFrame, taxa: int, rooted: bool = False, block: int
         return [rf, sums(low)[x] + sums(high)[y] - 2 * shared + pendant]
 
     once = (lambda t: t) if rooted else (lambda t: _away_from_first(t, taxa))
-    return by_tiles(parsed, taxa, of, "rf long, wrf double", block, once)
+    return by_tiles(parsed, taxa, of, "rf long, wrf double", block, once, fresh)
 
 
 def _codes(low: Trees, high: Trees) -> tuple[np.ndarray, np.ndarray]:
@@ -243,7 +262,7 @@ def _codes(low: Trees, high: Trees) -> tuple[np.ndarray, np.ndarray]:
 def _bits(masks: np.ndarray, taxa: int) -> np.ndarray:
     """A row of 0 and 1 for each mask."""
     t = np.arange(taxa)
-    return (masks[:, t // A.WORD] >> (t % A.WORD) & 1).astype(float)
+    return (masks[:, t // WORD] >> (t % WORD) & 1).astype(float)
 
 
 def _to_ancestors(e: Edges, leaves: np.ndarray, taxa: int) -> np.ndarray:

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import newick as N
+from .order import with_one
 
 SPLITS = "array<struct<split:array<bigint>,size:int,length:double>>"
 LEAVES = "array<struct<taxon_id:int,length:double>>"
@@ -244,6 +245,20 @@ def topology() -> Column:
     return F.sha2(F.array_join(F.array_distinct(texts), ","), 256)
 
 
+def topology_classes(parsed: DataFrame) -> DataFrame:
+    """``sample, tree_id, first, n_same``: of each tree the least tree of its sample with the same splits, and how many others
+    have them. Rows grow with the trees, however many share a topology."""
+    keys = parsed.select("sample", "tree_id", topology().alias("_key"))
+    classes = keys.groupBy("sample", "_key").agg(F.min("tree_id").alias("first"), (F.count("*") - 1).alias("n_same"))
+    return with_one(keys, classes, ["sample", "_key"]).select("sample", "tree_id", "first", "n_same")
+
+
+def topology_groups(parsed: DataFrame, least: float = 1e-5) -> DataFrame:
+    """``sample, first, n_trees, n_edges``: the groups of trees with the same splits once edges of up to ``least`` are dropped."""
+    keyed = to_multifurcating(parsed, least).select("sample", "tree_id", topology().alias("_key"), F.size("splits").cast("long").alias("_n"))
+    return keyed.groupBy("sample", "_key").agg(F.min("tree_id").alias("first"), F.count("*").alias("n_trees"), F.first("_n").alias("n_edges")).drop("_key")
+
+
 def leafset_check(parsed: DataFrame) -> DataFrame:
     """Trees whose leaves differ from those of the first tree of their sample."""
     sets = parsed.select("sample", "tree_id", F.array_join(F.array_sort(F.transform("leaves", lambda x: x["taxon_id"])), ",").alias("taxa"))

@@ -18,6 +18,7 @@ from .operators import likelihoods as L
 from .operators import pairs as P
 from .operators import sampling as S
 from .operators import trees as T
+from .operators.order import placed_in_sample
 from .sources import files, fixtures
 from .sources.store import fresh_path, saved
 
@@ -82,6 +83,14 @@ def read_phylip(spark, sf_dir):
     return files.read_phylip(spark, path)
 
 
+@query(f"WITH {fixtures.alignment_sql()} SELECT 'Taxon_number_T' || taxon AS label, string_agg(letter, '' ORDER BY site) AS sequence FROM cells GROUP BY taxon")
+def read_phylip_extended(spark, sf_dir):
+    path = fresh_path(spark, "phylip")
+    rows = L.sequences(fixtures.cells(spark, sf_dir)).select(F.concat(F.lit("Taxon number T"), "taxon", F.lit("   "), "sequence").alias("value"))
+    rows.union(spark.createDataFrame([("8 2000",)], "value string")).write.text(path)
+    return files.read_phylip(spark, path, extended=True)
+
+
 LOG = "[&index=' || event_id || ']tree TREE1 = ((A:' || user_id || ',B:1):2, C:3);"
 
 
@@ -417,19 +426,18 @@ def incompatible_edges(spark, sf_dir):
     return pairs.select("i", "j", F.explode(P.incompatible_edges(pairs)).alias("x")).select("i", "j", word("x.split"))
 
 
-@query(f"""{EIGHT} SELECT a.tree_id AS i, b.tree_id AS j, a.mask AS a, b.mask AS b FROM interior a JOIN interior b ON a.sample = b.sample AND a.tree_id < b.tree_id AND {CROSS}""")
+@query(f"""{EIGHT}, e AS (SELECT *, row_number() OVER (PARTITION BY tree_id ORDER BY mask) - 1 AS r FROM interior)
+SELECT a.tree_id AS i, b.tree_id AS j, a.mask AS a, cast(sum(CASE WHEN {CROSS} THEN 1 << b.r ELSE 0 END) AS bigint) AS crossed FROM e a JOIN e b ON a.sample = b.sample AND a.tree_id < b.tree_id GROUP BY ALL""")
 def crossing_matrix(spark, sf_dir):
-    return P.crossing_matrix(P.tree_pairs(parsed(spark, sf_dir))).select("i", "j", word("a", "a"), word("b", "b"))
+    return P.incidence(P.tree_pairs(parsed(spark, sf_dir))).select("i", "j", word("a", "a"), word("crossed", "crossed"))
 
 
 TOPOLOGY = f"{EIGHT}, keys AS (SELECT sample, tree_id, string_agg(mask::varchar, ',' ORDER BY mask) AS key FROM interior GROUP BY ALL)"
 
 
-@query(f"{TOPOLOGY} SELECT a.sample, a.tree_id AS i, b.tree_id AS j FROM keys a JOIN keys b ON a.sample = b.sample AND a.key = b.key AND a.tree_id < b.tree_id")
+@query(f"{TOPOLOGY} SELECT sample, tree_id, min(tree_id) OVER w AS first, count(*) OVER w - 1 AS n_same FROM keys WINDOW w AS (PARTITION BY sample, key)")
 def same_topology(spark, sf_dir):
-    keys = parsed(spark, sf_dir).select("sample", "tree_id", T.topology().alias("key"))
-    a, b = keys.withColumnRenamed("tree_id", "i"), keys.withColumnRenamed("tree_id", "j")
-    return a.join(b, ["sample", "key"]).where("i < j").select("sample", "i", "j")
+    return T.topology_classes(parsed(spark, sf_dir))
 
 
 @query(f"{UNROOTED} SELECT p.sample, p.i, p.j, n_i + n_j - 2 * coalesce(c.n, 0) AS rf FROM pairs p LEFT JOIN common c ON p.i = c.i AND p.j = c.j")
@@ -546,9 +554,15 @@ def geodesic_distance(spark, sf_dir):
     return G.distances(parsed(spark, sf_dir, 4), 4).select("sample", "i", "j", r6(F.col("d"), "d"))
 
 
-@query(f"{GEO} SELECT i, j, CASE WHEN n = 2 THEN '' WHEN n = 1 THEN '1/1' WHEN stepped THEN '1/1;1/1' ELSE '2/2' END AS report FROM geo")
+@query(f"""{PARTS}, row_ AS (SELECT i, j, r, na, nb, string_agg(mask::varchar, ',' ORDER BY mask) FILTER (side = 'a') AS dropped, string_agg(mask::varchar, ',' ORDER BY mask) FILTER (side = 'b') AS added FROM sup GROUP BY ALL)
+SELECT i, j, r AS place, round(na / nb + 1.05e-9, 6) AS ratio, round(na + 1.05e-9, 6) AS a_norm, round(nb + 1.05e-9, 6) AS b_norm, dropped, added,
+  string_agg('{{' || dropped || '}}/{{' || added || '}};', '' ORDER BY r) OVER (PARTITION BY i, j ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS type FROM row_""")
 def geodesic_report(spark, sf_dir):
-    return _geo(spark, sf_dir, strict=True).select("i", "j", G.report().alias("report"))
+    geo = saved(_geo(spark, sf_dir, strict=True), "geodesics")
+    first = lambda m: F.get(m, F.lit(0)).cast("string")
+    rows = G.report(geo).join(geo.select("i", "j", G.combinatorial_type(first).alias("type")), ["i", "j"])
+    text = lambda c: F.array_join(F.transform(c, first), ",").alias(c)
+    return rows.select("i", "j", "place", n6(F.col("ratio"), "ratio"), n6(F.col("a_norm"), "a_norm"), n6(F.col("b_norm"), "b_norm"), text("dropped"), text("added"), "type")
 
 
 @query(f"""{PARTS}, q AS (SELECT i, j, unnest(range(CASE WHEN n = 2 THEN 1 WHEN stepped THEN 3 ELSE 2 END)) AS leg FROM geo),
@@ -631,7 +645,15 @@ def direction_vector(spark, sf_dir):
 
 @query()
 def project_to_geodesic(spark, sf_dir):
-    return W.project(parsed(spark, sf_dir, 4), 4).select("i", "j", "tree_id", r6(F.col("at"), "at"), r6(F.col("d"), "d"))
+    # every tree of a sample onto the geodesics from each other one of its trees to the one after that
+    trees = saved(parsed(spark, sf_dir, 4), "trees")
+    place = saved(placed_in_sample(trees.select("sample", "tree_id"), ["tree_id"], "at"), "placed")
+    after = place.select("sample", F.col("tree_id").alias("j"), (F.col("at") - 1).alias("at"))
+    legs = saved(place.withColumnRenamed("tree_id", "i").join(after, ["sample", "at"]).select("sample", "i", "j"), "legs")
+    met = P.all_pairs(place.select("sample", "tree_id"), [])
+    both = met.select("sample", F.explode(F.array(F.struct(F.col("a.tree_id").alias("tree_id"), F.col("b.tree_id").alias("i")), F.struct(F.col("b.tree_id").alias("tree_id"), F.col("a.tree_id").alias("i")))).alias("x"))
+    wanted = both.select("sample", "x.*").join(legs, ["sample", "i"]).where("tree_id <> j")
+    return W.project(trees, wanted, 4).select("i", "j", "tree_id", r6(F.col("at"), "at"), r6(F.col("d"), "d"))
 
 
 # Selection
@@ -651,10 +673,11 @@ GROUPS = f"""{LENGTHS}, keys AS (SELECT sample, tree_id, string_agg(mask::varcha
 groups AS (SELECT sample, key, max(struct_pack(lnl := lnl, t := tree_id)).t AS tree_id, max(lnl) AS lnl, count(*) AS n_trees, min(tree_id) AS first FROM keys JOIN scored USING (sample, tree_id) GROUP BY ALL)"""
 
 
-@query(f"{GROUPS} SELECT sample, first, n_trees FROM groups")
+@query(f"""{SHORT}, keys AS (SELECT sample, tree_id, string_agg(mask::varchar, ',' ORDER BY mask) AS key, count(*) AS n FROM short WHERE length > 1e-5 GROUP BY ALL),
+whole AS (SELECT base.sample, base.tree_id, coalesce(key, '') AS key, coalesce(n, 0) AS n FROM base LEFT JOIN keys USING (sample, tree_id))
+SELECT sample, min(tree_id) AS first, count(*) AS n_trees, any_value(n) AS n_edges FROM whole GROUP BY sample, key""")
 def topology_groups(spark, sf_dir):
-    keyed = T.to_multifurcating(parsed(spark, sf_dir)).select("sample", "tree_id", T.topology().alias("topology"))
-    return keyed.groupBy("sample", "topology").agg(F.min("tree_id").alias("first"), F.count("*").alias("n_trees")).drop("topology")
+    return T.topology_groups(shortened(parsed(spark, sf_dir)))
 
 
 @query(f"{GROUPS} SELECT sample, tree_id, lnl, n_trees FROM groups")
@@ -665,7 +688,7 @@ def best_per_topology(spark, sf_dir):
 @query(f"{GROUPS} SELECT sample, tree_id, lnl, row_number() OVER (PARTITION BY sample ORDER BY lnl, tree_id) - 1 AS place FROM groups")
 def rank_optimized(spark, sf_dir):
     top = L.best_per_topology(scored(spark, sf_dir).withColumn("topology", T.topology()))
-    return L.best(top, 1 << 30).select("sample", "tree_id", "lnl", "place")
+    return L.ranked(top).select("sample", "tree_id", "lnl", "place")
 
 
 @query(f"{GROUPS} SELECT sample, tree_id, lnl, 'start' AS role FROM scored UNION ALL SELECT sample, tree_id, lnl, 'optimised' FROM groups")
@@ -675,9 +698,13 @@ def tree_pool(spark, sf_dir):
     return S.pool({"start": start, "optimised": top}).select("sample", "tree_id", "lnl", "role")
 
 
-@query(f"{LENGTHS}, b AS (SELECT sample, max(lnl) AS best FROM scored GROUP BY sample) SELECT sample, tree_id, lnl, round(lnl - best, 6) AS less FROM scored JOIN b USING (sample)")
+@query(f"""{LENGTHS}, b AS (SELECT sample, max(lnl) AS best FROM scored GROUP BY sample),
+squares AS (SELECT sample, tree_id, sum(length) AS t, sqrt(sum(length * length)) AS norm FROM (SELECT sample, tree_id, length FROM interior UNION ALL SELECT sample, tree_id, length FROM leaf) GROUP BY ALL),
+external AS (SELECT sample, -1 - tree_id AS tree_id, -round(t / norm, 6) AS lnl FROM squares) SELECT sample, tree_id, lnl, round(lnl - best, 6) AS less FROM external JOIN b USING (sample)""")
 def compare_external(spark, sf_dir):
-    return S.compare(scored(spark, sf_dir), scored(spark, sf_dir)).select("sample", "tree_id", "lnl", r6(F.col("less"), "less"))
+    # other trees: those of the sample on the unit sphere, under ids of their own
+    external = T.normalize(parsed(spark, sf_dir)).withColumn("tree_id", -1 - F.col("tree_id")).withColumn("lnl", -F.round(T.tree_length(), 6))
+    return S.compare(external, scored(spark, sf_dir)).select("sample", "tree_id", "lnl", r6(F.col("less"), "less"))
 
 
 @query(f"""{SHORT}, whole AS (SELECT tree_id, round(sum(length), 6) AS length, 0 AS k FROM (SELECT tree_id, length FROM interior UNION ALL SELECT tree_id, length FROM leaf) GROUP BY tree_id
@@ -819,6 +846,7 @@ def job_boundary(spark, sf_dir):
 def job_explore(spark, sf_dir):
     trees = parsed(spark, sf_dir)
     external = T.normalize(trees.groupBy("sample").agg(F.min_by(F.struct("tree_id", "splits", "leaves"), "tree_id").alias("t")).select("sample", "t.*"))
+    external = external.withColumn("tree_id", -1 - F.col("tree_id"))
     return W.explore(trees, fixtures.cells(spark, sf_dir), LABELS, external)
 
 
