@@ -68,41 +68,43 @@ def block_masks(blocks: int = BLOCKS, distance: int = DISTANCE) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def close_links(fps: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
-    """Links ``a, b`` between distinct fingerprints (column ``fp``) that connect all pairs within ``distance`` bits.
+def close_links(fps: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, by: tuple[str, ...] = ()) -> DataFrame:
+    """Links ``a, b`` between distinct fingerprints (column ``fp``) that connect all pairs within ``distance`` bits; with ``by``,
+    those that agree on these columns, which come first.
 
     Buckets of up to PAIRWISE_BUCKET fingerprints give their pairs, each checked by its distance. The
     fingerprints of larger buckets are joined through middle points instead: two within 4 bits share a point
     within 2 bits of both, and all that share a point are within 4, so a link from each to the smallest at the
     point is right and whole, and its rows grow with the fingerprints and not with their pairs.
     """
-    n = fps.count()
+    n = fps.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     while 1 << (64 * (blocks - distance) // blocks - 3) < n and blocks < 12:  # keys too short for so many
         blocks += 1
-    spread = fps.select("fp", F.posexplode(F.array(*(F.lit(m) for m in block_masks(blocks, distance)))).alias("c", "mask"))
-    keyed = saved(spread.select("c", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp"), "blocks")
-    sizes = keyed.groupBy("c", "key").agg(F.count("*").alias("n"))
-    shared = saved(keyed.join(sizes.where("n > 1").hint("merge"), ["c", "key"]), "buckets")
+    spread = fps.select(*by, "fp", F.posexplode(F.array(*(F.lit(m) for m in block_masks(blocks, distance)))).alias("c", "mask"))
+    bucket = [*by, "c", "key"]
+    keyed = saved(spread.select(*by, F.col("c").cast("short"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp"), "blocks")
+    sizes = keyed.groupBy(*bucket).agg(F.count("*").alias("n"))
+    shared = saved(keyed.join(sizes.where("n > 1").hint("merge"), bucket), "buckets")
     small = shared.where(F.col("n") <= PAIRWISE_BUCKET)
     pairs = (
-        small.select("c", "key", F.col("fp").alias("a"))
-        .join(small.select("c", "key", F.col("fp").alias("b")).hint("merge"), ["c", "key"])
+        small.select(*bucket, F.col("fp").alias("a"))
+        .join(small.select(*bucket, F.col("fp").alias("b")).hint("merge"), bucket)
         .where(F.col("a") < F.col("b"))
         .where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
-        .select("a", "b")
+        .select(*by, "a", "b")
     )
-    crowded = shared.where(F.col("n") > PAIRWISE_BUCKET).select("fp").distinct()
+    crowded = shared.where(F.col("n") > PAIRWISE_BUCKET).select(*by, "fp").distinct()
     flips = [0, *(1 << i for i in range(64)), *(1 << i | 1 << j for i, j in combinations(range(64), 2))]
     one = F.array(*(F.lit(f - (1 << 64) if f >> 63 else f) for f in flips[:65]))
     # two flips: the first and a second at a higher bit or none, so that each point comes once
     points = (
-        crowded.select("fp", F.posexplode(one).alias("i", "first"))
-        .select("fp", "i", "first", F.posexplode(one).alias("j", "second"))
+        crowded.select(*by, "fp", F.posexplode(one).alias("i", "first"))
+        .select(*by, "fp", "i", "first", F.posexplode(one).alias("j", "second"))
         .where("j > i or (i = 0 and j = 0)")
-        .select("fp", F.col("fp").bitwiseXOR(F.col("first")).bitwiseXOR(F.col("second")).alias("point"))
+        .select(*by, "fp", F.col("fp").bitwiseXOR(F.col("first")).bitwiseXOR(F.col("second")).alias("point"))
     )
-    heads = points.groupBy("point").agg(F.min("fp").alias("head"), F.max("fp").alias("tail")).where("head < tail")
-    stars = points.join(heads.hint("merge"), "point").where("fp <> head").select(F.col("head").alias("a"), F.col("fp").alias("b")).distinct()
+    heads = points.groupBy(*by, "point").agg(F.min("fp").alias("head"), F.max("fp").alias("tail")).where("head < tail")
+    stars = points.join(heads.hint("merge"), [*by, "point"]).where("fp <> head").select(*by, F.col("head").alias("a"), F.col("fp").alias("b")).distinct()
     return pairs.union(stars)
 
 
@@ -188,11 +190,7 @@ def near_copies(
     texts = saved(texts, "texts")
     own = saved(texts.select("text_key", F.posexplode("fps").alias("s", "fp")), "text-fingerprints")
     fps = saved(own.groupBy("s", "fp").agg(F.count("*").alias("n")), "distinct-fingerprints")
-    links = None
-    for s in range(seeds):
-        found = close_links(fps.where(F.col("s") == s).select("fp"), distance, COPY_BLOCKS).select(F.lit(s).alias("s"), "a", "b")
-        links = found if links is None else links.union(found)
-    links = saved(links, "links")
+    links = saved(close_links(fps.select("s", "fp"), distance, COPY_BLOCKS, ("s",)), "links")
     number = lambda fp: F.xxhash64("s", fp)
     shared = links.select("s", F.col("a").alias("fp")).union(links.select("s", F.col("b").alias("fp"))).union(fps.where("n > 1").select("s", "fp")).distinct()
     held = own.join(shared.hint("merge"), ["s", "fp"]).select(F.xxhash64("text_key", F.lit("text")).alias("a"), number("fp").alias("b"))
