@@ -1,25 +1,30 @@
 """Maps of tree space: multidimensional scaling, its validation, hulls and surfaces.
 
 Double centring, distances, ranks, correlations and smoothing are joins, sorts and aggregates. A sample of up to MOST
-trees has its eigenvectors worked out by one task; those of a larger one come from subspace iteration, a join a round.
-Samples are counted before any is gathered.
+trees has its eigenvectors worked out by one task; those of a larger one come from subspace iteration over tiles of its
+distances, to a residual. Samples are counted before any is gathered.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.store import saved
-from .order import placed
-from .pairs import all_pairs
-
-#: Trees of a sample up to which its matrix is solved in one task. Surface weights of more are refused, never cut.
-MOST = 5000
-#: Vectors of the subspace and rounds of its iteration.
-VECTORS, ROUNDS = 6, 40
+from .order import placed, with_one
+from .pairs import all_pairs, with_blocks
+
+#: Trees of a sample up to which its matrix is solved in one task, and trees of a block beyond.
+MOST = PIECE = 512
+#: Trees of a sample up to which a surface is made: its weights need a dense solve. More are refused, never cut.
+MOST_SURFACE = 5000
+#: Vectors of the subspace, the relative residual to which it is iterated, and rounds at most.
+VECTORS, TOLERANCE, ROUNDS = 16, 1e-7, 300
+COORDINATES = "sample long, tree_id long, x array<double>, residual double"
 #: Points of a sample up to which its hull is found in one step.
 PART = 10_000
 #: Places of a block in which pairs out of order are counted.
@@ -47,83 +52,144 @@ def gram(distances: DataFrame) -> DataFrame:
     )
 
 
-def coordinates(distances: DataFrame, dimensions: int = 2) -> DataFrame:
-    """``sample, tree_id, x`` (array): top eigenvectors of the Gram matrix times the roots of their values. Negative
-    values count as zero; the largest component of each vector is positive."""
+def coordinates(distances: DataFrame, dimensions: int = 2, tolerance: float = TOLERANCE, rounds: int = ROUNDS) -> DataFrame:
+    """``sample, tree_id, x`` (array) and ``residual``: top eigenvectors of the Gram matrix times the roots of their values.
+    Negative values count as zero; the largest component of each vector is positive.
+
+    A sample of up to MOST trees is solved as it is. A larger one is cut into tiles of PIECE by PIECE distances, and its
+    vectors are iterated until, relative to the largest value, no residual (what the matrix makes of a vector less the
+    vector times its value) is over ``tolerance``, or for ``rounds``; the one that was reached stands in each row.
+    """
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = np.unique(pdf["i"])
-        k = np.zeros((len(ids), len(ids)))
-        k[np.searchsorted(ids, pdf["i"]), np.searchsorted(ids, pdf["j"])] = pdf["k"]
+        ids = np.unique(pdf[["i", "j"]].to_numpy())
+        s, n = np.zeros((len(ids), len(ids))), len(ids)
+        i, j = np.searchsorted(ids, pdf["i"]), np.searchsorted(ids, pdf["j"])
+        s[i, j] = s[j, i] = pdf["d"] ** 2
+        k = -0.5 * (s - s.mean(axis=0) - s.mean(axis=1)[:, None] + s.mean())
         values, vectors = np.linalg.eigh((k + k.T) / 2)
-        x = np.zeros((len(ids), dimensions))
-        for d in range(min(dimensions, len(ids))):
+        x = np.zeros((n, dimensions))
+        for d in range(min(dimensions, n)):
             v = vectors[:, -1 - d]
-            v = v * np.sign(v[np.argmax(np.abs(v))])
-            x[:, d] = v * np.sqrt(max(values[-1 - d], 0.0))
-        return pd.DataFrame({"sample": pdf["sample"].iloc[0], "tree_id": ids, "x": list(x)})
-
-    schema = "sample long, tree_id long, x array<double>"
-    whole = saved(gram(distances), "gram")
-    sizes = whole.where("i = j").groupBy("sample").agg(F.count("*").alias("n")).hint("merge")
-    sized = whole.join(sizes, "sample")
-    small = sized.where(F.col("n") <= MOST).drop("n").groupBy("sample").applyInPandas(solve, schema)
-    large = sizes.where(F.col("n") > MOST).select("sample")
-    if large.isEmpty():
-        return small
-    return small.union(_iterated(whole.join(large.hint("merge"), "sample", "left_semi"), dimensions))
-
-
-def _iterated(k: DataFrame, dimensions: int) -> DataFrame:
-    """Coordinates of large samples: a round multiplies a few vectors by the Gram matrix (a join on the column, a sum for each
-    row), and makes them orthonormal by their own small matrix of products, which is all that meets in one task."""
-    p = max(VECTORS, dimensions + 2)
-    names = [f"v{c}" for c in range(p)]
-    k = saved(k, "gram-large")
-    start = [(F.pmod(F.xxhash64("i", F.lit(c)), F.lit(1_000_003)) / 500_001.5 - 1).alias(n) for c, n in enumerate(names)]
-    v = saved(k.where("i = j").select("sample", "i", *start), "vectors")
-    of = lambda a, b: F.array(*(F.sum(F.col(x) * F.col(y)) for x in a for y in b))
-    turned = [f"t{c}" for c in range(p)]
-
-    def basis(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for sample, g in zip(pdf["sample"], pdf["g"]):
-            values, u = np.linalg.eigh(np.reshape(g, (p, p)))
-            good = values > values.max() * 1e-14
-            out.append((sample, (u[:, ::-1] * np.where(good, 1 / np.sqrt(np.where(good, values, 1.0)), 0.0)[::-1]).ravel().tolist()))
-        return pd.DataFrame(out, columns=["sample", "m"])
-
-    def ritz(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for sample, g in zip(pdf["sample"], pdf["g"]):
-            h = np.reshape(g, (p, p))
-            values, u = np.linalg.eigh((h + h.T) / 2)
-            out.append((sample, (u[:, ::-1] * np.sqrt(np.maximum(values[::-1], 0.0))).ravel().tolist()))
-        return pd.DataFrame(out, columns=["sample", "m"])
-
-    def times(rows: DataFrame, matrices: DataFrame) -> DataFrame:
-        """Each row's vector times its sample's matrix."""
-        joined = rows.join(matrices.hint("merge"), "sample")
-        new = [sum((F.col(names[d]) * F.col("m")[d * p + c] for d in range(1, p)), F.col(names[0]) * F.col("m")[c]).alias(names[c]) for c in range(p)]
-        return joined.select("sample", "i", *new)
-
-    def multiplied(v: DataFrame) -> DataFrame:
-        w = k.join(v.withColumnRenamed("i", "j").hint("merge"), ["sample", "j"])
-        return w.groupBy("sample", "i").agg(*(F.sum(F.col("k") * F.col(n)).alias(n) for n in names))
-
-    def orthonormal(w: DataFrame) -> DataFrame:
-        w = saved(w, "products")
-        return saved(times(w, w.groupBy("sample").agg(of(names, names).alias("g")).mapInPandas(lambda it: map(basis, it), "sample long, m array<double>")), "vectors")
-
-    v = orthonormal(v)
-    for _ in range(ROUNDS):
-        v = orthonormal(multiplied(v))
-    w = saved(multiplied(v), "products").select("sample", "i", *(F.col(a).alias(b) for a, b in zip(names, turned)))
-    g = v.join(w.hint("merge"), ["sample", "i"]).groupBy("sample").agg(of(names, turned).alias("g"))
-    x = saved(times(v, g.mapInPandas(lambda it: map(ritz, it), "sample long, m array<double>")), "coords")
-    most = x.groupBy("sample").agg(*(F.max_by(n, F.abs(n)).alias(f"m{c}") for c, n in enumerate(names[:dimensions])))
-    signed = F.array(*(F.col(n) * F.when(F.col(f"m{c}") < 0, -1.0).otherwise(1.0) for c, n in enumerate(names[:dimensions])))
-    return x.join(most.hint("merge"), "sample").select("sample", F.col("i").alias("tree_id"), signed.alias("x"))
+            x[:, d] = v * np.sign(v[np.argmax(np.abs(v))]) * np.sqrt(max(values[-1 - d], 0.0))
+        return pd.DataFrame({"sample": pdf["sample"].iloc[0], "tree_id": ids, "x": list(x), "residual": 0.0})
+
+    half = distances.select("sample", "i", "j", "d")
+    trees = F.round((1 + F.sqrt(8 * F.count("*") + 1)) / 2)
+    sizes = half.groupBy("sample").agg(trees.alias("_n")).where(F.col("_n") > MOST).select("sample", F.ceil(F.col("_n") / PIECE).cast("int").alias("_blocks"))
+    sizes = saved(sizes, "large-samples")
+    if sizes.isEmpty():
+        return half.groupBy("sample").applyInPandas(solve, COORDINATES)
+    marked = with_blocks(half, sizes, "i")
+    small = marked.where("_blocks is null").select("sample", "i", "j", "d").groupBy("sample").applyInPandas(solve, COORDINATES)
+    return small.union(_iterated(marked.where("_blocks is not null"), dimensions, tolerance, rounds))
+
+
+def _matrix(data: bytes, columns: int) -> np.ndarray:
+    return np.frombuffer(data).reshape(-1, columns)
+
+
+def _iterated(half: DataFrame, dimensions: int, tolerance: float, rounds: int) -> DataFrame:
+    """Coordinates of large samples. Distances are shuffled once, into tiles that are written; a round sends the blocks of some
+    vectors to the tiles (Spark sends them to all tasks if they are small), adds up what the tiles make of them, and makes
+    them orthonormal by their own small matrix of products. Centring the products does the centring of the matrix."""
+    p = max(VECTORS, dimensions + 4)
+    own = lambda c: F.pmod(F.xxhash64(c, F.lit(1)), "_blocks").cast("int")
+    swap = own("i") > own("j")
+    x, y = F.when(swap, F.col("j")).otherwise(F.col("i")), F.when(swap, F.col("i")).otherwise(F.col("j"))
+    cells = half.select("sample", F.least(own("i"), own("j")).alias("lo"), F.greatest(own("i"), own("j")).alias("hi"), x.alias("x"), y.alias("y"), "d")
+
+    def tile(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Squared distances between the trees of two blocks, each in the order of ids; within a block both ways."""
+        lo, hi = int(pdf["lo"].iloc[0]), int(pdf["hi"].iloc[0])
+        if lo == hi:
+            ids = np.unique(pdf[["x", "y"]].to_numpy())
+            s = np.zeros((len(ids), len(ids)))
+            i, j = np.searchsorted(ids, pdf["x"]), np.searchsorted(ids, pdf["y"])
+            s[i, j] = s[j, i] = pdf["d"] ** 2
+        else:
+            ids, other = np.unique(pdf["x"]), np.unique(pdf["y"])
+            s = np.zeros((len(ids), len(other)))
+            s[np.searchsorted(ids, pdf["x"]), np.searchsorted(other, pdf["y"])] = pdf["d"] ** 2
+        return pd.DataFrame({"sample": [pdf["sample"].iloc[0]], "lo": [lo], "hi": [hi], "s": [s.tobytes()], "wide": [s.shape[1]]})
+
+    tiles = saved(cells.groupBy("sample", "lo", "hi").applyInPandas(tile, "sample long, lo int, hi int, s binary, wide int"), "tiles")
+    ends = half.select("sample", "_blocks", F.explode(F.array("i", "j")).alias("id")).distinct()
+    blocks = ends.groupBy("sample", own("id").alias("b")).agg(F.sort_array(F.collect_list("id")).alias("ids"))
+
+    def begin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            v = [np.cos(np.asarray(ids, np.float64)[:, None] * 0.7548776662 * np.arange(1, p + 1) + np.arange(p)).tobytes() for ids in pdf["ids"]]
+            yield pdf.assign(v=v)
+
+    v = saved(blocks.mapInPandas(begin, "sample long, b int, ids array<long>, v binary"), "vectors")
+
+    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples():
+                s = _matrix(r.s, r.wide)
+                out.append((r.sample, r.lo, (s @ _matrix(r.v_hi, p)).tobytes()))
+                if r.lo != r.hi:
+                    out.append((r.sample, r.hi, (s.T @ _matrix(r.v_lo, p)).tobytes()))
+            yield pd.DataFrame(out, columns=["sample", "b", "w"])
+
+    def added(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"sample": [pdf["sample"].iloc[0]], "b": [pdf["b"].iloc[0]], "w": [sum(np.frombuffer(w) for w in pdf["w"]).tobytes()]})
+
+    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Of each block: rows, sums, and the products of the vectors with what the matrix makes of them, and of that with itself."""
+        for pdf in batches:
+            rows = []
+            for sample, v, w in zip(pdf["sample"], pdf["v"], pdf["w"]):
+                v, w = _matrix(v, p), -0.5 * _matrix(w, p)
+                rows.append((sample, np.concatenate([[len(v)], v.sum(axis=0), w.sum(axis=0), (v.T @ w).ravel(), (w.T @ w).ravel()]).tobytes()))
+            yield pd.DataFrame(rows, columns=["sample", "g"])
+
+    def judged(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Of a sample: the means to take off, the matrix that makes the next vectors orthonormal, the one that turns these to
+        eigenvectors times the roots of their values, and the residual."""
+        g = sum(np.frombuffer(x) for x in pdf["g"])
+        n, sv, sw = g[0], g[1 : p + 1], g[p + 1 : 2 * p + 1]
+        vw, ww = (g[2 * p + 1 :].reshape(2, p, p)) - np.stack([np.outer(sv, sw), np.outer(sw, sw)]) / n
+        values, u = np.linalg.eigh(ww)
+        good = values > values.max() * 1e-24
+        basis = u[:, ::-1] * np.where(good, 1 / np.sqrt(np.where(good, values, 1.0)), 0.0)[::-1]
+        values, u = np.linalg.eigh((vw + vw.T) / 2)
+        values, u = values[::-1], u[:, ::-1]
+        off = np.maximum(np.einsum("ij,ij->j", u, ww @ u) - values**2, 0)[:dimensions]
+        wanted = values[:dimensions] > 1e-12 * np.abs(values).max()
+        residual = float(np.sqrt(off[wanted].max(initial=0)) / max(np.abs(values).max(), 1e-300))
+        turn = u * np.sqrt(np.maximum(values, 0))
+        return pd.DataFrame({"sample": [pdf["sample"].iloc[0]], "mean": [(sw / n).tolist()], "basis": [basis.ravel().tolist()], "turn": [turn.ravel().tolist()], "residual": [residual]})
+
+    def stepped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            new = [((-0.5 * _matrix(w, p) - np.asarray(m)) @ np.reshape(b, (p, p))).tobytes() for w, m, b in zip(pdf["w"], pdf["mean"], pdf["basis"])]
+            yield pdf[["sample", "b", "ids"]].assign(v=new)
+
+    for k in range(rounds + 2):
+        sides = [v.select("sample", F.col("b").alias(side), F.col("v").alias(f"v_{side}")) for side in ("lo", "hi")]
+        both = tiles.join(sides[0], ["sample", "lo"]).join(sides[1], ["sample", "hi"]).select("sample", "lo", "hi", "s", "wide", "v_lo", "v_hi")
+        sums = both.mapInPandas(made, "sample long, b int, w binary").groupBy("sample", "b").applyInPandas(added, "sample long, b int, w binary")
+        w = saved(v.join(sums, ["sample", "b"]), "products")
+        state = w.select("sample", "v", "w").mapInPandas(products, "sample long, g binary").groupBy("sample")
+        state = saved(state.applyInPandas(judged, "sample long, mean array<double>, basis array<double>, turn array<double>, residual double"), "state")
+        # the first vectors are not orthonormal, so their residual says nothing
+        if k and state.agg(F.max("residual")).first()[0] <= tolerance or k > rounds:
+            break
+        v = saved(w.join(state.select("sample", "mean", "basis"), "sample").mapInPandas(stepped, v.schema), "vectors")
+
+    def placed_at(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.itertuples():
+                x = _matrix(r.v, p) @ np.reshape(r.turn, (p, p))[:, :dimensions]
+                yield pd.DataFrame({"sample": r.sample, "tree_id": np.asarray(r.ids), "x": list(x), "residual": r.residual})
+
+    x = saved(v.join(state.select("sample", "turn", "residual"), "sample").mapInPandas(placed_at, COORDINATES), "coords")
+    most = x.groupBy("sample").agg(*(F.max_by(F.col("x")[c], F.abs(F.col("x")[c])).alias(f"m{c}") for c in range(dimensions)))
+    signed = F.array(*(F.col("x")[c] * F.when(F.col(f"m{c}") < 0, -1.0).otherwise(1.0) for c in range(dimensions)))
+    return with_one(x, most, ["sample"]).select("sample", "tree_id", signed.alias("x"), "residual")
 
 
 def embedded_distances(coords: DataFrame) -> DataFrame:
@@ -148,7 +214,7 @@ def _ranked(rows: DataFrame, name: str) -> DataFrame:
     own = saved(mean.withColumn("_block", (F.col("_p") / _BLOCK).cast("long")).withColumn("_upto", part), "ranks")
     blocks = own.groupBy("sample", "_block").agg(F.sum("_c").alias("_all"))
     blocks = blocks.withColumn("_low", F.sum("_all").over(Window.partitionBy("sample").orderBy("_block")) - F.col("_all")).drop("_all")
-    ranks = own.join(blocks.hint("merge"), ["sample", "_block"]).select("sample", name, (F.col("_low") + F.col("_upto") - (F.col("_c") - 1) / 2).alias(f"r{name}"))
+    ranks = own.join(blocks, ["sample", "_block"]).select("sample", name, (F.col("_low") + F.col("_upto") - (F.col("_c") - 1) / 2).alias(f"r{name}"))
     return rows.join(ranks.hint("merge"), ["sample", name])
 
 
@@ -171,12 +237,12 @@ def validation(distances: DataFrame, embedded: DataFrame) -> DataFrame:
         return pd.DataFrame({"sample": [pdf["sample"].iloc[0]], "kendall": [s / below if below else np.nan]})
 
     sizes = simple.select("sample", F.col("n").alias("_n"))
-    sized = both.join(sizes.hint("merge"), "sample")
+    sized = with_one(both, sizes, ["sample"], "i")
     tau = sized.where(F.col("_n") <= MOST * MOST).drop("_n").groupBy("sample").applyInPandas(kendall, "sample long, kendall double")
     large = sizes.where(F.col("_n") > MOST * MOST)
     if not large.isEmpty():
-        tau = tau.union(_kendall(both.join(large.select("sample").hint("merge"), "sample", "left_semi")))
-    return simple.join(tau.hint("merge"), "sample")
+        tau = tau.union(_kendall(sized.where(F.col("_n") > MOST * MOST).drop("_n")))
+    return simple.join(tau, "sample")
 
 
 def _kendall(rows: DataFrame) -> DataFrame:
@@ -233,18 +299,18 @@ def shepard(distances: DataFrame, embedded: DataFrame, every: int = 5, points: i
     both = distances.select("sample", "i", "j", "d").join(embedded.select("sample", "i", "j", F.col("d").alias("e")), ["sample", "i", "j"])
     order = placed(both.select("sample", "d", "e"), ["d", "e"], "at")
     first = order.groupBy("sample").agg(F.min("at").alias("first"))
-    rows = order.join(first.hint("merge"), "sample").where((F.col("at") - F.col("first")) % every == 0).select("sample", "d", "e", "at")
+    rows = with_one(order, first, ["sample"], "at").where((F.col("at") - F.col("first")) % every == 0).select("sample", "d", "e", "at")
     rows = saved(rows, "thinned")
     range_ = saved(rows.groupBy("sample").agg(F.min("d").alias("low"), F.max("d").alias("high")), "range")
     step = (F.col("high") - F.col("low")) / (points - 1)
     # each row with the grid interval it lies in
     g = F.when(F.col("high") > F.col("low"), F.least(F.floor((F.col("d") - F.col("low")) / step).cast("int"), F.lit(points - 2))).otherwise(0)
-    rows = saved(rows.join(range_.hint("merge"), "sample").withColumn("g", g), "intervals")
+    rows = saved(with_one(rows, range_, ["sample"], "at").withColumn("g", g), "intervals")
     grid = F.explode(F.sequence(F.lit(0), F.lit(points - 1)))
     off = F.abs(F.col("d") - (F.col("low") + F.col("p") * step))
     widths = rows.select("*", grid.alias("p")).groupBy("sample", "p").agg(F.percentile_approx(off, fraction, 10_000).alias("h"))
     widths = saved(widths.groupBy("sample").agg(F.transform(F.sort_array(F.collect_list(F.struct("p", "h"))), lambda x: x["h"]).alias("hs")), "widths")
-    rows = rows.join(widths.hint("merge"), "sample").withColumn("robust", F.lit(1.0))
+    rows = with_one(rows, widths, ["sample"], "at").withColumn("robust", F.lit(1.0))
     total = lambda c: F.sum(F.col("w") * c)
     smooth = None
     for k in range(passes + 1):
@@ -263,12 +329,12 @@ def shepard(distances: DataFrame, embedded: DataFrame, every: int = 5, points: i
         lines = sums.groupBy("sample").agg(F.transform(F.sort_array(F.collect_list(F.struct("p", fit.alias("y")))), lambda x: x["y"]).alias("ys"))
         share = F.when(F.col("high") > F.col("low"), (F.col("d") - F.col("low")) / step - F.col("g")).otherwise(0.0)
         smooth = F.get("ys", F.col("g")) * (1 - share) + F.get("ys", F.col("g") + 1) * share
-        rows = rows.drop("smooth").join(lines.hint("merge"), "sample").withColumn("smooth", smooth).drop("ys")
+        rows = with_one(rows.drop("smooth"), lines, ["sample"], "at").withColumn("smooth", smooth).drop("ys")
         if k < passes:
             rows = saved(rows, "smoothed")
             medians = rows.groupBy("sample").agg((6 * F.percentile_approx(F.abs(F.col("e") - F.col("smooth")), 0.5, 10_000)).alias("m"))
             left = F.abs(F.col("e") - F.col("smooth")) / F.col("m")
-            rows = rows.join(medians.hint("merge"), "sample").withColumn("robust", F.when(F.col("m") > 0, F.pow(F.greatest(1 - left * left, F.lit(0.0)), 2)).otherwise(1.0)).drop("m")
+            rows = with_one(rows, medians, ["sample"], "at").withColumn("robust", F.when(F.col("m") > 0, F.pow(F.greatest(1 - left * left, F.lit(0.0)), 2)).otherwise(1.0)).drop("m")
     return rows.select("sample", "d", "e", "smooth")
 
 
@@ -303,8 +369,8 @@ def hull(coords: DataFrame) -> DataFrame:
     points = coords.select("sample", "tree_id", F.col("x")[0].alias("px"), F.col("x")[1].alias("py"))
     schema = "sample long, tree_id long, px double, py double"
     points = saved(points, "points")
-    sizes = points.groupBy("sample").agg(F.ceil(F.count("*") / PART).alias("parts")).where("parts > 1").hint("merge")
-    part = points.join(sizes, "sample").withColumn("part", F.pmod(F.xxhash64("tree_id"), F.col("parts")))
+    sizes = points.groupBy("sample").agg(F.ceil(F.count("*") / PART).alias("parts")).where("parts > 1")
+    part = with_one(points, sizes, ["sample"]).withColumn("part", F.pmod(F.xxhash64("tree_id"), F.col("parts")))
     first = part.groupBy("sample", "part").applyInPandas(lambda pdf: corners(pdf)[["sample", "tree_id", "px", "py"]], schema)
     first = first.union(points.join(sizes, "sample", "left_anti").select("sample", "tree_id", "px", "py"))
     return first.groupBy("sample").applyInPandas(corners, f"{schema}, place long")
@@ -339,8 +405,8 @@ def surface(coords: DataFrame, values: DataFrame, cells: int = 20, smoothing: fl
 
     points = coords.join(values.select("sample", "tree_id", F.col("lnl").alias("z")), ["sample", "tree_id"])
     largest = points.groupBy("sample").count().agg(F.max("count")).first()[0] or 0  # one number, before any sample is gathered
-    if largest > MOST:
-        raise ValueError(f"a sample of {largest} trees; at most {MOST}")
+    if largest > MOST_SURFACE:
+        raise ValueError(f"a sample of {largest} trees; at most {MOST_SURFACE}")
     nodes = points.select("sample", F.col("x")[0].alias("px"), F.col("x")[1].alias("py"), "z").groupBy("sample").applyInPandas(
         solve, "sample long, px double, py double, z double, w double"
     )

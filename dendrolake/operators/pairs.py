@@ -32,17 +32,20 @@ def blocked(rows: DataFrame, sizes: DataFrame, block: int = BLOCK) -> DataFrame:
     ``sizes`` has a row for each tree of the samples. No sample's rows meet in one task: samples of one block, nearly all as
     a rule, are not joined at all."""
     counts = sizes.groupBy("sample").agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks")).where("_blocks > 1")
-    counts = saved(counts, "blocks")
-    if counts.limit(SENT + 1).count() <= SENT:
-        joined = rows.join(F.broadcast(counts), "sample", "left")
-    else:
-        counts = counts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-        salted = rows.withColumn("_salt", F.pmod(F.xxhash64("tree_id"), F.lit(_SALTS)).cast("int"))
-        joined = salted.join(counts.hint("merge"), ["sample", "_salt"], "left").drop("_salt")
-    joined = joined.withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
+    joined = with_blocks(rows, saved(counts, "blocks"), "tree_id").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
     return joined.withColumn("_own", F.pmod(F.xxhash64("tree_id", F.lit(1)), "_blocks").cast("int"))
 
 
+def with_blocks(rows: DataFrame, counts: DataFrame, spread: str) -> DataFrame:
+    """``rows`` with ``_blocks`` of ``counts`` (``sample, _blocks``, a row for each large sample), null for other samples. Up to SENT
+    rows of ``counts`` go to all tasks; more are joined by shuffle, a sample's rows dealt out by ``spread``."""
+    if counts.limit(SENT + 1).count() <= SENT:
+        return rows.join(F.broadcast(counts), "sample", "left")
+    counts = counts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(_SALTS)).cast("int"))
+    return salted.join(counts.hint("merge"), ["sample", "_salt"], "left").drop("_salt")
+
+
 def _sides(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows once for each tile (two blocks ``_lo`` <= ``_hi``) of their block: as the lower one's, and as the higher one's."""
     low = rows.withColumn("_lo", F.col("_own")).withColumn("_hi", F.explode(F.sequence("_own", F.col("_blocks") - 1)))

@@ -753,7 +753,7 @@ def mds_gram(spark, sf_dir):
 @query()
 def mds_coords(spark, sf_dir):
     found = M.coordinates(_distances(spark, sf_dir))
-    return found.select("sample", "tree_id", r6(F.col("x")[0], "x"), r6(F.col("x")[1], "y"))
+    return found.select("sample", "tree_id", r6(F.col("x")[0], "x"), r6(F.col("x")[1], "y"), r6(F.col("residual"), "residual"))
 
 
 @query()

@@ -4,10 +4,10 @@ import itertools
 import math
 
 import numpy as np
+import plain_geodesic as G
 import pytest
 from pyspark.sql import functions as F
 
-from dendrolake.functions import geodesic as G
 from dendrolake.functions import newick as N
 from dendrolake.jobs import workflows
 from dendrolake.operators import geodesics, landscape, likelihoods, pairs, sampling, trees
@@ -87,7 +87,8 @@ def test_trees_of_182_taxa(spark):
         square = sum((near[r.i][1][t] - near[r.j][1][t]) ** 2 for t in range(taxa)) + sum((x - y) ** 2 for _, x, y in common)
         assert r.d == pytest.approx(math.sqrt(square + sum((G.norm(x) + G.norm(y)) ** 2 for _, x, y in found)))
         assert sorted(N.joined(s["part"]) for s in r.supports) == sorted(o for o, _, _ in found)
-    for r in workflows.project(frame, taxa).collect():
+    wanted = spark.createDataFrame([(0, 0, 0, 1), (0, 0, 1, 2)], "sample long, tree_id long, i long, j long")
+    for r in workflows.project(frame, wanted, taxa).collect():
         assert r.tree_id == 0 and (r.i, r.j) in {(0, 1), (1, 2)}
         assert r.d == pytest.approx(0, abs=1e-5) if r.i == 0 else r.d > 0
     v = pairs.kc_vectors(_frame(spark, [_tree(70)], 70), 70).first()
@@ -164,6 +165,26 @@ def test_coordinates_by_both_ways(spark, monkeypatch, most):
     assert np.array([got[k] for k in range(12)]) == pytest.approx(want, abs=1e-6)
 
 
+def test_large_samples_of_a_slow_spectrum(spark, monkeypatch):
+    """60 points that spread alike in twenty directions, in blocks of about 13, beside a small sample: the residual is reached, and
+    the coordinates are those of the whole matrix. With one round it is not, and the rows say so."""
+    monkeypatch.setattr(landscape, "MOST", 20)
+    monkeypatch.setattr(landscape, "PIECE", 13)
+    x = np.random.default_rng(3).standard_normal((60, 20)) * np.linspace(1.15, 0.9, 20)
+    d, small = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2)), _points(8)
+    table = _distances(spark, d).union(_distances(spark, small, 1)).repartition(3)
+    for sample, one in ((0, d), (1, small)):
+        h = np.eye(len(one)) - 1 / len(one)
+        values, vectors = np.linalg.eigh(-0.5 * h @ (one * one) @ h)
+        want = vectors[:, ::-1][:, :2] * np.sqrt(values[::-1][:2])
+        want *= np.sign(want[np.abs(want).argmax(axis=0), [0, 1]])
+        rows = landscape.coordinates(table).where(F.col("sample") == sample).collect()
+        assert len(rows) == len(one) and all(r.residual <= landscape.TOLERANCE for r in rows)
+        got = {r.tree_id: r.x for r in rows}
+        assert np.array([got[k] for k in range(len(one))]) == pytest.approx(want, abs=1e-4)
+    assert landscape.coordinates(table, rounds=1).agg(F.max("residual")).first()[0] > 1e-3
+
+
 def _tau(x, y):
     s = lambda v: np.sign(v[:, None] - v[None])
     a, b = s(x), s(y)
