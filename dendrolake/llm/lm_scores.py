@@ -15,7 +15,7 @@ from . import gru
 from .common import HashIndex, hash_words, mix, saved, slices, split_words
 
 #: Bytes of text of a chunk: its documents are scored together with a slice of the counts for its own words.
-CHUNK_BYTES = 4_000_000
+CHUNK_BYTES = 3_000_000
 #: Training tokens of a share, about: the documents of a share are learned from one after another, by hash.
 SHARE_TOKENS = 2_400_000
 #: Tokens that are laid out in streams together, and least updates that a layout is to give.
@@ -315,6 +315,7 @@ def score_documents(
         log_p += total(np.where(known, 0.0, log_c - log_rare[np.where(known, 0, own - rare)]))
         base = total(log_c) + np.log10(trained + 1) - (n_words + 1) * np.log10(n_all + n_types + 1)
         n_known = total((c > 0).astype(np.float64)).astype(np.int64) + (trained > 0)
+        pa.default_memory_pool().release_unused()
         columns = [chunk.column("ids")[0].values, chunk.column("held")[0].values, n_words + 1, n_known, np.full(n_docs, n_all, np.int64), base, log_p]
         return pa.table([pa.array(x) if isinstance(x, np.ndarray) else x for x in columns], names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
