@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geodesic as G
+from ..functions.geodesic import Edges
 from . import arrays as A
 from .pairs import Trees, _crossing_any, by_tiles
+from .trees import LEAVES, SPLITS
 
 _EDGE = "array<struct<split:array<bigint>,length:double>>"
 SUPPORTS = f"array<struct<part:array<bigint>,a:{_EDGE},b:{_EDGE},a_norm:double,b_norm:double>>"
@@ -20,6 +22,7 @@ LEAF = "array<struct<taxon_id:int,l1:double,l2:double>>"
 SCHEMA = f"sample long, i long, j long, supports {SUPPORTS}, common {COMMON}, leaf {LEAF}"
 
 
+TREES = f"at double, splits {SPLITS}, leaves {LEAVES}"
 #: Pairs of edges that are met together.
 MET = 2_000_000
 
@@ -231,9 +234,36 @@ def tree_at(geodesic: DataFrame, at: str) -> DataFrame:
     ).withColumn("leaves", F.transform("leaf", lambda x: F.struct(x["taxon_id"].alias("taxon_id"), ten(between(x)).alias("length"))))
 
 
-def path_positions(n: int) -> Column:
+def trees_between(parsed: DataFrame, taxa: int, positions: list[float], block: int | None = None) -> DataFrame:
+    """``sample, i, j, at, splits, leaves``: the trees at these positions (0 to 1, to ten decimals; none: no rows) of the geodesics of all pairs
+    i < j of each sample, tile by tile: neither a pair nor a geodesic is a row before its trees are made."""
+
+    def of(low: Trees, high: Trees, x: np.ndarray, y: np.ndarray) -> list:
+        n, k = len(low.ids), len(positions)
+        edges = Edges(np.concatenate([low.edges.bounds, low.edges.bounds[-1] + high.edges.bounds[1:]]), np.concatenate([low.edges.masks, high.edges.masks]), np.concatenate([low.edges.lengths, high.edges.lengths]))
+        leaves, turned = np.concatenate([low.leaves, high.leaves]), low.ids[x] > high.ids[y]
+        first, second = np.where(turned, n + y, x), np.where(turned, x, n + y)
+        path, found = G.geodesics(edges.of(first), edges.of(second)), []
+        if not positions:
+            return [pa.array([], pa.float64()), A.parsed(edges.of(np.zeros(0, np.int64))), A.lists(np.zeros(1), A.structs(taxon_id=np.zeros(0, np.int32), length=np.zeros(0)))]
+        for at in positions:
+            e = path.at(np.full(len(x), round(at, 10)))
+            found.append(Edges(e.bounds, e.masks, np.round(e.lengths, 10)))
+        # a pair's trees after another
+        whole = Edges(np.concatenate([[0], *(e.bounds[1:] + sum(len(f.lengths) for f in found[:c]) for c, e in enumerate(found))]), np.concatenate([e.masks for e in found]), np.concatenate([e.lengths for e in found]))
+        whole = whole.of((np.arange(k)[None, :] * len(x) + np.arange(len(x))[:, None]).ravel())
+        at = np.tile(np.round(positions, 10), len(x))
+        tips = np.round((1 - at[:, None]) * np.repeat(leaves[first], k, axis=0) + at[:, None] * np.repeat(leaves[second], k, axis=0), 10)
+        there, taxon = np.nonzero(~np.isnan(tips))
+        pendant = A.lists(np.searchsorted(there, np.arange(len(tips) + 1)), A.structs(taxon_id=taxon.astype(np.int32), length=tips[there, taxon]))
+        return [np.tile(positions, len(x)), A.parsed(whole), pendant]
+
+    return by_tiles(parsed, taxa, of, TREES, block, times=len(positions), together=max(1, 400_000 // (taxa * max(1, len(positions)))), lacking=np.nan)
+
+
+def path_positions(n: int) -> list[float]:
     """Inner positions of ``n`` trees from end to end, both ends counted."""
-    return F.array(*(F.lit(k / (n - 1)) for k in range(1, n - 1))) if n > 2 else F.array().cast("array<double>")
+    return [k / (n - 1) for k in range(1, n - 1)]
 
 
 def reverse(geodesic: DataFrame) -> DataFrame:

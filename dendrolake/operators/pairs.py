@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -138,17 +139,19 @@ class Trees:
     leaves: np.ndarray
 
 
-def _trees(column: pa.ListArray, taxa: int) -> Trees:
+def _trees(column: pa.ListArray, taxa: int, lacking: float) -> Trees:
     flat = column.flatten()
-    return Trees(A.offsets(column), flat.field("tree_id").to_numpy(zero_copy_only=False), A.edges(flat.field("splits"), taxa), A.leaves(flat.field("leaves"), taxa))
+    return Trees(A.offsets(column), flat.field("tree_id").to_numpy(zero_copy_only=False), A.edges(flat.field("splits"), taxa), A.leaves(flat.field("leaves"), taxa, lacking))
 
 
-def by_tiles(parsed: DataFrame, taxa: int, of: Callable[..., list[np.ndarray]], schema: str, block: int | None = None, once: Callable[[Trees], Trees] = lambda t: t, fresh: str | None = None) -> DataFrame:
+def by_tiles(parsed: DataFrame, taxa: int, of: Callable[..., list[np.ndarray]], schema: str, block: int | None = None, once: Callable[[Trees], Trees] = lambda t: t, fresh: str | None = None, times: int = 1, together: int = TOGETHER, lacking: float = 0.0) -> DataFrame:
     """``sample, i, j`` and the columns of ``schema`` for all pairs i < j of each sample.
 
     A block of trees is one row, and so is a tile (two blocks of a sample), so that pairs are formed in the tasks and never
     shuffled. ``of(low, high, x, y)`` gives the columns for the pairs of tree x of ``low`` and y of ``high``; ``once``
     changes a tile's trees before. ``fresh``: a column that says which trees are new; pairs of two others are left out.
+    ``times``: rows that ``of`` gives for each pair, one after another; ``together``: pairs that are worked on together;
+    ``lacking``: a leaf's length where a tree lacks it.
     """
     trees = parsed.where("splits is not null").select("sample", "tree_id", "splits", "leaves", (F.col(fresh) if fresh else F.lit(True)).alias("fresh"))
     trees = saved(trees, "trees")
@@ -166,22 +169,23 @@ def by_tiles(parsed: DataFrame, taxa: int, of: Callable[..., list[np.ndarray]],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_low, n_high = (np.asarray(batch.column(c).value_lengths().fill_null(0), np.int64) for c in ("low", "high"))
-            for lo, hi in A.chunks(n_low * np.where(n_high > 0, n_high, n_low), TOGETHER):
+            for lo, hi in A.chunks(n_low * np.where(n_high > 0, n_high, n_low), together):
                 part = batch.slice(lo, hi - lo)
                 self_ = n_high[lo:hi] == 0
-                first = once(_trees(part.column("low"), taxa))
-                second = first if self_.all() else once(_trees(_either(part, self_), taxa))
+                first = once(_trees(part.column("low"), taxa, lacking))
+                second = first if self_.all() else once(_trees(_either(part, self_), taxa, lacking))
                 x, y = met(first.bounds, second.bounds)
                 a, b = first.ids[x], second.ids[y]
                 new = [p.flatten().field("fresh").to_numpy(zero_copy_only=False) for p in (part.column("low"), part.column("low") if self_.all() else _either(part, self_))]
                 keep = (new[0][x] | new[1][y]) & ((a < b) | ~np.repeat(self_, np.diff(first.bounds) * np.diff(second.bounds)) & (a != b))
                 x, y, a, b = x[keep], y[keep], a[keep], b[keep]
                 sample = np.repeat(part.column("sample").to_numpy(zero_copy_only=False), np.diff(first.bounds))[x]
-                columns = [sample, np.minimum(a, b), np.maximum(a, b), *of(first, second, x, y)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+                keys = [np.repeat(c, times) for c in (sample, np.minimum(a, b), np.maximum(a, b))]
+                columns = [c if isinstance(c, pa.Array) else pa.array(c) for c in (*keys, *of(first, second, x, y))]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     kinds = f"sample long, i long, j long, {schema}"
-    names = [c.split()[0] for c in kinds.split(", ")]
+    names = ["sample", "i", "j", *(c.strip().split()[0] for c in re.split(r",(?![^<]*>)", schema))]
     return tiles.mapInArrow(run, kinds)
 
 

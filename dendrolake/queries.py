@@ -582,7 +582,7 @@ def tree_at(spark, sf_dir):
 
 @query(trees_sql("SELECT i, j, unnest([0.25, 0.5, 0.75])::double AS pos FROM geo", "2::bigint AS n_edges, "))
 def path_trees(spark, sf_dir):
-    path = W.path_trees(_geo(spark, sf_dir), 5, fixtures.labels(4))
+    path = W.path_trees(parsed(spark, sf_dir, 4), 5, 4)
     return edges_at(path.withColumn("n_edges", F.size("splits").cast("long")), "n_edges")
 
 

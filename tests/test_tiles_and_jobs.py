@@ -271,3 +271,21 @@ def test_landscape_and_surface(spark):
     e = np.sqrt(((flat[:, None] - flat[None]) ** 2).sum(axis=2))
     assert row.n == 81 and row.pearson == pytest.approx(np.corrcoef(d.ravel(), e.ravel())[0, 1])
     assert row.corners == len(_corners(dict(enumerate(flat.tolist())))) and row.inside > 0
+
+
+@pytest.mark.parametrize("block", [3, 100])
+def test_trees_between_are_those_at_positions(spark, block):
+    taxa = 8
+    made = [tree(taxa, k) for k in (1, 0.6, 1, 0.3, 1, 1, 0.8)] + [([], tree(taxa)[1])]
+    table = frame(spark, made, taxa).repartition(2)
+    at = [0.0, 0.25, 0.6, 1.0]
+    geo = geodesics.geodesics(pairs.tree_pairs(table), taxa).withColumn("at", F.explode(F.array(*map(F.lit, at))))
+    key = lambda r: (r.i, r.j, round(r.at, 6))
+    want = {key(r): trees.unpacked(r) for r in geodesics.tree_at(geo, "at").collect()}
+    got = {key(r): trees.unpacked(r) for r in geodesics.trees_between(table, taxa, at, block).collect()}
+    assert got.keys() == want.keys() and len(got) == 28 * 4
+    for k, (splits, leaves) in got.items():
+        assert dict(splits) == pytest.approx(dict(want[k][0]), abs=1e-9) and leaves == pytest.approx(want[k][1], abs=1e-9)
+    assert geodesics.trees_between(table, taxa, []).count() == 0
+    for r in W.path_trees(table, 4, taxa).collect():
+        assert len(r.splits) == taxa - 2
