@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from dendrolake.llm import embeddings, langid, lm_scores, nbsvm, packing, pii, quality_rules, sampling, simhash, token_files
+from dendrolake.llm import alignment, embeddings, langid, lm_scores, nbsvm, packing, pii, quality_rules, runs, sampling, simhash, token_files, winnowing
 
 CLASHES = ["_id", "_key", "_score", "_spans", "_n", "_hash", "_text", "_words", "n_words", "id", "fp", "key", "own", "first", "words", "check", "score", "spans", "ids", "name", "label", "text_key", "h", "t", "share", "held", "root", "component_id", "kept"]
 WORDS = ["stone", "river", "light", "wind", "and", "the", "of", "sky", "tree", "hill"]
@@ -45,6 +45,12 @@ def _token_files(docs, tmp):
     return token_files.read_token_files(docs.sparkSession, path)
 
 
+def _aligned(docs):
+    paths = _path("byte_bpe_50k.json"), _path("piece_bpe_32k.model")
+    found = alignment.align(docs, *paths)
+    return alignment.with_counts(found, alignment.pair_counts(found), *paths)
+
+
 #: Each operator over documents: what it does with them, and whether it gives a row for each row.
 OPERATORS = {
     "packing": (lambda d, tmp: packing.pack_documents(d, _path("byte_bpe_50k.json")).drop("sequence_id", "offset"), False),
@@ -57,6 +63,10 @@ OPERATORS = {
     "lm_scores": (lambda d, tmp: lm_scores.score_documents(d, F.coalesce(F.col("doc_id"), F.lit(0)) % 7 == 2), True),
     "nbsvm": (lambda d, tmp: nbsvm.score(d, nbsvm.fit(d.select(F.col("doc_id").alias("id"), "text", (F.col("doc_id") % 2).alias("label"))), score_col="the_score").select("doc_id", "the_score"), True),
     "token_files": (_token_files, True),
+    "fingerprints": (lambda d, tmp: winnowing.fingerprints(d), True),
+    "edits": (lambda d, tmp: winnowing.against_edits(d), True),
+    "alignment": (lambda d, tmp: _aligned(d), True),
+    "runs": (lambda d, tmp: runs.periodic_runs(d), True),
 }
 
 
@@ -131,3 +141,17 @@ def test_a_megabyte_word_and_ten_thousand_addresses(spark):
     assert scored[2].n_tokens == 10_001 and scored[1].n_tokens == 2
     assert simhash.near_duplicates(docs).count() == 3 and langid.predict(docs, langid.fit(docs)).count() == 3
     assert packing.pack_documents(docs, _path("byte_bpe_50k.json")).groupBy("doc_id").agg(F.sum("length")).count() == 3
+    printed = {r.doc_id: r for r in winnowing.against_edits(docs).collect()}
+    assert printed[1].n_chars == len(word) and all(0 <= r.near_edited <= 1 for r in printed.values())
+    spelled = {r.doc_id: r for r in _aligned(docs).collect()}
+    assert all(r.n_groups > 0 and r.n_groups <= min(r.n_a, r.n_b) for r in spelled.values())
+    found = {r.doc_id: r for r in runs.periodic_runs(docs).collect()}
+    assert found[1].n_words == 1 and not found[1].runs and found[2].collapsed == many
+
+
+def test_a_packed_stage_over_odd_rows(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    plain, wide = (corpus_pipeline.packed(spark, d, folder) for d in (docs, _wide(docs)))
+    assert plain.columns == wide.columns and plain.agg(F.sum("length")).first() == wide.agg(F.sum("length")).first()
+    whole = plain.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end"))
+    assert whole.where("n <> end or n > 2048").count() == 0 and plain.where("doc_id is null").count() >= 3
