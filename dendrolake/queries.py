@@ -273,24 +273,28 @@ def reroot_at_leaf(spark, sf_dir):
     return T.splits(T.reroot(parsed(spark, sf_dir), 8, 2)).select("tree_id", F.array_join(T.clade_names(F.col("split"), LABELS), ",").alias("clade"), "length")
 
 
-@query(f"{EIGHT} SELECT tree_id, 8::bigint AS n_leaves, count(*) AS n_edges, count(*) >= 6 AS is_binary FROM interior GROUP BY tree_id")
+@query(f"{SHORT} SELECT tree_id, 8::bigint AS n_leaves, count(*) FILTER (length > 1e-5) AS n_edges, count(*) FILTER (length > 1e-5) >= 6 AS is_binary FROM short GROUP BY tree_id")
 def tree_shape(spark, sf_dir):
     n = F.size("splits").cast("long")
-    return parsed(spark, sf_dir).select("tree_id", F.size("leaves").cast("long").alias("n_leaves"), n.alias("n_edges"), (n >= F.size("leaves") - 2).alias("is_binary"))
+    return T.to_multifurcating(shortened(parsed(spark, sf_dir))).select("tree_id", F.size("leaves").cast("long").alias("n_leaves"), n.alias("n_edges"), (n >= F.size("leaves") - 2).alias("is_binary"))
 
 
-@query("""SELECT o_orderkey AS tree_id, round(sqrt(power(o_orderkey % 7, 2) + 4), 6) AS norm, round((o_orderkey % 7) * 0.25 + o_custkey % 5 * 0.75, 6) AS first FROM orders""")
+@query("""SELECT o_orderkey AS tree_id, round(sqrt(power(o_orderkey % 7, 2) + 4), 6) AS norm, round((o_orderkey % 7) * 0.25 + o_custkey % 5 * 0.75, 6) AS first,
+  CASE WHEN o_orderkey % 3 = 0 THEN 0.5 ELSE 1.25 END::double AS second FROM orders""")
 def edge_attr_ops(spark, sf_dir):
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     a = T.parse_attribute(F.concat(F.lit("["), F.col("o_orderkey") % 7, F.lit(" 2]")))
     b = T.parse_attribute(F.concat(F.lit("["), F.col("o_custkey") % 5, F.lit(" 1]")))
-    return orders.select(F.col("o_orderkey").alias("tree_id"), r6(T.attribute_norm(a), "norm"), r6(T.combine_attributes(a, b, 0.25, 0.75)[0], "first"))
+    both = T.combine_attributes(a, b, 0.25, 0.75)
+    second = T.combine_attributes(a, F.when(F.col("o_orderkey") % 3 != 0, b), 0.25, 0.75)[1]  # a missing one counts as zeros
+    return orders.select(F.col("o_orderkey").alias("tree_id"), r6(T.attribute_norm(a), "norm"), r6(both[0], "first"), r6(second, "second"))
 
 
 @query(f"""{EIGHT} SELECT tree_id, cast(sum(1 << cast((taxon * 3 + 1) % 8 AS int)) AS bigint) AS mask, length FROM interior JOIN taxa ON (mask & bit) <> 0
-  GROUP BY tree_id, interior.mask, length""")
+  GROUP BY tree_id, interior.mask, length
+  UNION ALL SELECT tree_id, cast(1 << cast((taxon * 3 + 1) % 8 AS int) AS bigint), length FROM leaf""")
 def relabel_leaves(spark, sf_dir):
-    return T.splits(T.relabel(parsed(spark, sf_dir), [(t * 3 + 1) % 8 for t in range(8)])).select("tree_id", word(), "length")
+    return all_edges(T.relabel(parsed(spark, sf_dir), [(t * 3 + 1) % 8 for t in range(8)]), "tree_id")
 
 
 @query(f"""{EIGHT} SELECT tree_id, mask, length FROM interior WHERE mask NOT IN (3, 12, 48) UNION ALL
@@ -617,11 +621,11 @@ def distance_double_check(spark, sf_dir):
     return P.differing(a, b, ["i", "j"]).select("i", "j", n6(F.col("d1"), "d1"), F.round((F.col("d2") - F.col("d1")) * 1e9).cast("long").alias("off"))
 
 
-@query(f"{UNROOTED} SELECT i, j FROM wrf WHERE (i + j) % 7 = 0")
+@query(f"{UNROOTED} SELECT i, j, round(d + 1.05e-9, 6) AS d1, round(d + 0.001 + 1.05e-9, 6) AS d2 FROM wrf WHERE (i + j) % 7 = 0")
 def compare_distances(spark, sf_dir):
     d = _wrf(spark, sf_dir).select("i", "j", "d")
     other = d.withColumn("d", F.when((F.col("i") + F.col("j")) % 7 == 0, F.col("d") + 0.001).otherwise(F.col("d")))
-    return P.differing(d, other, ["i", "j"]).select("i", "j")
+    return P.differing(d, other, ["i", "j"]).select("i", "j", n6(F.col("d1"), "d1"), n6(F.col("d2"), "d2"))
 
 
 @query(f"""{PARTS} SELECT i, j, mask, round(l2 - l1 + 1.05e-9, 6) AS x FROM shared UNION ALL
@@ -842,6 +846,11 @@ def job_boundary(spark, sf_dir):
     return W.boundary(parsed(spark, sf_dir), 8).select("sample", "tree_id")
 
 
+@query()
+def job_boundary_geodesic(spark, sf_dir):
+    return W.boundary(parsed(spark, sf_dir), 8, "geodesic").select("sample", "tree_id")
+
+
 @query()
 def job_explore(spark, sf_dir):
     trees = parsed(spark, sf_dir)
@@ -858,3 +867,8 @@ def job_iterate(spark, sf_dir):
 @query()
 def job_landscape(spark, sf_dir):
     return W.landscape(scored(spark, sf_dir), 8)
+
+
+@query()
+def job_landscape_geodesic(spark, sf_dir):
+    return W.landscape(scored(spark, sf_dir), 8, "geodesic")
