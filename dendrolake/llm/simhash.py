@@ -69,22 +69,24 @@ def block_masks(blocks: int = BLOCKS, distance: int = DISTANCE) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def close_links(fps: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, by: tuple[str, ...] = ()) -> DataFrame:
+def close_links(fps: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, by: tuple[str, ...] = (), loose: bool = False) -> DataFrame:
     """Links ``a, b`` between distinct fingerprints (column ``fp``) that connect all pairs within ``distance`` bits; with ``by``,
-    those that agree on these columns, which come first.
+    those that agree on these columns, which come first. ``loose``: they may connect others as well, as candidates do that are
+    held against each other later; then all of a large bucket are linked to its smallest.
 
     Buckets of up to PAIRWISE_BUCKET fingerprints give their pairs, each checked by its distance. The
-    fingerprints of larger buckets are joined through middle points instead: two within 4 bits share a point
+    fingerprints of larger buckets are joined through middle points instead (unless ``loose``): two within 4 bits share a point
     within 2 bits of both, and all that share a point are within 4, so a link from each to the smallest at the
     point is right and whole, and its rows grow with the fingerprints and not with their pairs.
     """
     n = fps.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     while 1 << (64 * (blocks - distance) // blocks - 3) < n and blocks < 12:  # keys too short for so many
         blocks += 1
-    spread = fps.select(*by, "fp", F.posexplode(F.array(*(F.lit(m) for m in block_masks(blocks, distance)))).alias("c", "mask"))
+    masks = F.array(*(F.lit(m) for m in block_masks(blocks, distance)))
+    spread = fps.select(*by, "fp", F.explode(F.sequence(F.lit(0), F.size(masks) - 1)).alias("c"))
     bucket = [*by, "c", "key"]
-    keyed = saved(spread.select(*by, F.col("c").cast("short"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp"), "blocks")
-    sizes = keyed.groupBy(*bucket).agg(F.count("*").alias("n"))
+    keyed = saved(spread, "blocks").withColumn("key", F.col("fp").bitwiseAND(F.get(masks, F.col("c"))))
+    sizes = keyed.groupBy(*bucket).agg(F.count("*").alias("n"), F.min("fp").alias("head"))
     shared = saved(keyed.join(sizes.where("n > 1").hint("merge"), bucket), "buckets")
     small = shared.where(F.col("n") <= PAIRWISE_BUCKET)
     pairs = (
@@ -94,6 +96,8 @@ def close_links(fps: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS,
         .where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
         .select(*by, "a", "b")
     )
+    if loose:
+        return pairs.union(shared.where((F.col("n") > PAIRWISE_BUCKET) & (F.col("fp") != F.col("head"))).select(*by, F.col("head").alias("a"), F.col("fp").alias("b")).distinct())
     crowded = shared.where(F.col("n") > PAIRWISE_BUCKET).select(*by, "fp").distinct()
     flips = [0, *(1 << i for i in range(64)), *(1 << i | 1 << j for i, j in combinations(range(64), 2))]
     one = F.array(*(F.lit(f - (1 << 64) if f >> 63 else f) for f in flips[:65]))
@@ -178,7 +182,7 @@ def near_copies(
     """``text_key, id_col``: the distinct texts that stay, each with the smallest id it comes with.
 
     Candidates are groups of texts joined by fingerprints of distinct words (``seeds`` of them) that are equal or within
-    ``distance`` bits. In the order of their ids (null last, then by text_key) the texts of a group stay or go: one goes
+    ``distance`` bits, or share blocks with over PAIRWISE_BUCKET others. In the order of their ids (null last, then by text_key) the texts of a group stay or go: one goes
     if the similarity of its set of ``words``-word shingles with that of a text that stays is ``least`` or more. In each
     round the first ``together`` texts of a group are gone through in one task, and all its others, dealt to many, are
     held against those of them that stay; this goes on until none is left, so no group is cut.
@@ -191,7 +195,7 @@ def near_copies(
     texts = saved(texts, "texts")
     own = saved(texts.select("text_key", F.posexplode("fps").alias("s", "fp")), "text-fingerprints")
     fps = saved(own.groupBy("s", "fp").agg(F.count("*").alias("n")), "distinct-fingerprints")
-    links = saved(close_links(fps.select("s", "fp"), distance, COPY_BLOCKS, ("s",)), "links")
+    links = saved(close_links(fps.select("s", "fp"), distance, COPY_BLOCKS, ("s",), loose=True), "links")
     number = lambda fp: F.xxhash64("s", fp)
     shared = links.select("s", F.col("a").alias("fp")).union(links.select("s", F.col("b").alias("fp"))).union(fps.where("n > 1").select("s", "fp")).distinct()
     held = own.join(shared.hint("merge"), ["s", "fp"]).select(F.xxhash64("text_key", F.lit("text")).alias("a"), number("fp").alias("b"))

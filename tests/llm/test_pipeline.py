@@ -122,6 +122,25 @@ def test_near_copies_by_similarity(spark, monkeypatch):
     assert all([x % 2**64 for x in plain[k]] == _word_fingerprints(t) for k, t in enumerate(texts))
 
 
+def test_loose_links_of_large_buckets(spark, monkeypatch):
+    """Groups of many near copies: linked to one another, in as many links as there are fingerprints, none lost."""
+    monkeypatch.setattr(simhash, "PAIRWISE_BUCKET", 4)
+    rng = np.random.default_rng(4)
+    base = int(rng.integers(0, 2**63))
+    near = {base} | {base ^ (1 << int(rng.integers(63))) for _ in range(60)}
+    alone = {int(x) for x in rng.integers(0, 2**63, 40)}
+    frame = spark.createDataFrame([(k, f) for k in (0, 1) for f in near | alone], "s int, fp long")
+    links = {(r.s, r.a, r.b) for r in simhash.close_links(frame, by=("s",), loose=True).collect()}
+    for k in (0, 1):
+        group = _groups(sorted(near | alone), lambda a, b: (k, a, b) in links or (k, b, a) in links)
+        assert len({group[f] for f in near}) == 1 and {f for f in alone if group[f] == group[base]} <= near
+    exact = {(r.s, r.a, r.b) for r in simhash.close_links(frame, by=("s",)).collect()}
+    assert all((a ^ b).bit_count() <= 4 for _, a, b in exact)
+    for k in (0, 1):
+        group = _groups(sorted(near), lambda a, b: (k, a, b) in exact or (k, b, a) in exact)
+        assert len(set(group.values())) == 1
+
+
 def test_run_of_an_empty_table(spark, folder, tmp_path):
     path, _ = folder
     spark.read.parquet(f"{path}/documents.parquet").where(F.lit(False)).write.parquet(f"file://{tmp_path}/documents.parquet")
