@@ -176,6 +176,37 @@ def similarity(a: set[int], b: set[int]) -> float:
     return len(a & b) / len(a | b) if a or b else 1.0
 
 
+def shingle_groups(texts: DataFrame, words: int = SHINGLE, least: float = SIMILARITY) -> DataFrame:
+    """``text_key, part``: parts of each ``root`` of ``texts`` (``root, text_key, text``), with all pairs of ``least`` or more
+    similarity in one part each; texts that have no such pair may be left out.
+
+    Of two sets that are so alike, the first m - ceil(least * m) + 1 of each one's m shingles share one, in any order that
+    both follow: here those that come in fewest texts of the root first. Shingles of a single text are counted, and go no
+    further. Rows grow with the texts' words, not with pairs. Texts without a word share a mark.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text", SLICE_BYTES):
+                sets = [shingles(t, words) or {0} for t in batch.column("text").to_pylist()]
+                values = np.concatenate([np.fromiter(s, np.uint64, len(s)) for s in sets]).view(np.int64)
+                bounds = np.cumsum([0, *map(len, sets)])
+                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values))
+                yield pa.RecordBatch.from_arrays([batch.column("root"), batch.column("text_key"), lists], names=["root", "text_key", "hs"])
+
+    sets = saved(texts.select("root", "text_key", "text").mapInArrow(run, "root long, text_key long, hs array<long>"), "shingles")
+    rows = sets.select("root", "text_key", F.size("hs").alias("m"), F.explode("hs").alias("h"))
+    shared = rows.groupBy("root", "h").agg(F.count("*").alias("c")).where("c > 1")
+    own = rows.join(shared.hint("merge"), ["root", "h"]).groupBy("root", "text_key", "m")
+    own = own.agg(F.array_sort(F.collect_list(F.struct("c", "h"))).alias("hs"))
+    need = F.col("m") - F.ceil(F.lit(least) * F.col("m") - 1e-9) + 1 - (F.col("m") - F.size("hs"))
+    first = F.slice("hs", F.lit(1), F.greatest(need, F.lit(0)).cast("int"))
+    first = saved(own.select("root", "text_key", F.explode(first).alias("x")).select("root", "text_key", "x.h"), "first-shingles")
+    heads = first.groupBy("root", "h").agg(F.min("text_key").alias("a"), F.max("text_key").alias("last")).where("a < last")
+    links = first.join(heads.hint("merge"), ["root", "h"]).select("a", F.col("text_key").alias("b")).distinct()
+    return connected_components(links).select(F.col("node").alias("text_key"), F.col("root").alias("part"))
+
+
 def near_copies(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seeds: int = SEEDS, distance: int = DISTANCE, words: int = SHINGLE, least: float = SIMILARITY, together: int = TOGETHER
 ) -> DataFrame:
@@ -183,7 +214,8 @@ def near_copies(
 
     Candidates are groups of texts joined by fingerprints of distinct words (``seeds`` of them) that are equal or within
     ``distance`` bits, or share blocks with over PAIRWISE_BUCKET others. In the order of their ids (null last, then by text_key) the texts of a group stay or go: one goes
-    if the similarity of its set of ``words``-word shingles with that of a text that stays is ``least`` or more. In each
+    if the similarity of its set of ``words``-word shingles with that of a text that stays is ``least`` or more. Groups of over
+    ``together`` texts are first cut by the shingles that so alike texts must share (``shingle_groups``). In each
     round the first ``together`` texts of a group are gone through in one task, and all its others, dealt to many, are
     held against those of them that stay; this goes on until none is left, so no group is cut.
 
@@ -212,6 +244,13 @@ def near_copies(
     order = [F.col("id").isNull().alias("none"), F.col("id"), F.col("text_key")]
     left = named.join(likely.hint("merge"), "text_key").dropDuplicates(["text_key"]).select("root", "n", F.struct(*order).alias("at"), "text_key", "text")
     left = saved(left, "contents")
+    large = left.where(F.col("n") > together)
+    if not large.isEmpty():
+        parts = saved(shingle_groups(large, words, least), "parts")
+        sizes = parts.groupBy(F.col("part").alias("root")).agg(F.count("*").alias("n"))
+        parts = join_by_root(parts.select("text_key", F.col("part").alias("root")), sizes, "text_key")
+        large = large.drop("root", "n").join(parts.hint("merge"), "text_key").select("root", "n", "at", "text_key", "text")
+        left = saved(left.where(F.col("n") <= together).union(large), "contents")
 
     def sorted_out(pdf: pd.DataFrame) -> pd.DataFrame:
         """The first texts of a group in order: which of them stay."""

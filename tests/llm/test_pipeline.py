@@ -122,6 +122,24 @@ def test_near_copies_by_similarity(spark, monkeypatch):
     assert all([x % 2**64 for x in plain[k]] == _word_fingerprints(t) for k, t in enumerate(texts))
 
 
+def test_large_groups_are_cut_by_shingles(spark):
+    """No pair of 0.8 or more similarity is cut apart, texts without one are, blank texts hold together."""
+    rng = np.random.default_rng(8)
+    common, texts = " ".join(f"c{k}" for k in range(12)), ["", " ", "a b c", "A b c", "a b c d e f", "solo"]
+    for k in range(12):
+        words = [f"w{rng.integers(900)}" for _ in range(int(rng.integers(30, 90)))]
+        texts += [" ".join(words) + " " + common, " ".join(words), " ".join([*words[:-1], "x"]), " ".join(words[: len(words) * 4 // 5 + 1])]
+    rows = [(k % 2, k, t) for k, t in enumerate(texts + texts)]
+    found = {r.text_key: r.part for r in simhash.shingle_groups(spark.createDataFrame(rows, "root long, text_key long, text string").repartition(3)).collect()}
+    sets = [simhash.shingles(t) for _, _, t in rows]
+    alike = [(a, b) for a in range(len(rows)) for b in range(a) if rows[a][0] == rows[b][0] and simhash.similarity(sets[a], sets[b]) >= 0.8]
+    assert len(alike) > 60 and all(a in found and found[a] == found[b] for a, b in alike)
+    assert all(rows[k][0] == rows[part][0] for k, part in found.items())
+    assert len(set(found.values())) > 20  # a passage that all share does not join them
+    empty = spark.createDataFrame([], "root long, text_key long, text string")
+    assert simhash.shingle_groups(empty).count() == 0
+
+
 def test_loose_links_of_large_buckets(spark, monkeypatch):
     """Groups of many near copies: linked to one another, in as many links as there are fingerprints, none lost."""
     monkeypatch.setattr(simhash, "PAIRWISE_BUCKET", 4)
