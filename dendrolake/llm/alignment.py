@@ -38,20 +38,29 @@ class PieceTokenizer(bpe.ChunkTokenizer):
         self.parted = not any(a != MARK and b == MARK for n in names for a, b in zip(n, n[1:]))
         self._reset()
 
-    def _dirty(self, chunk: str) -> bool:
-        return not chunk or not self.parted
+    def _reset(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids = np.zeros(0, np.uint32)
+        self.starts = np.zeros(1, np.int64)
+
+    def _dirty(self, chunks: list[str]) -> list[bool]:
+        return [not c or not self.parted for c in chunks]
 
     def _plain(self, text: str) -> list[int]:
         return self.pieces.encode(text)
 
-    def _learn(self, chunks: list[str]) -> None:
-        if not chunks:
-            return
-        found = self.pieces.encode(chunks, num_threads=1)
-        base = len(self.known)
-        self.known.update(zip(chunks, range(base, base + len(chunks))))
-        self.ids = np.concatenate([self.ids, np.array([i for x in found for i in x], np.uint32)])
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum([len(x) for x in found])])
+    def _coded(self, chunks: pa.Array) -> pa.ListArray:
+        if len(self.known) > bpe.CACHE_CHUNKS:
+            self._reset()
+        words = chunks.to_pylist()
+        new = [w for w in words if w not in self.known]
+        if new:
+            found = self.pieces.encode(new, num_threads=1)
+            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
+            self.ids = np.concatenate([self.ids, np.array([i for x in found for i in x], np.uint32)])
+            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum([len(x) for x in found])])
+        row = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        return pa.ListArray.from_arrays(pa.array(self.starts.astype(np.int32)), pa.array(self.ids)).take(pa.array(row))
 
 
 class Vocabulary:

@@ -2,10 +2,10 @@
 
 A text is cut at single spaces that stand between two non-space characters. Both pre-tokenizers in use
 (byte-level words with a leading space, and words with white space dropped) always cut there, so the ids
-of a text are the ids of its chunks in order. Each distinct chunk of a batch is encoded once and the ids are
-put back with numpy; a text with other white space at such a place is encoded as it is. Chunks of Latin-1
-letters, digits and marks are cut into words here and merged by the file's model; all others go through the
-whole tokenizer.
+of a text are the ids of its chunks in order. Each distinct chunk of a slice is encoded once and the ids are
+put back by Arrow; a text with other white space at such a place is encoded as it is. Chunks of Latin-1
+letters, digits and marks are cut into words here, all in one pass, and each distinct word is merged by the
+file's model; all other chunks go through the whole tokenizer.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Distinct words and chunks whose ids a Python worker keeps from one batch to the next. Bounds memory; never changes ids.
+#: Distinct chunks whose ids a tokenizer that keeps them has from one slice to the next. Bounds memory; never changes ids.
 CACHE_CHUNKS = 500_000
 #: Text bytes that are encoded at a time.
 SLICE_BYTES = 16_000_000
@@ -26,12 +26,12 @@ SLICE_BYTES = 16_000_000
 LETTERS = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
 NUMBERS = "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
 #: Chunks of these characters are cut here.
-PLAIN = re.compile("[\n\x20-\x7e\u00a1-\u00ac\u00ae-\u00ff]+")
+PLAIN = "\\A[\n\x20-\x7e\u00a1-\u00ac\u00ae-\u00ff]+\\z"
 CONTRACTIONS = "'(?:s|t|re|ve|m|ll|d)"
-#: Words with the space before them; white space is kept.
-SPACED = re.compile(f"{CONTRACTIONS}| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^\\s{LETTERS}{NUMBERS}]+|\\s+(?!\\S)|\\s+")
+#: Words with the space before them; white space is kept. A zero character, which no such chunk holds, stands before each chunk.
+SPACED = re.compile(f"\0|{CONTRACTIONS}| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^\0\\s{LETTERS}{NUMBERS}]+|\\s+(?![^\0\\s])|\\s+")
 #: Words without white space.
-BARE = re.compile(f"{CONTRACTIONS}|[{LETTERS}]+|[{NUMBERS}]|[^\\s{LETTERS}{NUMBERS}]+")
+BARE = re.compile(f"\0|{CONTRACTIONS}|[{LETTERS}]+|[{NUMBERS}]|[^\0\\s{LETTERS}{NUMBERS}]+")
 
 
 def byte_letters() -> dict[int, str]:
@@ -41,6 +41,14 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) if b in own else chr(next(others)) for b in range(256)}
 
 
+def _strings(texts: pa.Array) -> list[str]:
+    return texts.to_numpy(zero_copy_only=False).tolist()
+
+
+def _lists(bounds: np.ndarray, ids: np.ndarray | pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))
+
+
 class ChunkTokenizer:
     """Encodes Arrow string columns. ``spaced``: the file keeps white space (else it drops it and lower-cases). ``lead``: each
     text is taken with a space before it. ``special``: strings of special tokens in a text stand for those tokens (else
@@ -56,80 +64,66 @@ class ChunkTokenizer:
         self.spaced, self.lead = spaced, lead
         self.prefix = " " if spaced else ""
         self.letters = byte_letters()
-        self._reset()
-
-    def _reset(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ids = np.zeros(0, np.uint32)
-        self.starts = np.zeros(1, np.int64)
-        self.words: dict[str, list[int]] = {}
 
     def _plain(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _learn_words(self, words: list[str]) -> None:
-        model = self.tokenizer.model
-        spelled = "\0".join(words).encode().decode("latin-1").translate(self.letters).split(self.letters[0])
-        for word, letters in zip(words, spelled):
-            self.words[word] = [t.id for t in model.tokenize(letters)]
-
-    def _learn(self, chunks: list[str]) -> None:
-        """Adds the ids of chunks that are not known."""
-        if not chunks:
-            return
-        cut, ready = (SPACED if self.spaced else BARE).findall, PLAIN.fullmatch
-        special = re.compile("|".join(map(re.escape, self.special)) or "(?!)").search
-        words = [
-            (cut(c) if self.spaced else cut(c.lower())) if ready(c) and not special(c) else None for c in chunks
-        ]
-        new = dict.fromkeys(w for ws in words if ws for w in ws if w not in self.words)
-        if new:
-            self._learn_words(list(new))
-        flat: list[int] = []
-        ends = []
-        for c, ws in zip(chunks, words):
-            if ws is None:
-                flat += self._plain(c)
-            else:
-                for w in ws:
-                    flat += self.words[w]
-            ends.append(len(flat))
-        base = len(self.known)
-        self.known.update(zip(chunks, range(base, base + len(chunks))))
-        self.ids = np.concatenate([self.ids, np.array(flat, np.uint32)])
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.array(ends, np.int64)])
+    def _coded(self, chunks: pa.Array) -> pa.ListArray:
+        """Each chunk's ids."""
+        ready = pc.match_substring_regex(chunks, PLAIN)
+        for s in self.special:
+            ready = pc.and_not(ready, pc.match_substring(chunks, s))
+        ready = ready.to_numpy(zero_copy_only=False)
+        text = "".join(["\0" + c for c in _strings(chunks.filter(pa.array(ready)))])
+        words = pa.array((SPACED if self.spaced else BARE).findall(text if self.spaced else text.lower()), pa.string()).dictionary_encode()
+        own = _strings(words.dictionary)[1:]  # the first is the mark
+        spelled = "\0".join(own).encode().decode("latin-1").translate(self.letters).split(self.letters[0]) if own else []
+        ids, ends, merge = [], [0, 0], self.tokenizer.model.tokenize
+        for letters in spelled:
+            ids += [t.id for t in merge(letters)]
+            ends.append(len(ids))
+        index = words.indices.to_numpy(zero_copy_only=False)
+        marks = np.flatnonzero(index == 0)
+        sizes = np.add.reduceat(np.diff(ends)[index], marks) if len(marks) else np.zeros(0, np.int64)
+        flat = _lists(np.array(ends), np.array(ids, np.uint32)).take(words.indices).values
+        if ready.all():
+            return _lists(np.concatenate([[0], np.cumsum(sizes)]), flat)
+        others = [e.ids for e in self.tokenizer.encode_batch_fast(_strings(chunks.filter(pa.array(~ready))), add_special_tokens=False)]
+        flat = pa.concat_arrays([flat, pa.array([i for x in others for i in x], pa.uint32())])
+        sizes = np.concatenate([sizes, [len(x) for x in others]])
+        order = np.empty(len(chunks), np.int64)
+        order[np.argsort(~ready, kind="stable")] = np.arange(len(chunks))
+        return _lists(np.concatenate([[0], np.cumsum(sizes)]), flat).take(pa.array(order))
 
     @staticmethod
-    def _dirty(chunk: str) -> bool:
+    def _dirty(chunks: list[str]) -> list[bool]:
         """Whether a text with this chunk must be encoded whole."""
-        return not chunk or chunk[0].isspace() or chunk[-1].isspace()
+        return [not c or c[0].isspace() or c[-1].isspace() for c in chunks]
 
     def _slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         split = pc.split_pattern(texts, " ")
         offsets = np.asarray(split.offsets, np.int64)
-        offsets, values = offsets - offsets[0], split.flatten()
+        first, values = (offsets - offsets[0])[:-1], split.flatten()
         coded = values.dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        index = coded.indices.to_numpy(zero_copy_only=False)
-        first = offsets[:-1]
-        dirty = np.array([self._dirty(w) for w in words], bool)
-        bad = np.add.reduceat(dirty[index], first) > 0
+        chunks, row = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+        bad = np.logical_or.reduceat(np.array(self._dirty(_strings(chunks)), bool)[row], first)
         bad &= np.diff(offsets) > 1  # a text of one chunk is encoded as it is in any case
-        if len(self.known) + len(self.words) > CACHE_CHUNKS:
-            self._reset()
-        keys = [self.prefix + w for w in words] if self.prefix else words
-        heads = [(keys if self.lead else words)[i] for i in index[first]]
-        whole = [" " * self.lead + str(texts[int(i)]) for i in np.flatnonzero(bad)]
-        self._learn([k for k in {**dict.fromkeys(keys), **dict.fromkeys(heads)} if k not in self.known])
-        row = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))[index]
-        row[first] = np.fromiter(map(self.known.__getitem__, heads), np.int64, len(heads))
-        size = self.starts[row + 1] - self.starts[row]
-        lengths = np.add.reduceat(size, first)
-        ids = self.ids[np.repeat(self.starts[row] - np.cumsum(size) + size, size) + np.arange(size.sum())]
-        if whole:
+        if self.prefix:
+            spaced = pc.binary_join_element_wise(pa.scalar(self.prefix), chunks, "")
+            if self.lead:
+                chunks = spaced
+            else:  # a text's first chunk has no space before it
+                heads, at = np.unique(row[first], return_inverse=True)
+                row = row.copy()
+                row[first] = len(chunks) + at
+                chunks = pa.concat_arrays([spaced, chunks.take(pa.array(heads))])
+        lists = self._coded(chunks)
+        lengths = np.add.reduceat(np.diff(np.asarray(lists.offsets))[row], first, dtype=np.int64)
+        ids = lists.take(pa.array(row)).values.to_numpy()
+        if bad.any():
             pieces = np.split(ids, np.cumsum(lengths)[:-1])
-            for i, text in zip(np.flatnonzero(bad), whole):
-                pieces[i] = np.array(self._plain(text), np.uint32)
+            for i in np.flatnonzero(bad):
+                pieces[i] = np.array(self._plain(" " * self.lead + str(texts[int(i)])), np.uint32)
                 lengths[i] = len(pieces[i])
             ids = np.concatenate(pieces)
         return ids, lengths
@@ -147,6 +141,9 @@ class ChunkTokenizer:
         for cut in [*cuts[cuts < len(texts)].tolist(), len(texts)]:
             out.append(self._slice(texts.slice(at, cut - at)))
             at = cut
+        pa.default_memory_pool().release_unused()
+        if len(out) == 1:
+            return out[0]
         return np.concatenate([x for x, _ in out]), np.concatenate([n for _, n in out])
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import saved
+from .common import saved, slices
 
 #: Bits of a sequence id for the number within a task, and for the task; the round of merging stands above.
 NUMBER_BITS, TASK_BITS = 28, 28
@@ -103,27 +103,28 @@ def pack_documents(
         task = TaskContext.get().partitionId()
         base = task << NUMBER_BITS
         coder, windows, schema = bpe.tokenizer(tokenizer_path), Windows(capacity, open_windows), None
-        for batch in batches:
-            schema = schema or _schema(batch.schema.field("id").type)
-            ids, lengths = coder.encode(batch.column("text"))
-            ids = ids.astype("<u4")
-            found, at = [], 0
-            for doc, n in zip(batch.column("id").to_pylist(), lengths.tolist()):
-                own = np.append(ids[at : at + n], np.uint32(end_id)).astype("<u4").tobytes()
-                at += n
-                total = n + 1
-                whole = total // capacity
-                for i in range(whole):
-                    piece = (doc, i * capacity, own[4 * i * capacity : 4 * (i + 1) * capacity], total)
-                    found += rows([(windows.n, [piece])], True, base, task)
-                    windows.n += 1
-                if rest := own[4 * whole * capacity :]:
-                    out = windows.put(len(rest) // 4, (doc, whole * capacity, rest, total))
-                    found += rows(_emitted(out), True, base, task)
-                if len(found) >= 2000:
-                    yield write(found, schema)
-                    found = []
-            yield write(found, schema)
+        for whole_batch in batches:
+            for batch in slices(whole_batch, "text", bpe.SLICE_BYTES):
+                schema = schema or _schema(batch.schema.field("id").type)
+                ids, lengths = coder.encode(batch.column("text"))
+                ids = ids.astype("<u4", copy=False)
+                found, at = [], 0
+                for doc, n in zip(batch.column("id").to_pylist(), lengths.tolist()):
+                    own = np.append(ids[at : at + n], np.uint32(end_id)).astype("<u4").tobytes()
+                    at += n
+                    total = n + 1
+                    whole = total // capacity
+                    for i in range(whole):
+                        piece = (doc, i * capacity, own[4 * i * capacity : 4 * (i + 1) * capacity], total)
+                        found += rows([(windows.n, [piece])], True, base, task)
+                        windows.n += 1
+                    if rest := own[4 * whole * capacity :]:
+                        out = windows.put(len(rest) // 4, (doc, whole * capacity, rest, total))
+                        found += rows(_emitted(out), True, base, task)
+                    if len(found) >= 2000:
+                        yield write(found, schema)
+                        found = []
+                yield write(found, schema)
         if schema:
             yield write(list(rows(windows.rest(), False, base, task)), schema)
 
