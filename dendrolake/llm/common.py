@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -86,7 +87,8 @@ def split_words(texts: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndar
 def hash_words(words: pa.Array, seed: int = 0) -> np.ndarray:
     """XXH64 of each string."""
     h = xxhash.xxh64_intdigest
-    return np.fromiter((h(w, seed) for w in words.to_pylist()), np.uint64, len(words))
+    raw = words.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
+    return np.fromiter(map(h, raw, repeat(seed)), np.uint64, len(words))
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -258,20 +258,24 @@ def score_documents(p: Params, ids: np.ndarray, ends: np.ndarray, fresh: int, st
     inputs[starts] = fresh
     inputs, target = inputs[where], ids[where]
     table, u = _halved(p)
-    result = np.empty(len(ids), np.float32)
     n = u.shape[1]
-    h, states, begun = np.zeros((len(dealt), n), table.dtype), np.empty((block + len(dealt), n), table.dtype), 0
+    result = np.empty(len(ids), np.float32)
+    begins = np.logical_or.reduceat(inputs == fresh, offset[:-1]).tolist()
     offset = offset.tolist()
-    for k in range(int(long[0])):
-        lo, hi = offset[k], offset[k + 1]
-        h = h[: hi - lo]
-        tokens = inputs[lo:hi]
-        new = tokens == fresh
-        if new.any():
-            h[new] = 0
-        h = _step(np.take(table, tokens, axis=1), u, h)[0]
-        states[lo - begun : hi - begun] = h
-        if hi - begun >= block or hi == len(ids):
-            result[where[begun:hi]] = log_probabilities(p, states[: hi - begun], target[begun:hi])[0]
-            begun = hi
+    h, k = np.zeros((len(dealt), n), table.dtype), 0
+    while k < len(begins):
+        begun, last = offset[k], k + 1
+        while offset[last] - begun < block and last < len(begins):
+            last += 1
+        rows = np.take(table, inputs[begun : offset[last]], axis=1)  # of a block at once
+        states = np.empty((offset[last] - begun, n), table.dtype)
+        for k in range(k, last):
+            lo, hi = offset[k], offset[k + 1]
+            h = h[: hi - lo]
+            if begins[k]:
+                h[inputs[lo:hi] == fresh] = 0
+            h = _step(rows[:, lo - begun : hi - begun], u, h)[0]
+            states[lo - begun : hi - begun] = h
+        k = last
+        result[where[begun : offset[last]]] = log_probabilities(p, states, target[begun : offset[last]])[0]
     return np.add.reduceat(result.astype(np.float64), starts)

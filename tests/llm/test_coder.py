@@ -42,3 +42,31 @@ def test_chunks_side_by_side_are_as_alone(file, spaced):
         got = np.split(np.concatenate(ids), np.cumsum(np.concatenate(n))[:-1])
         got = [g.tolist() for g, end in zip(got, np.concatenate([[False] * (len(k) - 1) + [True] for k in n])) if not end]
         assert got == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_a_scored_block_takes_its_table_rows_at_once(monkeypatch):
+    from dendrolake.llm import gru
+
+    p = gru.initial(np.log(np.full(64, 1 / 64)), classes=8, per_class=8)
+    rng = np.random.default_rng(1)
+    sizes = rng.integers(1, 90, 40)
+    ids = rng.integers(0, 63, int(sizes.sum()))
+    ids[np.cumsum(sizes) - 1] = 63
+    # a plain loop over each document
+    table, u = gru._halved(p)
+    want, at = [], 0
+    for n in sizes.tolist():
+        h, seen, total = np.zeros((1, u.shape[1]), np.float32), 63, 0.0
+        for t in ids[at : at + n].tolist():
+            h = gru._step(table[:, [seen]], u, h)[0] if seen != 63 else gru._step(table[:, [63]], u, np.zeros_like(h))[0]
+            total += float(gru.log_probabilities(p, h, np.array([t]))[0][0])
+            seen = t
+        want.append(total)
+        at += n
+    calls, take = [], np.take
+    monkeypatch.setattr(gru.np, "take", lambda *a, **k: calls.append(1) or take(*a, **k))
+    for streams, block in ((7, 50), (512, 16384), (1, 1)):
+        calls.clear()
+        got = gru.score_documents(p, ids, np.cumsum(sizes), 63, streams, block)
+        assert np.allclose(got, want, atol=1e-3)
+        assert block < 16384 or len(calls) < 10  # not a call for each step
