@@ -99,23 +99,31 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class HashSet:
-    """A set of hashes as a literal array of ``bits`` / 64 words, three bits a hash. The words come to the driver: a size that
-    never grows. The set may hold hashes that were not given, more as it fills, and lacks none."""
+    """A set of hashes as an array of ``bits`` / 64 words, three bits a hash. The words come to the driver: a size that
+    never grows. Queries get them by a scalar subquery, as a literal would be printed with each plan that the driver tells of.
+    The set may hold hashes that were not given, more as it fills, and lacks none."""
 
     def __init__(self, hashes: DataFrame, bits: int = 1 << 20) -> None:
         self.bits = bits
         place = F.explode(F.array(*self._places(F.col("h")))).alias("p")
         one = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("p") % 64)).alias("x")
-        full = ["0"] * (bits // 64)
+        full = [0] * (bits // 64)
         for r in hashes.select(place).groupBy((F.col("p") / 64).cast("int").alias("w")).agg(one).collect():
-            full[r.w] = str(r.x)
-        self.words = F.split(F.lit(",".join(full)), ",").cast("array<bigint>")
+            full[r.w] = r.x
+        self.row = hashes.sparkSession.createDataFrame([(full,)], "words array<bigint>")
+
+    @property
+    def words(self) -> Column:
+        """The array; within a function of array elements it must come as a column, see ``may_have``."""
+        return self.row.scalar()
 
     def _places(self, h: Column) -> list[Column]:
         return [F.pmod(x, F.lit(self.bits)).cast("int") for x in (h, F.xxhash64(h), F.xxhash64(h, F.lit(1)))]
 
-    def may_have(self, h: Column) -> Column:
-        found = [F.call_function("getbit", F.get(self.words, (p / 64).cast("int")), p % 64) == 1 for p in self._places(h)]
+    def may_have(self, h: Column, words: Column | None = None) -> Column:
+        """``words``: the set's array, where a subquery may not stand."""
+        words = self.words if words is None else words
+        found = [F.call_function("getbit", F.get(words, (p / 64).cast("int")), p % 64) == 1 for p in self._places(h)]
         return found[0] & found[1] & found[2]
 
 

@@ -181,19 +181,25 @@ def disclosing_terms(docs: DataFrame, text_col: str = "text", support: int = SUP
 
     known = HashSet(pairs.select("h"), TERM_BITS)
     words = F.array_distinct(F.transform(F.split(F.col("text"), _WORDS), lambda w: F.xxhash64(F.lower(w))))
-    plain = spans.where(F.size("base") == 0).select(F.explode(F.filter(words, known.may_have)).alias("h"), F.lit(1).alias("n"))
-    own = F.filter(F.transform("ts", lambda t: F.xxhash64(t)), known.may_have)  # of a text with values: outside them
-    n_term = plain.union(texts.select(F.explode(own).alias("h"), F.col("copies").cast("int").alias("n"))).groupBy("h").agg(F.sum("n").alias("n_t"))
+    plain = spans.where(F.size("base") == 0).withColumn("bits", known.words)
+    plain = plain.select(F.explode(let(F.col("bits"), lambda bits: F.filter(words, lambda h: known.may_have(h, bits)))).alias("h"), F.lit(1).alias("n"))
+    own = F.transform("ts", lambda t: F.xxhash64(t))  # of a text with values: outside them
+    own = texts.withColumn("bits", known.words).select(
+        F.explode(let(F.col("bits"), lambda bits: F.filter(own, lambda h: known.may_have(h, bits)))).alias("h"), F.col("copies").cast("int").alias("n")
+    )
+    n_term = plain.union(own).groupBy("h").agg(F.sum("n").alias("n_t"))
     n_all = source.agg(F.count("*").alias("n"))
     scored = pairs.join(n_term.hint("merge"), "h").crossJoin(F.broadcast(n_all))
     pmi = F.log2(F.col("n") * F.col("n_vt") / (F.col("n_v") * F.col("n_t")))
     return saved(scored.where(pmi >= disclosure * F.log2(F.col("n") / F.col("n_v"))).where("n > n_v").select("h", "t").distinct(), "risky")
 
 
-def _flagged(docs: DataFrame, text: Column, risky: DataFrame) -> Column:
-    """The distinct words of a text that may be disclosing terms, sorted."""
+def _flagged(docs: DataFrame, text: Column, risky: DataFrame, name: str) -> DataFrame:
+    """``docs`` with the column ``name``: the distinct words of a text that may be disclosing terms, sorted."""
     known, words = HashSet(risky, TERM_BITS), F.array_distinct(F.split(text, _WORDS))
-    return F.sort_array(F.filter(words, lambda w: known.may_have(F.xxhash64(F.lower(w)))))
+    (bits,) = unused(docs, "bits")
+    found = let(F.col(bits), lambda own: F.filter(words, lambda w: known.may_have(F.xxhash64(F.lower(w)), own)))
+    return docs.withColumn(bits, known.words).withColumn(name, F.sort_array(found)).drop(bits)
 
 
 def _term_spans(texts: DataFrame, risky: DataFrame) -> DataFrame:
@@ -237,7 +243,7 @@ def find_spans(
     risky = disclosing_terms(docs, text_col, support, disclosure)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     source = docs.select(F.col(id_col).alias("id"), text.alias("text"), *_keys(text))
-    flagged = source.select("text_key", "check", "text", _flagged(source, F.col("text"), risky).alias("words")).where(F.size("words") > 0)
+    flagged = _flagged(source, F.col("text"), risky, "words").select("text_key", "check", "text", "words").where(F.size("words") > 0)
     added = _term_spans(flagged, risky)
     marked = saved(source.select("id", "text_key", "check", base_spans(F.col("text")).alias("base")), "spans")
     joined = marked.join(added.hint("merge"), ["text_key", "check"], "left")
@@ -259,7 +265,7 @@ def sanitise(docs: DataFrame, text_col: str = "text", support: int = SUPPORT, di
     risky = disclosing_terms(docs, text_col, support, disclosure)
     text = F.col(text_col).cast("string")
     words, key, check = unused(docs, "words", "key", "check")
-    whole = docs.withColumn(words, _flagged(docs, text, risky))
+    whole = _flagged(docs, text, risky, words)
     names = F.array(*(F.lit(f"[{k}]") for k in [*KINDS, TERM]))
 
     def clean(spans: Column) -> Column:

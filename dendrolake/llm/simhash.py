@@ -69,12 +69,60 @@ def block_masks(blocks: int = BLOCKS, distance: int = DISTANCE) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
+def bucket_links(rows: DataFrame, bucket: list[str], distance: int = DISTANCE) -> DataFrame:
+    """``bucket, a, b``: links that connect in each bucket (``bucket, fp``) the fingerprints that pairs within ``distance`` bits
+    connect there, and no others: at most one link for each fingerprint, so a bucket's links grow with it and not with its
+    pairs. Buckets have to be small: each is compared whole in one task."""
+    rows = rows.select(*bucket, "fp").repartition(*bucket).sortWithinPartitions(*bucket, "fp")
+
+    def linked(batch: pa.RecordBatch, first: np.ndarray) -> pa.RecordBatch:
+        """Links of whole buckets; ``first``: the row where each row's bucket starts."""
+        fp = batch.column("fp").to_numpy(zero_copy_only=False)
+        us, vs, k = [], [], 1
+        while len(same := np.flatnonzero(first[k:] == first[:-k])):  # rows k apart of one bucket
+            close = same[np.bitwise_count((fp[same] ^ fp[same + k]).view(np.uint64)) <= distance]
+            us.append(close)
+            vs.append(close + k)
+            k += 1
+        root = np.arange(len(fp))
+        if us:
+            u, v = np.concatenate(us), np.concatenate(vs)
+            while (root[u] != root[v]).any():
+                least = np.minimum(root[u], root[v])
+                for end in (u, v):
+                    np.minimum.at(root, root[end], least)
+                root = root[root]
+        own = np.flatnonzero(root != np.arange(len(fp)))
+        columns = [batch.column(c).take(pa.array(own)) for c in bucket]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(fp[root[own]]), pa.array(fp[own])], names=[*bucket, "a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = None  # the last bucket, which may go on in the next batch
+        for batch in batches:
+            if left is not None:
+                batch = pa.Table.from_batches([left, batch]).combine_chunks().to_batches()[0]
+            if not batch.num_rows:
+                continue
+            values = [batch.column(c).to_numpy(zero_copy_only=False) for c in bucket]
+            new = np.concatenate([[True], np.any([x[1:] != x[:-1] for x in values], axis=0)])
+            first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+            end = int(first[-1])
+            yield linked(batch.slice(0, end), first[:end])
+            left = batch.slice(end)
+        if left is not None:
+            yield linked(left, np.zeros(left.num_rows, np.int64))
+
+    kinds = [(c, rows.schema[c].dataType.simpleString()) for c in bucket]
+    return rows.mapInArrow(run, ", ".join(f"{c} {kind}" for c, kind in kinds) + ", a long, b long")
+
+
 def close_links(fps: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, by: tuple[str, ...] = (), loose: bool = False) -> DataFrame:
     """Links ``a, b`` between distinct fingerprints (column ``fp``) that connect all pairs within ``distance`` bits; with ``by``,
     those that agree on these columns, which come first. ``loose``: they may connect others as well, as candidates do that are
-    held against each other later; then all of a large bucket are linked to its smallest.
+    held against each other later; then all of a large bucket are linked to its smallest, and of the others each fingerprint
+    to one of those that its bucket's pairs connect it with (``bucket_links``): no row for each pair.
 
-    Buckets of up to PAIRWISE_BUCKET fingerprints give their pairs, each checked by its distance. The
+    Buckets of up to PAIRWISE_BUCKET fingerprints give their pairs (unless ``loose``), each checked by its distance. The
     fingerprints of larger buckets are joined through middle points instead (unless ``loose``): two within 4 bits share a point
     within 2 bits of both, and all that share a point are within 4, so a link from each to the smallest at the
     point is right and whole, and its rows grow with the fingerprints and not with their pairs.
@@ -89,6 +137,9 @@ def close_links(fps: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS,
     sizes = keyed.groupBy(*bucket).agg(F.count("*").alias("n"), F.min("fp").alias("head"))
     shared = saved(keyed.join(sizes.where("n > 1").hint("merge"), bucket), "buckets")
     small = shared.where(F.col("n") <= PAIRWISE_BUCKET)
+    if loose:
+        stars = shared.where((F.col("n") > PAIRWISE_BUCKET) & (F.col("fp") != F.col("head"))).select(*by, F.col("head").alias("a"), F.col("fp").alias("b"))
+        return bucket_links(small, bucket, distance).select(*by, "a", "b").union(stars.distinct())
     pairs = (
         small.select(*bucket, F.col("fp").alias("a"))
         .join(small.select(*bucket, F.col("fp").alias("b")).hint("merge"), bucket)
@@ -96,8 +147,6 @@ def close_links(fps: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS,
         .where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
         .select(*by, "a", "b")
     )
-    if loose:
-        return pairs.union(shared.where((F.col("n") > PAIRWISE_BUCKET) & (F.col("fp") != F.col("head"))).select(*by, F.col("head").alias("a"), F.col("fp").alias("b")).distinct())
     crowded = shared.where(F.col("n") > PAIRWISE_BUCKET).select(*by, "fp").distinct()
     flips = [0, *(1 << i for i in range(64)), *(1 << i | 1 << j for i, j in combinations(range(64), 2))]
     one = F.array(*(F.lit(f - (1 << 64) if f >> 63 else f) for f in flips[:65]))

@@ -9,8 +9,8 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from dendrolake.llm import quality_rules, simhash
-from dendrolake.llm.common import saved
+from dendrolake.llm import pii, quality_rules, simhash
+from dendrolake.llm.common import HashSet, saved
 
 from test_operators import VOCABULARY, WORDS, _groups, _ids, _rules, _spans
 
@@ -159,6 +159,41 @@ def test_loose_links_of_large_buckets(spark, monkeypatch):
         assert len(set(group.values())) == 1
 
 
+def test_loose_links_grow_with_the_fingerprints(spark):
+    """A bucket's links are fewer than its fingerprints, not as many as its pairs, and connect what its pairs connect."""
+    rng = np.random.default_rng(6)
+    bases = [int(x) for x in rng.integers(-(2**62), 2**62, 30)]
+    fps = sorted({b ^ (1 << k) for b in bases[:3] for k in range(40)} | {b ^ sum(1 << int(k) for k in rng.choice(63, 3, replace=False)) for b in bases for _ in range(5)})
+    frame = spark.createDataFrame([(k, f) for k in (0, 1) for f in fps], "s int, fp long").repartition(3)
+    links = [(r.s, r.a, r.b) for r in simhash.close_links(frame, blocks=6, by=("s",), loose=True).collect()]
+    assert 0 < len(links) <= 2 * 15 * len(fps)  # pairs would be over 3 * 780 in most of the 15 choices of blocks
+    want = _groups(fps, lambda a, b: ((a ^ b) & (2**64 - 1)).bit_count() <= 4)
+    for s in (0, 1):
+        own = {frozenset((a, b)) for k, a, b in links if k == s}
+        assert _groups(fps, lambda a, b: frozenset((a, b)) in own) == want
+    rows = [(int(k), int(f)) for k in range(7) for f in fps[k :: 7]]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)  # buckets go on in later batches
+    try:
+        found = {(r.c, r.b): r.a for r in simhash.bucket_links(spark.createDataFrame(rows, "c int, fp long"), ["c"]).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for k in range(7):
+        want = _groups(fps[k :: 7], lambda a, b: ((a ^ b) & (2**64 - 1)).bit_count() <= 4)
+        assert {f: found.get((k, f), f) for f in fps[k :: 7]} == want
+
+
+def test_plans_do_not_hold_the_set_of_hashes(spark, capsys):
+    """The driver keeps each plan's text, and tells of it again as often as the plan changes."""
+    words = spark.range(3000).select(F.xxhash64("id").alias("h"))
+    known = HashSet(words)
+    assert words.where(known.may_have(F.col("h"))).count() == 3000
+    assert spark.range(10**6, 10**6 + 3000).where(known.may_have(F.xxhash64("id"))).count() < 30
+    docs = spark.createDataFrame([(k, f"alice met bob{k % 2} at a{k % 2}@example.org") for k in range(4)], "doc_id long, text string")
+    for df in (words.where(known.may_have(F.col("h"))), pii.sanitise(docs)):
+        df.explain("formatted")
+        assert len(capsys.readouterr().out) < 60_000
+
+
 def test_run_of_an_empty_table(spark, folder, tmp_path):
     path, _ = folder
     spark.read.parquet(f"{path}/documents.parquet").where(F.lit(False)).write.parquet(f"file://{tmp_path}/documents.parquet")
