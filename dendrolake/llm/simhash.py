@@ -70,21 +70,28 @@ def block_masks(blocks: int = BLOCKS, distance: int = DISTANCE) -> list[int]:
 
 
 def bucket_links(rows: DataFrame, bucket: list[str], distance: int = DISTANCE) -> DataFrame:
-    """``bucket, a, b``: links that connect in each bucket (``bucket, fp``) the fingerprints that pairs within ``distance`` bits
-    connect there, and no others: at most one link for each fingerprint, so a bucket's links grow with it and not with its
-    pairs. Buckets have to be small: each is compared whole in one task."""
-    rows = rows.select(*bucket, "fp").repartition(*bucket).sortWithinPartitions(*bucket, "fp")
-
-    def linked(batch: pa.RecordBatch, first: np.ndarray) -> pa.RecordBatch:
-        """Links of whole buckets; ``first``: the row where each row's bucket starts."""
-        fp = batch.column("fp").to_numpy(zero_copy_only=False)
+    """``bucket, a, b``: links between the fingerprints of each bucket (``bucket, fp``), at most one for each. In a bucket of up to
+    PAIRWISE_BUCKET they connect what pairs within ``distance`` bits connect there, and nothing else; of a larger one all
+    are linked to the smallest. All fingerprints are shuffled once and pass through in order, those alone in their bucket
+    too, and only links come out. No task keeps more of a bucket than a batch and PAIRWISE_BUCKET."""
+    most = PAIRWISE_BUCKET
+    rows = rows.select(*bucket, "fp").repartition(*bucket).sortWithinPartitions(*reversed(bucket), "fp")  # keys differ soonest
+
+    def linked(batch: pa.RecordBatch, first: np.ndarray, crowded: bool) -> pa.RecordBatch:
+        """Links of buckets; ``first``: the row where each row's bucket starts; ``crowded``: that at row 0 is a large one."""
+        size = np.bincount(first, minlength=len(first))
+        if crowded:
+            size[0] = most + 1
+        several = np.flatnonzero(size[first] > 1)
+        fp, head = batch.column("fp").to_numpy(zero_copy_only=False)[several], np.searchsorted(several, first[several])
+        small = size[first[several]] <= most
         us, vs, k = [], [], 1
-        while len(same := np.flatnonzero(first[k:] == first[:-k])):  # rows k apart of one bucket
+        while len(same := np.flatnonzero((head[k:] == head[:-k]) & small[k:])):  # rows k apart of one bucket
             close = same[np.bitwise_count((fp[same] ^ fp[same + k]).view(np.uint64)) <= distance]
             us.append(close)
             vs.append(close + k)
             k += 1
-        root = np.arange(len(fp))
+        root = np.where(small, np.arange(len(fp)), head)
         if us:
             u, v = np.concatenate(us), np.concatenate(vs)
             while (root[u] != root[v]).any():
@@ -93,11 +100,11 @@ def bucket_links(rows: DataFrame, bucket: list[str], distance: int = DISTANCE) -
                     np.minimum.at(root, root[end], least)
                 root = root[root]
         own = np.flatnonzero(root != np.arange(len(fp)))
-        columns = [batch.column(c).take(pa.array(own)) for c in bucket]
+        columns = [batch.column(c).take(pa.array(several[own])) for c in bucket]
         return pa.RecordBatch.from_arrays([*columns, pa.array(fp[root[own]]), pa.array(fp[own])], names=[*bucket, "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left = None  # the last bucket, which may go on in the next batch
+        left, crowded = None, False  # the last bucket, which may go on in the next batch; of a large one its smallest
         for batch in batches:
             if left is not None:
                 batch = pa.Table.from_batches([left, batch]).combine_chunks().to_batches()[0]
@@ -107,10 +114,15 @@ def bucket_links(rows: DataFrame, bucket: list[str], distance: int = DISTANCE) -
             new = np.concatenate([[True], np.any([x[1:] != x[:-1] for x in values], axis=0)])
             first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
             end = int(first[-1])
-            yield linked(batch.slice(0, end), first[:end])
+            if end:
+                yield linked(batch.slice(0, end), first[:end], crowded)
+                crowded = False
             left = batch.slice(end)
+            if crowded or left.num_rows > most:
+                yield linked(left, np.zeros(left.num_rows, np.int64), True)
+                left, crowded = left.slice(0, 1), True
         if left is not None:
-            yield linked(left, np.zeros(left.num_rows, np.int64))
+            yield linked(left, np.zeros(left.num_rows, np.int64), crowded)
 
     kinds = [(c, rows.schema[c].dataType.simpleString()) for c in bucket]
     return rows.mapInArrow(run, ", ".join(f"{c} {kind}" for c, kind in kinds) + ", a long, b long")
@@ -120,7 +132,8 @@ def close_links(fps: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS,
     """Links ``a, b`` between distinct fingerprints (column ``fp``) that connect all pairs within ``distance`` bits; with ``by``,
     those that agree on these columns, which come first. ``loose``: they may connect others as well, as candidates do that are
     held against each other later; then all of a large bucket are linked to its smallest, and of the others each fingerprint
-    to one of those that its bucket's pairs connect it with (``bucket_links``): no row for each pair.
+    to one of those that its bucket's pairs connect it with (``bucket_links``): no row for each pair, and none for each
+    fingerprint that only shares a bucket, as more and more do by chance while the keys stay as long.
 
     Buckets of up to PAIRWISE_BUCKET fingerprints give their pairs (unless ``loose``), each checked by its distance. The
     fingerprints of larger buckets are joined through middle points instead (unless ``loose``): two within 4 bits share a point
@@ -133,13 +146,13 @@ def close_links(fps: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS,
     masks = F.array(*(F.lit(m) for m in block_masks(blocks, distance)))
     spread = fps.select(*by, "fp", F.explode(F.sequence(F.lit(0), F.size(masks) - 1)).alias("c"))
     bucket = [*by, "c", "key"]
-    keyed = saved(spread, "blocks").withColumn("key", F.col("fp").bitwiseAND(F.get(masks, F.col("c"))))
-    sizes = keyed.groupBy(*bucket).agg(F.count("*").alias("n"), F.min("fp").alias("head"))
+    key = F.col("fp").bitwiseAND(F.get(masks, F.col("c")))
+    if loose:
+        return bucket_links(spread.withColumn("key", key), bucket, distance).select(*by, "a", "b")
+    keyed = saved(spread, "blocks").withColumn("key", key)
+    sizes = keyed.groupBy(*bucket).agg(F.count("*").alias("n"))
     shared = saved(keyed.join(sizes.where("n > 1").hint("merge"), bucket), "buckets")
     small = shared.where(F.col("n") <= PAIRWISE_BUCKET)
-    if loose:
-        stars = shared.where((F.col("n") > PAIRWISE_BUCKET) & (F.col("fp") != F.col("head"))).select(*by, F.col("head").alias("a"), F.col("fp").alias("b"))
-        return bucket_links(small, bucket, distance).select(*by, "a", "b").union(stars.distinct())
     pairs = (
         small.select(*bucket, F.col("fp").alias("a"))
         .join(small.select(*bucket, F.col("fp").alias("b")).hint("merge"), bucket)

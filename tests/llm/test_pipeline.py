@@ -182,6 +182,48 @@ def test_loose_links_grow_with_the_fingerprints(spark):
         assert {f: found.get((k, f), f) for f in fps[k :: 7]} == want
 
 
+def test_buckets_shared_by_chance_cost_no_rows(spark, monkeypatch):
+    """Fingerprints that share blocks but are far apart: no table is written that has a row for each, and no link is made."""
+    rng, sizes = np.random.default_rng(7), []
+    masks = [m & (2**64 - 1) for m in simhash.block_masks(6)]
+    bases = [int(x) for x in rng.integers(-(2**62), 2**62, 40)]
+    fps = sorted({b & 0x3FFFFF | int(x) & ~0x3FFFFF for b in bases for x in rng.integers(-(2**62), 2**62, 20)})
+    assert min(((a ^ b) & (2**64 - 1)).bit_count() for a in fps for b in fps if a < b) > 4
+    shared = sum(n for m in masks for n in np.unique([f & m for f in fps], return_counts=True)[1] if n > 1)
+    assert shared >= 800
+
+    def counted(df, label):
+        out = saved(df, label)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "saved", counted)
+    frame = spark.createDataFrame([(k, f) for k in (0, 1) for f in fps], "s int, fp long")
+    assert simhash.close_links(frame, blocks=6, by=("s",), loose=True).count() == 0
+    assert not sizes
+
+
+@pytest.mark.parametrize("together", [5, 10_000])
+def test_large_buckets_go_through_batches(spark, monkeypatch, together):
+    """All of a bucket over the limit are linked to its smallest, wherever batches end; buckets at the limit by their pairs."""
+    monkeypatch.setattr(simhash, "PAIRWISE_BUCKET", 4)
+    rng = np.random.default_rng(3)
+    buckets = {(k % 2, k): sorted({int(x) for x in rng.integers(-(2**62), 2**62, n)}) for k, n in enumerate([1, 4, 5, 1, 23, 4, 1, 1, 40, 6, 2, 5])}
+    buckets[1, 5][1:] = sorted(buckets[1, 5][0] + d for d in (1, 2, 2**40 - 1))  # within 4 bits of one another, or far
+    rows = [(s, c, f) for (s, c), own in buckets.items() for f in own]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", together)
+    try:
+        frame = spark.createDataFrame(rows, "s int, c int, fp long").repartition(3)
+        found = [((r.s, r.c), r.b, r.a) for r in simhash.bucket_links(frame, ["s", "c"]).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = []
+    for k, own in buckets.items():
+        near = lambda a, b: len(own) > 4 or ((a ^ b) & (2**64 - 1)).bit_count() <= 4  # noqa: E731,B023
+        want += [(k, f, root) for f, root in _groups(own, near).items() if f != root]
+    assert sorted(found) == sorted(want) and len(want) > 74
+
+
 def test_plans_do_not_hold_the_set_of_hashes(spark, capsys):
     """The driver keeps each plan's text, and tells of it again as often as the plan changes."""
     words = spark.range(3000).select(F.xxhash64("id").alias("h"))
