@@ -20,14 +20,16 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: What a text must hold for a pattern to be looked for.
+#: What a text must hold for a pattern to be looked for, and for any of them: most texts hold none of these characters.
+NEEDS_ANY = "[0-9@]"
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){13}", "phone": r"\+[0-9]"}
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 
 #: Distinct texts in which a term and an entity must meet before the corpus says anything about them.
 SUPPORT = 2
-#: Bits of the set of hashed terms that each task has, to pass over words that cannot be one of them: a fixed size.
-TERM_BITS = 1 << 20
+#: Bits of the set of hashed terms that each task has, to pass over words that cannot be one of them: so many for a term, so
+#: that few of a text's hundreds of words pass by chance, within bounds (2 MB at most) that do not grow with the corpus.
+TERM_BITS, LEAST_BITS, MOST_BITS = 128, 1 << 20, 1 << 24
 #: Matches and characters of a block: places and texts are worked out block by block, so that no step copies a whole.
 _MATCHES, _CHARACTERS = 64, 4096
 #: Share of an entity's information content that a term may disclose.
@@ -103,7 +105,8 @@ def base_spans(text: Column) -> Column:
         spans = F.transform(good, lambda x: F.struct(x["s"].alias("s"), F.lit(k).alias("k"), x["e"].alias("e"), x["v"].alias("v")))
         return F.when(text.rlike(NEEDS[kind]), spans).otherwise(F.array().cast(SPAN))
 
-    return F.sort_array(F.concat(*(of(k, kind) for k, kind in enumerate(KINDS))))
+    none = F.array().cast(SPAN)
+    return F.when(text.rlike(NEEDS_ANY), F.sort_array(F.concat(*(of(k, kind) for k, kind in enumerate(KINDS))))).otherwise(none)
 
 
 #: Stands for each character of a base span; a run of letters and digits beside it is no whole word.
@@ -150,6 +153,12 @@ def _terms(text: Column, spans: Column) -> Column:
 _WORDS = r"[^\p{L}\p{N}]+"
 
 
+def _term_set(hashes: DataFrame) -> HashSet:
+    """The set of the hashes (column ``h``) of a saved table, by its number of rows."""
+    wanted = max(1, hashes.count() * TERM_BITS)
+    return HashSet(hashes.select("h"), min(MOST_BITS, max(LEAST_BITS, 1 << (wanted - 1).bit_length())))
+
+
 def disclosing_terms(docs: DataFrame, text_col: str = "text", support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
     """``h, t``: the terms, in lower case, that disclose a protected value, and their hashes.
 
@@ -163,10 +172,13 @@ def disclosing_terms(docs: DataFrame, text_col: str = "text", support: int = SUP
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     source = docs.select(text.alias("text"), F.xxhash64(text).alias("text_key"))
-    spans = source.withColumn("base", base_spans(F.col("text")))
-    values = F.array_distinct(F.transform("base", lambda x: F.lower(x["v"])))
-    # a row for each text that holds a value
-    marked = spans.where(F.size("base") > 0).select("text_key", values.alias("vs"), _terms(F.col("text"), F.col("base")).alias("ts"))
+
+    def held_by(base: Column) -> Column:
+        values = F.array_distinct(F.transform(base, lambda x: F.lower(x["v"])))
+        return F.when(F.size(base) > 0, F.array(F.struct(values.alias("vs"), _terms(F.col("text"), base).alias("ts"))))
+
+    # a row for each text that holds a value; exploded, so that no filter works the spans out a second time
+    marked = source.select("text_key", F.explode(let(base_spans(F.col("text")), held_by)).alias("x")).select("text_key", "x.vs", "x.ts")
     texts = saved(marked.groupBy("text_key").agg(F.count("*").alias("copies"), F.first("vs").alias("vs"), F.first("ts").alias("ts")), "texts")
     held = texts.select("text_key", "copies", F.explode("vs").alias("v"))
     # the texts that a value is in, told apart by two hashes of them all and their number
@@ -179,15 +191,12 @@ def disclosing_terms(docs: DataFrame, text_col: str = "text", support: int = SUP
     pairs = pairs.agg(F.sum("copies").alias("n_vt"), F.count("*").alias("places")).where(F.col("places") >= support)
     pairs = saved(pairs.select("x.n_v", "t", "n_vt", F.xxhash64("t").alias("h")), "pairs")
 
-    known = HashSet(pairs.select("h"), TERM_BITS)
+    known = _term_set(pairs)
     words = F.array_distinct(F.transform(F.split(F.col("text"), _WORDS), lambda w: F.xxhash64(F.lower(w))))
-    plain = spans.where(F.size("base") == 0).withColumn("bits", known.words)
-    plain = plain.select(F.explode(let(F.col("bits"), lambda bits: F.filter(words, lambda h: known.may_have(h, bits)))).alias("h"), F.lit(1).alias("n"))
+    plain = source.where(F.size(base_spans(F.col("text"))) == 0).select(F.explode(words).alias("h"), F.lit(1).alias("n"))
     own = F.transform("ts", lambda t: F.xxhash64(t))  # of a text with values: outside them
-    own = texts.withColumn("bits", known.words).select(
-        F.explode(let(F.col("bits"), lambda bits: F.filter(own, lambda h: known.may_have(h, bits)))).alias("h"), F.col("copies").cast("int").alias("n")
-    )
-    n_term = plain.union(own).groupBy("h").agg(F.sum("n").alias("n_t"))
+    own = texts.select(F.explode(own).alias("h"), F.col("copies").cast("int").alias("n"))
+    n_term = plain.union(own).where(known.may_have(F.col("h"))).groupBy("h").agg(F.sum("n").alias("n_t"))
     n_all = source.agg(F.count("*").alias("n"))
     scored = pairs.join(n_term.hint("merge"), "h").crossJoin(F.broadcast(n_all))
     pmi = F.log2(F.col("n") * F.col("n_vt") / (F.col("n_v") * F.col("n_t")))
@@ -196,7 +205,7 @@ def disclosing_terms(docs: DataFrame, text_col: str = "text", support: int = SUP
 
 def _flagged(docs: DataFrame, text: Column, risky: DataFrame, name: str) -> DataFrame:
     """``docs`` with the column ``name``: the distinct words of a text that may be disclosing terms, sorted."""
-    known, words = HashSet(risky, TERM_BITS), F.array_distinct(F.split(text, _WORDS))
+    known, words = _term_set(risky), F.array_distinct(F.split(text, _WORDS))
     (bits,) = unused(docs, "bits")
     found = let(F.col(bits), lambda own: F.filter(words, lambda w: known.may_have(F.xxhash64(F.lower(w)), own)))
     return docs.withColumn(bits, known.words).withColumn(name, F.sort_array(found)).drop(bits)
@@ -260,7 +269,8 @@ def sanitise(docs: DataFrame, text_col: str = "text", support: int = SUPPORT, di
     """``docs`` with each base span replaced by its kind in brackets and each disclosing term by ``[term]``; of spans that
     overlap the first is replaced. Rows, their other columns and null texts stay as they are, repeated ones too.
 
-    Only texts with words that may be disclosing terms are shuffled; all others are rewritten where they are.
+    Only texts with words that may be disclosing terms are shuffled; all others are rewritten where they are. Which they
+    are is found in one pass, which writes the others' new texts as well, so that no text is searched for words again.
     """
     risky = disclosing_terms(docs, text_col, support, disclosure)
     text = F.col(text_col).cast("string")
@@ -271,7 +281,10 @@ def sanitise(docs: DataFrame, text_col: str = "text", support: int = SUPPORT, di
     def clean(spans: Column) -> Column:
         return F.when(text.isNotNull(), let(spans, lambda x: _rewritten(text, x, lambda y, fresh, width: F.when(fresh, F.get(names, y["k"])).otherwise(""))))
 
-    plain = whole.where(F.coalesce(F.size(words), F.lit(0)) <= 0).withColumn(text_col, clean(base_spans(text)))
+    new = F.when(F.coalesce(F.size(words), F.lit(0)) <= 0, clean(base_spans(text))).otherwise(text)
+    void = [c for c, kind in docs.dtypes if kind == "void" and c != text_col]  # cannot be written
+    whole = saved(whole.withColumn(text_col, new).drop(*void), "cleaned").withColumns({c: F.lit(None) for c in void})
+    plain = whole.where(F.coalesce(F.size(words), F.lit(0)) <= 0)
     odd = whole.where(F.size(words) > 0).withColumns({key: F.xxhash64(text), check: F.hash(text)})
     added = _term_spans(odd.select(F.col(key).alias("text_key"), F.col(check).alias("check"), text.alias("text"), F.col(words).alias("words")), risky)
     found = added.select(F.col("text_key").alias(key), F.col("check").alias(check), F.struct("added").alias(words))

@@ -236,6 +236,32 @@ def test_plans_do_not_hold_the_set_of_hashes(spark, capsys):
         assert len(capsys.readouterr().out) < 60_000
 
 
+def test_texts_are_searched_for_words_twice(spark, monkeypatch):
+    """Once to count terms and once to find those that disclose something; a filter or a union would do it again for all texts."""
+    plans = []
+
+    def planned(df, label):
+        plans.append((label, df._jdf.queryExecution().optimizedPlan().toString()))
+        return saved(df, label)
+
+    monkeypatch.setattr(pii, "saved", planned)
+    docs = spark.createDataFrame([(k, f"alice met bob{k % 2} at a{k % 2}@example.org") for k in range(4)] + [(4, None)], "doc_id long, text string")
+    out = pii.sanitise(docs.withColumn("nothing", F.lit(None)))
+    plans.append(("result", out._jdf.queryExecution().optimizedPlan().toString()))
+    assert {label: n for label, plan in plans if (n := plan.count(pii._WORDS))} == {"risky": 1, "cleaned": 1}
+    assert out.dtypes == [("doc_id", "bigint"), ("text", "string"), ("nothing", "void")]
+    assert {r.text for r in out.collect()} == {"alice met bob0 at [email]", "alice met bob1 at [email]", None}
+
+
+def test_few_words_pass_a_set_of_many_terms(spark):
+    """With a fixed set, nearly every text had a word that passed by chance once there were tens of thousands of terms."""
+    terms = saved(spark.range(100_000).select(F.xxhash64("id").alias("h")), "terms")
+    known = pii._term_set(terms)
+    assert known.bits <= pii.MOST_BITS and pii._term_set(terms.limit(0)).bits == pii.LEAST_BITS
+    assert terms.where(known.may_have(F.col("h"))).count() == 100_000
+    assert spark.range(10**6, 10**6 + 100_000).where(known.may_have(F.xxhash64("id"))).count() < 20
+
+
 def test_run_of_an_empty_table(spark, folder, tmp_path):
     path, _ = folder
     spark.read.parquet(f"{path}/documents.parquet").where(F.lit(False)).write.parquet(f"file://{tmp_path}/documents.parquet")
