@@ -99,18 +99,18 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class HashSet:
-    """A set of hashes as an array of ``bits`` / 64 words, three bits a hash. The words come to the driver: a size that
-    never grows. Queries get them by a scalar subquery, as a literal would be printed with each plan that the driver tells of.
+    """A set of hashes as an array of ``bits`` / 64 words, three bits a hash. The words come to the driver: ``bits`` bounds
+    their size. Queries get them by a scalar subquery, as a literal would be printed with each plan that the driver tells of.
     The set may hold hashes that were not given, more as it fills, and lacks none."""
 
     def __init__(self, hashes: DataFrame, bits: int = 1 << 20) -> None:
         self.bits = bits
         place = F.explode(F.array(*self._places(F.col("h")))).alias("p")
         one = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("p") % 64)).alias("x")
-        full = [0] * (bits // 64)
-        for r in hashes.select(place).groupBy((F.col("p") / 64).cast("int").alias("w")).agg(one).collect():
-            full[r.w] = r.x
-        self.row = hashes.sparkSession.createDataFrame([(full,)], "words array<bigint>")
+        found = hashes.select(place).groupBy((F.col("p") / 64).cast("int").alias("w")).agg(one).toArrow()  # no object for a word
+        full = np.zeros(bits // 64, np.int64)
+        full[found.column("w").to_numpy()] = found.column("x").to_numpy()
+        self.row = hashes.sparkSession.createDataFrame([(full.tolist(),)], "words array<bigint>")
 
     @property
     def words(self) -> Column:
