@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from dendrolake.functions import newick as N
 from dendrolake.jobs import workflows
-from dendrolake.operators import geodesics, landscape, likelihoods, pairs, sampling, trees
-from dendrolake.sources import files
+from dendrolake.operators import geodesics, landscape, likelihoods, pairs, samples, sampling, trees
+from dendrolake.sources import files, store
 
 RNG = np.random.default_rng(21)
 
@@ -240,3 +240,45 @@ def test_resampling_and_random_lengths(spark):
     assert length(sampling.random_trees(keys, labels, 1)) == pytest.approx([2.0] * 10)
     drawn = length(sampling.random_trees(keys, labels, 1, "a", p_distance=0.5, low=1.0, high=3.0))
     assert all(0.5 <= x <= 1.5 for x in drawn) and len(set(np.round(drawn, 6))) == 10
+
+
+@pytest.mark.parametrize("most", [5000, 2])
+def test_validation_of_a_map_of_one_place(spark, monkeypatch, most):
+    """Trees that lie on one place of the map have no correlation: not a number, and no error for the samples beside them."""
+    monkeypatch.setattr(landscape, "MOST", most)
+    d, e = _points(5), _points(5)
+    flat = np.zeros((5, 5))
+    table = _distances(spark, d).union(_distances(spark, d, 1)).union(_distances(spark, d[:2, :2], 2))
+    places = _distances(spark, e).union(_distances(spark, flat, 1)).union(_distances(spark, flat[:2, :2], 2))
+    rows = {r["sample"]: r for r in landscape.validation(table, places).collect()}
+    assert [rows[k].n for k in range(3)] == [25, 25, 4]
+    assert rows[0].kendall == pytest.approx(_tau(d.ravel(), e.ravel()))
+    assert all(math.isnan(x) for k in (1, 2) for x in (rows[k].pearson, rows[k].spearman, rows[k].kendall))
+
+
+def test_small_samples_go_together(spark, monkeypatch):
+    """Many samples of two to nine trees in one task, cut into several pieces: coordinates, distances and correlations of each are those
+    that it has alone."""
+    monkeypatch.setattr(samples, "TOGETHER", 50)
+    sizes = [2 + k % 8 for k in range(40)]
+    made = [_points(n) for n in sizes]
+    table = spark.createDataFrame([(s, i, j, float(np.round(d[i, j], 1))) for s, d in enumerate(made) for i, j in itertools.combinations(range(len(d)), 2)], "sample long, i long, j long, d double").repartition(3)
+    coords = landscape.coordinates(table)
+    places = {(r["sample"], r.tree_id): np.array(r.x) for r in coords.collect()}
+    assert len(places) == sum(sizes)
+    near = store.saved(landscape.embedded_distances(coords), "near")
+    apart = {(r["sample"], r.i, r.j): r.d for r in near.collect()}
+    for (s, i, j), e in apart.items():
+        assert i < j and e == pytest.approx(np.sqrt(((places[s, i] - places[s, j]) ** 2).sum()))
+    assert len(apart) == sum(n * (n - 1) // 2 for n in sizes)
+    rows = {r["sample"]: r for r in landscape.validation(table, near).collect()}
+    assert len(rows) == 40
+    for s, d in enumerate(made):
+        x = np.round(d, 1)
+        h = np.eye(len(d)) - 1 / len(d)
+        assert sum(places[s, k] @ places[s, k] for k in range(len(d))) == pytest.approx(np.maximum(np.linalg.eigvalsh(-0.5 * h @ (x * x) @ h)[::-1][:2], 0).sum(), abs=1e-9)
+        e = np.zeros_like(x)
+        for i, j in itertools.combinations(range(len(d)), 2):
+            e[i, j] = e[j, i] = apart[s, i, j]
+        assert rows[s].n == len(d) ** 2 and rows[s].pearson == pytest.approx(np.corrcoef(x.ravel(), e.ravel())[0, 1])
+        assert rows[s].spearman == pytest.approx(np.corrcoef(_mean_ranks(x.ravel()), _mean_ranks(e.ravel()))[0, 1]) and rows[s].kendall == pytest.approx(_tau(x.ravel(), e.ravel()))
