@@ -282,3 +282,36 @@ def test_small_samples_go_together(spark, monkeypatch):
             e[i, j] = e[j, i] = apart[s, i, j]
         assert rows[s].n == len(d) ** 2 and rows[s].pearson == pytest.approx(np.corrcoef(x.ravel(), e.ravel())[0, 1])
         assert rows[s].spearman == pytest.approx(np.corrcoef(_mean_ranks(x.ravel()), _mean_ranks(e.ravel()))[0, 1]) and rows[s].kendall == pytest.approx(_tau(x.ravel(), e.ravel()))
+
+
+def test_hulls_and_surfaces_of_many_samples(spark, monkeypatch):
+    """Hulls, points inside and surfaces of samples of one to twelve trees together, against each alone; the grid is joined with no trees,
+    for such a table of places comes to the driver where Spark takes it for small."""
+    monkeypatch.setattr(samples, "TOGETHER", 40)
+    made = [np.round(RNG.standard_normal((1 + k % 12, 2)), 1 if k % 2 else 6) for k in range(30)]
+    made.append(np.array([[0.0, 0.0], [1.0, 1.0], [2.0, 2.0], [1.0, 1.0]]))
+    rows = [(s, 100 * s + k, p.tolist(), float(k % 5)) for s, points in enumerate(made) for k, p in enumerate(points)]
+    coords = spark.createDataFrame(rows, "sample long, tree_id long, x array<double>, lnl double").repartition(5)
+    corners = store.saved(landscape.hull(coords), "hull")
+    rings = corners.toPandas().sort_values(["sample", "place"])
+    for s, points in enumerate(made):
+        own = rings[rings["sample"] == s]
+        assert own["place"].tolist() == list(range(len(own))) and (own["tree_id"] - 100 * s).tolist() == landscape._chain(points)
+    grid = landscape.surface(coords.select("sample", "tree_id", "x"), coords, cells=5)
+    assert "Generate" not in grid._jdf.queryExecution().executedPlan().toString()
+    drawn = grid.toPandas()
+    assert len(drawn) == 25 * len(made) and set(drawn.groupby("sample").size()) == {25}
+    for s in (11, 22, 23):
+        points, own = made[s], drawn[drawn["sample"] == s]
+        phi = lambda r: np.where(r > 0, r * r * np.log(np.where(r > 0, r, 1.0)), 0.0)
+        r = np.sqrt(((points[:, None] - points[None]) ** 2).sum(axis=2))
+        w = np.linalg.lstsq(phi(r) - 1e-10 * np.eye(len(points)), np.arange(len(points)) % 5.0, rcond=None)[0]
+        at = own[["px", "py"]].to_numpy()
+        z = phi(np.sqrt(((at[:, None] - points[None]) ** 2).sum(axis=2))) @ w
+        chain = points[landscape._chain(points)]
+        turn = np.roll(chain, -1, axis=0) - chain
+        side = turn[:, 0] * (at[:, None, 1] - chain[:, 1]) - turn[:, 1] * (at[:, None, 0] - chain[:, 0])
+        within = (side >= -1e-12).all(axis=1) if len(chain) > 2 else np.zeros(len(at), bool)
+        assert len(chain) < 3 or (own["z"].notna().to_numpy() == within).all()
+        there = own["z"].notna().to_numpy()
+        assert own["z"].to_numpy()[there] == pytest.approx(z[there], abs=1e-5)
