@@ -289,3 +289,47 @@ def test_trees_between_are_those_at_positions(spark, block):
     assert geodesics.trees_between(table, taxa, []).count() == 0
     for r in W.path_trees(table, 4, taxa).collect():
         assert len(r.splits) == taxa - 2
+
+
+def test_same_topology_gives_every_pair(spark, tmp_path):
+    """The query's rows are those of its SQL: all pairs of a sample's trees with the same splits."""
+    duckdb = pytest.importorskip("duckdb")
+    from dendrolake import queries
+
+    rows = [(k, k % 3, 1000.0 + k % 4) for k in range(0, 2200, 5)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_totalprice double").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    got = {tuple(r) for r in queries.QUERIES["same_topology"](spark, str(tmp_path)).select("sample", "i", "j").collect()}
+    connection = duckdb.connect()
+    connection.sql(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    assert got == set(connection.sql(queries.ORACLE_SQL["same_topology"]).fetchall()) and len(got) > 400
+
+
+def test_patterns_are_not_copied_for_every_few_trees():
+    """Groups stay few as trees become many, but are of a few trees each while those are few."""
+    assert likelihoods._groups(100, 4, 256) == 25 and likelihoods._groups(0, 4, 256) == 1
+    assert likelihoods._groups(400_000, 4, 256) == likelihoods.GROUPS
+    assert likelihoods._groups(54_000_000, 256, likelihoods.MOST_TREES) <= 54_000_000 // 4000
+    assert likelihoods._groups(10_000_000, 4, 256) == -(-10_000_000 // 256)
+
+
+def test_projection_moves_each_tree_once(spark, monkeypatch):
+    """Rows of small samples are met with their trees in one task, those of larger ones joined; both give the same, and rows of
+    trees that a sample lacks are left out."""
+    random = np.random.default_rng(5)
+    labels = [f"t{k}" for k in range(5)]
+    texts = []
+    for k in range(14):
+        a, b, c, d, e = random.permutation(labels)
+        x = np.round(random.random(8) + 0.1, 3)
+        texts.append((k // 7, k, f"((({a}:{x[0]},{b}:{x[1]}):{x[2]},{c}:{x[3]}):{x[4]},({d}:{x[5]},{e}:{x[6]}):{x[7]});"))
+    table = trees.parse_newick(spark.createDataFrame(texts, "sample long, tree_id long, newick string"), labels)
+    rows = [(s, 7 * s + t, 7 * s + i, 7 * s + (i + 1) % 7) for s in range(2) for t in range(7) for i in range(7)]
+    wanted = spark.createDataFrame([*rows, (0, 99, 0, 1), (1, 7, 8, 3), (5, 1, 2, 3)], "sample long, tree_id long, i long, j long")
+    found = lambda: {tuple(r)[:4]: tuple(r)[4:] for r in W.project(table, wanted, 5).collect()}
+    once = found()
+    assert set(once) == set(rows)
+    plan = W.project(table, wanted, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+    monkeypatch.setattr(pairs, "BLOCK", 3)
+    joined = found()
+    assert set(joined) == set(rows) and all(joined[k] == pytest.approx(once[k], abs=1e-5) for k in rows)
