@@ -315,3 +315,22 @@ def test_hulls_and_surfaces_of_many_samples(spark, monkeypatch):
         assert len(chain) < 3 or (own["z"].notna().to_numpy() == within).all()
         there = own["z"].notna().to_numpy()
         assert own["z"].to_numpy()[there] == pytest.approx(z[there], abs=1e-5)
+
+
+def test_smooth_line_by_both_ways(spark, monkeypatch):
+    """Small samples by arrays, many at a time, and large ones by sums: the same places and the same line."""
+    made = [_points(n) for n in (2, 3, 9, 12)]
+    table = _distances(spark, made[0])
+    for s, d in enumerate(made[1:], 1):
+        table = table.union(_distances(spark, d, s))
+    other = table.withColumn("d", F.round(2 * F.col("d") + (F.col("i") % 3) / 7, 3))
+
+    def drawn():
+        out = landscape.shepard(table, other, every=2).toPandas().sort_values(["sample", "d", "e"])
+        return out[["sample", "d", "e", "smooth"]].to_numpy()
+
+    monkeypatch.setattr(samples, "TOGETHER", 20)
+    small = drawn()
+    assert len(small) == sum(-(-n * (n - 1) // 2 // 2) for n in (2, 3, 9, 12))
+    monkeypatch.setattr(landscape, "MOST", 4)
+    assert drawn() == pytest.approx(small, abs=1e-9)
